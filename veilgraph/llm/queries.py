@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm.binary_packing import pack
 from veilgraph.llm.chat_snapshots import collapse
+from veilgraph.llm.cross_parse import held_out as language_held_out
+from veilgraph.llm.cross_parse import identify, learn
 from veilgraph.llm.decontaminate import decontaminate
+from veilgraph.llm.quality import held_out as quality_held_out
+from veilgraph.llm.quality import score_quality, train
+from veilgraph.llm.url_trust import judge
+
+#: Rules of the URL query: verdict, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +28,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs)).select(F.col("id").alias("doc_id"), language_held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,9 +57,24 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host trust for every page."""
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict:
     return {
+        "op4_language_id": op4_language_id,
         "op5_binary_packing": op5_binary_packing,
         "op6_decontamination": op6_decontamination,
         "op7_chat_snapshots": op7_chat_snapshots,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_url_filters": op10_url_filters,
     }
