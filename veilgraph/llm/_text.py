@@ -25,12 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about PIECE_BYTES of text each."""
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > PIECE_BYTES:
+        if i > start and total + size > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -12,6 +12,8 @@ from veilgraph.llm.cross_parse import identify, learn
 from veilgraph.llm.decontaminate import decontaminate
 from veilgraph.llm.quality import held_out as quality_held_out
 from veilgraph.llm.quality import score_quality, train
+from veilgraph.llm.seed_extend import seed_extend_dedup
+from veilgraph.llm.suffix_dedup import suffix_dedup
 from veilgraph.llm.url_trust import judge
 
 #: Rules of the URL query: verdict, host and path.
@@ -28,6 +30,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _span_total(column: str = "spans"):
+    return F.aggregate(column, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that 200-byte repeats cover."""
+    found = suffix_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", _span_total().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -57,6 +69,12 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(_table(spark, sf_dir, "conversations"))
 
 
+def op8_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that repeats of 35 words cover."""
+    found = seed_extend_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", _span_total().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -71,10 +89,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op5_binary_packing": op5_binary_packing,
         "op6_decontamination": op6_decontamination,
         "op7_chat_snapshots": op7_chat_snapshots,
+        "op8_seed_extend": op8_seed_extend,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filters": op10_url_filters,
     }
