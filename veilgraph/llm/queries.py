@@ -10,6 +10,7 @@ from veilgraph.llm.chat_snapshots import collapse
 from veilgraph.llm.cross_parse import held_out as language_held_out
 from veilgraph.llm.cross_parse import identify, learn
 from veilgraph.llm.decontaminate import decontaminate
+from veilgraph.llm.jaccard_join import jaccard_join
 from veilgraph.llm.quality import held_out as quality_held_out
 from veilgraph.llm.quality import score_quality, train
 from veilgraph.llm.seed_extend import seed_extend_dedup
@@ -40,6 +41,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", _span_total().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents, and how many links each document has."""
+    found = jaccard_join(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -90,6 +97,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_language_id": op4_language_id,
         "op5_binary_packing": op5_binary_packing,
         "op6_decontamination": op6_decontamination,
