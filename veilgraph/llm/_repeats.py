@@ -263,9 +263,10 @@ def covered(spans: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(spans[first, 0].tolist(), ends[np.append(first[1:], len(spans)) - 1].tolist(), strict=True))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, then d, t, text and spans (null: no repeats) for every row."""
-    own = docs.select(*(keep or []), F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *identity(docs, id_col, text_col))
+def with_spans(docs: DataFrame, spans: DataFrame, *, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """carried (a struct of the columns to carry, if any), __id, __text and spans (null: no repeats) for every row."""
+    carried = [F.struct(*[f"`{c}`" for c in carry]).alias("carried")] if carry else []
+    own = docs.select(*carried, F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *identity(docs, id_col, text_col))
     return own.join(spans, ["d", "t"], "left").drop("d", "t")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.llm._text import buffer_of, byte_table, pieces, word_spans
 
@@ -129,14 +130,15 @@ def _merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_item_bytes: int = _MAX_ITEM_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, carry: list[str] | None = None, max_item_bytes: int = _MAX_ITEM_BYTES) -> DataFrame:
     """Finds and removes what documents share with test items.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``window`` consecutive words
     of an item; an item of fewer (not none) is one window. Returns a row for each document row: the id, n_words,
     n_hit (words in some occurrence of a window), items (sorted ids, as strings, of items with occurring windows),
     spans (array of start, end in words) and text without the words of those spans (the bytes from a span's first
-    word to its last go; what is left stays as it was). Null texts have no words and stay null; items with null
+    word to its last go; what is left stays as it was), called clean; after them ``carried``, a struct of the columns
+    named in ``carry``, if any. Null texts have no words and stay null; items with null
     text or no word match nothing, and items with a null id are named "". Repeated rows give repeated rows.
 
     The items are read to the driver and sent to each task, so their size is checked against ``max_item_bytes``.
@@ -147,7 +149,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         raise ValueError(f"the items hold {size} bytes; more than max_item_bytes can't be sent to every task")
     listed = sorted((r.i, r.t) for r in items.collect())
     shared = docs.sparkSession.sparkContext.broadcast(listed)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ItemAutomaton([(i, words_of(t)) for i, t in shared.value], window)
@@ -172,13 +173,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                         pa.array([sorted(found.get(i, ())) for i in range(len(texts))], pa.list_(pa.string())),
                         pa.array([[{"start": a, "end": b} for a, b in per_doc.get(i, ())] for i in range(len(texts))], spans_type),
                         clean,
+                        *part.columns[2:],
                     ],
-                    names=names,
+                    names=names + part.schema.names[2:],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:bigint,end:bigint>>, clean string"
-    )
+    carried = [F.struct(*[f"`{c}`" for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([rows.schema["id"]]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span)).add("clean", "string")
+    for field in rows.schema.fields[2:]:
+        schema.add(field)
+    return rows.mapInArrow(run, schema)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -115,17 +115,15 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs``, then ``quality_score``: 0 to 1, from the whole text alone (null: as an empty text)."""
+    """(row, score) for each row: ``row`` a struct of all its columns, whatever their names, and 0 to 1 from the whole text alone (null: as an empty text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__text"):
-                at = part.schema.get_field_index("__text")
-                columns = [c for i, c in enumerate(part.columns) if i != at]
-                names = [c for i, c in enumerate(part.schema.names) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score(shared.value, part.column(at)), pa.float64())], names=[*names, "quality_score"])
-
-    kept = docs.drop("quality_score")
-    schema = kept.schema.add("quality_score", "double")
-    return kept.select("*", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+            batch = batch.append_column("text", batch.column(0).field(place))
+            for part in pieces(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(shared.value, part.column(1)), pa.float64())], names=["row", "score"])
+
+    place = docs.columns.index("text")
+    rows = docs.select(F.struct(*[F.col("text").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, rows.schema.add("score", "double"))

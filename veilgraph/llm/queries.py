@@ -9,6 +9,7 @@ from veilgraph.llm.binary_packing import pack
 from veilgraph.llm.chat_snapshots import collapse
 from veilgraph.llm.cross_parse import held_out as language_held_out
 from veilgraph.llm.cross_parse import identify, learn
+from veilgraph.llm.curve_ann import nearest
 from veilgraph.llm.decontaminate import decontaminate
 from veilgraph.llm.jaccard_join import jaccard_join
 from veilgraph.llm.quality import held_out as quality_held_out
@@ -47,6 +48,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
 
 
+def op3_curve_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -86,7 +92,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     docs = _table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), train(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", quality_held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", quality_held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +104,7 @@ def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_curve_ann": op3_curve_ann,
         "op4_language_id": op4_language_id,
         "op5_binary_packing": op5_binary_packing,
         "op6_decontamination": op6_decontamination,

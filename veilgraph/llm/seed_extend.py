@@ -58,11 +58,11 @@ def _extend(window: int):
     return compare
 
 
-def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 64, keep_columns: list[str] | None = None) -> DataFrame:
+def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 64, carry: list[str] | None = None) -> DataFrame:
     """Removes every word covered by a window of ``min_words`` words whose word sequence also starts anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged (null: none); windows lie in one document, may repeat in the same one,
-    and are judged on the input. Returns ``keep_columns``, then id, n_words, spans (array of start, end in words) and
+    and are judged on the input. Returns ``carried`` (a struct of the columns named in ``carry``, if any), id, n_words, spans (array of start, end in words) and
     kept (the words left, joined by one space). Repeated rows repeat each other; texts of fewer words lose nothing.
     """
     if not 10 <= min_words <= 500:
@@ -70,7 +70,7 @@ def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession)
     plan = Plan(_word_units, min_words, 8, _extend(min_words), group_limit)
     spans = repeated_windows(docs, plan, scratch, id_col=id_col, text_col=text_col)
-    rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, keep=[f"`{c}`" for c in keep_columns or []])
+    rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)
     lead = rows.drop("__text", "spans")
     lead_names = lead.columns
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

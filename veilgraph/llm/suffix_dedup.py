@@ -96,12 +96,13 @@ def _compare(window: int):
     return compare
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 256, keep_columns: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 256, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``min_length`` bytes that also starts anywhere else in the corpus.
 
     Texts are UTF-8 bytes (null: empty). A string may repeat within its own document, and overlapping occurrences count.
-    All occurrences go, judged on the input. Returns ``keep_columns``, then id, n_bytes, spans (array of start, end of
-    the maximal removed runs) and kept (binary: what is left, which may begin or end inside a character). Repeated rows
+    All occurrences go, judged on the input. Returns ``carried`` (a struct of the columns named in ``carry``, if any), id, n_bytes, spans (array of start, end of
+    the maximal removed runs) and kept (binary: what is left, which may begin or end
+    inside a character; ``as_text``: a string without the bytes of characters that were cut). Repeated rows
     repeat each other; an empty text, or one shorter than ``min_length``, loses nothing.
     """
     if not 40 <= min_length <= 3000:
@@ -109,7 +110,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     plan = Plan(buffer_of, min_length, 32, _compare(min_length), group_limit)
     spans = repeated_windows(docs, plan, scratch, id_col=id_col, text_col=text_col)
-    rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, keep=[f"`{c}`" for c in keep_columns or []])
+    rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)
     lead = rows.drop("__text", "spans")
     lead_names = lead.columns
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -129,10 +130,10 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     edges = [0, *(e for pair in cut for e in pair), b - a]
                     kept.append(raw[a:b] if not cut else b"".join(raw[a + x : a + y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:n], pa.array(np.diff(offsets)), pa.array(gone, arrow_spans), pa.array(kept, pa.binary())], names=[*lead_names, "n_bytes", "spans", "kept"]
+                    [*part.columns[:n], pa.array(np.diff(offsets)), pa.array(gone, arrow_spans), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*lead_names, "n_bytes", "spans", "kept"]
                 )
 
     ordered = rows.select(*[f"`{c}`" for c in lead.columns], "__text", "spans")
-    schema = lead.schema.add("n_bytes", "long").add("spans", span_type).add("kept", "binary")
+    schema = lead.schema.add("n_bytes", "long").add("spans", span_type).add("kept", "string" if as_text else "binary")
     return ordered.mapInArrow(run, schema).withColumnRenamed("__id", "id")
 
