@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.llm._text import buffer_of, mix, pieces, word_hashes
 
@@ -125,5 +126,5 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(shared.value, part.column(1)), pa.float64())], names=["row", "score"])
 
     place = docs.columns.index("text")
-    rows = docs.select(F.struct(*[F.col("text").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, rows.schema.add("score", "double"))
+    rows = docs.select(F.struct(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
