@@ -251,6 +251,19 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
     return spans
 
 
+def runs_of_steps(repeated: np.ndarray, which: np.ndarray, step: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
+    """For each of n contexts the runs (first window, windows) of its repeated windows, listed in order."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    at = np.flatnonzero(repeated)
+    if len(at):
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]])
+        begin = np.flatnonzero(new)
+        for b, m in zip(begin.tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
+            out[int(which[at[b]])].append((int(step[at[b]]), m))
+    return out
+
+
 def covered(spans: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Merged (start, end) of the units that windows cover; touching ones become one. ``spans``: rows (first window, windows)."""
     if not len(spans):

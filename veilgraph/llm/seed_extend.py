@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgraph.llm._repeats import Plan, covered, repeated_windows, span_array, with_spans
+from veilgraph.llm._repeats import Plan, covered, repeated_windows, runs_of_steps, span_array, with_spans
 from veilgraph.llm._store import Scratch
-from veilgraph.llm._text import buffer_of, byte_table, pieces, word_hashes, word_spans
+from veilgraph.llm._text import buffer_of, byte_table, mix, pieces, word_hashes, word_spans
 
 #: Words are runs of anything but space and the control characters 09 to 0D.
 _IN_WORD = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D))
-_PAIRS = 16_384
 
 
 def _word_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -26,39 +25,39 @@ def _word_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _extend(window: int):
     def compare(group: np.ndarray, place: np.ndarray, count: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
-        """Grows each pair of contexts of a group from their common anchor; a maximal match of at least ``window`` words counts."""
+        """Grows all contexts of a group from their common anchor, both ways at once; matches of at least ``window`` words count.
+
+        Step by step the words before an anchor, and those from it on, fold into a hash, so two contexts match x words
+        back and y words on if the hashes of those lengths agree (64 bits each). A window that starts x words before the
+        anchor repeats if some other context agrees x back and window - x on; neighbours among such windows make up
+        the maximal repeats.
+        """
         n = len(contexts)
-        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        # contexts side by side with their anchors in the same column; what lies outside a context equals nothing
-        table = np.arange(n * 2 * window, dtype=np.uint64).reshape(n, 2 * window)
+        table = np.zeros((n, 2 * window), np.uint64)  # contexts side by side, their anchors in the same column
         for i, raw in enumerate(contexts):
             own = np.frombuffer(raw, np.uint64)
             table[i, window - place[i] : window - place[i] + len(own)] = own
-        edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(edges, n))
-        lists = [np.triu_indices(s, 1) for s in sizes]
-        left = np.concatenate([a + e for (a, _), e in zip(lists, edges, strict=True)]) if len(lists) else np.empty(0, np.int64)
-        right = np.concatenate([b + e for (_, b), e in zip(lists, edges, strict=True)]) if len(lists) else np.empty(0, np.int64)
-        for at in range(0, len(left), _PAIRS):
-            i, j = left[at : at + _PAIRS], right[at : at + _PAIRS]
-            differs = table[i] != table[j]
-            back = differs[:, :window][:, ::-1]
-            before = np.where(back.any(1), back.argmax(1), window)
-            ahead = differs[:, window:]
-            after = np.where(ahead.any(1), ahead.argmax(1), window)
-            # windows with the anchor from `least` to `most` words after their start lie in the match
-            least, most = window - after, before
-            for k in np.flatnonzero(least <= most):
-                for x in (int(i[k]), int(j[k])):
-                    low, high = max(int(least[k]), int(place[x] - count[x] + 1)), min(int(most[k]), int(place[x]))
-                    if low <= high:
-                        out[x].append((int(place[x]) - high, high - low + 1))
-        return out
+        back, ahead = np.zeros((n, window + 1), np.uint64), np.zeros((n, window + 1), np.uint64)
+        for x in range(window):
+            back[:, x + 1] = mix(back[:, x] + table[:, window - 1 - x] + np.uint64(x + 1))
+            ahead[:, x + 1] = mix(ahead[:, x] + table[:, window + x] + np.uint64(x + 1))
+        which = np.repeat(np.arange(n), count)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        before = place[which] - step
+        keys = (ahead[which, window - before], back[which, before], group[which] * 4096 + before)
+        order = np.lexsort(keys)
+        same = np.ones(max(0, len(order) - 1), bool)
+        for k in keys:
+            same &= k[order[1:]] == k[order[:-1]]
+        repeated = np.zeros(len(order), bool)
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+        return runs_of_steps(repeated, which, step, n)
 
     return compare
 
 
-def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 64, carry: list[str] | None = None) -> DataFrame:
+def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 4096, carry: list[str] | None = None) -> DataFrame:
     """Removes every word covered by a window of ``min_words`` words whose word sequence also starts anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged (null: none); windows lie in one document, may repeat in the same one,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgraph.llm._repeats import Plan, covered, repeated_windows, span_array, with_spans
+from veilgraph.llm._repeats import Plan, covered, repeated_windows, runs_of_steps, span_array, with_spans
 from veilgraph.llm._store import Scratch
 from veilgraph.llm._text import buffer_of, pieces
 
@@ -82,16 +82,7 @@ def _compare(window: int):
         # equal windows have the anchor at the same place
         bucket = group[which] * 4096 + place[which] - step
         repeated = repeated_suffixes(b"".join(contexts), base[which] + step, bucket, window)
-        out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-        at = np.flatnonzero(repeated)
-        if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]])
-            begin = np.flatnonzero(new)
-            for b, n in zip(begin.tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
-                i = int(which[at[b]])
-                out[i].append((int(step[at[b]]), n))
-        return out
+        return runs_of_steps(repeated, which, step, len(contexts))
 
     return compare
 
