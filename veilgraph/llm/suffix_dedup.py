@@ -87,7 +87,7 @@ def _compare(window: int):
     return compare
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 256, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 4096, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``min_length`` bytes that also starts anywhere else in the corpus.
 
     Texts are UTF-8 bytes (null: empty). A string may repeat within its own document, and overlapping occurrences count.
