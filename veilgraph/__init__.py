@@ -1,0 +1 @@
+"""Dependency leakage and selective deletion on Spark DataFrames."""
