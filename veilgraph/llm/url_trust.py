@@ -96,8 +96,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, *, damping:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, margin: float = 0.5, damping: float = 0.85, steps: int = 30) -> DataFrame:
     """A verdict for every page: that of the longest fitting rule, else that of its host's trust and distrust.
 
-    Seeds are hosts of which rules judge more than half of the pages: trusted if they mostly allow, blocked if they
-    mostly block. A host is blocked if its distrust exceeds its trust by more than ``margin`` times the mean seed
+    Seeds are hosts of which rules allow (trusted) or block (distrusted) at least half of the pages. A host is blocked if its distrust exceeds its trust by more than ``margin`` times the mean seed
     share (1 over the number of seeds of the kind), else allowed. Pages with an empty host have no links and are
     allowed unless a rule fits. Null html has no links; repeated rows count and return as often as they come; extra
     columns don't matter. Returns page_id, host, path, rule, verdict, trust, distrust.
@@ -109,7 +108,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, margin: float = 0.5
         judged.filter("host != ''")
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
-        .select("host", (2 * F.col("allowed") > F.col("n")).cast("double").alias("good"), (2 * F.col("blocked") > F.col("n")).cast("double").alias("bad"))
+        .select("host", (2 * F.col("allowed") >= F.col("n")).cast("double").alias("good"), (2 * F.col("blocked") >= F.col("n")).cast("double").alias("bad"))
     )
     hosts = scratch.put(hosts, "hosts")
     good, bad = hosts.agg(F.sum("good"), F.sum("bad")).first()
