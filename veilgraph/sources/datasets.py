@@ -95,14 +95,16 @@ def load_airport(spark: SparkSession, path: str) -> DataFrame:
 def load_hospital(spark: SparkSession, path: str) -> DataFrame:
     """The first 15 columns by position, empty as null; short rows and rows without provider number are dropped."""
     names = [n for n, _ in _fields(HOSPITAL)]
-    lines = spark.read.option("header", True).option("nullValue", "\u0000").csv(path)
-    first = lines.columns[: len(names)]
-    if len(first) < len(names):
-        raise ValueError(f"the file has {len(first)} columns, fewer than {len(names)}")
-    raw = lines.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(first, names, strict=True)])
-    # a missing cell reads as null, an empty one as ''
-    short = F.col(names[-1]).isNull()
-    return with_ids(raw.filter(~short).select(*[_filled(n).alias(n) for n in names]).filter("ProviderNumber is not null"), HOSPITAL)
+    header = spark.read.option("header", True).csv(path)
+    if len(header.columns) < len(names):
+        raise ValueError(f"the file has {len(header.columns)} columns, fewer than {len(names)}")
+    every = [*names, *[f"__extra{i}" for i in range(len(header.columns) - len(names))]]
+    schema = ", ".join(f"`{n}` string" for n in [*every, "__broken"])
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("columnPruning", False).option("columnNameOfCorruptRecord", "__broken").csv(path)
+    # a row with another number of cells than the header comes with its text
+    cells = F.regexp_count(F.regexp_replace("__broken", '"[^"]*"', ""), F.lit(",")) + 1
+    whole = F.col("__broken").isNull() | (cells >= len(names))
+    return with_ids(raw.filter(whole).select(*[_filled(n).alias(n) for n in names]).filter("ProviderNumber is not null"), HOSPITAL)
 
 
 def load_tax(spark: SparkSession, path: str) -> DataFrame:
