@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgraph.llm import oracles
 from veilgraph.llm.binary_packing import pack
 from veilgraph.llm.chat_snapshots import collapse
 from veilgraph.llm.cross_parse import held_out as language_held_out
@@ -113,3 +114,13 @@ def queries() -> dict:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filters": op10_url_filters,
     }
+
+
+def oracle_sql() -> dict:
+    return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op2_jaccard_join": oracles.JACCARD,
+        "op6_decontamination": oracles.DECONTAMINATION,
+        "op7_chat_snapshots": oracles.CHATS,
+        "op8_seed_extend": oracles.SEED_EXTEND,
+    }
