@@ -46,3 +46,11 @@ def test_stages_on_planted_cases(spark, tmp_path):
     pieces = df.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert {p.doc_id for p in pieces} == set(b) and all(p.n == p.m for p in pieces)
     assert P.run(spark, base).count() == df.count()
+
+
+def test_stages_on_an_empty_corpus(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    assert P.run(spark, base).count() == 0

@@ -100,3 +100,27 @@ def test_touching_spans_become_one():
     assert covered(np.array([[0, 2], [4, 1], [20, 1]]), 3) == [(0, 7), (20, 23)]
 
 
+
+
+def test_parts_of_a_long_array_lose_no_window():
+    from veilgraph.llm._repeats import Plan, runs_of
+
+    rng = np.random.default_rng(5)
+    units = rng.integers(97, 101, 5000, dtype=np.uint8)
+    offsets = np.array([0, 0, 30, 1700, 1700, 4900, 5000])
+    plan = Plan(None, 40, 16, None, 1)
+    for most in (300, 1 << 20):
+        text, start, count, place, _ = runs_of(units, offsets, plan, most)
+        windows = {w for s, n in zip(start.tolist(), count.tolist(), strict=True) for w in range(s, s + n)}
+        assert windows == {w for a, b in zip(offsets[:-1], offsets[1:], strict=True) for w in range(a, b - 39)} and count.sum() == len(windows)
+        assert ((offsets[text] <= start) & (start + count + 39 <= offsets[text + 1]) & (place < 4096)).all()
+
+
+def test_word_hashes_of_a_long_buffer(monkeypatch):
+    from veilgraph.llm import _text
+
+    buf = np.frombuffer(b" ".join(b"w%d" % (i % 97) for i in range(4000)), np.uint8)
+    starts, ends, _ = _text.word_spans(buf, np.array([0, len(buf)]), _text.byte_table(bytes(range(33, 127))))
+    whole = _text.word_hashes(buf, starts, ends)
+    monkeypatch.setattr(_text, "PIECE_BYTES", 1000)
+    assert (_text.word_hashes(buf, starts, ends) == whole).all() and len(set(whole.tolist())) == 97

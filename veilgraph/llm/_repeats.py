@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgraph.llm._store import Scratch
+from veilgraph.store import Scratch
 from veilgraph.llm._text import mix, pieces
 
 _PIECE = 2 << 20
@@ -82,8 +82,21 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def runs_of(units: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor's place after the first window, anchor's hash) of each run; windows count from the chunk's start."""
+def runs_of(units: np.ndarray, offsets: np.ndarray, plan: Plan, most: int = 2 * _PIECE) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, anchor's place after the first window, anchor's hash) of each run; windows count from the chunk's start.
+
+    A long array is worked off in overlapping parts. That may cut a run in two, which costs a class but loses no window.
+    """
+    if len(units) > most + plan.window:
+        parts = []
+        for at in range(0, len(units) - plan.window + 1, most):
+            text, start, count, place, anchor = _runs(units[at : at + most + plan.window - 1], np.clip(offsets - at, 0, most + plan.window - 1), plan)
+            parts.append((text, start + at, count, place, anchor))
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))
+    return _runs(units, offsets, plan)
+
+
+def _runs(units: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
     n = len(units) - plan.window + 1
     if n <= 0:
         return tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
@@ -96,7 +109,7 @@ def runs_of(units: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndar
     step[offsets[fits + 1] - plan.window + 1] -= 1
     at = np.flatnonzero(np.cumsum(step[:n]) > 0)
     if not len(at):
-        return runs_of(units[:0], offsets, plan)
+        return _runs(units[:0], offsets, plan)
     own = owner[at]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])

@@ -93,7 +93,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+    """A 64-bit hash of each word's bytes, the same wherever the word stands. A long buffer is worked off in parts that end between words."""
+    if len(buf) > 2 * PIECE_BYTES and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(buf), PIECE_BYTES)))
+        edges = np.unique(np.concatenate(([0], cuts, [len(starts)])))
+        parts = [_hashes(buf[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return np.concatenate(parts)
+    return _hashes(buf, starts, ends)
+
+
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(buf) + 1)
     sums = np.empty(len(buf) + 1, np.uint64)
     sums[0] = 0
