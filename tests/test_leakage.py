@@ -85,7 +85,6 @@ def test_estimators_match_a_plain_search(table, dataset):
     assert len(rows) == 1 << ZONE[dataset]
     for mask in list(rows)[:: 1 if dataset != "hospital" else 17]:
         found, r = plain_chains(dataset, mask), rows[mask]
-        left = used = 1.0, 0
         left, used = 1.0, 0
         for w, inferred in sorted(found, key=lambda c: (-c[0], bin(c[1]).count("1"))):
             if not used & inferred:
@@ -105,7 +104,7 @@ def test_tax_masks(table):
 
 def test_second_order_bound(spark, small, table):
     two = small.filter("dataset in ('airport', 'tax')")
-    found = leakage.chains(leakage.powerset(two).select(*leakage.KEY, "tbit"), hypergraph.edge_rows(two), Scratch(spark))
+    found = leakage.chains(leakage.powerset(two).select(*leakage.KEY, "tbit"), hypergraph.edge_rows(two), Scratch(spark), with_edges=True)
     got = {(r.dataset, r["mask"]): r.leakage_ie for r in leakage.inclusion_exclusion(found, two).collect()}
     nor = {(r.dataset, r["mask"]): r.leakage_noisy_or for r in table.collect()}
     assert all(0 <= v <= nor[k] + 1e-12 for k, v in got.items())

@@ -1,9 +1,9 @@
 """How much a deleted cell's value still leaks when further cells are deleted: chains of inference and four estimators.
 
 For all masks of all models at once. A chain starts from what is observed, infers one cell with each edge and ends with the
-target. Knowledge states of a mask are told apart by the inferred cells; a state that several edges reach in one step
-keeps the first by (rank of the state before, edge). A step is one join with the edges (broadcast: a model's edges are
-bounded by its catalog), one aggregation and one window by mask, and writes its table, so the plan stays short.
+target. Knowledge states of a mask are told apart by the inferred cells; of several paths to a state, all of one length,
+the first by edge numbers stays. A step is a join with the edges (broadcast: a catalog bounds them) and one shuffle by
+mask, which serves its aggregation; its table is written, so the plan stays short and a lost executor costs its part.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ class LeakageError(ValueError):
     """An unknown estimator, a zone too large for all masks, or a probability outside [0, 1]."""
 
 
+def _parts(df: DataFrame) -> int:
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _one() -> Column:
     return F.lit(1).cast("long")
 
@@ -57,51 +61,55 @@ def closure(known: Column, edges: Column, n: Column) -> Column:
     )
 
 
-def chains(masks: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(dataset, target, mask, level, rank, eid, w, inferred, low, high): every chain; low and high are its edges as bits.
+def chains(masks: DataFrame, edges: DataFrame, scratch: Scratch, *, with_edges: bool = False) -> DataFrame:
+    """(dataset, target, mask, level, path, eid, w, inferred): every chain; path orders the states of a level.
 
-    ``masks``: (dataset, target, mask, tbit); ``edges``: what edge_rows gives.
+    ``masks``: (dataset, target, mask, tbit); ``edges``: what edge_rows gives. ``with_edges`` adds low and high, the chain's
+    edges as bits.
     """
-    edges = F.broadcast(edges.select("dataset", "target", "eid", "emask", F.col("w").alias("ew")))
-    on = ["dataset", "target"]
+    base, longest = edges.agg(F.max("eid") + 1, F.max(F.length(F.bin("emask")))).first()
+    base = int(base or 0) + 1
+    if base ** int(longest or 1) >= 10**38:
+        raise LeakageError("a model has too many edges for its number of attributes")
+    # one number stands for dataset and target while rows move
+    model_no = F.xxhash64("dataset", "target").alias("g")
+    named = F.broadcast(edges.select(model_no, "dataset", "target").distinct())
+    edges = F.broadcast(edges.select(model_no, "eid", "emask", F.col("w").alias("ew")))
+    key = ["g", "mask"]
     observed = F.bitwise_not(F.col("mask").bitwiseOR(F.col("tbit")))
     lacks = lambda known: F.col("emask").bitwiseAND(F.bitwise_not(known))
     bit = lambda at: F.call_function("shiftleft", _one(), at)
-    low = F.when(F.col("eid") < 62, bit(F.col("eid"))).otherwise(F.lit(0).cast("long"))
-    high = F.when(F.col("eid") >= 62, bit(F.col("eid") - 62)).otherwise(F.lit(0).cast("long"))
-
-    start = masks.select(*KEY, "tbit").join(edges, on).withColumn("lack", lacks(observed))
+    none, number = F.lit(0).cast("long"), lambda c: c.cast("decimal(38,0)")
+    low = F.when(F.col("eid") < 62, bit(F.col("eid"))).otherwise(none)
+    high = F.when(F.col("eid") >= 62, bit(F.col("eid") - 62)).otherwise(none)
+    bits = ["low", "high"] if with_edges else []
+
+    # masks are few bytes but much work, so their number of parts is given and not left to be merged by size
+    parts = _parts(masks)
+    start = masks.select(model_no, "mask", "tbit").join(edges, "g").withColumn("lack", lacks(observed))
     has_target = F.col("emask").bitwiseAND(F.col("tbit")) != 0
+    first_bits = [low.alias("low"), high.alias("high")] if with_edges else []
     direct = start.filter(has_target & (F.col("lack") == F.col("tbit")))
-    none = F.lit(0).cast("long")
-    found = [direct.select(*KEY, F.lit(0).alias("level"), F.lit(0).alias("rank"), "eid", F.col("ew").alias("w"), none.alias("inferred"), low.alias("low"), high.alias("high"))]
-    states = start.filter(~has_target & (F.bit_count("lack") == 1)).select(*KEY, "tbit", F.col("lack").alias("inferred"), F.lit(0).alias("before"), "eid", F.col("ew").alias("w"), low.alias("low"), high.alias("high"))
+    found = [direct.select(*key, F.lit(0).alias("level"), number(F.lit(0)).alias("path"), "eid", F.col("ew").alias("w"), none.alias("inferred"), *first_bits)]
+    states = start.filter(~has_target & (F.bit_count("lack") == 1)).select(*key, "tbit", F.col("lack").alias("inferred"), number(F.col("eid")).alias("path"), F.col("ew").alias("w"), *first_bits)
     level = 0
     while True:
         level += 1
-        kept = _ranked(states)
-        kept = scratch.put(kept, f"states{level}")
+        best = [F.min_by(c, "path").alias(c) for c in ("w", *bits)]
+        kept = scratch.put(states.groupBy(*key, "tbit", "inferred").agg(F.min("path").alias("path"), *best), f"states{level}")
         if kept.isEmpty():
             break
         known = observed.bitwiseOR(F.col("inferred"))
         # an edge that is active from the start doesn't extend a chain
-        grown = kept.join(edges, on).withColumn("lack", lacks(known)).filter((F.bit_count("lack") == 1) & (F.bit_count(lacks(observed)) > 1))
-        step = dict(low=F.col("low").bitwiseOR(low), high=F.col("high").bitwiseOR(high))
-        found.append(grown.filter("lack = tbit").select(*KEY, F.lit(level).alias("level"), "rank", "eid", (F.col("w") * F.col("ew")).alias("w"), "inferred", step["low"].alias("low"), step["high"].alias("high")))
-        states = grown.filter("lack != tbit").select(*KEY, "tbit", F.col("inferred").bitwiseOR(F.col("lack")).alias("inferred"), F.col("rank").alias("before"), "eid", (F.col("w") * F.col("ew")).alias("w"), step["low"].alias("low"), step["high"].alias("high"))
+        grown = kept.repartition(parts, *key).join(edges, "g").withColumn("lack", lacks(known)).filter((F.bit_count("lack") == 1) & (F.bit_count(lacks(observed)) > 1))
+        more_bits = [F.col("low").bitwiseOR(low).alias("low"), F.col("high").bitwiseOR(high).alias("high")] if with_edges else []
+        weight = (F.col("w") * F.col("ew")).alias("w")
+        found.append(grown.filter("lack = tbit").select(*key, F.lit(level).alias("level"), "path", "eid", weight, "inferred", *more_bits))
+        states = grown.filter("lack != tbit").select(*key, "tbit", F.col("inferred").bitwiseOR(F.col("lack")).alias("inferred"), number(F.col("path") * base + F.col("eid")).alias("path"), weight, *more_bits)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
-
-
-def _ranked(states: DataFrame) -> DataFrame:
-    """One state for each set of inferred cells, ranked within its mask."""
-    from pyspark.sql import Window
-
-    first = states.groupBy(*KEY, "tbit", "inferred").agg(F.min(F.struct("before", "eid", "w", "low", "high")).alias("s"))
-    order = Window.partitionBy(*KEY).orderBy("s.before", "s.eid", "inferred")
-    return first.select(*KEY, "tbit", "inferred", (F.row_number().over(order) - 1).alias("rank"), "s.w", "s.low", "s.high")
+    return out.join(named, "g").drop("g")
 
 
 def estimate(chain_rows: DataFrame) -> DataFrame:
@@ -110,8 +118,8 @@ def estimate(chain_rows: DataFrame) -> DataFrame:
     Greedy: chains by falling weight, then fewer inferred cells, then order of discovery; each is taken if it infers no cell
     that one taken before infers. Only direct chains are active, as any longer one ends in an edge with two deleted cells.
     """
-    order = F.struct((-F.col("w")).alias("k"), F.bit_count("inferred").alias("size"), "level", "rank", "eid", "inferred", "w")
-    grouped = chain_rows.groupBy(*KEY).agg(
+    order = F.struct((-F.col("w")).alias("k"), F.bit_count("inferred").alias("size"), "level", "path", "eid", "inferred", "w")
+    grouped = chain_rows.repartition(_parts(chain_rows), *KEY).groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("num_chains"),
         F.count_if(F.col("level") == 0).alias("active_chains"),
         F.coalesce(F.max(F.when(F.col("level") == 0, F.col("w"))), F.lit(0.0)).alias("leakage_max"),
@@ -133,9 +141,10 @@ def estimate(chain_rows: DataFrame) -> DataFrame:
 def inclusion_exclusion(chain_rows: DataFrame, model: DataFrame) -> DataFrame:
     """(dataset, target, mask, leakage_ie): the smaller of noisy-or and the second-order bound, clamped to [0, 1].
 
-    Two chains together weigh the product over the union of their edges. Pairs are summed within a mask's row.
+    Two chains together weigh the product over the union of their edges (``chain_rows`` with their edges). Pairs are
+    summed within a mask's row.
     """
-    grouped = chain_rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("level", "rank", "eid", "w", "low", "high"))).alias("c"))
+    grouped = chain_rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("level", "path", "eid", "w", "low", "high"))).alias("c"))
     rows = grouped.join(F.broadcast(model.select("dataset", "target", "edges")), ["dataset", "target"])  # a row for each model
     has = lambda low, high, e: F.when(e["eid"] < 62, F.getbit(low, F.least(e["eid"], F.lit(61)))).otherwise(F.getbit(high, F.greatest(e["eid"] - 62, F.lit(0)))) == 1
     weight = lambda low, high: F.aggregate("edges", F.lit(1.0), lambda p, e: F.when(has(low, high, e), p * e["w"]).otherwise(p))
@@ -152,7 +161,7 @@ def leakage_table(model: DataFrame, scratch: Scratch, masks: DataFrame | None =
     ``masks``: (dataset, target, mask). The result doesn't depend on budgets, caps or penalties, so one table serves any sweep.
     """
     wanted = powerset(model).select(*KEY, "tbit") if masks is None else masks.select(*KEY).distinct().join(F.broadcast(model.select("dataset", "target", "tbit")), ["dataset", "target"])
-    wanted = scratch.put(wanted.repartition("dataset", "mask"), "masks")
+    wanted = scratch.put(wanted.repartition(_parts(model), *KEY), "masks")
     found = estimate(chains(wanted, edge_rows(model), scratch))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("num_chains", "active_chains", "blocked_chains")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("leakage_max", "leakage_greedy", "leakage_noisy_or")}
     table = wanted.select(*KEY).join(found, KEY, "left").withColumns(zero).withColumn("mask_size", F.bit_count("mask"))

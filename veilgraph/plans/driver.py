@@ -460,8 +460,8 @@ def leak_max(spark, sf_dir):
 @query()
 def leak_ie2(spark, sf_dir):
     """The second-order bound, for two catalogs."""
-    model, scratch = _model(spark, ("airport", "tax"))
-    found = leakage.chains(leakage.powerset(model).select(*leakage.KEY, "tbit"), hypergraph.edge_rows(model), scratch)
+    model, _ = _model(spark, ("airport", "tax"))
+    found = leakage.chains(leakage.powerset(model).select(*leakage.KEY, "tbit"), hypergraph.edge_rows(model), Scratch(spark), with_edges=True)
     return leakage.inclusion_exclusion(found, model).select("dataset", "mask", F.round("leakage_ie", 9).alias("leakage"))
 
 
