@@ -665,7 +665,7 @@ def curve_stats(spark, sf_dir):
     return _rounded(report.curves(_runs(spark, sf_dir)))
 
 
-@query(f"WITH {RUNS_SQL} SELECT dataset, method, epsilon_m, L0, round(avg(100 * (least - mask_size)::DOUBLE / least), 6) AS improvement FROM r JOIN mn USING (dataset) GROUP BY ALL")
+@query(f"WITH {RUNS_SQL} SELECT dataset, method, epsilon_m, L0, round(avg(100 * (least - mask_size)::DOUBLE / least), 6) + 0 AS improvement FROM r JOIN mn USING (dataset) GROUP BY ALL")
 def improvement_signed(spark, sf_dir):
     """Signed improvements."""
     return _rounded(report.signed_improvement(_runs(spark, sf_dir)))
