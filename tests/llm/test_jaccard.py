@@ -54,8 +54,8 @@ def brute(rows):
 def test_matches_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for limit in (1024, 4):  # 4: buckets are dealt out in blocks
-        got = Counter((r["id"], r["class_id"], r["n_links"], r["n_shingles"]) for r in jaccard_join(df, bucket_limit=limit).collect())
+    for limit, shingles in ((1024, 1 << 23), (4, 1 << 23), (1024, 300)):  # buckets are dealt out in blocks by count, by size
+        got = Counter((r["id"], r["class_id"], r["n_links"], r["n_shingles"]) for r in jaccard_join(df, bucket_limit=limit, bucket_shingles=shingles).collect())
         assert got == brute(rows)
 
 

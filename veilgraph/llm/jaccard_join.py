@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm._repeats import identity
 from veilgraph.store import Scratch
-from veilgraph.llm._text import buffer_of, byte_table, mix, pieces, word_hashes, word_spans
+from veilgraph.llm._text import PIECE_BYTES, buffer_of, byte_table, mix, pieces, word_hashes, word_spans
 
 _RNG = np.random.Generator(np.random.Philox(1337))
 _MULTIPLIERS = _RNG.integers(1, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -56,9 +56,17 @@ def shingles_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[keep]), sums[firsts]
 
 
-def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    values, firsts = shingles_of(texts, size)
-    return [np.unique(values[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+def _sets(bodies: list[bytes], size: int) -> list[np.ndarray]:
+    """The shingle set of each packed text. Texts are unpacked a few at a time."""
+    unpack, sets, held, total = zstandard.ZstdDecompressor(), [], [], 0
+    for k, body in enumerate(bodies):
+        held.append(unpack.decompress(body))
+        total += len(held[-1])
+        if total > PIECE_BYTES or k == len(bodies) - 1:
+            values, firsts = shingles_of(pa.array(held, pa.binary()), size)
+            sets += [np.unique(values[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+            held, total = [], 0
+    return sets
 
 
 def _signatures(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -91,31 +99,38 @@ def _signatures(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame
     return texts.mapInArrow(run, f"id {kind}, d long, t long, c binary, size long, bands array<long>")
 
 
-def _dealt(texts: DataFrame, members: DataFrame, most: int) -> DataFrame:
-    """Each member's text for each of its buckets; for a bucket of more than ``most``, for each pair of blocks that holds its block."""
+def _dealt(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Each member's text for each of its buckets; for a bucket of several blocks, for each pair of blocks that holds its block."""
+    names = ["bucket", "low", "high", "own", "band", "c", "copies", "kept", "body"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         pack = zstandard.ZstdCompressor(level=1)
-        names = ["bucket", "low", "high", "own", "band", "c", "copies", "kept", "body"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                body = pack.compress(row["text"].encode())
-                for band, (bucket, n) in enumerate(zip(row["kept"], row["ns"], strict=True)):
-                    if not n:
-                        continue
-                    blocks = 1 if n <= most else -(-n // (most // 2))
-                    own = int.from_bytes(row["c"][:6], "little") % blocks
-                    for other in range(blocks):
-                        out.append((bucket, min(own, other), max(own, other), own, band, row["c"], row["copies"], row["kept"], body))
-                if len(out) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
-    joined = texts.select("d", "t", "text").join(members, ["d", "t"]).select("c", "copies", "kept", "ns", "text")
+            for part in pieces(batch):
+                for row in part.to_pylist():
+                    body = pack.compress(row["text"].encode())
+                    for band, (bucket, blocks) in enumerate(zip(row["kept"], row["blocks"], strict=True)):
+                        own = int.from_bytes(row["c"][:6], "little") % blocks if blocks else 0
+                        for other in range(blocks):
+                            yield bucket, min(own, other), max(own, other), own, band, row["c"], row["copies"], row["kept"], body
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+        out: list[tuple] = []
+        total = 0
+        for place in places(batches):
+            out.append(place)
+            total += len(place[-1])
+            if len(out) > 2000 or total > PIECE_BYTES:
+                yield done()
+                out, total = [], 0
+        if out:
+            yield done()
+
+    joined = texts.select("d", "t", "text").join(members, ["d", "t"]).select("c", "copies", "kept", "blocks", "text")
     return joined.mapInArrow(run, "bucket long, low int, high int, own int, band int, c binary, copies long, kept array<long>, body binary")
 
 
@@ -145,12 +160,11 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _group_links(rows: list[dict], size: int, threshold: float) -> list[tuple]:
     """(c, root, links) of the members with links that this group is the first to see."""
-    unpack = zstandard.ZstdDecompressor()
     rows = list({r["c"]: r for r in rows}.values())  # repeated rows bring a class twice
     n = len(rows)
     if n < 2:
         return []
-    sets = _sets(pa.array([unpack.decompress(r["body"]).decode() for r in rows], pa.string()), size)
+    sets = _sets([r["body"] for r in rows], size)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     shared = _intersections(sets).astype(np.int64)
     # exactly |A and B| >= threshold * |A or B|, but for the last digits of the product
@@ -221,7 +235,7 @@ def components(edges: DataFrame, scratch: Scratch, *, most_rounds: int = 60) ->
     raise RuntimeError("labels still move; raise most_rounds")
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 1024) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 1024, bucket_shingles: int = 1 << 23) -> DataFrame:
     """Near-duplicate classes over sets of word ``size``-grams with a Jaccard similarity of at least ``threshold``.
 
     A row for each input row: id, class_id (the least id of all documents that links connect to it, itself included),
@@ -231,31 +245,38 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal shingle sets collapse into one class row before any join. Bands and rows are chosen for
     ``recall`` at the threshold; buckets with the same members are compared once. A pair counts in the first bucket that
-    it shares. Buckets above ``bucket_limit`` are dealt out as pairs of blocks, each one task's work, and a
-    task returns a row for each member with its number of links, never the pairs.
+    it shares. Buckets above ``bucket_limit`` texts, or whose sets sum to more than ``bucket_shingles``, are dealt out
+    as pairs of blocks, each one task's work, and a task returns a row for each member with its number of links, never
+    the pairs.
     """
     bands, rows = bands_for(threshold, recall)
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), *identity(docs, id_col, text_col), F.col(text_col).cast("string").alias("text"))
     signed = scratch.put(_signatures(texts, size, bands, rows), "signed")
     classes = scratch.put(
-        signed.filter("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "t")).alias("first"), F.first("bands").alias("bands")).select("c", "copies", "first.d", "first.t", "bands"), "classes"
+        signed.filter("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "t")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")).select("c", "copies", "first.d", "first.t", "size", "bands"), "classes"
+    )
+    exploded = classes.select("c", "size", F.posexplode("bands").alias("band", "bucket"))
+    sized = (
+        exploded.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most"))
+        .filter("n > 1")
     )
-    exploded = classes.select("c", F.posexplode("bands").alias("band", "bucket"))
-    sized = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.min("c").alias("least"), F.max("c").alias("most")).filter("n > 1")
-    buckets = scratch.put(sized.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    inside = exploded.join(buckets, "bucket").groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("bucket", "n").alias("b")))).alias("own"))
+    halves = F.least("n", F.ceil(F.greatest(F.col("n") / max(bucket_limit // 2, 1), F.col("total") / max(bucket_shingles // 2, 1))))
+    blocks = F.when((F.col("n") <= bucket_limit) & (F.col("total") <= bucket_shingles), 1).otherwise(halves).cast("long")
+    buckets = scratch.put(sized.groupBy("n", "total", "x", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks")), "buckets")
+    inside = exploded.join(buckets, "bucket").groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("bucket", "blocks").alias("b")))).alias("own"))
     each = F.sequence(F.lit(0), F.lit(bands - 1))
     members = scratch.put(
         classes.join(inside, "c").select(
             "c", "copies", "d", "t",
             F.transform(each, lambda b: F.coalesce(F.col("own")[b]["bucket"], F.lit(0).cast("long"))).alias("kept"),
-            F.transform(each, lambda b: F.coalesce(F.col("own")[b]["n"], F.lit(0).cast("long"))).alias("ns"),
+            F.transform(each, lambda b: F.coalesce(F.col("own")[b]["blocks"], F.lit(0).cast("long"))).alias("blocks"),
         ),
         "members",
     )
     scratch.drop("buckets")
-    links = scratch.put(_verified(_dealt(texts, members, bucket_limit), size, threshold), "links")
+    links = scratch.put(_verified(_dealt(texts, members), size, threshold), "links")
     scratch.drop("members")
     labels = components(links.filter("c != root"), scratch)
     counted = links.groupBy("c").agg(F.sum("links").alias("links"))
