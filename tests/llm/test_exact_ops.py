@@ -119,6 +119,12 @@ def test_a_null_conversation_is_one(spark):
     assert [(r.conv_id, r.n_turns) for r in collapse(df).collect()] == [(None, 2)]
 
 
+def test_a_very_long_conversation_and_its_snapshot(spark):
+    turn = lambda conv, n: spark.range(n).selectExpr(f"{conv}L as conv_id", "id as turn", "'user' as role", "concat('t', id) as text")
+    got = collapse(turn(1, 20_000).union(turn(2, 19_999))).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies, r.rendered.count("<|im_end|>")) for r in got] == [(1, 20_000, 1, 20_000)]
+
+
 URLS = [
     "http://A.Example.NET/en/x?y", "https://example.net/de/", "http://net/a", "http://net", "https://b.example.com/de/7#f", "http://example.com/de", "https://c.org/fr/", "x://org/fr/1", "http://xorg/fr/", "no scheme", None, "http://", "://h/p", "http://ÄB.net?x", "a://b://c/d", "http://u.net#/x",
 ]
