@@ -743,8 +743,7 @@ def sweep(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a deletion request: the private mask for its catalog, and the customer's row without the cells asked for."""
-    model, _ = _model(spark, ("airport",))
-    leak = leakage.direct_leakage(leakage.powerset(model)).select("dataset", "target", "mask", "mask_size", F.col("leakage_direct").alias("leakage"), F.col("direct_chains").alias("num_chains"), "n")
-    chosen = mechanisms.draw(mechanisms.probabilities(leak, mechanisms.points(spark, [0.1], [0.2])), 100, seed=7)
+    model, _, t = _leakage(spark, ("airport",))
+    chosen = mechanisms.draw(mechanisms.probabilities(mechanisms.all_mask_candidates(t, model), mechanisms.points(spark, [0.1], [0.2])), 100, seed=7)
     customers = table(spark, sf_dir, "customer").withColumn("iteration", (F.col("c_custkey") % 100).cast("int"))
     return customers.join(F.broadcast(chosen), "iteration").select("c_custkey", "dataset", "target", "mask", "mask_size", F.round("leakage", 9).alias("leakage"))  # 100 draws
