@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from test_leakage import plain_chains
 from veilgraph.plans import driver
+from veilgraph.sources import constraints
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -17,3 +20,36 @@ def test_flagship_draws_from_leakage_over_chains(spark):
     rows = E.entry(spark).collect()
     assert rows and all(abs(r.leakage - real[r["mask"]]) < 1e-8 for r in rows)
     assert all(r.leakage <= 0.2 for r in rows)  # masks over the cap weigh exp(-300)
+
+
+def test_sweep_covers_all_five_catalogs(spark):
+    runs = E.queries()["sweep"](spark, SF)
+    got = {(r.method, r.dataset): r["count"] for r in runs.groupBy("method", "dataset").count().collect()}
+    assert got == {(m, d): 100 if m == "min" else 11_000 for m in ("exp", "gum", "gum_random", "gum_zero", "min") for d in constraints.DATASETS}
+
+
+FIVE = ("all_masks", "chain_counts", "leak_greedy", "leak_noisy_or", "leak_max", "leak_by_size", "em_probabilities", "em_expected", "em_sample", "gum_order", "gum_prefixes", "gum_probabilities", "gum_ablation_zero", "gum_ablation_random")
+
+
+@pytest.mark.parametrize("name", FIVE)
+def test_queries_on_five_catalogs(spark, name):
+    """All catalogs are there, and the three of the query with an oracle have the same rows."""
+    five, three = E.queries()[f"{name}_five"](spark, SF), E.queries()[name](spark, SF)
+    if name == "all_masks":  # it has more columns and isn't rounded
+        five = five.withColumns({c: F.round(c, 9) for c in ("leakage_noisy_or", "leakage_greedy", "leakage_max")}).select(three.columns)
+    rows = [tuple(r) for r in five.collect()]
+    at = five.columns.index("dataset")
+    assert {r[at] for r in rows} == set(constraints.DATASETS)
+    assert sorted(r for r in rows if r[at] in driver.SMALL) == sorted(tuple(r) for r in three.collect())
+
+
+def test_large_catalogs_match_a_plain_search(spark):
+    table = driver._leakage(spark, constraints.DATASETS)[2]
+    for dataset, masks in (("adult", (0, 5, 1000, 4095)), ("flight", (0, 77, 3000, 8191))):
+        rows = {r["mask"]: r for r in table.filter((F.col("dataset") == dataset) & F.col("mask").isin(*masks)).collect()}
+        for mask in masks:
+            found, left, used = plain_chains(dataset, mask), 1.0, 0
+            for w, inferred in sorted(found, key=lambda c: (-c[0], bin(c[1]).count("1"))):
+                if not used & inferred:
+                    used, left = used | inferred, left * (1 - w)
+            assert rows[mask].num_chains == len(found) and abs(rows[mask].leakage_greedy - (1 - left)) < 1e-12

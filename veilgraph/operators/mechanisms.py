@@ -94,8 +94,9 @@ def draw(chosen: DataFrame, times: int, seed: int | None = None) -> DataFrame:
     both = cdf.select(*POINT, "at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("iteration"), record.alias("r")).unionByName(
         spots.select(*POINT, u.alias("at"), F.lit(0).alias("kind"), "iteration", F.lit(None).cast(chosen.select(record.alias("r")).schema["r"].dataType).alias("r"))
     )
-    ahead = Window.partitionBy(*POINT).orderBy("at", "kind", "r.mask_size", "r.mask").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("r", F.first("r", ignorenulls=True).over(ahead)).filter("kind = 0").select(*POINT, "iteration", "r.*")
+    # read backwards: a frame that grows from the start is kept up row by row, one that shrinks towards the end is not
+    ahead = Window.partitionBy(*POINT).orderBy(*[F.desc(c) for c in ("at", "kind", "r.mask_size", "r.mask")]).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("r", F.last("r", ignorenulls=True).over(ahead)).filter("kind = 0").select(*POINT, "iteration", "r.*")
 
 
 def minimal_masks(model: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +46,13 @@ JSON_DCS = [
 ]
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
+def query(sql: str | None = None, *, five: bool = False):
+    """Registers a query under its function's name. ``five``: NAME_five runs it on all five catalogs, which are too many for the recursive SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
+        if five:
+            QUERIES[f"{f.__name__}_five"] = partial(f, datasets=constraints.DATASETS)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -433,28 +435,28 @@ GREEDY_SQL = """gr AS (SELECT ds, mask, count(*) AS num, count(*) FILTER (lvl =
 LEAK_SQL = f"WITH {_chains_sql(SMALL)}, {GREEDY_SQL}"
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, num AS num_chains, act AS active_chains, num - act AS blocked_chains FROM lk")
-def chain_counts(spark, sf_dir):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, num AS num_chains, act AS active_chains, num - act AS blocked_chains FROM lk", five=True)
+def chain_counts(spark, sf_dir, datasets=SMALL):
     """Chains of every mask of three catalogs."""
-    return _leakage(spark)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
+    return _leakage(spark, datasets)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(gre, 9) AS leakage FROM lk")
-def leak_greedy(spark, sf_dir):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(gre, 9) AS leakage FROM lk", five=True)
+def leak_greedy(spark, sf_dir, datasets=SMALL):
     """Leakage over a greedy set of chains that infer different cells."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
+    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(nor, 9) AS leakage FROM lk")
-def leak_noisy_or(spark, sf_dir):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(nor, 9) AS leakage FROM lk", five=True)
+def leak_noisy_or(spark, sf_dir, datasets=SMALL):
     """Leakage over all chains."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
+    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(mx, 9) AS leakage FROM lk")
-def leak_max(spark, sf_dir):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(mx, 9) AS leakage FROM lk", five=True)
+def leak_max(spark, sf_dir, datasets=SMALL):
     """The weight of the best unblocked chain."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
+    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
 
 
 @query()
@@ -498,21 +500,21 @@ def _at(spark):
     return spark.createDataFrame(list(POINTS), "epsilon double, cap double")
 
 
-def _em(spark):
-    model, _, t = _leakage(spark)
+def _em(spark, datasets=SMALL):
+    model, _, t = _leakage(spark, datasets)
     return mechanisms.probabilities(mechanisms.all_mask_candidates(t, model), _at(spark))
 
 
-@query(f"{EM_SQL} SELECT ds AS dataset, mask, eps AS epsilon, cap, u AS utility, round(p, 9) AS p FROM em")
-def em_probabilities(spark, sf_dir):
+@query(f"{EM_SQL} SELECT ds AS dataset, mask, eps AS epsilon, cap, u AS utility, round(p, 9) AS p FROM em", five=True)
+def em_probabilities(spark, sf_dir, datasets=SMALL):
     """The exponential mechanism over all masks at three points."""
-    return _em(spark).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
+    return _em(spark, datasets).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
 
 
-@query(f"{EM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM em GROUP BY ALL")
-def em_expected(spark, sf_dir):
+@query(f"{EM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM em GROUP BY ALL", five=True)
+def em_expected(spark, sf_dir, datasets=SMALL):
     """Expected mask size and leakage."""
-    return mechanisms.expected(_em(spark)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
+    return mechanisms.expected(_em(spark, datasets)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
 TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constraints.TARGETS.items()) + " END"
@@ -520,10 +522,10 @@ TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constrai
 
 @query(f"""{EM_SQL}, cd AS (SELECT *, sum(p) OVER (PARTITION BY ds, eps, cap ORDER BY sz, mask ROWS UNBOUNDED PRECEDING) AS hi FROM em),
  dw AS (SELECT ds, eps, cap, it, ({_hash_sql("'7'", "ds", TARGET_SQL, "eps::VARCHAR", "cap::VARCHAR", "it::VARCHAR")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT ds, eps, cap FROM em), (SELECT unnest(range(0, 50)) AS it))
- SELECT dw.ds AS dataset, dw.eps AS epsilon, dw.cap, it::INTEGER AS iteration, arg_min(cd.mask, (cd.hi, cd.sz, cd.mask)) AS mask FROM dw JOIN cd ON cd.ds = dw.ds AND cd.eps = dw.eps AND cd.cap = dw.cap AND cd.p > 1e-15 AND cd.hi >= dw.u GROUP BY ALL""")
-def em_sample(spark, sf_dir):
+ SELECT dw.ds AS dataset, dw.eps AS epsilon, dw.cap, it::INTEGER AS iteration, arg_min(cd.mask, (cd.hi, cd.sz, cd.mask)) AS mask FROM dw JOIN cd ON cd.ds = dw.ds AND cd.eps = dw.eps AND cd.cap = dw.cap AND cd.p > 1e-15 AND cd.hi >= dw.u GROUP BY ALL""", five=True)
+def em_sample(spark, sf_dir, datasets=SMALL):
     """50 repeatable draws at each point."""
-    return mechanisms.draw(_em(spark), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
+    return mechanisms.draw(_em(spark, datasets), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
 
 
 def _bits_sql(order: str) -> str:
@@ -535,10 +537,10 @@ def _bits_sql(order: str) -> str:
 GREEDY_ORDER = "round(a.gre - b.gre, 12) DESC, nm.name"
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT ds AS dataset, name, step::INTEGER AS step, round(gain, 9) AS gain FROM od")
-def gum_order(spark, sf_dir):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT ds AS dataset, name, step::INTEGER AS step, round(gain, 9) AS gain FROM od", five=True)
+def gum_order(spark, sf_dir, datasets=SMALL):
     """Cells by how much deleting each alone lowers leakage."""
-    model, _, t = _leakage(spark)
+    model, _, t = _leakage(spark, datasets)
     rows = t.select("dataset", "target", "mask", F.round("leakage_greedy", 15).alias("leakage"))
     prefixes = mechanisms.prefix_masks(model, rows.filter(F.bit_count("mask") <= 1))
     from pyspark.sql import Window
@@ -551,41 +553,41 @@ def gum_order(spark, sf_dir):
     return bits.join(base, "dataset").join(single, ["dataset", "bit"]).join(names, ["dataset", "bit"]).select("dataset", "name", "step", F.round(F.col("l0") - F.col("l1"), 9).alias("gain"))
 
 
-def _gum(spark, ordering="greedy"):
-    model, scratch, t = _leakage(spark)
+def _gum(spark, datasets=SMALL, ordering="greedy"):
+    model, scratch, t = _leakage(spark, datasets)
     return mechanisms.prefix_candidates(model, scratch, t, ordering)
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT pf.ds AS dataset, step::INTEGER AS step, mask, round(gre, 9) AS leakage FROM pf JOIN lk USING (ds, mask)")
-def gum_prefixes(spark, sf_dir):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT pf.ds AS dataset, step::INTEGER AS step, mask, round(gre, 9) AS leakage FROM pf JOIN lk USING (ds, mask)", five=True)
+def gum_prefixes(spark, sf_dir, datasets=SMALL):
     """The prefixes of that order, with their leakage."""
-    return _gum(spark).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
+    return _gum(spark, datasets).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
 
 
 GUM_SQL = f"""gp AS (SELECT pf.ds, lk.n, step, mask, sz, gre, eps, cap, -sz::DOUBLE - CASE WHEN gre > cap THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM pf JOIN lk USING (ds, mask), pt),
  gx AS (SELECT *, exp(eps * u * n / 2 - max(eps * u * n / 2) OVER (PARTITION BY ds, eps, cap)) AS x FROM gp), gq AS (SELECT *, x / sum(x) OVER (PARTITION BY ds, eps, cap) AS p FROM gx)"""
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, mask, round(p, 9) AS p FROM gq")
-def gum_probabilities(spark, sf_dir):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, mask, round(p, 9) AS p FROM gq", five=True)
+def gum_probabilities(spark, sf_dir, datasets=SMALL):
     """The exponential mechanism over the prefixes."""
-    return mechanisms.probabilities(_gum(spark), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
+    return mechanisms.probabilities(_gum(spark, datasets), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
 
 
-@query(f"{LEAK_SQL}, {_bits_sql('nm.pos')}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
-def gum_ablation_zero(spark, sf_dir):
+@query(f"{LEAK_SQL}, {_bits_sql('nm.pos')}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL", five=True)
+def gum_ablation_zero(spark, sf_dir, datasets=SMALL):
     """What the order by name gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "zero"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, datasets, "zero"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
 _RANDOM_ORDER = f"{_hash_sql(chr(39) + '7' + chr(39), 'nm.name')}, nm.name"
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(_RANDOM_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
-def gum_ablation_random(spark, sf_dir):
+@query(f"{LEAK_SQL}, {_bits_sql(_RANDOM_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL", five=True)
+def gum_ablation_random(spark, sf_dir, datasets=SMALL):
     """What a random order gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "random"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, datasets, "random"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
@@ -691,10 +693,10 @@ def main_metrics(spark, sf_dir):
 
 
 @query(f"""{LEAK_SQL} SELECT ds AS dataset, sz AS mask_size, count(*) AS n, round(100 * avg(nor), 6) AS mean_leakage_noisy_or, round(100 * avg(gre), 6) AS mean_leakage_greedy, round(100 * avg(mx), 6) AS mean_leakage_max,
- round(100 * coalesce(stddev_samp(nor), 0), 6) AS std_leakage_noisy_or, round(100 * coalesce(stddev_samp(gre), 0), 6) AS std_leakage_greedy, round(100 * coalesce(stddev_samp(mx), 0), 6) AS std_leakage_max FROM lk GROUP BY ALL""")
-def leak_by_size(spark, sf_dir):
+ round(100 * coalesce(stddev_samp(nor), 0), 6) AS std_leakage_noisy_or, round(100 * coalesce(stddev_samp(gre), 0), 6) AS std_leakage_greedy, round(100 * coalesce(stddev_samp(mx), 0), 6) AS std_leakage_max FROM lk GROUP BY ALL""", five=True)
+def leak_by_size(spark, sf_dir, datasets=SMALL):
     """Three estimators by mask size."""
-    return _rounded(report.leakage_by_size(_leakage(spark)[2]))
+    return _rounded(report.leakage_by_size(_leakage(spark, datasets)[2]))
 
 
 @query(f"""WITH {RUNS_SQL}, g AS (SELECT dataset, L0, epsilon_m, avg(100 * (least - mask_size)::DOUBLE / least) AS i FROM r JOIN mn USING (dataset) WHERE method = 'exp' GROUP BY ALL)
@@ -734,10 +736,10 @@ def interpolation(spark, sf_dir):
 
 @query()
 def sweep(spark, sf_dir):
-    """Run records of all methods at all 110 points, 100 draws each, for three catalogs."""
+    """Run records of all methods at all 110 points, 100 draws each, for all five catalogs."""
     from veilgraph.operators.sweep import run_sweep
 
-    model, scratch, t = _leakage(spark)
+    model, scratch, t = _leakage(spark, constraints.DATASETS)
     return run_sweep(model, t, scratch, orderings=mechanisms.ORDERINGS)
 
 
