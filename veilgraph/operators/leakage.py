@@ -8,8 +8,13 @@ mask, which serves its aggregation; its table is written, so the plan stays shor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.operators.hypergraph import MOST_ZONE, edge_rows
 from veilgraph.store import Scratch
@@ -138,36 +143,66 @@ def estimate(chain_rows: DataFrame) -> DataFrame:
     )
 
 
+def _bound(w: np.ndarray, bits: np.ndarray, logs: np.ndarray) -> float:
+    """The smaller of noisy-or and the second-order bound of one mask's chains; ``bits``: a row of edges for each chain."""
+    own, pairs = bits @ logs, 0.0
+    for at in range(0, len(w), 512):  # blocks bound the memory, no pair is left out
+        some = slice(at, at + 512)
+        union = own[some, None] + own[None, at:] - (bits[some] * logs) @ bits[at:].T
+        pairs += np.triu(np.exp(union), 1).sum()
+    return min(1.0 - np.prod(1.0 - w), max(0.0, min(1.0, w.sum() - pairs)))
+
+
 def inclusion_exclusion(chain_rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(dataset, target, mask, leakage_ie): the smaller of noisy-or and the second-order bound, clamped to [0, 1].
+    """(dataset, target, mask, leakage_ie): the smaller of noisy-or and the second-order bound, clamped to [0, 1], of masks with chains.
 
     Two chains together weigh the product over the union of their edges (``chain_rows`` with their edges). Pairs are
-    summed within a mask's row.
+    summed within a mask's row, as matrix products: the union's logarithm is both chains' less that of what they share.
     """
-    grouped = chain_rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("level", "path", "eid", "w", "low", "high"))).alias("c"))
+    chain = F.array_sort(F.collect_list(F.struct("level", "path", "eid", "w", "low", "high")))  # as many as the mask has chains
+    grouped = chain_rows.repartition(_parts(chain_rows), *KEY).groupBy(*KEY).agg(chain.alias("c"))
     rows = grouped.join(F.broadcast(model.select("dataset", "target", "edges")), ["dataset", "target"])  # a row for each model
-    has = lambda low, high, e: F.when(e["eid"] < 62, F.getbit(low, F.least(e["eid"], F.lit(61)))).otherwise(F.getbit(high, F.greatest(e["eid"] - 62, F.lit(0)))) == 1
-    weight = lambda low, high: F.aggregate("edges", F.lit(1.0), lambda p, e: F.when(has(low, high, e), p * e["w"]).otherwise(p))
-    singles = F.aggregate("c", F.lit(0.0), lambda s, x: s + x["w"])
-    at = F.sequence(F.lit(0), F.size("c") - 1)
-    pairs = F.aggregate(at, F.lit(0.0), lambda s, i: F.aggregate(F.filter(at, lambda j: j > i), s, lambda t, j: t + weight(F.get("c", i)["low"].bitwiseOR(F.get("c", j)["low"]), F.get("c", i)["high"].bitwiseOR(F.get("c", j)["high"]))))
-    nor = 1 - F.aggregate("c", F.lit(1.0), lambda p, x: p * (1 - x["w"]))
-    return rows.select(*KEY, F.least(nor, F.greatest(F.lit(0.0), F.least(F.lit(1.0), singles - pairs))).alias("leakage_ie"))
+    lists = {"w": "c.w", "low": "c.low", "high": "c.high", "eid": "edges.eid", "ew": "edges.w"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                w, low, high, eid, ew = (batch.column(len(KEY) + k)[i].values.to_numpy(zero_copy_only=False) for k in range(len(lists)))
+                far = eid >= 62
+                bits = (np.where(far, high[:, None], low[:, None]) >> np.where(far, eid - 62, eid).astype(np.int64)) & 1
+                out.append(_bound(w, bits.astype(np.float64), np.log(np.maximum(ew, 1e-300))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEY)], pa.array(out, pa.float64())], names=[*KEY, "leakage_ie"])
 
+    schema = T.StructType([*rows.select(*KEY).schema.fields, T.StructField("leakage_ie", T.DoubleType())])
+    return rows.select(*KEY, *[F.col(c).alias(k) for k, c in lists.items()]).mapInArrow(run, schema)
 
-def leakage_table(model: DataFrame, scratch: Scratch, masks: DataFrame | None = None) -> DataFrame:
-    """All estimators for the given masks, or for every mask. A mask without chains leaks 0.
+
+def leakage_table(model: DataFrame, scratch: Scratch, masks: DataFrame | None = None, *, method: str = "greedy_disjoint") -> DataFrame:
+    """The estimators for the given masks, or for every mask; leakage_ie only if ``method`` is nor_with_ie. A mask without chains leaks 0.
 
     ``masks``: (dataset, target, mask). The result doesn't depend on budgets, caps or penalties, so one table serves any sweep.
     """
     wanted = powerset(model).select(*KEY, "tbit") if masks is None else masks.select(*KEY).distinct().join(F.broadcast(model.select("dataset", "target", "tbit")), ["dataset", "target"])
     wanted = scratch.put(wanted.repartition(_parts(model), *KEY), "masks")
-    found = estimate(chains(wanted, edge_rows(model), scratch))
+    bound = method == "nor_with_ie"
+    rows = chains(wanted, edge_rows(model), scratch, with_edges=bound)
+    found = estimate(rows)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("num_chains", "active_chains", "blocked_chains")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("leakage_max", "leakage_greedy", "leakage_noisy_or")}
+    if bound:
+        found = found.join(inclusion_exclusion(rows, model), KEY, "left")
+        zero["leakage_ie"] = F.coalesce("leakage_ie", F.lit(0.0))
     table = wanted.select(*KEY).join(found, KEY, "left").withColumns(zero).withColumn("mask_size", F.bit_count("mask"))
     return scratch.put(table, "leakage")
 
 
+def with_method(table: DataFrame, model: DataFrame, method: str) -> DataFrame:
+    """The table, or where it lacks the estimator asked for, one of the same masks that has it."""
+    if method == "nor_with_ie" and "leakage_ie" not in table.columns:
+        return leakage_table(model, Scratch(model.sparkSession), table.select(*KEY), method=method)
+    return table
+
+
 def method_column(method: str) -> Column:
     """An estimator's column of the leakage table."""
     names = {"greedy_disjoint": "leakage_greedy", "noisy_or": "leakage_noisy_or", "max_leakage": "leakage_max", "nor_with_ie": "leakage_ie"}

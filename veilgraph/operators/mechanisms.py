@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions.expressions import bits_to_names, mechanism_score, softmax, uniform, utility
-from veilgraph.operators.leakage import KEY, closure, leakage_table, method_column, powerset
+from veilgraph.operators.leakage import KEY, closure, leakage_table, method_column, powerset, with_method
 from veilgraph.store import Scratch
 
 ORDERINGS = ("greedy", "random", "zero")
@@ -31,7 +31,7 @@ def probabilities(candidates: DataFrame, at: DataFrame, *, penalty: float = 1000
 
 def all_mask_candidates(table: DataFrame, model: DataFrame, method: str = "greedy_disjoint") -> DataFrame:
     """Every mask with the leakage of one estimator."""
-    return table.select(*KEY, "mask_size", method_column(method).alias("leakage"), "num_chains").join(F.broadcast(model.select("dataset", "target", "n")), ["dataset", "target"])
+    return with_method(table, model, method).select(*KEY, "mask_size", method_column(method).alias("leakage"), "num_chains").join(F.broadcast(model.select("dataset", "target", "n")), ["dataset", "target"])
 
 
 def prefix_masks(model: DataFrame, singles: DataFrame | None, ordering: str = "greedy", seed: int = 7) -> DataFrame:
@@ -62,7 +62,10 @@ def prefix_candidates(model: DataFrame, scratch: Scratch, table: DataFrame | Non
     """The prefixes with their leakage. Without a leakage table only the masks that are needed are computed: 2n + 2 for each model."""
 
     def leak(masks: DataFrame, name: str) -> DataFrame:
-        found = table if table is not None else leakage_table(model, Scratch(model.sparkSession), masks)
+        if table is None:
+            found = leakage_table(model, Scratch(model.sparkSession), masks, method=method)
+        else:
+            found = with_method(table.join(masks.select(*KEY), KEY, "left_semi"), model, method)
         return scratch.put(masks.join(found.select(*KEY, method_column(method).alias("leakage"), "num_chains"), KEY), name)
 
     singles = None
