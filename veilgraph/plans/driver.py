@@ -16,6 +16,7 @@ from veilgraph.store import Scratch
 
 SMALL = ("airport", "hospital", "tax")
 PAIRS = 20_000
+ALL_PAIRS = 300_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,13 +47,19 @@ JSON_DCS = [
 ]
 
 
-def query(sql: str | None = None, *, five: bool = False):
-    """Registers a query under its function's name. ``five``: NAME_five runs it on all five catalogs, which are too many for the recursive SQL."""
+def query(sql: str | None = None, *, five: bool = False, full: tuple[int, int] | None = None):
+    """Registers a query under its function's name. ``five``: NAME_five runs it on all five catalogs, which are too many for the recursive SQL.
+
+    ``full``: two sample sizes; NAME_full runs query and SQL on a sample of the second instead of the first.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
         if five:
             QUERIES[f"{f.__name__}_five"] = partial(f, datasets=constraints.DATASETS)
+        if full:
+            QUERIES[f"{f.__name__}_full"] = partial(f, size=full[1])
+            ORACLES[f"{f.__name__}_full"] = re.sub(rf"\b{full[0]}\b", str(full[1]), sql)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -276,44 +283,44 @@ STATS_SQL = f"""{PAIRS_SQL}, {_counts_sql()}, bd AS (SELECT *, {_wilson_sql("k0"
   FROM dr QUALIFY row_number() OVER (PARTITION BY dc_id ORDER BY (nE >= 50)::INT DESC, CASE WHEN nE >= 50 THEN base END DESC NULLS LAST, head_j) = 1)"""
 
 
-@query(f"WITH {PAIRS_SQL} SELECT pair, lk AS l_key, rk AS r_key FROM pr")
-def pair_sample(spark, sf_dir):
+@query(f"WITH {PAIRS_SQL} SELECT pair, lk AS l_key, rk AS r_key FROM pr", full=(PAIRS, ALL_PAIRS))
+def pair_sample(spark, sf_dir, size=PAIRS):
     """A repeatable uniform sample of ordered pairs of different orders."""
-    return pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
+    return pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", size).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
 
 
-def _stats(spark, sf_dir):
-    sample = pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS)
+def _stats(spark, sf_dir, size):
+    sample = pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", size)
     return weights.direction_stats(weights.direction_counts(sample, ORDER_DCS))
 
 
-def _best(spark, sf_dir):
-    return weights.best_heads(_stats(spark, sf_dir), 50)
+def _best(spark, sf_dir, size):
+    return weights.best_heads(_stats(spark, sf_dir, size), 50)
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, m, head_j, nV, k0, k1, nE, round(UCB0, 9) AS UCB0, round(LCB1, 9) AS LCB1, round(base, 9) AS base FROM dr")
-def dc_direction_stats(spark, sf_dir):
+@query(f"WITH {STATS_SQL} SELECT dc_id, m, head_j, nV, k0, k1, nE, round(UCB0, 9) AS UCB0, round(LCB1, 9) AS LCB1, round(base, 9) AS base FROM dr", full=(PAIRS, ALL_PAIRS))
+def dc_direction_stats(spark, sf_dir, size=PAIRS):
     """Counts, Wilson bounds and base of each constraint and head, from one pass over the pairs."""
-    s = _stats(spark, sf_dir)
+    s = _stats(spark, sf_dir, size)
     return s.withColumns({c: F.round(c, 9) for c in ("UCB0", "LCB1", "base")})
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, m, nV, best_head_j, nE_best, round(best_base, 9) AS best_base FROM be")
-def dc_best_head(spark, sf_dir):
+@query(f"WITH {STATS_SQL} SELECT dc_id, m, nV, best_head_j, nE_best, round(best_base, 9) AS best_base FROM be", full=(PAIRS, ALL_PAIRS))
+def dc_best_head(spark, sf_dir, size=PAIRS):
     """The best head of each constraint."""
-    return _best(spark, sf_dir).select("dc_id", "m", "nV", "best_head_j", "nE_best", F.round("best_base", 9).alias("best_base"))
+    return _best(spark, sf_dir, size).select("dc_id", "m", "nV", "best_head_j", "nE_best", F.round("best_base", 9).alias("best_base"))
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, g AS gamma, replace(printf('%.2f', g), '.', 'p') AS tag, round(greatest(0.0::DOUBLE, best_base - g), 9) AS weight FROM be, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) v(g)")
-def dc_weights_gamma(spark, sf_dir):
+@query(f"WITH {STATS_SQL} SELECT dc_id, g AS gamma, replace(printf('%.2f', g), '.', 'p') AS tag, round(greatest(0.0::DOUBLE, best_base - g), 9) AS weight FROM be, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) v(g)", full=(PAIRS, ALL_PAIRS))
+def dc_weights_gamma(spark, sf_dir, size=PAIRS):
     """Weights above each threshold."""
-    return weights.with_gammas(_best(spark, sf_dir)).select("dc_id", "gamma", X.gamma_tag(F.col("gamma")).alias("tag"), F.round("weight", 9).alias("weight"))
+    return weights.with_gammas(_best(spark, sf_dir, size)).select("dc_id", "gamma", X.gamma_tag(F.col("gamma")).alias("tag"), F.round("weight", 9).alias("weight"))
 
 
-@query(f"WITH {STATS_SQL} SELECT g AS gamma, count(*) AS n_dcs, count(*) FILTER (best_base - g > 0) AS n_kept FROM be, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(g) GROUP BY g")
-def gamma_sweep(spark, sf_dir):
+@query(f"WITH {STATS_SQL} SELECT g AS gamma, count(*) AS n_dcs, count(*) FILTER (best_base - g > 0) AS n_kept FROM be, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(g) GROUP BY g", full=(PAIRS, ALL_PAIRS))
+def gamma_sweep(spark, sf_dir, size=PAIRS):
     """How many constraints keep a weight at each threshold."""
-    return weights.gamma_sweep(_best(spark, sf_dir))
+    return weights.gamma_sweep(_best(spark, sf_dir, size))
 
 
 @query(f"WITH {LINES_SQL} SELECT dataset, count(*) AS n_dcs, count(*) FILTER (weight > 0.25) AS n_heavy, round(avg(weight), 9) AS mean_weight FROM c WHERE weight > 0 GROUP BY dataset")
