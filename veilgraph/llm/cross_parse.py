@@ -17,6 +17,8 @@ from veilgraph.llm._text import pieces
 
 #: A text is parsed in blocks of so many symbols, all blocks of a batch in step; phrases end with their block.
 BLOCK = 1024
+#: Transitions of so many letters, the commonest, are kept in a dense table; those of all others in a sorted list.
+DENSE = 62
 UNKNOWN = "und"
 
 
@@ -74,28 +76,40 @@ class SuffixAutomaton:
 class Parser:
     """Parses texts against every language's automaton at once."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], max_symbols: int = 62):
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
         kind, low = _code_points()
         self.languages = [lang for lang, _ in samples]
         points = [low[_points([sample])[0]] for _, sample in samples]
         letters = np.concatenate(points) if points else np.empty(0, np.uint32)
         values, counts = np.unique(letters[kind[letters] > 0], return_counts=True)
-        alphabet = values[np.lexsort((values, -counts))][:max_symbols]
-        # 0 is what stands between words, 1 any letter outside the alphabet, the last one a break between samples
+        alphabet = values[np.lexsort((values, -counts))]
+        # 0 is what stands between words, 1 any letter that no sample has, 2 a break between samples, then the letters
         self.symbols = len(alphabet) + 3
-        known = np.ones(len(kind), np.uint8)
-        known[alphabet] = np.arange(2, len(alphabet) + 2, dtype=np.uint8)
-        self.symbol_of = np.where(kind > 0, known[low], 0).astype(np.uint8)
+        self.dense = min(len(alphabet), DENSE) + 3
+        known = np.ones(len(kind), np.int32)
+        known[alphabet] = np.arange(3, len(alphabet) + 3, dtype=np.int32)
+        self.symbol_of = np.where(kind > 0, known[low], 0).astype(np.int32)
         self.is_letter = kind == 2
         tables, self.roots, self.cost, base = [], [], [], 0
-        for own in points:
-            sequence = self._squeezed(np.where(own == 10, self.symbols - 1, self.symbol_of[own]))
+        keys, targets, self.first = [], [], np.empty((len(points), self.symbols - self.dense), np.int64)
+        for lang, own in enumerate(points):
+            sequence = self._squeezed(np.where(own == 10, 2, self.symbol_of[own]))
             automaton = SuffixAutomaton(sequence.tolist())
             tables.append(self._table(automaton, base))
+            self.first[lang] = base * 2 + 1
+            for state, go in enumerate(automaton.following):
+                for c, t in go.items():
+                    if c >= self.dense and state == 0:
+                        self.first[lang, c - self.dense] = (t * self.dense + base) * 2 + 1
+                    elif c >= self.dense:
+                        keys.append((state * self.dense + base) * self.symbols + c)
+                        targets.append((t * self.dense + base) * 2)
             self.roots.append(base)
             self.cost.append(math.log2(len(sequence) + 2))
-            base += len(automaton.following) * self.symbols
+            base += len(automaton.following) * self.dense
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int64)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array([*keys, -1], np.int64)[[*order, -1]], np.array([*targets, -1], np.int64)[[*order, -1]]
 
     @staticmethod
     def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -105,17 +119,24 @@ class Parser:
 
     def _table(self, automaton: SuffixAutomaton, base: int) -> np.ndarray:
         """Twice the place of the state to go to, plus 1 if a phrase begins with this symbol."""
-        states, width = len(automaton.following), self.symbols
+        states, width = len(automaton.following), self.dense
         table = np.full((states, width), -1, np.int64)
         for s, go in enumerate(automaton.following):
             for c, t in go.items():
-                table[s, c] = t
+                if c < width:
+                    table[s, c] = t
         fresh = np.where(table[0] < 0, 0, table[0])
         begins = table < 0
         begins[0] = True
         table = np.where(begins, fresh, table)
         return ((table * width + base) * 2 + begins).astype(np.int32).ravel()
 
+    def _rare(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the table would hold for letters that it has no column for."""
+        wanted = states.astype(np.int64) * self.symbols + symbols
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, self.targets[at], self.first[:, symbols - self.dense])
+
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol that each text needs under each language (rows: languages), and which texts have a letter."""
         points, offsets = _points(texts)
@@ -142,7 +163,11 @@ class Parser:
         phrases = np.zeros(states.shape, np.int32)
         for t in range(steps):
             m = active[t]
-            go = self.table[states[:, :m] + symbols[begin[:m] + t]]
+            now = symbols[begin[:m] + t]
+            late = np.flatnonzero(now >= self.dense)
+            go = self.table[states[:, :m] + np.where(now < self.dense, now, 1)]
+            if len(late):
+                go[:, late] = self._rare(states[:, late], now[late])
             phrases[:, :m] += go & 1
             states[:, :m] = go >> 1
         total = np.stack([np.bincount(owner, weights=row, minlength=n) for row in phrases]) if len(self.languages) else np.zeros((0, n))
