@@ -2,7 +2,7 @@
 
 import random
 
-from veilgraph.llm.cross_parse import Parser
+from veilgraph.llm.cross_parse import Parser, identify, learn
 
 
 def test_letters_beyond_the_commonest_are_told_apart():
@@ -27,3 +27,19 @@ def test_letters_beyond_the_commonest_are_told_apart():
                 i += max(1, n)
                 count += 1
             assert abs(got - count * cost / len(text)) < 1e-9
+
+
+def test_languages_behind_a_shared_opening_and_of_short_texts(spark):
+    rng = random.Random(6)
+    opening = "the same opening stands before every document of this corpus and says nothing " * 8
+    words = {"aa": ["bado", "kiul", "domi"], "bb": ["schrung", "ölig", "keit"]}
+    own = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, opening + own(lang, 300), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    rows += [(1000 + i, "юж " + "эф"[i % 2] * 3, "cc") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = learn(docs)
+    assert [lang for lang, _ in samples] == ["aa", "bb", "cc"]
+    assert all(len(s) <= 64 * 501 for _, s in samples)
+    asked = [(i, own(lang, 4), lang) for i, lang in enumerate(["aa", "bb"] * 10)] + [(50, "ююж эээ", "cc")]
+    got = {r["id"]: r["lang_pred"] for r in identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), samples).collect()}
+    assert got == {i: lang for i, _, lang in asked}

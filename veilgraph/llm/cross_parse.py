@@ -105,7 +105,8 @@ class Parser:
                         keys.append((state * self.dense + base) * self.symbols + c)
                         targets.append((t * self.dense + base) * 2)
             self.roots.append(base)
-            self.cost.append(math.log2(len(sequence) + 2))
+            # a letter out of the alphabet is the least that a phrase tells: a tiny sample makes no phrase cheaper
+            self.cost.append(math.log2(max(len(sequence) + 2, self.symbols)))
             base += len(automaton.following) * self.dense
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int64)
         order = np.argsort(np.array(keys, np.int64))
@@ -196,12 +197,18 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, *, texts_each: int = 64, chars_each: int = 500) -> tuple[tuple[str, str], ...]:
-    """For each language a sample of its labelled texts: at most ``texts_each`` texts (those with the smallest hashes of the id), at most ``chars_each`` characters of each. That bounds what the driver gets by the number of languages; equal sizes keep the languages' phrase counts comparable, and the cost of a phrase is the logarithm of the sample's size."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.substring(F.col("text").cast("string"), 1, chars_each).alias("t"))
-    rows = rows.filter("length(t) >= 20")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "t")
+    """For each language a sample of its labelled texts: at most ``texts_each`` texts (those with the smallest hashes of the id), of a longer text a piece of ``chars_each`` characters at a place hashed from its id. Texts under 20 characters are used only where a language has no longer one. That bounds what the driver gets by the number of languages; equal sizes keep the languages' phrase counts comparable, and the cost of a phrase is the logarithm of the sample's size."""
+    text = F.col("text").cast("string")
+    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length(text) - chars_each, F.lit(0)) + 1) + 1
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(
+        F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), text.substr(start.cast("int"), F.lit(chars_each)).alias("t"), (F.length(text) >= 20).alias("long")
+    )
+    # one pass keeps enough of both kinds for each language; a language with a long text uses no short one
+    first = Window.partitionBy("lang").orderBy(F.desc("long"), F.xxhash64("id"), "id", "t")
+    best = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= texts_each)
+    rows = best.withColumn("any_long", F.max("long").over(Window.partitionBy("lang"))).filter("long = any_long")
     found: dict[str, list[str]] = {}
-    for r in rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= texts_each).orderBy("lang", "n").collect():
+    for r in rows.orderBy("lang", "n").collect():
         found.setdefault(r.lang, []).append(r.t.replace("\n", " "))
     return tuple((lang, "\n".join(texts)) for lang, texts in sorted(found.items()))
 
