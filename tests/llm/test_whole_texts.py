@@ -3,6 +3,7 @@
 import random
 
 from veilgraph.llm.cross_parse import Parser, identify, learn
+from veilgraph.llm.quality import score_quality, train
 
 
 def test_letters_beyond_the_commonest_are_told_apart():
@@ -43,3 +44,22 @@ def test_languages_behind_a_shared_opening_and_of_short_texts(spark):
     asked = [(i, own(lang, 4), lang) for i, lang in enumerate(["aa", "bb"] * 10)] + [(50, "ююж эээ", "cc")]
     got = {r["id"]: r["lang_pred"] for r in identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), samples).collect()}
     assert got == {i: lang for i, _, lang in asked}
+
+
+def test_quality_is_learned_from_the_end_of_long_texts_too(spark):
+    rng = random.Random(7)
+    clean = lambda n: " ".join(rng.choice(["bado", "kiul", "domi", "ulki"]) for _ in range(n))
+    labels = [(i, i % 2) for i in range(120)]
+    docs = [(i, clean(4200) + (" fine" if good else " ***") * 2000) for i, good in labels]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = train(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r["row"]["doc_id"]: r["score"] >= 0.5 for r in score_quality(df, model).collect()}
+    assert got == {i: bool(good) for i, good in labels}
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "bado kiul" + ("" if i % 2 else " ***")) for i in range(60)], "doc_id long, text string")
+    own = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    absent = spark.range(1000, 6000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    one, two = train(docs, own, max_rows=100), train(docs, own.union(absent), max_rows=100)
+    assert one.bias != 0 and (one.weights == two.weights).all() and one.bias == two.bias

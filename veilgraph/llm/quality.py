@@ -97,16 +97,16 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000) -> Model:
     """A model from at most ``max_rows`` labelled texts that aren't held out.
 
-    The sample: the labelled ids with the smallest hashes, and of each text at most ``max_chars`` characters; both bounds hold
-    whatever the input's size. Null labels are ignored; labels above 0 count as 1. With no labelled text every score is 0.5.
+    The sample: of the labelled ids that ``docs`` has, those with the smallest hashes, each with its whole text; the bound
+    holds whatever the input's size. Null labels are ignored; labels above 0 count as 1. With no labelled text every score is 0.5.
     """
     chosen = labels.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull()).filter(~held_out("id"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+    chosen = chosen.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
     rows = (
-        docs.select(F.col("doc_id").alias("id"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, max_chars).alias("t"))
+        docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
         .join(F.broadcast(chosen), "id")  # at most max_rows rows of two numbers
         .orderBy(F.xxhash64("id"), "id", F.xxhash64("t"), "y")
         .limit(max_rows)
