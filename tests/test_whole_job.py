@@ -103,19 +103,19 @@ def test_mechanisms_honour_the_second_order_bound(spark):
     assert close(mechanisms.prefix_mask(model, scratch, 0.1, 0.2, method="nor_with_ie", seed=1).collect())
 
 
-def duck(name):
+def duck(name, sf):
     con = pytest.importorskip("duckdb").connect()
-    for f in os.listdir(SF):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
     found = con.execute(E.oracle_sql()[name])
     names = [d[0] for d in found.description]
     return names, found.fetchall()
 
 
-def same_as_its_sql(spark, name):
-    names, want = duck(name)
+def same_as_its_sql(spark, name, sf=SF):
+    names, want = duck(name, sf)
     plain = lambda v: round(float(v), 6) if type(v).__name__ in ("Decimal", "float") else v
-    got = [tuple(map(plain, r)) for r in E.queries()[name](spark, SF).select(*names).collect()]
+    got = [tuple(map(plain, r)) for r in E.queries()[name](spark, sf).select(*names).collect()]
     key = lambda row: [(v is None, str(v)) for v in row]
     assert sorted(got, key=key) == sorted((tuple(map(plain, r)) for r in want), key=key)
     return got
@@ -126,3 +126,10 @@ def same_as_its_sql(spark, name):
 def test_pair_statistics_on_the_full_sample(spark, name):
     rows = same_as_its_sql(spark, f"{name}_full")
     assert name != "pair_sample" or len(rows) == 300_000
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["dd_distance", "dd_threshold", "dd_support"])
+def test_differential_dependencies_on_the_full_sample(spark, name):
+    rows = same_as_its_sql(spark, f"{name}_full", SF.replace("sf0.001", "sf0.01"))  # more than 1000 parts
+    assert name != "dd_distance" or len(rows) == 1000 * 999 // 2

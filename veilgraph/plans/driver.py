@@ -385,24 +385,24 @@ def _parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
 
 
-@query(f"WITH {DD_SQL} SELECT a AS l_key, b AS r_key, round(sqrt((xs - ys) * (xs - ys)::DOUBLE + CASE WHEN xb = yb THEN 0 ELSE 1 END), 9) AS d FROM q")
-def dd_distance(spark, sf_dir):
+@query(f"WITH {DD_SQL} SELECT a AS l_key, b AS r_key, round(sqrt((xs - ys) * (xs - ys)::DOUBLE + CASE WHEN xb = yb THEN 0 ELSE 1 END), 9) AS d FROM q", full=(300, 1000))
+def dd_distance(spark, sf_dir, size=300):
     """Distances over a number and a text, of all pairs of a bounded sample."""
-    some = dependencies.sample_distances(_parts(spark, sf_dir).withColumn("key", F.col("p_partkey")), "p_partkey", ["key", "p_size", "p_brand"], 300)
+    some = dependencies.sample_distances(_parts(spark, sf_dir).withColumn("key", F.col("p_partkey")), "p_partkey", ["key", "p_size", "p_brand"], size)
     d = dependencies.distance(some, ["p_size", "p_brand"])
     return some.select(F.col("l_key"), F.col("r_key"), F.round(d, 9).alias("d"))
 
 
-@query(f"WITH {DD_SQL} SELECT round((quantile_cont(abs(xs - ys)::DOUBLE, 0.25) + quantile_cont(abs(xp - yp), 0.25)) / 2, 6) AS theta FROM q")
-def dd_threshold(spark, sf_dir):
+@query(f"WITH {DD_SQL} SELECT round((quantile_cont(abs(xs - ys)::DOUBLE, 0.25) + quantile_cont(abs(xp - yp), 0.25)) / 2, 6) AS theta FROM q", full=(300, 1000))
+def dd_threshold(spark, sf_dir, size=300):
     """The mean first quartile of two columns' distances."""
-    return dependencies.threshold(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], 300).select(F.round("theta", 6).alias("theta"))
+    return dependencies.threshold(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], size).select(F.round("theta", 6).alias("theta"))
 
 
-@query(f"WITH {DD_SQL}, s AS (SELECT count(*) FILTER (abs(xs - ys) <= 5) AS n_close, count(*) FILTER (abs(xs - ys) <= 5 AND abs(xp - yp) <= 100) AS n_both FROM q) SELECT n_close, n_both, round(n_both / n_close::DOUBLE, 9) AS support, n_both / n_close::DOUBLE >= 0.9 AS valid FROM s")
-def dd_support(spark, sf_dir):
+@query(f"WITH {DD_SQL}, s AS (SELECT count(*) FILTER (abs(xs - ys) <= 5) AS n_close, count(*) FILTER (abs(xs - ys) <= 5 AND abs(xp - yp) <= 100) AS n_both FROM q) SELECT n_close, n_both, round(n_both / n_close::DOUBLE, 9) AS support, n_both / n_close::DOUBLE >= 0.9 AS valid FROM s", full=(300, 1000))
+def dd_support(spark, sf_dir, size=300):
     """How often parts close in size are close in price."""
-    some = dependencies.sample_distances(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], 300)
+    some = dependencies.sample_distances(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], size)
     return dependencies.differential_support(some, ["p_size"], ["p_retailprice"], 5.0, 100.0).withColumn("support", F.round("support", 9))
 
 
