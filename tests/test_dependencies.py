@@ -10,6 +10,7 @@ from veilgraph.functions import expressions as X
 from veilgraph.operators import dependencies as D
 from veilgraph.operators import pairs as P
 from veilgraph.operators import weights as W
+from veilgraph.store import Scratch
 
 
 @pytest.mark.parametrize("k,n,low,high", [(0, 10, 0, 0.212941970083), (5, 10, 0.269271821138, 0.730728178862), (10, 10, 0.787058029917, 1), (180, 200, 0.859593373755, 0.929728897722), (0, 0, 0, 1)])
@@ -60,6 +61,28 @@ def test_sample_is_repeatable_and_needs_two_rows(spark):
         P.sample_pairs(df.limit(1), "k", 5)
 
 
+def test_numbers_are_dense_over_many_ranges(spark):
+    """Wide rows in several partitions of very different widths, so that a second run would be cut elsewhere."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.repeat(F.lit("wide "), (F.col("id") % 60).cast("int")).alias("text"), F.rand(1).alias("x")).repartition(9)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = P.numbered(df, "k", Scratch(spark)).orderBy("k").collect()
+        assert [r.rn for r in got] == list(range(200_000))
+        sample = P.sample_pairs(df, "k", 20_000).select("pair", "l_k", "r_k", "l_text").collect()
+        assert sorted(r.pair for r in sample) == list(range(20_000)) and all(r.l_k != r.r_k for r in sample)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old[1])
+
+
+def test_rows_without_a_key_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, t string")
+    rows = P.sample_pairs(df, "k", 50).collect()
+    assert len(rows) == 50 and {r.l_k for r in rows} == {1, 2}
+
+
 def test_violations(spark):
     rows = [(1, "a", 1), (2, "a", 2), (3, "a", None), (4, "b", 1), (5, None, 9), (6, None, 8)]
     df = spark.createDataFrame(rows, "k int, x string, y int")

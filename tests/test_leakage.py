@@ -1,6 +1,7 @@
 """Golden values of the catalogs, properties of the estimators, mechanisms and deletion."""
 
 import math
+import random
 import re
 from collections import deque
 
@@ -57,9 +58,14 @@ def test_empty_masks_and_smallest_masks(model):
 
 
 def plain_chains(dataset, mask):
-    """All chains by a queue over knowledge states, edges in order."""
+    """All chains of a catalog's mask."""
     names, edges = plain_model(dataset)
-    t = 1 << len(names)
+    return search(len(names), edges, mask)
+
+
+def search(n, edges, mask):
+    """All chains by a queue over knowledge states, edges in order."""
+    t = 1 << n
     seen0 = (t - 1) & ~mask
     out = [(w, 0) for _, m, w in edges if m & t and m & ~t & mask == 0]
     queue = deque((seen0 | (m & ~seen0), w) for _, m, w in edges if not m & t and bin(m & ~seen0).count("1") == 1)
@@ -104,14 +110,36 @@ def test_tax_masks(table):
 
 def test_second_order_bound(spark, small, table):
     two = small.filter("dataset in ('airport', 'tax')")
-    found = leakage.chains(leakage.powerset(two).select(*leakage.KEY, "tbit"), hypergraph.edge_rows(two), Scratch(spark), with_edges=True)
-    got = {(r.dataset, r["mask"]): r.leakage_ie for r in leakage.inclusion_exclusion(found, two).collect()}
+    found = leakage.leakage_table(two, Scratch(spark), method="nor_with_ie")
+    got = {(r.dataset, r["mask"]): r.leakage_ie for r in found.collect()}
     nor = {(r.dataset, r["mask"]): r.leakage_noisy_or for r in table.collect()}
     assert all(0 <= v <= nor[k] + 1e-12 for k, v in got.items())
     w = [w for _, m, w in plain_model("airport")[1] if m & 64]
     assert math.isclose(got["airport", 0], min(nor["airport", 0], sum(w) - w[0] * w[1]), abs_tol=1e-12)
 
 
+def test_chains_and_their_edges(small, table):
+    rows = leakage.chains(leakage.powerset(small), small, with_edges=True).collect()
+    counts = {}
+    for r in rows:
+        _, edges = plain_model(r.dataset)
+        assert math.isclose(r.w, math.prod(edges[e][2] for e in r.edges), abs_tol=1e-12) and r.eid in r.edges and len(r.edges) == r.level + 1
+        counts[r.dataset, r["mask"]] = counts.get((r.dataset, r["mask"]), 0) + 1
+    assert counts == {(r.dataset, r["mask"]): r.num_chains for r in table.filter("num_chains > 0").collect()}
+
+
+def test_a_model_of_many_edges(spark):
+    """More edges than a long has bits, against a plain search."""
+    rng = random.Random(4)
+    edges = [(i, sum(1 << b for b in rng.sample(range(6), rng.randint(2, 3))), rng.random()) for i in range(150)]
+    many = spark.createDataFrame([("many", "t", list("abcde"), 5, 32, edges)], "dataset string, target string, names array<string>, n int, tbit long, edges array<struct<eid:int,mask:long,w:double>>")
+    for r in leakage.leakage_table(many, Scratch(spark), method="nor_with_ie").collect():
+        found = search(5, edges, r["mask"])
+        assert r.num_chains == len(found) and math.isclose(r.leakage_noisy_or, 1 - math.prod(1 - w for w, _ in found), abs_tol=1e-9) and 0 <= r.leakage_ie <= 1
+    with pytest.raises(leakage.LeakageError):
+        leakage.leakage_table(many.withColumn("edges", F.transform("edges", lambda e: F.struct(e["eid"].alias("eid"), e["mask"].alias("mask"), (e["w"] + 1).alias("w")))), Scratch(spark))
+
+
 def test_released_prefixes(small, table, scratch):
     got = {r.step: r.leakage for r in mechanisms.prefix_candidates(small, scratch, table).filter("dataset = 'airport'").collect()}
     for size, want in {2: 0.12466526184245019, 3: 0.024793890495394266, 4: 0.024793890495394266, 6: 0.0}.items():
@@ -144,6 +172,24 @@ def test_draws_follow_the_distribution(spark, small, table):
     assert mechanisms.draw(p, 2).count() == 6
 
 
+def test_draws_in_parts_are_the_same(spark, small, table, monkeypatch):
+    p = mechanisms.probabilities(mechanisms.all_mask_candidates(table, small), mechanisms.points(spark, [0.1], [0.2]))
+    rows = lambda: sorted((r.dataset, r.iteration, r["mask"]) for r in mechanisms.draw(p, 700, seed=2).collect())
+    whole = rows()
+    monkeypatch.setattr(mechanisms, "DRAWS_EACH", 64)
+    assert rows() == whole and len(whole) == 2100
+    asked = spark.range(500).select(F.col("id").alias("k"), F.lit("hospital").alias("dataset"), F.lit("ProviderNumber").alias("target"))
+    got = mechanisms.draw_for(asked, p, "k", seed=3).collect()
+    want = mechanisms.expected(p).filter("dataset = 'hospital'").first().e_mask
+    assert sorted(r.k for r in got) == list(range(500)) and abs(sum(r.mask_size for r in got) / 500 - want) < 0.3
+
+
+def test_smallest_masks_by_time(spark, small):
+    times = spark.createDataFrame([("tax", 1, {"city": 5, "zip": 5}), ("tax", 2, {}), ("tax", 3, {"city": 5, "zip": 4})], "dataset string, key int, times map<string,bigint>")
+    got = {r.key: (r.mask_size, list(r.names)) for r in mechanisms.minimal_masks(hypergraph.time_filtered(small, times)).collect()}
+    assert got == {1: (1, ["zip"]), 2: (3, ["area_code", "state", "zip"]), 3: (0, [])}
+
+
 def test_softmax_of_infinite_scores_is_uniform(spark):
     df = spark.createDataFrame([(1, float("nan")), (1, 2.0), (2, 1.0), (2, 1.0)], "g int, s double")
     got = sorted((r.g, r.p) for r in df.withColumn("p", X.softmax(F.col("s"), "g")).collect())

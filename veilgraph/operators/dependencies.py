@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.operators.pairs import numbered
+from veilgraph.operators.pairs import sample_pairs
 
 
 def _contexts(rows: DataFrame, lhs: list[str], rhs: str, *, skip_nulls: bool) -> DataFrame:
@@ -96,7 +96,7 @@ def distance(pairs: DataFrame, columns: list[str]) -> Column:
 def sample_distances(rows: DataFrame, key: str, columns: list[str], most: int = 1000) -> DataFrame:
     """All pairs i < j among the ``most`` rows that come first by md5 of the key; ``most`` bounds the pairs. Adds d."""
     some = rows.select(key, *columns).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(most)
-    some = numbered(some, key)
+    some = some.withColumn("rn", F.row_number().over(Window.orderBy(key)))  # at most ``most`` rows
     side = lambda p: some.select(F.col("rn").alias(f"{p}rn"), *[F.col(c).alias(f"{p}{c}") for c in columns])
     pairs = side("l_").join(F.broadcast(side("r_")), F.col("l_rn") < F.col("r_rn"))  # at most ``most`` rows
     return pairs.withColumn("d", distance(pairs, columns))

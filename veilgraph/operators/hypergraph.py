@@ -72,9 +72,9 @@ def time_filtered(model: DataFrame, times: DataFrame) -> DataFrame:
     order = F.concat("names", F.array("target"))
     time_of = lambda a: F.coalesce(F.try_element_at("times", a), F.lit(0))
     late = F.aggregate(F.sequence(F.lit(0), F.col("n")), F.lit(0).cast("long"), lambda m, i: F.when(time_of(F.get(order, i)) >= time_of(F.col("target")), m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(m))
-    rows = joined.withColumn("late", late)
-    kept = F.filter(F.transform("edges", lambda e: F.struct(e["eid"].alias("eid"), e["mask"].bitwiseAND(F.col("late")).alias("mask"), e["w"].alias("w"))), lambda e: F.bit_count(e["mask"]) > 1)
-    return rows.select("dataset", "target", "key", "names", "n", "tbit", kept.alias("edges"))
+    # bound as a lambda's variable, the bits are worked out once for a row and not once for each edge
+    left = lambda bits: F.filter(F.transform("edges", lambda e: F.struct(e["eid"].alias("eid"), e["mask"].bitwiseAND(bits).alias("mask"), e["w"].alias("w"))), lambda e: F.bit_count(e["mask"]) > 1)
+    return joined.select("dataset", "target", "key", "names", "n", "tbit", F.get(F.transform(F.array(late), left), 0).alias("edges"))
 
 
 def attribute_constraints(constraints: DataFrame) -> DataFrame:

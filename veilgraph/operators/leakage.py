@@ -2,8 +2,8 @@
 
 For all masks of all models at once. A chain starts from what is observed, infers one cell with each edge and ends with the
 target. Knowledge states of a mask are told apart by the inferred cells; of several paths to a state, all of one length,
-the first by edge numbers stays. A step is a join with the edges (broadcast: a catalog bounds them) and one shuffle by
-mask, which serves its aggregation; its table is written, so the plan stays short and a lost executor costs its part.
+the first by edge numbers stays. Masks are rows that Spark deals over tasks; the models, bounded by the catalogs, are sent
+to each, and a task searches a block of masks at once (``chain_search``), so nothing but the masks is shuffled.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgraph.operators.hypergraph import MOST_ZONE, edge_rows
+from veilgraph.operators.chain_search import Model, estimate, find_chains
+from veilgraph.operators.hypergraph import MOST_ZONE
 from veilgraph.store import Scratch
 
 METHODS = ("greedy_disjoint", "noisy_or", "max_leakage", "nor_with_ie")
 KEY = ["dataset", "target", "mask"]
+#: So many models may be sent to every task; a model is a few kilobytes. Masks are searched in blocks of so many.
+MOST_MODELS, BLOCK = 4096, 256
 
 
 class LeakageError(ValueError):
@@ -31,10 +34,6 @@ def _parts(df: DataFrame) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _one() -> Column:
-    return F.lit(1).cast("long")
-
-
 def powerset(model: DataFrame) -> DataFrame:
     """Every mask of every model's zone (2 to the zone's size); zones above 20 attributes are refused."""
     large = model.filter(F.col("n") > MOST_ZONE).select("dataset", "n").first()
@@ -57,125 +56,52 @@ def direct_leakage(masks: DataFrame) -> DataFrame:
     ).drop("__direct")
 
 
-def closure(known: Column, edges: Column, n: Column) -> Column:
-    """All that edges infer from known cells: as many passes over the edges as there are cells."""
-    return F.aggregate(
-        F.sequence(F.lit(1), n + 1),
-        known,
-        lambda k, _: F.aggregate(edges, k, lambda s, e: F.when(F.bit_count(e["mask"].bitwiseAND(F.bitwise_not(s))) == 1, s.bitwiseOR(e["mask"])).otherwise(s)),
-    )
-
-
-def chains(masks: DataFrame, edges: DataFrame, scratch: Scratch, *, with_edges: bool = False) -> DataFrame:
+def shared_models(model: DataFrame):
+    """The models by (dataset, target), as a broadcast. Their number and their weights are checked: a weight is a probability."""
+    rows = model.select("dataset", "target", "tbit", "edges").limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise LeakageError(f"more than {MOST_MODELS} models can't be sent to every task")
+    out = {}
+    for r in rows:
+        weights = np.array([e.w for e in r.edges], np.float64)
+        if not ((weights >= 0) & (weights <= 1)).all():
+            raise LeakageError(f"{r.dataset} has an edge whose weight isn't within [0, 1]")
+        out[r.dataset, r.target] = Model(r.tbit, np.array([e["mask"] for e in r.edges], np.int64), weights)
+    return model.sparkSession.sparkContext.broadcast(out)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, str], np.ndarray]]:
+    """((dataset, target), rows of the batch) in blocks."""
+    names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    places: dict[tuple[str, str], list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+    for name, rows in places.items():
+        for at in range(0, len(rows), BLOCK):
+            yield name, np.array(rows[at : at + BLOCK])
+
+
+def chains(masks: DataFrame, model: DataFrame, *, with_edges: bool = False) -> DataFrame:
     """(dataset, target, mask, level, path, eid, w, inferred): every chain; path orders the states of a level.
 
-    ``masks``: (dataset, target, mask, tbit); ``edges``: what edge_rows gives. ``with_edges`` adds low and high, the chain's
-    edges as bits.
-    """
-    base, longest = edges.agg(F.max("eid") + 1, F.max(F.length(F.bin("emask")))).first()
-    base = int(base or 0) + 1
-    if base ** int(longest or 1) >= 10**38:
-        raise LeakageError("a model has too many edges for its number of attributes")
-    # one number stands for dataset and target while rows move
-    model_no = F.xxhash64("dataset", "target").alias("g")
-    named = F.broadcast(edges.select(model_no, "dataset", "target").distinct())
-    edges = F.broadcast(edges.select(model_no, "eid", "emask", F.col("w").alias("ew")))
-    key = ["g", "mask"]
-    observed = F.bitwise_not(F.col("mask").bitwiseOR(F.col("tbit")))
-    lacks = lambda known: F.col("emask").bitwiseAND(F.bitwise_not(known))
-    bit = lambda at: F.call_function("shiftleft", _one(), at)
-    none, number = F.lit(0).cast("long"), lambda c: c.cast("decimal(38,0)")
-    low = F.when(F.col("eid") < 62, bit(F.col("eid"))).otherwise(none)
-    high = F.when(F.col("eid") >= 62, bit(F.col("eid") - 62)).otherwise(none)
-    bits = ["low", "high"] if with_edges else []
-
-    # masks are few bytes but much work, so their number of parts is given and not left to be merged by size
-    parts = _parts(masks)
-    start = masks.select(model_no, "mask", "tbit").join(edges, "g").withColumn("lack", lacks(observed))
-    has_target = F.col("emask").bitwiseAND(F.col("tbit")) != 0
-    first_bits = [low.alias("low"), high.alias("high")] if with_edges else []
-    direct = start.filter(has_target & (F.col("lack") == F.col("tbit")))
-    found = [direct.select(*key, F.lit(0).alias("level"), number(F.lit(0)).alias("path"), "eid", F.col("ew").alias("w"), none.alias("inferred"), *first_bits)]
-    states = start.filter(~has_target & (F.bit_count("lack") == 1)).select(*key, "tbit", F.col("lack").alias("inferred"), number(F.col("eid")).alias("path"), F.col("ew").alias("w"), *first_bits)
-    level = 0
-    while True:
-        level += 1
-        best = [F.min_by(c, "path").alias(c) for c in ("w", *bits)]
-        kept = scratch.put(states.groupBy(*key, "tbit", "inferred").agg(F.min("path").alias("path"), *best), f"states{level}")
-        if kept.isEmpty():
-            break
-        known = observed.bitwiseOR(F.col("inferred"))
-        # an edge that is active from the start doesn't extend a chain
-        grown = kept.repartition(parts, *key).join(edges, "g").withColumn("lack", lacks(known)).filter((F.bit_count("lack") == 1) & (F.bit_count(lacks(observed)) > 1))
-        more_bits = [F.col("low").bitwiseOR(low).alias("low"), F.col("high").bitwiseOR(high).alias("high")] if with_edges else []
-        weight = (F.col("w") * F.col("ew")).alias("w")
-        found.append(grown.filter("lack = tbit").select(*key, F.lit(level).alias("level"), "path", "eid", weight, "inferred", *more_bits))
-        states = grown.filter("lack != tbit").select(*key, "tbit", F.col("inferred").bitwiseOR(F.col("lack")).alias("inferred"), number(F.col("path") * base + F.col("eid")).alias("path"), weight, *more_bits)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.join(named, "g").drop("g")
-
-
-def estimate(chain_rows: DataFrame) -> DataFrame:
-    """(dataset, target, mask, num_chains, active_chains, blocked_chains, leakage_max, leakage_greedy, leakage_noisy_or).
-
-    Greedy: chains by falling weight, then fewer inferred cells, then order of discovery; each is taken if it infers no cell
-    that one taken before infers. Only direct chains are active, as any longer one ends in an edge with two deleted cells.
-    """
-    order = F.struct((-F.col("w")).alias("k"), F.bit_count("inferred").alias("size"), "level", "path", "eid", "inferred", "w")
-    grouped = chain_rows.repartition(_parts(chain_rows), *KEY).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("num_chains"),
-        F.count_if(F.col("level") == 0).alias("active_chains"),
-        F.coalesce(F.max(F.when(F.col("level") == 0, F.col("w"))), F.lit(0.0)).alias("leakage_max"),
-        F.array_sort(F.collect_list(order)).alias("sorted"),  # as many as the mask has chains
-    )
-    taken = F.aggregate(
-        "sorted",
-        F.struct(F.lit(0).cast("long").alias("used"), F.lit(1.0).alias("left")),
-        lambda s, c: F.when(
-            s["used"].bitwiseAND(c["inferred"]) == 0, F.struct(s["used"].bitwiseOR(c["inferred"]).alias("used"), (s["left"] * (1 - c["w"])).alias("left"))
-        ).otherwise(s),
-    )
-    return grouped.select(
-        *KEY, "num_chains", "active_chains", (F.col("num_chains") - F.col("active_chains")).alias("blocked_chains"), "leakage_max",
-        (1 - taken["left"]).alias("leakage_greedy"), (1 - F.aggregate("sorted", F.lit(1.0), lambda p, c: p * (1 - c["w"]))).alias("leakage_noisy_or"),
-    )
-
-
-def _bound(w: np.ndarray, bits: np.ndarray, logs: np.ndarray) -> float:
-    """The smaller of noisy-or and the second-order bound of one mask's chains; ``bits``: a row of edges for each chain."""
-    own, pairs = bits @ logs, 0.0
-    for at in range(0, len(w), 512):  # blocks bound the memory, no pair is left out
-        some = slice(at, at + 512)
-        union = own[some, None] + own[None, at:] - (bits[some] * logs) @ bits[at:].T
-        pairs += np.triu(np.exp(union), 1).sum()
-    return min(1.0 - np.prod(1.0 - w), max(0.0, min(1.0, w.sum() - pairs)))
-
-
-def inclusion_exclusion(chain_rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(dataset, target, mask, leakage_ie): the smaller of noisy-or and the second-order bound, clamped to [0, 1], of masks with chains.
-
-    Two chains together weigh the product over the union of their edges (``chain_rows`` with their edges). Pairs are
-    summed within a mask's row, as matrix products: the union's logarithm is both chains' less that of what they share.
+    ``masks``: (dataset, target, mask). ``with_edges`` adds edges, the numbers of the chain's edges.
     """
-    chain = F.array_sort(F.collect_list(F.struct("level", "path", "eid", "w", "low", "high")))  # as many as the mask has chains
-    grouped = chain_rows.repartition(_parts(chain_rows), *KEY).groupBy(*KEY).agg(chain.alias("c"))
-    rows = grouped.join(F.broadcast(model.select("dataset", "target", "edges")), ["dataset", "target"])  # a row for each model
-    lists = {"w": "c.w", "low": "c.low", "high": "c.high", "eid": "edges.eid", "ew": "edges.w"}
+    shared = shared_models(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                w, low, high, eid, ew = (batch.column(len(KEY) + k)[i].values.to_numpy(zero_copy_only=False) for k in range(len(lists)))
-                far = eid >= 62
-                bits = (np.where(far, high[:, None], low[:, None]) >> np.where(far, eid - 62, eid).astype(np.int64)) & 1
-                out.append(_bound(w, bits.astype(np.float64), np.log(np.maximum(ew, 1e-300))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEY)], pa.array(out, pa.float64())], names=[*KEY, "leakage_ie"])
+            for name, rows in _blocks(batch):
+                own = batch.take(pa.array(rows))
+                c = find_chains(shared.value[name], own.column(2).to_numpy(), with_edges=with_edges)
+                columns = [x.take(pa.array(c.mask)) for x in own.columns[:3]]
+                columns += [pa.array(c.level.astype(np.int32)), pa.array(c.path), pa.array(c.eid.astype(np.int32)), pa.array(c.weight), pa.array(c.inferred)]
+                if with_edges:
+                    columns.append(pa.array([np.flatnonzero(e).astype(np.int32) for e in c.edges], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    schema = T.StructType([*rows.select(*KEY).schema.fields, T.StructField("leakage_ie", T.DoubleType())])
-    return rows.select(*KEY, *[F.col(c).alias(k) for k, c in lists.items()]).mapInArrow(run, schema)
+    schema = "dataset string, target string, mask long, level int, path long, eid int, w double, inferred long" + (", edges array<int>" if with_edges else "")
+    fields = [f.split(" ")[0] for f in schema.split(", ")]
+    return masks.select(*KEY).repartition(_parts(masks), *KEY).mapInArrow(run, schema)
 
 
 def leakage_table(model: DataFrame, scratch: Scratch, masks: DataFrame | None = None, *, method: str = "greedy_disjoint") -> DataFrame:
@@ -183,16 +109,24 @@ def leakage_table(model: DataFrame, scratch: Scratch, masks: DataFrame | None =
 
     ``masks``: (dataset, target, mask). The result doesn't depend on budgets, caps or penalties, so one table serves any sweep.
     """
-    wanted = powerset(model).select(*KEY, "tbit") if masks is None else masks.select(*KEY).distinct().join(F.broadcast(model.select("dataset", "target", "tbit")), ["dataset", "target"])
-    wanted = scratch.put(wanted.repartition(_parts(model), *KEY), "masks")
-    bound = method == "nor_with_ie"
-    rows = chains(wanted, edge_rows(model), scratch, with_edges=bound)
-    found = estimate(rows)
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("num_chains", "active_chains", "blocked_chains")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("leakage_max", "leakage_greedy", "leakage_noisy_or")}
-    if bound:
-        found = found.join(inclusion_exclusion(rows, model), KEY, "left")
-        zero["leakage_ie"] = F.coalesce("leakage_ie", F.lit(0.0))
-    table = wanted.select(*KEY).join(found, KEY, "left").withColumns(zero).withColumn("mask_size", F.bit_count("mask"))
+    method_column(method)
+    wanted = (powerset(model) if masks is None else masks).select(*KEY).distinct()
+    shared, bound = shared_models(model), method == "nor_with_ie"
+    values = ["num_chains", "active_chains", "blocked_chains", "leakage_max", "leakage_greedy", "leakage_noisy_or"] + ["leakage_ie"] * bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, rows in _blocks(batch):
+                own = batch.take(pa.array(rows))
+                found = estimate(shared.value[name], own.column(2).to_numpy(), bound=bound)
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], *[pa.array(found[v]) for v in values]], names=KEY + values)
+
+    schema = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("target", T.StringType()), T.StructField("mask", T.LongType())])
+    for v in values:
+        schema.add(v, T.LongType() if v.endswith("chains") else T.DoubleType())
+    known = wanted.join(F.broadcast(model.select("dataset", "target")), ["dataset", "target"], "left_semi")
+    # masks are few bytes but much work, so their number of parts is given and not left to be merged by size
+    table = known.repartition(_parts(model), *KEY).mapInArrow(run, schema).withColumn("mask_size", F.bit_count("mask"))
     return scratch.put(table, "leakage")
 
 

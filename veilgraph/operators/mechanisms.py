@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.functions.expressions import bits_to_names, mechanism_score, softmax, uniform, utility
-from veilgraph.operators.leakage import KEY, closure, leakage_table, method_column, powerset, with_method
+from veilgraph.operators.chain_search import smallest_masks
+from veilgraph.operators.hypergraph import MOST_ZONE
+from veilgraph.operators.leakage import KEY, LeakageError, leakage_table, method_column, with_method
 from veilgraph.store import Scratch
 
 ORDERINGS = ("greedy", "random", "zero")
 POINT = ["dataset", "target", "epsilon", "cap"]
+#: Draws that one row, and so one task, answers at most.
+DRAWS_EACH = 1 << 16
 
 
 def points(spark, epsilons, caps) -> DataFrame:
@@ -62,10 +73,10 @@ def prefix_candidates(model: DataFrame, scratch: Scratch, table: DataFrame | Non
     """The prefixes with their leakage. Without a leakage table only the masks that are needed are computed: 2n + 2 for each model."""
 
     def leak(masks: DataFrame, name: str) -> DataFrame:
-        if table is None:
-            found = leakage_table(model, Scratch(model.sparkSession), masks, method=method)
-        else:
+        if table is not None:
             found = with_method(table.join(masks.select(*KEY), KEY, "left_semi"), model, method)
+            return masks.join(found.select(*KEY, method_column(method).alias("leakage"), "num_chains"), KEY)
+        found = leakage_table(model, Scratch(model.sparkSession), masks, method=method)
         return scratch.put(masks.join(found.select(*KEY, method_column(method).alias("leakage"), "num_chains"), KEY), name)
 
     singles = None
@@ -81,40 +92,99 @@ def expected(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy(*POINT).agg(F.sum(F.col("p") * F.col("mask_size")).alias("e_mask"), F.sum(F.col("p") * F.col("leakage")).alias("e_leakage"))
 
 
+def _distributions(chosen: DataFrame) -> DataFrame:
+    """(..., c): each point's masks in order of size and number, one row; zones bound them to 2 to the 20th."""
+    record = F.struct("mask_size", "mask", "leakage", "utility", "p", "num_chains", "n")
+    return chosen.groupBy(*POINT).agg(F.array_sort(F.collect_list(record)).alias("c"))
+
+
+def _looked_up(asked: DataFrame, chosen: DataFrame, payload: str) -> DataFrame:
+    """(..., payload, mask, mask_size, leakage, utility, p, num_chains, n): the mask at each asked place of its point's distribution function.
+
+    ``asked``: point columns and ``spots``, an array of (u, payload), bounded by whoever makes it.
+    """
+    joined = asked.join(_distributions(chosen), POINT)
+    record = joined.schema["c"].dataType.elementType
+    names = ["mask", "mask_size", "leakage", "utility", "p", "num_chains", "n"]
+    spot = joined.schema["spots"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                spots, masks = batch.column(len(POINT))[i].values, batch.column(len(POINT) + 1)[i].values
+                cdf = np.cumsum(masks.field("p").to_numpy(zero_copy_only=False))
+                # rounding can't leave a draw without a mask
+                at = pa.array(np.minimum(np.searchsorted(cdf, spots.field("u").to_numpy(zero_copy_only=False), "left"), len(cdf) - 1))
+                lead = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for k in range(len(POINT))]
+                yield pa.RecordBatch.from_arrays([*lead, spots.field(payload), *[masks.field(n).take(at) for n in names]], names=[*POINT, payload, *names])
+
+    schema = T.StructType([*[joined.schema[c] for c in POINT], T.StructField(payload, spot[payload].dataType), *[T.StructField(n, record[n].dataType) for n in names]])
+    return joined.select(*POINT, "spots", "c").mapInArrow(run, schema)
+
+
+def _seed(seed: int | None) -> Column:
+    return F.lit(str(secrets.randbits(62) if seed is None else seed))
+
+
 def draw(chosen: DataFrame, times: int, seed: int | None = None) -> DataFrame:
     """(..., iteration, mask, ...): ``times`` independent draws at each point, by inverse distribution functions.
 
-    With a seed the uniforms are md5 of (seed, point, iteration), which any engine repeats; without one they are random. Draws and
-    masks are merged in one sorted window, so a point costs its masks plus its draws.
+    The uniforms are md5 of (seed, point, iteration), which any engine repeats; without a seed a random one is taken. A point's
+    distribution is one row; draws meet it in rows of at most DRAWS_EACH, so no task holds all draws of a point.
     """
-    order = Window.partitionBy(*POINT).orderBy("mask_size", "mask")
-    cdf = chosen.withColumn("at", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = Window.partitionBy(*POINT).orderBy(F.desc("mask_size"), F.desc("mask"))
-    cdf = cdf.withColumn("at", F.when(F.row_number().over(last) == 1, F.lit(2.0)).otherwise(F.col("at")))  # rounding can't leave a draw without mask
-    spots = chosen.select(*POINT).distinct().withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    u = F.rand() if seed is None else uniform(F.lit(str(seed)), F.col("dataset"), F.col("target"), F.col("epsilon").cast("string"), F.col("cap").cast("string"), F.col("iteration").cast("string"))
-    record = F.struct("mask", "mask_size", "leakage", "utility", "p", "num_chains", "n")
-    both = cdf.select(*POINT, "at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("iteration"), record.alias("r")).unionByName(
-        spots.select(*POINT, u.alias("at"), F.lit(0).alias("kind"), "iteration", F.lit(None).cast(chosen.select(record.alias("r")).schema["r"].dataType).alias("r"))
-    )
-    # read backwards: a frame that grows from the start is kept up row by row, one that shrinks towards the end is not
-    ahead = Window.partitionBy(*POINT).orderBy(*[F.desc(c) for c in ("at", "kind", "r.mask_size", "r.mask")]).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("r", F.last("r", ignorenulls=True).over(ahead)).filter("kind = 0").select(*POINT, "iteration", "r.*")
+    seeded = _seed(seed)
+    text = [F.col("dataset"), F.col("target"), F.col("epsilon").cast("string"), F.col("cap").cast("string")]
+    parts = chosen.select(*POINT).distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // DRAWS_EACH))))
+    if times > DRAWS_EACH:
+        parts = parts.repartition(*POINT, "part")
+    own = F.sequence(F.col("part") * DRAWS_EACH, F.least((F.col("part") + 1) * DRAWS_EACH, F.lit(times)) - 1)
+    spots = F.transform(own, lambda i: F.struct(uniform(seeded, *text, i.cast("string")).alias("u"), i.cast("int").alias("iteration")))
+    return _looked_up(parts.select(*POINT, spots.alias("spots")), chosen, "iteration")
+
+
+def draw_for(requests: DataFrame, chosen: DataFrame, key: str, seed: int | None = None) -> DataFrame:
+    """(..., key, mask, ...): an own draw for each request (key, dataset, target); ``chosen`` holds one point for each model.
+
+    The uniforms are md5 of (seed, dataset, target, key). Requests meet their model's distribution in groups dealt by the
+    key's hash, of about DRAWS_EACH rows, whatever the share of one model.
+    """
+    deal = max(1, -(-requests.count() // DRAWS_EACH))
+    u = uniform(_seed(seed), F.col("dataset"), F.col("target"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    points_ = chosen.select(*POINT).distinct()
+    rows = requests.select(key, "dataset", "target", u.alias("u")).join(F.broadcast(points_), ["dataset", "target"])  # a row for each model
+    asked = rows.groupBy(*POINT, F.pmod(F.xxhash64(key), F.lit(deal)).alias("part")).agg(F.collect_list(F.struct("u", key)).alias("spots"))
+    return _looked_up(asked, chosen, key)
+
+
+@lru_cache(maxsize=4096)
+def _smallest(zone: int, tbit: int, edges: tuple[int, ...]) -> tuple[int, int, int]:
+    return smallest_masks(zone, tbit, np.array(edges, np.int64))
 
 
 def minimal_masks(model: DataFrame) -> DataFrame:
-    """(dataset, target, mask, mask_size, n, n_optima, names): a smallest mask from which closure can't reach the target.
+    """(all columns of the model but tbit and edges, mask, mask_size, n_optima; names: the mask's): a smallest mask from which closure can't reach the target.
 
-    All masks are tried by size (zones are at most 20 attributes); the least one by number stands for the optima. It solves the same
-    problem as the integer program that ``program_lines`` writes. A zone without a safe mask is an error.
+    A row for each row of ``model``, so per-key models of ``time_filtered`` keep their keys. Masks are tried by size (zones are at
+    most 20 attributes); the least one by number stands for the optima. It solves the same problem as the integer program
+    that ``program_lines`` writes. A zone without edges needs no mask.
     """
-    rows = powerset(model)
-    known = F.bitwise_not(F.col("mask")).bitwiseAND(F.col("tbit") - 1)
-    safe = rows.filter(closure(known, F.col("edges"), F.col("n")).bitwiseAND(F.col("tbit")) == 0)
-    best = safe.groupBy("dataset", "target").agg(F.min(F.struct("mask_size", "mask")).alias("best"))
-    sizes = safe.groupBy("dataset", "target", "mask_size").agg(F.count(F.lit(1)).alias("n_optima"))
-    out = model.select("dataset", "target", "names", "n").join(best.select("dataset", "target", "best.*"), ["dataset", "target"]).join(sizes, ["dataset", "target", "mask_size"])
-    return out.select("dataset", "target", "mask", "mask_size", "n", "n_optima", bits_to_names(F.col("mask"), F.col("names")).alias("names"))
+    large = model.filter(F.col("n") > MOST_ZONE).select("dataset", "n").first()
+    if large is not None:
+        raise LeakageError(f"the zone of {large.dataset} has {large.n} attributes; at most {MOST_ZONE} can be searched")
+    lead = [c for c in model.columns if c not in ("tbit", "edges", "names", "n")]
+    rows = model.select(*lead, "names", "n", "tbit", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["mask"]))).alias("unique"))
+    kept = rows.drop("tbit", "unique").schema
+    out = [*kept.names, "mask", "mask_size", "n_optima"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zone, tbit, edges = (batch.column(len(lead) + k).to_pylist() for k in (1, 2, 3))
+            found = [_smallest(z, t, tuple(e)) for z, t, e in zip(zone, tbit, edges, strict=True)]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(lead) + 2], *columns], names=out)
+
+    schema = T.StructType([*kept.fields, T.StructField("mask", T.LongType()), T.StructField("mask_size", T.IntegerType()), T.StructField("n_optima", T.LongType())])
+    return rows.mapInArrow(run, schema).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
 
 
 def program_lines(model: DataFrame) -> DataFrame:

@@ -8,35 +8,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions.expressions import hashed_number, holds, valid
+from veilgraph.store import Scratch
 
 Predicate = tuple[int, str, str, int, str]
+#: So many keys and numbers (about 16 bytes each) are sent to every task at most.
+MOST_SENT = 2_000_000
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Adds rn, a dense number from 0 by key. Ranges are sorted apart and placed by their sizes; no task sees all rows."""
-    dealt = rows.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
+def numbered(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(key, rn): the distinct non-null keys with a dense number from 0 in their order. No task sees all of them.
+
+    Ranges of keys are sorted apart and written, so that the ranges that are counted are the very ranges that are placed; only the
+    key column is read, moved and written.
+    """
+    dealt = rows.select(key).filter(F.col(key).isNotNull()).repartitionByRange(key).dropDuplicates([key]).sortWithinPartitions(key)
+    place = F.monotonically_increasing_id()
+    dealt = scratch.put(dealt.select(key, F.shiftright(place, 33).alias("__p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")), "numbered")
     sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = dealt.join(F.broadcast(sizes.select("__p", before.alias("__base"))), "__p")  # a row for each range
-    return placed.withColumn("rn", F.col("__i") + F.col("__base")).drop("__p", "__i", "__base")
+    return placed.select(key, (F.col("__i") + F.col("__base")).alias("rn"))
 
 
 def sample_pairs(rows: DataFrame, key: str, size: int, seed: int = 7) -> DataFrame:
     """``size`` ordered pairs of different rows, uniform and repeatable: (pair, l_*, r_*).
 
-    Pair p takes the rows whose numbers are md5 of (seed, p) modulo n, and one of the n - 1 others. Two joins on row
-    numbers fetch the rows; at most twice the sample's size of them move.
+    Pair p takes the rows whose numbers are md5 of (seed, p) modulo n, and one of the n - 1 others. ``key`` names the rows: those
+    without a key take no part, and of several with one key any stands for all. The keys are numbered alone; the rows
+    are read once more for the at most 2 * size keys that were drawn, which are sent to every task if they are few.
     """
     spark = rows.sparkSession
-    n = rows.count()
+    scratch = Scratch(spark)
+    own = numbered(rows, key, scratch)
+    n = own.count()
     if n < 2:
         raise ValueError("a pair needs two rows")
-    names = rows.columns
-    own = numbered(rows, key)
     left = F.pmod(hashed_number(F.lit(str(seed)), F.lit("l"), F.col("pair").cast("string")), F.lit(n))
     step = F.pmod(hashed_number(F.lit(str(seed)), F.lit("r"), F.col("pair").cast("string")), F.lit(n - 1)) + 1
     ids = spark.range(size).select(F.col("id").alias("pair")).withColumn("i", left).withColumn("j", F.pmod(F.col("i") + step, F.lit(n)))
-    side = lambda p: own.select(F.col("rn").alias(f"{p}rn"), *[F.col(c).alias(f"{p}{c}") for c in names])
+    some = F.broadcast if size <= MOST_SENT // 2 else lambda df: df
+    drawn = own.join(some(ids.select(F.col("i").alias("rn")).union(ids.select("j")).distinct()), "rn")
+    drawn = scratch.put(drawn, "drawn")
+    picked = scratch.put(rows.join(some(drawn), key).dropDuplicates([key]), "picked")
+    side = lambda p: picked.select(F.col("rn").alias(f"{p}rn"), *[F.col(c).alias(f"{p}{c}") for c in rows.columns])
     return ids.join(side("l_"), F.col("i") == F.col("l_rn")).join(side("r_"), F.col("j") == F.col("r_rn")).drop("i", "j", "l_rn", "r_rn")
 
 

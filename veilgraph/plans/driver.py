@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,9 @@ from veilgraph.operators import deletion, dependencies, hypergraph, leakage, mec
 from veilgraph.sources import constraints
 from veilgraph.store import Scratch
 
-SMALL = ("airport", "hospital", "tax")
-PAIRS = 20_000
-ALL_PAIRS = 300_000
+#: Pairs and rows of the samples that the statistics are made from.
+PAIRS = 300_000
+SAMPLE = 1000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,19 +47,11 @@ JSON_DCS = [
 ]
 
 
-def query(sql: str | None = None, *, five: bool = False, full: tuple[int, int] | None = None):
-    """Registers a query under its function's name. ``five``: NAME_five runs it on all five catalogs, which are too many for the recursive SQL.
-
-    ``full``: two sample sizes; NAME_full runs query and SQL on a sample of the second instead of the first.
-    """
+def query(sql: str | None = None):
+    """Registers a query, and the SQL that gives its rows, under the function's name."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if five:
-            QUERIES[f"{f.__name__}_five"] = partial(f, datasets=constraints.DATASETS)
-        if full:
-            QUERIES[f"{f.__name__}_full"] = partial(f, size=full[1])
-            ORACLES[f"{f.__name__}_full"] = re.sub(rf"\b{full[0]}\b", str(full[1]), sql)
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f
@@ -212,13 +204,13 @@ def zone_closure(spark, sf_dir):
     return z.select("dataset", "target", F.array_join("names", ",").alias("names"), F.size("names").cast("long").alias("n"), F.size("edges").cast("long").alias("n_edges"))
 
 
-@query(f"""WITH {edges_sql(("airport",))}, {MASKS_SQL} SELECT mask, eid, bit_count(em & (mask | t)) < 2 AS unblocked, (em & t != 0 AND em & mask = 0) AS infers_target FROM mk JOIN e USING (ds)""")
+@query(f"""WITH {edges_sql(constraints.DATASETS)}, {MASKS_SQL} SELECT ds AS dataset, mask, eid, bit_count(em & (mask | t)) < 2 AS unblocked, (em & t != 0 AND em & mask = 0) AS infers_target FROM mk JOIN e USING (ds)""")
 def edge_active(spark, sf_dir):
-    """Which edges deletion blocks, and which infer the target from what is left."""
-    model, _ = _model(spark, ("airport",))
-    rows = leakage.powerset(model).select("mask", "tbit", F.explode("edges").alias("e"))
+    """Which edges deletion blocks, and which infer the target from what is left, for all masks of the five catalogs."""
+    model, _ = _model(spark, constraints.DATASETS)
+    rows = leakage.powerset(model).select("dataset", "mask", "tbit", F.explode("edges").alias("e"))
     known = F.bitwise_not(F.col("mask").bitwiseOR(F.col("tbit")))
-    return rows.select("mask", "e.eid", hypergraph.unblocked(F.col("e.mask"), F.col("mask"), F.col("tbit")).alias("unblocked"), hypergraph.active(F.col("e.mask"), F.col("tbit"), known).alias("infers_target"))
+    return rows.select("dataset", "mask", "e.eid", hypergraph.unblocked(F.col("e.mask"), F.col("mask"), F.col("tbit")).alias("unblocked"), hypergraph.active(F.col("e.mask"), F.col("tbit"), known).alias("infers_target"))
 
 
 @query(f"""WITH {LINES_SQL} SELECT dataset, dc_id, weight FROM c WHERE weight <= 0.25::DOUBLE""")
@@ -283,44 +275,44 @@ STATS_SQL = f"""{PAIRS_SQL}, {_counts_sql()}, bd AS (SELECT *, {_wilson_sql("k0"
   FROM dr QUALIFY row_number() OVER (PARTITION BY dc_id ORDER BY (nE >= 50)::INT DESC, CASE WHEN nE >= 50 THEN base END DESC NULLS LAST, head_j) = 1)"""
 
 
-@query(f"WITH {PAIRS_SQL} SELECT pair, lk AS l_key, rk AS r_key FROM pr", full=(PAIRS, ALL_PAIRS))
-def pair_sample(spark, sf_dir, size=PAIRS):
+@query(f"WITH {PAIRS_SQL} SELECT pair, lk AS l_key, rk AS r_key FROM pr")
+def pair_sample(spark, sf_dir):
     """A repeatable uniform sample of ordered pairs of different orders."""
-    return pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", size).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
+    return pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
 
 
-def _stats(spark, sf_dir, size):
-    sample = pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", size)
+def _stats(spark, sf_dir):
+    sample = pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS)
     return weights.direction_stats(weights.direction_counts(sample, ORDER_DCS))
 
 
-def _best(spark, sf_dir, size):
-    return weights.best_heads(_stats(spark, sf_dir, size), 50)
+def _best(spark, sf_dir):
+    return weights.best_heads(_stats(spark, sf_dir), 50)
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, m, head_j, nV, k0, k1, nE, round(UCB0, 9) AS UCB0, round(LCB1, 9) AS LCB1, round(base, 9) AS base FROM dr", full=(PAIRS, ALL_PAIRS))
-def dc_direction_stats(spark, sf_dir, size=PAIRS):
+@query(f"WITH {STATS_SQL} SELECT dc_id, m, head_j, nV, k0, k1, nE, round(UCB0, 9) AS UCB0, round(LCB1, 9) AS LCB1, round(base, 9) AS base FROM dr")
+def dc_direction_stats(spark, sf_dir):
     """Counts, Wilson bounds and base of each constraint and head, from one pass over the pairs."""
-    s = _stats(spark, sf_dir, size)
+    s = _stats(spark, sf_dir)
     return s.withColumns({c: F.round(c, 9) for c in ("UCB0", "LCB1", "base")})
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, m, nV, best_head_j, nE_best, round(best_base, 9) AS best_base FROM be", full=(PAIRS, ALL_PAIRS))
-def dc_best_head(spark, sf_dir, size=PAIRS):
+@query(f"WITH {STATS_SQL} SELECT dc_id, m, nV, best_head_j, nE_best, round(best_base, 9) AS best_base FROM be")
+def dc_best_head(spark, sf_dir):
     """The best head of each constraint."""
-    return _best(spark, sf_dir, size).select("dc_id", "m", "nV", "best_head_j", "nE_best", F.round("best_base", 9).alias("best_base"))
+    return _best(spark, sf_dir).select("dc_id", "m", "nV", "best_head_j", "nE_best", F.round("best_base", 9).alias("best_base"))
 
 
-@query(f"WITH {STATS_SQL} SELECT dc_id, g AS gamma, replace(printf('%.2f', g), '.', 'p') AS tag, round(greatest(0.0::DOUBLE, best_base - g), 9) AS weight FROM be, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) v(g)", full=(PAIRS, ALL_PAIRS))
-def dc_weights_gamma(spark, sf_dir, size=PAIRS):
+@query(f"WITH {STATS_SQL} SELECT dc_id, g AS gamma, replace(printf('%.2f', g), '.', 'p') AS tag, round(greatest(0.0::DOUBLE, best_base - g), 9) AS weight FROM be, (VALUES (0.25::DOUBLE), (0.5::DOUBLE)) v(g)")
+def dc_weights_gamma(spark, sf_dir):
     """Weights above each threshold."""
-    return weights.with_gammas(_best(spark, sf_dir, size)).select("dc_id", "gamma", X.gamma_tag(F.col("gamma")).alias("tag"), F.round("weight", 9).alias("weight"))
+    return weights.with_gammas(_best(spark, sf_dir)).select("dc_id", "gamma", X.gamma_tag(F.col("gamma")).alias("tag"), F.round("weight", 9).alias("weight"))
 
 
-@query(f"WITH {STATS_SQL} SELECT g AS gamma, count(*) AS n_dcs, count(*) FILTER (best_base - g > 0) AS n_kept FROM be, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(g) GROUP BY g", full=(PAIRS, ALL_PAIRS))
-def gamma_sweep(spark, sf_dir, size=PAIRS):
+@query(f"WITH {STATS_SQL} SELECT g AS gamma, count(*) AS n_dcs, count(*) FILTER (best_base - g > 0) AS n_kept FROM be, (VALUES (0.05::DOUBLE), (0.1::DOUBLE), (0.15::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) v(g) GROUP BY g")
+def gamma_sweep(spark, sf_dir):
     """How many constraints keep a weight at each threshold."""
-    return weights.gamma_sweep(_best(spark, sf_dir, size))
+    return weights.gamma_sweep(_best(spark, sf_dir))
 
 
 @query(f"WITH {LINES_SQL} SELECT dataset, count(*) AS n_dcs, count(*) FILTER (weight > 0.25) AS n_heavy, round(avg(weight), 9) AS mean_weight FROM c WHERE weight > 0 GROUP BY dataset")
@@ -377,7 +369,7 @@ def info_gain(spark, sf_dir):
     return dependencies.information_gain(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus").select(*[F.round(c, 6).alias(c) for c in ("h_rhs", "h_given", "gain")])
 
 
-DD_SQL = """p AS (SELECT * FROM part ORDER BY md5(p_partkey::VARCHAR), p_partkey LIMIT 300),
+DD_SQL = f"""p AS (SELECT * FROM part ORDER BY md5(p_partkey::VARCHAR), p_partkey LIMIT {SAMPLE}),
  q AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.p_size AS xs, y.p_size AS ys, x.p_retailprice AS xp, y.p_retailprice AS yp, x.p_brand AS xb, y.p_brand AS yb FROM p x JOIN p y ON x.p_partkey < y.p_partkey)"""
 
 
@@ -385,24 +377,24 @@ def _parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
 
 
-@query(f"WITH {DD_SQL} SELECT a AS l_key, b AS r_key, round(sqrt((xs - ys) * (xs - ys)::DOUBLE + CASE WHEN xb = yb THEN 0 ELSE 1 END), 9) AS d FROM q", full=(300, 1000))
-def dd_distance(spark, sf_dir, size=300):
+@query(f"WITH {DD_SQL} SELECT a AS l_key, b AS r_key, round(sqrt((xs - ys) * (xs - ys)::DOUBLE + CASE WHEN xb = yb THEN 0 ELSE 1 END), 9) AS d FROM q")
+def dd_distance(spark, sf_dir):
     """Distances over a number and a text, of all pairs of a bounded sample."""
-    some = dependencies.sample_distances(_parts(spark, sf_dir).withColumn("key", F.col("p_partkey")), "p_partkey", ["key", "p_size", "p_brand"], size)
+    some = dependencies.sample_distances(_parts(spark, sf_dir).withColumn("key", F.col("p_partkey")), "p_partkey", ["key", "p_size", "p_brand"], SAMPLE)
     d = dependencies.distance(some, ["p_size", "p_brand"])
     return some.select(F.col("l_key"), F.col("r_key"), F.round(d, 9).alias("d"))
 
 
-@query(f"WITH {DD_SQL} SELECT round((quantile_cont(abs(xs - ys)::DOUBLE, 0.25) + quantile_cont(abs(xp - yp), 0.25)) / 2, 6) AS theta FROM q", full=(300, 1000))
-def dd_threshold(spark, sf_dir, size=300):
+@query(f"WITH {DD_SQL} SELECT round((quantile_cont(abs(xs - ys)::DOUBLE, 0.25) + quantile_cont(abs(xp - yp), 0.25)) / 2, 6) AS theta FROM q")
+def dd_threshold(spark, sf_dir):
     """The mean first quartile of two columns' distances."""
-    return dependencies.threshold(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], size).select(F.round("theta", 6).alias("theta"))
+    return dependencies.threshold(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], SAMPLE).select(F.round("theta", 6).alias("theta"))
 
 
-@query(f"WITH {DD_SQL}, s AS (SELECT count(*) FILTER (abs(xs - ys) <= 5) AS n_close, count(*) FILTER (abs(xs - ys) <= 5 AND abs(xp - yp) <= 100) AS n_both FROM q) SELECT n_close, n_both, round(n_both / n_close::DOUBLE, 9) AS support, n_both / n_close::DOUBLE >= 0.9 AS valid FROM s", full=(300, 1000))
-def dd_support(spark, sf_dir, size=300):
+@query(f"WITH {DD_SQL}, s AS (SELECT count(*) FILTER (abs(xs - ys) <= 5) AS n_close, count(*) FILTER (abs(xs - ys) <= 5 AND abs(xp - yp) <= 100) AS n_both FROM q) SELECT n_close, n_both, round(n_both / n_close::DOUBLE, 9) AS support, n_both / n_close::DOUBLE >= 0.9 AS valid FROM s")
+def dd_support(spark, sf_dir):
     """How often parts close in size are close in price."""
-    some = dependencies.sample_distances(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], size)
+    some = dependencies.sample_distances(_parts(spark, sf_dir), "p_partkey", ["p_size", "p_retailprice"], SAMPLE)
     return dependencies.differential_support(some, ["p_size"], ["p_retailprice"], 5.0, 100.0).withColumn("support", F.round("support", 9))
 
 
@@ -426,7 +418,7 @@ def leak_direct(spark, sf_dir):
 _TEMPLATES: dict[tuple[str, tuple[str, ...]], tuple[DataFrame, Scratch, DataFrame]] = {}
 
 
-def _leakage(spark, datasets=SMALL):
+def _leakage(spark, datasets=constraints.DATASETS):
     """A model with its leakage table, built once in a session: it depends on no budget, cap or penalty."""
     key = (spark.sparkContext.applicationId, datasets)
     if key not in _TEMPLATES:
@@ -439,31 +431,31 @@ GREEDY_SQL = """gr AS (SELECT ds, mask, count(*) AS num, count(*) FILTER (lvl =
   1 - list_reduce(list(struct_pack(used := inf::BIGINT, lft := w) ORDER BY -w, bit_count(inf), lvl, rank, eid, inf), lambda s, c: CASE WHEN s.used & c.used = 0 THEN struct_pack(used := s.used | c.used, lft := s.lft * (1 - c.lft)) ELSE s END, struct_pack(used := 0::BIGINT, lft := 1.0::DOUBLE)).lft AS gre
   FROM ch GROUP BY ds, mask),
  lk AS (SELECT k.ds, k.n, k.t, k.mask, bit_count(k.mask)::INTEGER AS sz, coalesce(num, 0) AS num, coalesce(act, 0) AS act, coalesce(mx, 0.0::DOUBLE) AS mx, coalesce(nor, 0.0::DOUBLE) AS nor, coalesce(gre, 0.0::DOUBLE) AS gre FROM mk k LEFT JOIN gr ON gr.ds = k.ds AND gr.mask = k.mask)"""
-LEAK_SQL = f"WITH {_chains_sql(SMALL)}, {GREEDY_SQL}"
+LEAK_SQL = f"WITH {_chains_sql(constraints.DATASETS)}, {GREEDY_SQL}"
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, num AS num_chains, act AS active_chains, num - act AS blocked_chains FROM lk", five=True)
-def chain_counts(spark, sf_dir, datasets=SMALL):
-    """Chains of every mask of three catalogs."""
-    return _leakage(spark, datasets)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, num AS num_chains, act AS active_chains, num - act AS blocked_chains FROM lk")
+def chain_counts(spark, sf_dir):
+    """Chains of every mask of the five catalogs."""
+    return _leakage(spark)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(gre, 9) AS leakage FROM lk", five=True)
-def leak_greedy(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(gre, 9) AS leakage FROM lk")
+def leak_greedy(spark, sf_dir):
     """Leakage over a greedy set of chains that infer different cells."""
-    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
+    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(nor, 9) AS leakage FROM lk", five=True)
-def leak_noisy_or(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(nor, 9) AS leakage FROM lk")
+def leak_noisy_or(spark, sf_dir):
     """Leakage over all chains."""
-    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
+    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
 
 
-@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(mx, 9) AS leakage FROM lk", five=True)
-def leak_max(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(mx, 9) AS leakage FROM lk")
+def leak_max(spark, sf_dir):
     """The weight of the best unblocked chain."""
-    return _leakage(spark, datasets)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
+    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
 
 
 @query()
@@ -474,7 +466,7 @@ def leak_ie2(spark, sf_dir):
 
 
 def _names_sql(mask: str, ds: str) -> str:
-    cases = " ".join(f"WHEN '{d}' THEN concat_ws('|', {', '.join(f'CASE WHEN {mask} & {1 << i} != 0 THEN {chr(39)}{a}{chr(39)} END' for i, a in enumerate(plain_model(d)[0]))})" for d in SMALL)
+    cases = " ".join(f"WHEN '{d}' THEN concat_ws('|', {', '.join(f'CASE WHEN {mask} & {1 << i} != 0 THEN {chr(39)}{a}{chr(39)} END' for i, a in enumerate(plain_model(d)[0]))})" for d in constraints.DATASETS)
     return f"CASE {ds} {cases} END"
 
 
@@ -506,21 +498,21 @@ def _at(spark):
     return spark.createDataFrame(list(POINTS), "epsilon double, cap double")
 
 
-def _em(spark, datasets=SMALL):
-    model, _, t = _leakage(spark, datasets)
+def _em(spark):
+    model, _, t = _leakage(spark)
     return mechanisms.probabilities(mechanisms.all_mask_candidates(t, model), _at(spark))
 
 
-@query(f"{EM_SQL} SELECT ds AS dataset, mask, eps AS epsilon, cap, u AS utility, round(p, 9) AS p FROM em", five=True)
-def em_probabilities(spark, sf_dir, datasets=SMALL):
+@query(f"{EM_SQL} SELECT ds AS dataset, mask, eps AS epsilon, cap, u AS utility, round(p, 9) AS p FROM em")
+def em_probabilities(spark, sf_dir):
     """The exponential mechanism over all masks at three points."""
-    return _em(spark, datasets).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
+    return _em(spark).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
 
 
-@query(f"{EM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM em GROUP BY ALL", five=True)
-def em_expected(spark, sf_dir, datasets=SMALL):
+@query(f"{EM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM em GROUP BY ALL")
+def em_expected(spark, sf_dir):
     """Expected mask size and leakage."""
-    return mechanisms.expected(_em(spark, datasets)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
+    return mechanisms.expected(_em(spark)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
 TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constraints.TARGETS.items()) + " END"
@@ -528,14 +520,14 @@ TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constrai
 
 @query(f"""{EM_SQL}, cd AS (SELECT *, sum(p) OVER (PARTITION BY ds, eps, cap ORDER BY sz, mask ROWS UNBOUNDED PRECEDING) AS hi FROM em),
  dw AS (SELECT ds, eps, cap, it, ({_hash_sql("'7'", "ds", TARGET_SQL, "eps::VARCHAR", "cap::VARCHAR", "it::VARCHAR")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT ds, eps, cap FROM em), (SELECT unnest(range(0, 50)) AS it))
- SELECT dw.ds AS dataset, dw.eps AS epsilon, dw.cap, it::INTEGER AS iteration, arg_min(cd.mask, (cd.hi, cd.sz, cd.mask)) AS mask FROM dw JOIN cd ON cd.ds = dw.ds AND cd.eps = dw.eps AND cd.cap = dw.cap AND cd.p > 1e-15 AND cd.hi >= dw.u GROUP BY ALL""", five=True)
-def em_sample(spark, sf_dir, datasets=SMALL):
+ SELECT dw.ds AS dataset, dw.eps AS epsilon, dw.cap, it::INTEGER AS iteration, arg_min(cd.mask, (cd.hi, cd.sz, cd.mask)) AS mask FROM dw JOIN cd ON cd.ds = dw.ds AND cd.eps = dw.eps AND cd.cap = dw.cap AND cd.p > 1e-15 AND cd.hi >= dw.u GROUP BY ALL""")
+def em_sample(spark, sf_dir):
     """50 repeatable draws at each point."""
-    return mechanisms.draw(_em(spark, datasets), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
+    return mechanisms.draw(_em(spark), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
 
 
 def _bits_sql(order: str) -> str:
-    names = ", ".join(f"('{d}', {i}, '{a}', {1 << i}::BIGINT)" for d in SMALL for i, a in enumerate(plain_model(d)[0]))
+    names = ", ".join(f"('{d}', {i}, '{a}', {1 << i}::BIGINT)" for d in constraints.DATASETS for i, a in enumerate(plain_model(d)[0]))
     return f"""nm(ds, pos, name, bit) AS (VALUES {names}), od AS (SELECT nm.ds, nm.name, nm.bit, a.gre - b.gre AS gain, row_number() OVER (PARTITION BY nm.ds ORDER BY {order}) AS step FROM nm JOIN lk a ON a.ds = nm.ds AND a.mask = 0 JOIN lk b ON b.ds = nm.ds AND b.mask = nm.bit),
  pf AS (SELECT ds, step, sum(bit) OVER (PARTITION BY ds ORDER BY step)::BIGINT AS mask FROM od UNION ALL SELECT ds, 0, 0 FROM m)"""
 
@@ -543,10 +535,10 @@ def _bits_sql(order: str) -> str:
 GREEDY_ORDER = "round(a.gre - b.gre, 12) DESC, nm.name"
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT ds AS dataset, name, step::INTEGER AS step, round(gain, 9) AS gain FROM od", five=True)
-def gum_order(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT ds AS dataset, name, step::INTEGER AS step, round(gain, 9) AS gain FROM od")
+def gum_order(spark, sf_dir):
     """Cells by how much deleting each alone lowers leakage."""
-    model, _, t = _leakage(spark, datasets)
+    model, _, t = _leakage(spark)
     rows = t.select("dataset", "target", "mask", F.round("leakage_greedy", 15).alias("leakage"))
     prefixes = mechanisms.prefix_masks(model, rows.filter(F.bit_count("mask") <= 1))
     from pyspark.sql import Window
@@ -559,41 +551,41 @@ def gum_order(spark, sf_dir, datasets=SMALL):
     return bits.join(base, "dataset").join(single, ["dataset", "bit"]).join(names, ["dataset", "bit"]).select("dataset", "name", "step", F.round(F.col("l0") - F.col("l1"), 9).alias("gain"))
 
 
-def _gum(spark, datasets=SMALL, ordering="greedy"):
-    model, scratch, t = _leakage(spark, datasets)
+def _gum(spark, ordering="greedy"):
+    model, scratch, t = _leakage(spark)
     return mechanisms.prefix_candidates(model, scratch, t, ordering)
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT pf.ds AS dataset, step::INTEGER AS step, mask, round(gre, 9) AS leakage FROM pf JOIN lk USING (ds, mask)", five=True)
-def gum_prefixes(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT pf.ds AS dataset, step::INTEGER AS step, mask, round(gre, 9) AS leakage FROM pf JOIN lk USING (ds, mask)")
+def gum_prefixes(spark, sf_dir):
     """The prefixes of that order, with their leakage."""
-    return _gum(spark, datasets).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
+    return _gum(spark).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
 
 
 GUM_SQL = f"""gp AS (SELECT pf.ds, lk.n, step, mask, sz, gre, eps, cap, -sz::DOUBLE - CASE WHEN gre > cap THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM pf JOIN lk USING (ds, mask), pt),
  gx AS (SELECT *, exp(eps * u * n / 2 - max(eps * u * n / 2) OVER (PARTITION BY ds, eps, cap)) AS x FROM gp), gq AS (SELECT *, x / sum(x) OVER (PARTITION BY ds, eps, cap) AS p FROM gx)"""
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, mask, round(p, 9) AS p FROM gq", five=True)
-def gum_probabilities(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, mask, round(p, 9) AS p FROM gq")
+def gum_probabilities(spark, sf_dir):
     """The exponential mechanism over the prefixes."""
-    return mechanisms.probabilities(_gum(spark, datasets), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
+    return mechanisms.probabilities(_gum(spark), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
 
 
-@query(f"{LEAK_SQL}, {_bits_sql('nm.pos')}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL", five=True)
-def gum_ablation_zero(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL}, {_bits_sql('nm.pos')}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
+def gum_ablation_zero(spark, sf_dir):
     """What the order by name gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, datasets, "zero"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "zero"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
 _RANDOM_ORDER = f"{_hash_sql(chr(39) + '7' + chr(39), 'nm.name')}, nm.name"
 
 
-@query(f"{LEAK_SQL}, {_bits_sql(_RANDOM_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL", five=True)
-def gum_ablation_random(spark, sf_dir, datasets=SMALL):
+@query(f"{LEAK_SQL}, {_bits_sql(_RANDOM_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
+def gum_ablation_random(spark, sf_dir):
     """What a random order gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, datasets, "random"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "random"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
@@ -627,15 +619,46 @@ def mask_to_null(spark, sf_dir):
     return deletion.mask_to_null(c, ask.union(more), "c_custkey")
 
 
-@query(f"""WITH {edges_sql(("airport",))}, k AS (SELECT c_custkey AS key, c_custkey % 3 AS t0, c_custkey % 5 AS tt FROM customer),
- b AS (SELECT key, (CASE WHEN t0 >= tt THEN 2 ELSE 0 END) | (CASE WHEN 0 >= tt THEN {(1 << 6) - 1 - 2} ELSE 0 END) | 64 AS late FROM k)
- SELECT key, count(*) FILTER (bit_count(em & late) > 1) AS n_edges, coalesce(sum(bit_count(em & late)) FILTER (bit_count(em & late) > 1), 0)::BIGINT AS n_members FROM b, e GROUP BY key""")
+def _late_sql() -> str:
+    """The bits of each catalog's cells that are at least as new as the target, for the times of ``_times``."""
+    cases = []
+    for d in constraints.DATASETS:
+        bits = " | ".join(f"(CASE WHEN key % {i + 2} >= tt THEN {1 << i} ELSE 0 END)" for i, _ in enumerate(plain_model(d)[0]))
+        cases.append(f"WHEN '{d}' THEN {bits} | {1 << len(plain_model(d)[0])}")
+    return "CASE ds " + " ".join(cases) + " END"
+
+
+LATE_SQL = f"""{edges_sql(constraints.DATASETS)}, k AS (SELECT c_custkey AS key, c_custkey % 5 AS tt, ds, n FROM customer, m), b AS (SELECT key, ds, n, {_late_sql()} AS late FROM k),
+ lt AS (SELECT b.key, b.ds, b.n, e.eid, em & late AS em FROM b JOIN e ON e.ds = b.ds WHERE bit_count(em & late) > 1)"""
+
+
+def _times(spark, sf_dir, model):
+    """(dataset, key, times): for each customer and catalog attribute i's time, key % (i + 2), and the target's, key % 5."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(F.broadcast(model.select("dataset", "target", "names")))
+    own = F.map_from_arrays(F.concat("names", F.array("target")), F.concat(F.transform("names", lambda _, i: F.col("key") % (i + 2)), F.array(F.col("key") % 5)))
+    return keys.select("dataset", "key", own.alias("times"))
+
+
+@query(f"""WITH {LATE_SQL} SELECT b.ds AS dataset, b.key, count(lt.eid) AS n_edges, coalesce(sum(bit_count(lt.em)), 0)::BIGINT AS n_members FROM b LEFT JOIN lt ON lt.key = b.key AND lt.ds = b.ds GROUP BY ALL""")
 def insertion_time_filter(spark, sf_dir):
-    """Edges left when members older than the target don't count."""
-    model, _ = _model(spark, ("airport",))
-    times = table(spark, sf_dir, "customer").select(F.lit("airport").alias("dataset"), F.col("c_custkey").alias("key"), F.create_map(F.lit("iso_country"), F.col("c_custkey") % 3, F.lit("continent"), F.col("c_custkey") % 5).alias("times"))
-    out = hypergraph.time_filtered(model, times)
-    return out.select("key", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e["mask"])).alias("n_members"))
+    """Edges left when members older than the target don't count, for every customer and catalog."""
+    model, _ = _model(spark, constraints.DATASETS)
+    out = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
+    return out.select("dataset", "key", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e["mask"])).alias("n_members"))
+
+
+@query(f"""WITH RECURSIVE {LATE_SQL}, st AS (SELECT ds, late, list_sort(list_distinct(list(em & late))) AS ed FROM (SELECT DISTINCT ds, late FROM b) JOIN e USING (ds) WHERE bit_count(em & late) > 1 GROUP BY ALL),
+ md AS (SELECT row_number() OVER () AS g, ds, n, t, ed FROM (SELECT DISTINCT st.ds, m.n, m.t, ed FROM st JOIN m ON m.ds = st.ds)),
+ cl(g, n, t, ed, mask, k, i) AS (SELECT g, n, t, ed, mask, ~mask & (t - 1), 0 FROM (SELECT *, unnest(range(0, t))::BIGINT AS mask FROM md)
+  UNION ALL SELECT g, n, t, ed, mask, list_reduce(ed, lambda s, x: CASE WHEN bit_count(x & ~s) = 1 THEN s | x ELSE s END, k), i + 1 FROM cl WHERE i <= n),
+ sf AS (SELECT g, bit_count(mask)::INTEGER AS sz FROM cl WHERE i = n + 1 AND k & t = 0),
+ bs AS (SELECT g, min(sz) AS mask_size, count(*) FILTER (sz = (SELECT min(sz) FROM sf y WHERE y.g = sf.g)) AS n_optima FROM sf GROUP BY g)
+ SELECT b.ds AS dataset, b.key, coalesce(mask_size, 0)::INTEGER AS mask_size, coalesce(n_optima, 1) AS n_optima FROM b LEFT JOIN st ON st.ds = b.ds AND st.late = b.late LEFT JOIN md ON md.ds = st.ds AND md.ed = st.ed LEFT JOIN bs USING (g)""")
+def min_deletion_by_time(spark, sf_dir):
+    """The smallest safe mask of each customer's row, given its cells' insertion times, for the five catalogs."""
+    model, _ = _model(spark, constraints.DATASETS)
+    timed = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
+    return mechanisms.minimal_masks(timed).select("dataset", "key", "mask_size", "n_optima")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|' || '42'), o_orderkey LIMIT 1")
@@ -699,10 +722,10 @@ def main_metrics(spark, sf_dir):
 
 
 @query(f"""{LEAK_SQL} SELECT ds AS dataset, sz AS mask_size, count(*) AS n, round(100 * avg(nor), 6) AS mean_leakage_noisy_or, round(100 * avg(gre), 6) AS mean_leakage_greedy, round(100 * avg(mx), 6) AS mean_leakage_max,
- round(100 * coalesce(stddev_samp(nor), 0), 6) AS std_leakage_noisy_or, round(100 * coalesce(stddev_samp(gre), 0), 6) AS std_leakage_greedy, round(100 * coalesce(stddev_samp(mx), 0), 6) AS std_leakage_max FROM lk GROUP BY ALL""", five=True)
-def leak_by_size(spark, sf_dir, datasets=SMALL):
+ round(100 * coalesce(stddev_samp(nor), 0), 6) AS std_leakage_noisy_or, round(100 * coalesce(stddev_samp(gre), 0), 6) AS std_leakage_greedy, round(100 * coalesce(stddev_samp(mx), 0), 6) AS std_leakage_max FROM lk GROUP BY ALL""")
+def leak_by_size(spark, sf_dir):
     """Three estimators by mask size."""
-    return _rounded(report.leakage_by_size(_leakage(spark, datasets)[2]))
+    return _rounded(report.leakage_by_size(_leakage(spark)[2]))
 
 
 @query(f"""WITH {RUNS_SQL}, g AS (SELECT dataset, L0, epsilon_m, avg(100 * (least - mask_size)::DOUBLE / least) AS i FROM r JOIN mn USING (dataset) WHERE method = 'exp' GROUP BY ALL)
@@ -740,15 +763,48 @@ def interpolation(spark, sf_dir):
     return report.interpolated(known, wanted, "x", "y", "curve").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
-def sweep(spark, sf_dir):
-    """Run records of all methods at all 110 points, 100 draws each, for all five catalogs."""
+def _sweep(spark):
     from veilgraph.operators.sweep import run_sweep
 
-    model, scratch, t = _leakage(spark, constraints.DATASETS)
+    model, scratch, t = _leakage(spark)
     return run_sweep(model, t, scratch, orderings=mechanisms.ORDERINGS)
 
 
+@query()
+def sweep(spark, sf_dir):
+    """Run records of all methods at all 110 points, 100 draws each, for all five catalogs."""
+    return _sweep(spark)
+
+
+def _sweep_sql() -> str:
+    """Expected records by point: distribution functions of all masks and of three orderings' prefixes, met by 100 repeatable draws."""
+    ctes, parts = [], []
+    orders = {"exp": None, "gum": GREEDY_ORDER, "gum_zero": "nm.pos", "gum_random": _RANDOM_ORDER}
+    for k, (method, order) in enumerate(orders.items()):
+        if order is None:
+            ctes.append(f"c{k} AS (SELECT ds, n, mask, sz, gre FROM lk)")
+        else:
+            own = _bits_sql(order)
+            for name in ("nm", "od", "pf"):
+                own = re.sub(rf"\b{name}\b", f"{name}{k}", own)
+            ctes += [own, f"c{k} AS (SELECT pf{k}.ds, n, mask, sz, gre FROM pf{k} JOIN lk USING (ds, mask))"]
+        ctes.append(f"""u{k} AS (SELECT ds, n, mask, sz, gre, epsilon, cap, epsilon * (-sz::DOUBLE - CASE WHEN gre > cap THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END) * n / 2 AS s FROM c{k}, gd),
+ x{k} AS (SELECT *, exp(s - max(s) OVER (PARTITION BY ds, epsilon, cap)) AS x FROM u{k}),
+ p{k} AS (SELECT *, x / sum(x) OVER (PARTITION BY ds, epsilon, cap) AS p FROM x{k}),
+ h{k} AS (SELECT *, sum(p) OVER (PARTITION BY ds, epsilon, cap ORDER BY sz, mask ROWS UNBOUNDED PRECEDING) AS hi FROM p{k}),
+ d{k} AS (SELECT ds, epsilon, cap, ({_hash_sql(f"'{7 if order is None else 8}'", "ds", TARGET_SQL, "epsilon::VARCHAR", "cap::VARCHAR", "it::VARCHAR")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM m, gd, (SELECT unnest(range(0, 100)) AS it)),
+ f{k} AS (SELECT d{k}.ds, d{k}.epsilon, d{k}.cap, sz, gre FROM d{k} ASOF JOIN (SELECT * FROM h{k} WHERE p > 1e-15) h ON h.ds = d{k}.ds AND h.epsilon = d{k}.epsilon AND h.cap = d{k}.cap AND h.hi >= d{k}.u)""")
+        parts.append(f"SELECT '{method}' AS method, ds AS dataset, epsilon AS epsilon_m, cap AS L0, count(*) AS n, sum(sz)::BIGINT AS total_mask, round(avg(gre), 6) AS mean_leakage FROM f{k} GROUP BY ALL")
+    grid = "gd AS (SELECT e / 10.0::DOUBLE AS epsilon, c / 10.0::DOUBLE AS cap FROM range(1, 11) a(e), range(0, 11) b(c))"
+    return f"{LEAK_SQL}, {grid}, {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query(_sweep_sql())
+def sweep_points(spark, sf_dir):
+    """The private methods' records of the sweep by method, catalog and point."""
+    return _sweep(spark).filter("method != 'min'").groupBy("method", "dataset", "epsilon_m", "L0").agg(F.count(F.lit(1)).alias("n"), F.sum("mask_size").alias("total_mask"), F.round(F.avg("leakage"), 6).alias("mean_leakage"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a deletion request: the private mask for its catalog, and the customer's row without the cells asked for."""
     model, _, t = _leakage(spark, ("airport",))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilgraph.store import Scratch
+
 #: The columns of the tables, after their id.
 ADULT = "age int, workclass string, fnlwgt int, education string, education_num int, marital_status string, occupation string, relationship string, race string, sex string, capital_gain int, capital_loss int, hours_per_week int, native_country string, class string"
 AIRPORT = "ident string, type string, name string, latitude_deg double, longitude_deg double, elevation_ft int, continent string, iso_country string, iso_region string, municipality string, scheduled_service string, gps_code string, iata_code string, local_code string, home_link string, wikipedia_link string, keywords string"
@@ -37,9 +39,9 @@ def header_name(raw: str) -> str:
     return words[0].lower().replace("-", "_") if words else ""
 
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, under their plain header names."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("nullValue", "\u0000").option("emptyValue", "").option("multiLine", False).csv(path)
+def _raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, under their plain header names. Where cells may hold line breaks a file can't be split, so each is one task's work."""
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("nullValue", "\u0000").option("emptyValue", "").option("multiLine", multi_line).option("escape", '"').csv(path)
     return df.toDF(*[header_name(c) or f"column{i}" for i, c in enumerate(df.columns)])
 
 
@@ -61,17 +63,14 @@ def _column(df: DataFrame, name: str) -> str:
 
 
 def with_ids(df: DataFrame, schema: str) -> DataFrame:
-    """A dense id from 1 in input order. Ranges of the input are counted first, so no task numbers all rows."""
+    """A dense id from 1 in input order. The rows are written with their places first, so what is counted is what is numbered, and no task numbers all rows."""
     names = [n for n, _ in _fields(schema)]
-    marked = df.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
-    from pyspark.sql import Window
-
-    sizes = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("low"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("__p", (before - F.col("low") + 1).alias("base"))
-    own = Window.partitionBy("__p").orderBy("__m")
-    rank = marked.withColumn("__m", F.row_number().over(own)).join(F.broadcast(base.join(sizes.select("__p", "low"), "__p")), "__p")
-    return rank.select((F.col("__m") + F.col("base") + F.col("low") - 1).cast("int").alias("id"), *names)
+    place = F.monotonically_increasing_id()
+    marked = Scratch(df.sparkSession).put(df.select(*names, F.shiftright(place, 33).alias("__p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")), "rows")
+    sizes = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marked.join(F.broadcast(sizes.select("__p", before.alias("__base"))), "__p")  # a row for each input partition
+    return placed.select((F.col("__i") + F.col("__base") + 1).cast("int").alias("id"), *names)
 
 
 def load_adult(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +82,8 @@ def load_adult(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_airport(spark: SparkSession, path: str) -> DataFrame:
-    """Empty is null from latitude_deg on; the first three columns stay as they are."""
-    raw = _raw(spark, path)
+    """Empty is null from latitude_deg on; the first three columns stay as they are. Quoted cells may hold line breaks."""
+    raw = _raw(spark, path, True)
     cols = []
     for i, (n, k) in enumerate(_fields(AIRPORT)):
         c = _filled(_column(raw, n)) if i >= 3 else _text(_column(raw, n))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from veilgraph.operators.deletion import mask_to_null, requests_from_masks
-from veilgraph.operators.mechanisms import draw
+from veilgraph.operators.mechanisms import draw_for
 
 
 def answer_stream(requests: DataFrame, rows: DataFrame, chosen: DataFrame, model: DataFrame, key: str, target_path: str, checkpoint: str, *, seed: int | None = None) -> StreamingQuery:
@@ -18,15 +18,9 @@ def answer_stream(requests: DataFrame, rows: DataFrame, chosen: DataFrame, model
 
     def batch(part: DataFrame, number: int) -> None:
         part = part.dropDuplicates([key, "dataset", "target"]).persist()
-        n = part.count()
-        if n:
-            from pyspark.sql import Window
-            from pyspark.sql import functions as F
-
-            own = Window.partitionBy("dataset", "target").orderBy(key)
-            asked = part.withColumn("iteration", F.row_number().over(own) - 1)
-            masks = draw(chosen, n, None if seed is None else seed + number).select("dataset", "target", "iteration", "mask")
-            named = requests_from_masks(asked.join(masks, ["dataset", "target", "iteration"]), model, key)
+        if not part.isEmpty():
+            masks = draw_for(part, chosen, key, None if seed is None else seed + number).select(key, "dataset", "target", "mask")
+            named = requests_from_masks(masks, model, key)
             mask_to_null(rows.join(named.select(key), key, "left_semi"), named, key).write.mode("append").parquet(target_path)
         part.unpersist()
 
