@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -44,7 +45,7 @@ def cover(sequences, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [2, 4096])
+@pytest.mark.parametrize("limit", [2, 6, 512])
 def test_bytes_match_brute_force(spark, limit):
     rows = corpus()
     texts = [(r[1] or "").encode() for r in rows]
@@ -57,7 +58,7 @@ def test_bytes_match_brute_force(spark, limit):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [2, 4096])
+@pytest.mark.parametrize("limit", [2, 6, 512])
 def test_words_match_brute_force(spark, limit):
     rows = corpus(4)
     words = [re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode()) for r in rows]
@@ -108,7 +109,7 @@ def test_parts_of_a_long_array_lose_no_window():
     rng = np.random.default_rng(5)
     units = rng.integers(97, 101, 5000, dtype=np.uint8)
     offsets = np.array([0, 0, 30, 1700, 1700, 4900, 5000])
-    plan = Plan(None, 40, 16, None, 1)
+    plan = Plan(None, None, None, 40, 16, None, 1)
     for most in (300, 1 << 20):
         text, start, count, place, _ = runs_of(units, offsets, plan, most)
         windows = {w for s, n in zip(start.tolist(), count.tolist(), strict=True) for w in range(s, s + n)}
@@ -124,3 +125,72 @@ def test_word_hashes_of_a_long_buffer(monkeypatch):
     whole = _text.word_hashes(buf, starts, ends)
     monkeypatch.setattr(_text, "PIECE_BYTES", 1000)
     assert (_text.word_hashes(buf, starts, ends) == whole).all() and len(set(whole.tolist())) == 97
+
+
+@pytest.mark.parametrize("module", ["suffix_dedup", "seed_extend"])
+def test_nothing_is_found_without_the_comparison(spark, monkeypatch, module):
+    """Equal hashes alone settle nothing: where the sort or the extension finds no match, nothing goes."""
+    import importlib
+
+    from veilgraph.llm import _repeats
+
+    owner = importlib.import_module(f"veilgraph.llm.{module}")
+    real = _repeats.repeated_windows
+    blind = lambda docs, plan, scratch, **k: real(docs, replace(plan, compare=lambda group, place, count, contexts: [[] for _ in contexts]), scratch, **k)
+    monkeypatch.setattr(owner, "repeated_windows", blind)
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    for limit in (2, 512):
+        found = owner.suffix_dedup(df, group_limit=limit) if module == "suffix_dedup" else owner.seed_extend_dedup(df, group_limit=limit)
+        assert all(not r.spans for r in found.select("spans").collect())
+
+
+def test_halves_hold_every_window_once():
+    from veilgraph.llm._repeats import Plan, _halves
+
+    plan = Plan(None, None, lambda c, a, b: c[a:b], 40, 16, None, 1)
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        place = int(rng.integers(0, plan.width))
+        count = int(rng.integers(1, place + 2))
+        ctx = rng.integers(0, 256, count - 1 + plan.window, dtype=np.uint8).tobytes()
+        for level in range(1, 7):
+            seen = []
+            for _, _, at, own in _halves(plan, level, 5 << 24 | count << 12 | place, ctx):
+                start, n = at >> 24, (at >> 12) & 4095
+                assert own == ctx[start - 5 : start - 5 + n - 1 + plan.window] and (at & 4095) == place - (start - 5)
+                seen += range(start - 5, start - 5 + n)
+            assert sorted(seen) == list(range(count))
+
+
+def test_halves_meet_by_what_all_their_windows_share():
+    """Contexts with a common window meet in the half of that window, whatever surrounds it."""
+    from veilgraph.llm._repeats import Plan, _halves
+
+    plan = Plan(None, None, lambda c, a, b: c[a:b], 40, 16, None, 1)
+    rng = np.random.default_rng(2)
+    window = rng.integers(0, 256, 40, dtype=np.uint8).tobytes()
+    noise = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    for x in range(plan.width):  # the anchor lies x after the window's start
+        for level in range(1, 7):
+            groups = []
+            for _ in range(5):
+                left, right = int(rng.integers(0, plan.width - x)), int(rng.integers(0, x + 1))
+                ctx, place = noise(left) + window + noise(right), left + x
+                count = left + right + 1
+                groups.append({g for g, _, at, own in _halves(plan, level, count << 12 | place, ctx) if window in own})
+            assert set.intersection(*groups)
+
+
+def test_multikey_quicksort_keeps_what_agrees():
+    from veilgraph.llm.suffix_dedup import _multikey
+
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 3, 3000, dtype=np.uint8).tobytes()
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)).astype(np.uint64)
+    starts = rng.integers(0, 2900, 4000)
+    bucket = np.sort(rng.integers(0, 5, 4000))
+    left, group = _multikey(words, starts, np.arange(4000), bucket, [0, 8])
+    key = lambda i: (bucket[i], raw[starts[i] : starts[i] + 16])
+    count = Counter(map(key, range(4000)))
+    assert sorted(left.tolist()) == [i for i in range(4000) if count[key(i)] > 1]
+    assert len({(int(g), key(i)) for i, g in zip(left, group, strict=True)}) == len(set(group.tolist())) == sum(n > 1 for n in count.values())

@@ -1,16 +1,17 @@
 """Finds every fixed-length window of the corpus that occurs more than once, without a row for each window.
 
-Units are bytes or word hashes. A window of W units belongs to its anchor: the leftmost G-gram in it with the least hash.
+Units are bytes or words. A window of W units belongs to its anchor: the leftmost G-gram in it with the least hash.
 Equal windows have equal anchors at the same place, and the windows of one anchor form a run of neighbours. So:
 
 1. One row for each run: the anchor's hash, and a hash of all that its windows cover. Only anchors whose hash occurs
    twice go on (``groupBy`` with partial sums, then a join whose hot keys AQE can split).
-2. Runs with equal hashes form a class. If it has two members all their windows are repeats. That settles copies of
-   whole texts and the inside of long common passages, and leaves one representative of each class to compare.
-3. Classes with the same anchor can share some of their windows. Their contexts (text around the anchor) meet by anchor
-   and are compared exactly by the caller's method, in groups of at most ``group_limit``. The windows of larger groups
-   are hashed (128 bits), counted with partial sums and joined back, so no task ever holds a large group.
-4. The repeated windows of each document come back to its text.
+2. Runs with equal hashes form a class, of which two members at most go on: a thousand copies cost as much as two.
+3. The members' contexts (the text around the anchor) meet by anchor and are compared unit by unit by the caller's method. What it
+   finds is the result. A class whose two members turn out equal lends all its windows to its other members.
+4. Groups above ``group_limit`` contexts are split by depth first: the windows of a context are halved by their place
+   around the anchor, the windows of a half have more text in common, and contexts meet by that text. Equal halves form
+   classes again, lone ones go, and what is still too large is halved anew, until a half is a single window.
+5. The repeated windows of each document come back to its text.
 
 Rows are told apart by (id, hash of the text). Rows that agree in both repeat each other, as they should.
 """
@@ -41,9 +42,12 @@ Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], list[list[
 
 @dataclass(frozen=True)
 class Plan:
-    """Which windows are looked for. ``units`` turns an array of texts into units and each text's offsets."""
+    """Which windows are looked for. ``units`` turns an array of texts into units to hash and each text's offsets; ``reader`` into
+    a function that gives the content of units a to b as bytes; ``cut`` takes units a to b of such a content."""
 
     units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    reader: Callable[[pa.Array], tuple[np.ndarray, Callable[[int, int], bytes]]]
+    cut: Callable[[bytes, int, int], bytes]
     window: int
     gram: int
     compare: Compare
@@ -162,56 +166,88 @@ def _anchors(texts: DataFrame, plan: Plan, only_hash: bool) -> DataFrame:
     return texts.mapInArrow(run, "kg long, n long" if only_hash else "kg long, sh long, d long, t long, at long")
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """Contexts of the wanted runs; for hot ones a row for each window, with its hash in kg and h2."""
+CONTEXT = "g long, sh long, many boolean, d long, t long, at long, ctx binary"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = ["g", "sh", "many", "d", "t", "at", "ctx"]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
+
+
+def _signed_hash(content: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(content, seed) - (1 << 63)
+
+
+def _halves(plan: Plan, level: int, at: int, ctx: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """(g, sh, at, content) of a context's parts at a level: its windows with x units before the anchor, for each of 2**level ranges of x.
+
+    All windows of a range share the text from its least x before the anchor on, up to where the window of its largest
+    x ends: that text is the new group's key.
+    """
+    start, count, place = at >> 24, (at >> 12) & 4095, at & 4095
+    least = place - count + 1
+    for i in range((least << level) // plan.width, ((place + 1) << level) // plan.width + 1):
+        low, high = -(-i * plan.width >> level), -(-(i + 1) * plan.width >> level) - 1
+        a, b = max(low, least), min(high, place)
+        if a > b:
+            continue
+        shift = place - b
+        own = plan.cut(ctx, shift, shift + b - a + plan.window)
+        common = plan.cut(own, b - low, b - high + plan.window)
+        yield _signed_hash(common, level << 16 | i), _signed_hash(own, b), (start + shift) << 24 | (b - a + 1) << 12 | b, own
+
+
+def _contexts(texts: DataFrame, wanted: DataFrame, plan: Plan, split: bool) -> DataFrame:
+    """The contexts of the wanted runs (g, sh, many, d, t, at), by group; with ``split`` their halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", _PIECE):
-                units, offsets = plan.units(part.column(2))
-                raw, size = units.tobytes(), units.itemsize
+                offsets, content = plan.reader(part.column(2))
                 d, t = part.column(0).to_pylist(), part.column(1).to_pylist()
                 out: list[tuple] = []
                 for i, marks in enumerate(part.column(3)):
                     values = marks.values
-                    at, kg, hot = (values.field(k).to_numpy(zero_copy_only=False) for k in ("at", "kg", "hot"))
+                    at, g, sh, many = (values.field(k).to_numpy(zero_copy_only=False).tolist() for k in ("at", "g", "sh", "many"))
                     base = int(offsets[i])
-                    for a, g, h in zip(at.tolist(), kg.tolist(), hot.tolist(), strict=True):
-                        start, count = base + (a >> 24), (a >> 12) & 4095
-                        if not h:
-                            out.append((g, d[i], t[i], a, raw[start * size : (start + count - 1 + plan.window) * size], None))
-                            continue
-                        for w in range(count):
-                            x = xxhash.xxh3_128_intdigest(raw[(start + w) * size : (start + w + plan.window) * size])
-                            low = x & 0xFFFFFFFFFFFFFFFF
-                            out.append(((x >> 64) - (1 << 63), d[i], t[i], ((a >> 24) + w) << 24 | 1 << 12, None, low - (1 << 63)))
-                        if len(out) > 50_000:
-                            yield _context_batch(out)
-                            out = []
+                    for a, own_g, own_sh, m in zip(at, g, sh, many, strict=True):
+                        start = base + (a >> 24)
+                        ctx = content(start, start + ((a >> 12) & 4095) - 1 + plan.window)
+                        if split:
+                            out += [(x, y, False, d[i], t[i], z, part_) for x, y, z, part_ in _halves(plan, 1, a, ctx)]
+                        else:
+                            out.append((own_g, own_sh, m, d[i], t[i], a, ctx))
+                    if len(out) > 20_000:
+                        yield _batch(out)
+                        out = []
                 if out:
-                    yield _context_batch(out)
-
-    gathered = wanted.groupBy("d", "t").agg(F.collect_set(F.struct("at", "kg", "hot")).alias("marks"))  # as many as the document has runs
-    return texts.join(gathered, ["d", "t"]).select("d", "t", "text", "marks").mapInArrow(run, "kg long, d long, t long, at long, ctx binary, h2 long")
-
+                    yield _batch(out)
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kg", "d", "t", "at", "ctx", "h2"])
+    gathered = wanted.groupBy("d", "t").agg(F.collect_set(F.struct("at", "g", "sh", "many")).alias("marks"))  # as many as the document has runs
+    return texts.join(gathered, ["d", "t"]).select("d", "t", "text", "marks").mapInArrow(run, CONTEXT)
 
 
 def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
-    """Repeated windows among contexts with the same anchor. A task streams its groups; it holds a few at a time."""
+    """(d, t, start, n, g, sh): windows that repeat among contexts of a group; for classes whose members are equal only (g, sh).
+
+    A task streams its groups; it holds a few at a time.
+    """
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        kg = table.column("kg").to_numpy()
-        group = np.concatenate(([0], np.cumsum(kg[1:] != kg[:-1])))
+        g = table.column("g").to_numpy()
+        group = np.concatenate(([0], np.cumsum(g[1:] != g[:-1])))
         start, count, place = _unpack(table.column("at").to_numpy())
+        many, sh = table.column("many").to_numpy(), table.column("sh").to_numpy()
         found = plan.compare(group, place, count, table.column("ctx").to_pylist())
-        rows = [(i, a, n) for i, spans in enumerate(found) for a, n in spans]
-        which = np.array([r[0] for r in rows], np.int64)
-        d, t = (table.column(c).to_numpy()[which] for c in ("d", "t"))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(start[which] + np.array([r[1] for r in rows], np.int64)), pa.array([r[2] for r in rows], pa.int64())], names=["d", "t", "start", "n"])
+        d, t = table.column("d").to_pylist(), table.column("t").to_pylist()
+        rows = []
+        for i, spans in enumerate(found):
+            if many[i] and spans == [(0, int(count[i]))]:
+                rows.append((None, None, None, None, int(g[i]), int(sh[i])))
+            else:
+                rows += [(d[i], t[i], int(start[i]) + a, n, None, None) for a, n in spans]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["d", "t", "start", "n", "g", "sh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -223,8 +259,8 @@ def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
                 if rows < 2048:
                     continue
                 table = pa.Table.from_batches(held)
-                kg = table.column("kg").to_numpy()
-                whole = int(np.searchsorted(kg, kg[-1]))  # the last group may go on
+                g = table.column("g").to_numpy()
+                whole = int(np.searchsorted(g, g[-1]))  # the last group may go on
                 if whole:
                     yield flush(table.slice(0, whole))
                 held = table.slice(whole).to_batches()
@@ -232,36 +268,85 @@ def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
         if rows:
             yield flush(pa.Table.from_batches(held))
 
-    return contexts.repartition("kg").sortWithinPartitions("kg").mapInArrow(run, "d long, t long, start long, n long")
+    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "d long, t long, start long, n long, g long, sh long")
+
+
+def _lent(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(d, t, start, n): all windows of the members of classes that were found equal."""
+    equal = found.filter("g is not null").select("g", "sh").distinct()
+    return members.join(equal, ["g", "sh"]).select("d", "t", F.shiftright("at", 24).alias("start"), F.shiftright("at", 12).bitwiseAND(F.lit(4095).cast("long")).alias("n"))
+
+
+def _classes(rows: DataFrame, *more: str) -> DataFrame:
+    """(g, sh, c, first, last): runs or halves with equal content, their number and two of them."""
+    member = F.struct("d", "t", "at", *more)
+    return rows.groupBy("g", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("first"), F.max(member).alias("last"))
+
+
+def _sized(classes: DataFrame) -> DataFrame:
+    """(g, k): how many contexts of each group would be compared."""
+    return classes.groupBy("g").agg(F.sum(F.least("c", F.lit(2))).alias("k"))
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """One or two rows for each class."""
+    both = F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    return classes.select("g", "sh", (F.col("c") > 1).alias("many"), F.explode(both).alias("m")).select("g", "sh", "many", "m.*")
+
+
+def _halved(rows: DataFrame, plan: Plan, level: int) -> DataFrame:
+    """The halves, at a level, of contexts that are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.to_pydict()
+            out = [(g, sh, False, d, t, at, own) for d, t, a, ctx in zip(columns["d"], columns["t"], columns["at"], columns["ctx"], strict=True) for g, sh, at, own in _halves(plan, level, a, ctx)]
+            if out:
+                yield _batch(out)
+
+    return rows.select("d", "t", "at", "ctx").mapInArrow(run, CONTEXT)
 
 
 def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: str, text_col: str) -> DataFrame:
     """(d, t, spans): for each document with repeats, arrays of (first window, number of windows), in units."""
+    if plan.group_limit < 2:
+        raise ValueError("group_limit must be at least 2")
     texts = docs.select(*identity(docs, id_col, text_col), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") >= plan.window)
     repeated = scratch.put(_anchors(texts, plan, True).groupBy("kg").agg(F.sum("n").alias("n")).filter("n > 1").select("kg"), "anchors")
-    runs = scratch.put(_anchors(texts, plan, False).join(repeated, "kg"), "runs")
+    runs = scratch.put(_anchors(texts, plan, False).join(repeated, "kg").withColumnRenamed("kg", "g"), "runs")
     scratch.drop("anchors")
 
-    classes = scratch.put(runs.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "t", "at")).alias("first")), "classes")
-    groups = scratch.put(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "groups")
-    state = classes.join(groups, "kg", "left").filter("c > 1 or k is not null").select("kg", "sh", "c", "first", F.coalesce("k", F.lit(1)).alias("k"))
-    state = scratch.put(state, "state")
-    scratch.drop("classes", "groups")
-    marks = runs.join(state, ["kg", "sh"]).select(
-        "d", "t", "at", "kg", (F.col("c") > 1).alias("settled"), ((F.col("k") > 1) & ((F.col("c") == 1) | (F.col("first") == F.struct("d", "t", "at")))).alias("open"), (F.col("k") > plan.group_limit).alias("hot")
-    )
-    marks = scratch.put(marks.filter("settled or open"), "marks")
-    scratch.drop("runs", "state")
-
-    contexts = scratch.put(_contexts(texts, marks.filter("open").select("d", "t", "at", "kg", "hot"), plan), "contexts")
-    near = _compared(contexts.filter("ctx is not null").select("kg", "d", "t", "at", "ctx"), plan)
-    hot = contexts.filter("ctx is null").select(F.col("kg").alias("h1"), "h2", "d", "t", "at")
-    counted = scratch.put(hot.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "hot")
-    found = near.union(hot.join(counted, ["h1", "h2"]).select("d", "t", F.shiftright("at", 24), F.lit(1).cast("long")))
-    found = found.union(marks.filter("settled").select("d", "t", F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(F.lit(4095).cast("long"))))
-    spans = scratch.put(found.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("start").alias("start"), F.col("n").alias("n"))).alias("spans")), "spans")
-    scratch.drop("marks", "contexts", "hot")
-    return spans
+    classes = scratch.put(_classes(runs), "classes")
+    hot = scratch.put(_sized(classes).filter(F.col("k") > plan.group_limit).select("g"), "hot")  # at most a row for each group_limit contexts
+    is_hot = not hot.isEmpty()
+    marks = classes
+    if is_hot:
+        # equal members of a hot group still meet, alone; one of them goes on to be split
+        alone = classes.join(hot, "g", "left_semi").filter("c > 1")
+        marks = classes.join(hot, "g", "left_anti").unionByName(alone.withColumn("g", F.xxhash64("g", "sh")))
+    found = scratch.put(_compared(_contexts(texts, _members(marks), plan, False), plan), "found0")
+    members = runs if not is_hot else runs.join(hot, "g", "left_anti").unionByName(runs.join(hot, "g", "left_semi").withColumn("g", F.xxhash64("g", "sh")))
+    spans = found.filter("d is not null").select("d", "t", "start", "n").unionByName(_lent(members, found))
+    if is_hot:
+        one = classes.join(hot, "g", "left_semi").select("g", "sh", F.lit(False).alias("many"), "first.*")
+        rows, level = scratch.put(_contexts(texts, one, plan, True), "halves1"), 1
+        while True:
+            own = scratch.put(_classes(rows, "ctx"), f"classes{level}")
+            sized = _sized(own)
+            # a group of one class of one member repeats nothing
+            several = own.join(sized.filter((F.col("k") > 1) & (F.col("k") <= plan.group_limit)).select("g"), "g", "left_semi")
+            large = own.join(sized.filter(F.col("k") > plan.group_limit).select("g"), "g", "left_semi")
+            pairs = large.filter("c > 1").withColumn("g", F.xxhash64("g", "sh"))
+            found = scratch.put(_compared(_members(several.unionByName(pairs)), plan), f"found{level}")
+            both = rows.unionByName(rows.withColumn("g", F.xxhash64("g", "sh")))
+            spans = spans.unionByName(found.filter("d is not null").select("d", "t", "start", "n")).unionByName(_lent(both, found))
+            rows = scratch.put(_halved(large.select("first.*"), plan, level + 1), f"halves{level + 1}")
+            if rows.isEmpty():
+                break
+            level += 1
+    gathered = scratch.put(spans.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("start").alias("start"), F.col("n").alias("n"))).alias("spans")), "spans")
+    scratch.drop("runs", "classes", "hot", "found0", *[f"{n}{k}" for k in range(1, 12) for n in ("halves", "classes", "found")])
+    return gathered
 
 
 def runs_of_steps(repeated: np.ndarray, which: np.ndarray, step: np.ndarray, n: int) -> list[list[tuple[int, int]]]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from veilgraph.llm._repeats import Plan, covered, repeated_windows, runs_of_steps, span_array, with_spans
 from veilgraph.store import Scratch
-from veilgraph.llm._text import buffer_of, byte_table, mix, pieces, word_hashes, word_spans
+from veilgraph.llm._text import buffer_of, byte_table, pieces, word_hashes, word_spans
 
 #: Words are runs of anything but space and the control characters 09 to 0D.
 _IN_WORD = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D))
@@ -23,24 +23,44 @@ def _word_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, starts, ends), firsts
 
 
+def _reader(texts: pa.Array):
+    """Words a to b as bytes, joined by single spaces (no word holds one)."""
+    buf, offsets = buffer_of(texts)
+    starts, ends, firsts = word_spans(buf, offsets, _IN_WORD)
+    raw = buf.tobytes()
+    return firsts, lambda a, b: b" ".join(raw[starts[a] : ends[b - 1]].split())
+
+
+def _cut(ctx: bytes, a: int, b: int) -> bytes:
+    return b" ".join(ctx.split(b" ")[a:b])
+
+
+def _step(reached: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """Contexts that agreed so far and go on with the same word agree further: numbers of the classes after the step."""
+    return np.unique(reached * words + word, return_inverse=True)[1]
+
+
 def _extend(window: int):
     def compare(group: np.ndarray, place: np.ndarray, count: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
         """Grows all contexts of a group from their common anchor, both ways at once; matches of at least ``window`` words count.
 
-        Step by step the words before an anchor, and those from it on, fold into a hash, so two contexts match x words
-        back and y words on if the hashes of those lengths agree (64 bits each). A window that starts x words before the
-        anchor repeats if some other context agrees x back and window - x on; neighbours among such windows make up
-        the maximal repeats.
+        Word by word, before the anchors and from them on, contexts that match so far and have the same next word go on
+        together, so two contexts match x words back and y words on if they are in one class after x and y steps. The
+        words themselves are compared, by numbers given to the distinct ones. A window that starts x words before the
+        anchor repeats if some other context agrees x back and window - x on; neighbours among such windows make up the
+        maximal repeats.
         """
         n = len(contexts)
-        table = np.zeros((n, 2 * window), np.uint64)  # contexts side by side, their anchors in the same column
-        for i, raw in enumerate(contexts):
-            own = np.frombuffer(raw, np.uint64)
+        number: dict[bytes, int] = {}
+        table = np.zeros((n, 2 * window), np.int64)  # contexts side by side, their anchors in the same column; 0: no word
+        for i, ctx in enumerate(contexts):
+            own = [number.setdefault(w, len(number) + 1) for w in ctx.split(b" ")]
             table[i, window - place[i] : window - place[i] + len(own)] = own
-        back, ahead = np.zeros((n, window + 1), np.uint64), np.zeros((n, window + 1), np.uint64)
+        back, ahead = np.empty((n, window + 1), np.int64), np.empty((n, window + 1), np.int64)
+        back[:, 0] = ahead[:, 0] = group
         for x in range(window):
-            back[:, x + 1] = mix(back[:, x] + table[:, window - 1 - x] + np.uint64(x + 1))
-            ahead[:, x + 1] = mix(ahead[:, x] + table[:, window + x] + np.uint64(x + 1))
+            back[:, x + 1] = _step(back[:, x], table[:, window - 1 - x], len(number) + 1)
+            ahead[:, x + 1] = _step(ahead[:, x], table[:, window + x], len(number) + 1)
         which = np.repeat(np.arange(n), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         before = place[which] - step
@@ -57,7 +77,7 @@ def _extend(window: int):
     return compare
 
 
-def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 4096, carry: list[str] | None = None) -> DataFrame:
+def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, group_limit: int = 512, carry: list[str] | None = None) -> DataFrame:
     """Removes every word covered by a window of ``min_words`` words whose word sequence also starts anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged (null: none); windows lie in one document, may repeat in the same one,
@@ -67,7 +87,7 @@ def seed_extend_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if not 10 <= min_words <= 500:
         raise ValueError("min_words must be from 10 to 500")
     scratch = Scratch(docs.sparkSession)
-    plan = Plan(_word_units, min_words, 8, _extend(min_words), group_limit)
+    plan = Plan(_word_units, _reader, _cut, min_words, 8, _extend(min_words), group_limit)
     spans = repeated_windows(docs, plan, scratch, id_col=id_col, text_col=text_col)
     rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)
     lead = rows.drop("__text", "spans")

@@ -17,21 +17,65 @@ from veilgraph.llm._text import buffer_of, pieces
 SHALLOW = 4
 
 
+def _multikey(words: np.ndarray, starts: np.ndarray, left: np.ndarray, group: np.ndarray, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of suffixes within groups down to the last of ``depths``; returns those that still agree with another, and their groups.
+
+    Every group of a round is parted in three by a pivot, the 8 bytes of its middle suffix at the group's depth: less,
+    equal and greater. The equal ones go one step deeper. Groups of one are in order and drop out. All groups take a
+    round at once, and the three parts are placed by running counts.
+    """
+    depths_ = np.array(depths, np.int64)
+    at = np.zeros(len(left), np.int64)  # how many steps a suffix agrees with its group
+    done_left, done_group, offset = [], [], 0
+    while len(left):
+        new = np.append(True, group[1:] != group[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(left)))
+        number = np.cumsum(new) - 1
+        own = words[starts[left] + depths_[at]]
+        pivot = own[first + size // 2][number]
+        parts = [own < pivot, own == pivot, own > pivot]
+        target, base = np.empty(len(left), np.int64), first[number].copy()
+        for part in parts:
+            run = np.cumsum(part)
+            before = (run - part)[first]
+            target[part] = (base + run - 1 - before[number])[part]
+            base += np.append(run[first[1:] - 1], run[-1])[number] - before[number]
+        side = parts[1] + 2 * parts[2].astype(np.int64)
+        order = np.empty(len(left), np.int64)
+        order[target] = np.arange(len(left))
+        left, side, number, at = left[order], side[order], number[order], at[order]
+        at += side == 1
+        key = number * 3 + side
+        new = np.append(True, key[1:] != key[:-1])
+        group = np.cumsum(new) - 1
+        many = np.bincount(group)[group] > 1
+        deep = many & (at == len(depths))
+        done_left.append(left[deep])
+        done_group.append(group[deep] + offset)
+        offset += int(group[-1]) + 1
+        go = many & ~deep
+        left, group, at = left[go], group[go], at[go]
+    return (np.concatenate(done_left), np.concatenate(done_group)) if done_left else (left, group)
+
+
 def repeated_suffixes(raw: bytes, starts: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
     """Which of the suffixes, cut to ``length`` bytes, equal another one of the same bucket.
 
-    Shallow phase: multikey steps of 8 bytes order suffixes within groups that agree so far; a suffix alone in its group
+    Shallow phase: multikey quicksort, 8 bytes a step, within buckets; a suffix alone in its group
     is done. Deep phase, for groups that agree over SHALLOW steps: a blind trie whose leading path is the group's first
     suffix. Every other suffix is compared with that path once; those that leave it hang below it at a node known only
     by depth and branching bytes, and each such child is ordered by the same step. All groups take a step at once.
     """
     n = len(starts)
     repeated = np.zeros(n, bool)
-    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)).astype(np.uint64)
     depths = [*range(0, length - 8, 8), length - 8]
-    # suffixes by their group; groups of one drop out
-    left = np.argsort(bucket, kind="stable")
-    group = bucket[left]
+    order = np.argsort(bucket, kind="stable")
+    keys = bucket[order]
+    group = np.cumsum(np.append(True, keys[1:] != keys[:-1])) - 1 if n else keys
+    some = np.bincount(group)[group] > 1 if n else np.zeros(0, bool)
+    left, group = _multikey(words, starts, order[some], group[some], depths[:SHALLOW])
 
     def grouped(left, group, *keys):
         """Suffixes ordered by group and keys, with new group numbers, without groups of one."""
@@ -47,8 +91,6 @@ def repeated_suffixes(raw: bytes, starts: np.ndarray, bucket: np.ndarray, length
         return left[many], number[many]
 
     left, group = grouped(left, group)
-    for depth in depths[:SHALLOW]:
-        left, group = grouped(left, group, words[starts[left] + depth].astype(np.uint64))
     deep = np.array(depths[SHALLOW:], np.int64)
     while len(left):
         new = np.ones(len(left), bool)
@@ -87,7 +129,17 @@ def _compare(window: int):
     return compare
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 4096, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def _reader(texts: pa.Array):
+    buf, offsets = buffer_of(texts)
+    raw = buf.tobytes()
+    return offsets, lambda a, b: raw[a:b]
+
+
+def _cut(ctx: bytes, a: int, b: int) -> bytes:
+    return ctx[a:b]
+
+
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = 200, group_limit: int = 512, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``min_length`` bytes that also starts anywhere else in the corpus.
 
     Texts are UTF-8 bytes (null: empty). A string may repeat within its own document, and overlapping occurrences count.
@@ -99,7 +151,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if not 40 <= min_length <= 3000:
         raise ValueError("min_length must be from 40 to 3000")
     scratch = Scratch(docs.sparkSession)
-    plan = Plan(buffer_of, min_length, 32, _compare(min_length), group_limit)
+    plan = Plan(buffer_of, _reader, _cut, min_length, 32, _compare(min_length), group_limit)
     spans = repeated_windows(docs, plan, scratch, id_col=id_col, text_col=text_col)
     rows = with_spans(docs, spans, id_col=id_col, text_col=text_col, carry=carry)
     lead = rows.drop("__text", "spans")
