@@ -136,7 +136,7 @@ def test_nothing_is_found_without_the_comparison(spark, monkeypatch, module):
 
     owner = importlib.import_module(f"veilgraph.llm.{module}")
     real = _repeats.repeated_windows
-    blind = lambda docs, plan, scratch, **k: real(docs, replace(plan, compare=lambda group, place, count, contexts: [[] for _ in contexts]), scratch, **k)
+    blind = lambda docs, plan, scratch, **k: real(docs, replace(plan, compare=lambda group, place, contexts, which, step: np.zeros(len(which), bool)), scratch, **k)
     monkeypatch.setattr(owner, "repeated_windows", blind)
     df = spark.createDataFrame(corpus(), SCHEMA)
     for limit in (2, 512):

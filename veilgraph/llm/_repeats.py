@@ -5,9 +5,10 @@ Equal windows have equal anchors at the same place, and the windows of one ancho
 
 1. One row for each run: the anchor's hash, and a hash of all that its windows cover. Only anchors whose hash occurs
    twice go on (``groupBy`` with partial sums, then a join whose hot keys AQE can split).
-2. Runs with equal hashes form a class, of which two members at most go on: a thousand copies cost as much as two.
-3. The members' contexts (the text around the anchor) meet by anchor and are compared unit by unit by the caller's method. What it
-   finds is the result. A class whose two members turn out equal lends all its windows to its other members.
+2. Runs with equal hashes form a class. Two members of each class meet and are compared unit by unit by the caller's
+   method; if it finds them equal, all windows of the class's members are repeats. A thousand copies cost as much as two.
+3. Classes with the same anchor can share some of their windows. A context (the text around the anchor) of each meets the
+   others by anchor, and the caller's method finds the windows that they share.
 4. Groups above ``group_limit`` contexts are split by depth first: the windows of a context are halved by their place
    around the anchor, the windows of a half have more text in common, and contexts meet by that text. Equal halves form
    classes again, lone ones go, and what is still too large is halved anew, until a half is a single window.
@@ -35,9 +36,9 @@ _PIECE = 2 << 20
 _SEEDS = np.random.Generator(np.random.Philox(77)).integers(1, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
-#: A comparison gets (group, anchor's place in the context, number of windows, contexts as bytes), rows of a group
-#: together, and returns for each row a list of (first window, number of windows) that occur in another row.
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], list[list[tuple[int, int]]]]
+#: A comparison gets (group, anchor's place, contexts as bytes) of each context, rows of a group together, and windows as
+#: (context, place of the window in it), and tells for each window whether another context of the group has it at the same anchor.
+Compare = Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -166,9 +167,11 @@ def _anchors(texts: DataFrame, plan: Plan, only_hash: bool) -> DataFrame:
     return texts.mapInArrow(run, "kg long, n long" if only_hash else "kg long, sh long, d long, t long, at long")
 
 
-CONTEXT = "g long, sh long, many boolean, d long, t long, at long, ctx binary"
-_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_NAMES = ["g", "sh", "many", "d", "t", "at", "ctx"]
+#: g: whom to meet; twin: two members of the class (kg, sh), else a context that looks for others' windows.
+CONTEXT = "g long, kg long, sh long, twin boolean, d long, t long, at long, ctx binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_NAMES = ["g", "kg", "sh", "twin", "d", "t", "at", "ctx"]
+_MARK = ["at", "g", "kg", "sh", "twin"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -199,7 +202,7 @@ def _halves(plan: Plan, level: int, at: int, ctx: bytes) -> Iterator[tuple[int,
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, plan: Plan, split: bool) -> DataFrame:
-    """The contexts of the wanted runs (g, sh, many, d, t, at), by group; with ``split`` their halves."""
+    """The contexts of the wanted runs; with ``split`` their first halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,46 +211,49 @@ def _contexts(texts: DataFrame, wanted: DataFrame, plan: Plan, split: bool) -> D
                 d, t = part.column(0).to_pylist(), part.column(1).to_pylist()
                 out: list[tuple] = []
                 for i, marks in enumerate(part.column(3)):
-                    values = marks.values
-                    at, g, sh, many = (values.field(k).to_numpy(zero_copy_only=False).tolist() for k in ("at", "g", "sh", "many"))
                     base = int(offsets[i])
-                    for a, own_g, own_sh, m in zip(at, g, sh, many, strict=True):
-                        start = base + (a >> 24)
-                        ctx = content(start, start + ((a >> 12) & 4095) - 1 + plan.window)
+                    for at, g, kg, sh, twin in zip(*(marks.values.field(k).to_pylist() for k in _MARK), strict=True):
+                        start = base + (at >> 24)
+                        ctx = content(start, start + ((at >> 12) & 4095) - 1 + plan.window)
                         if split:
-                            out += [(x, y, False, d[i], t[i], z, part_) for x, y, z, part_ in _halves(plan, 1, a, ctx)]
+                            out += [(x, x, y, False, d[i], t[i], z, own) for x, y, z, own in _halves(plan, 1, at, ctx)]
                         else:
-                            out.append((own_g, own_sh, m, d[i], t[i], a, ctx))
+                            out.append((g, kg, sh, twin, d[i], t[i], at, ctx))
                     if len(out) > 20_000:
                         yield _batch(out)
                         out = []
                 if out:
                     yield _batch(out)
 
-    gathered = wanted.groupBy("d", "t").agg(F.collect_set(F.struct("at", "g", "sh", "many")).alias("marks"))  # as many as the document has runs
+    gathered = wanted.groupBy("d", "t").agg(F.collect_set(F.struct(*_MARK)).alias("marks"))  # as many as the document has runs
     return texts.join(gathered, ["d", "t"]).select("d", "t", "text", "marks").mapInArrow(run, CONTEXT)
 
 
 def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
-    """(d, t, start, n, g, sh): windows that repeat among contexts of a group; for classes whose members are equal only (g, sh).
+    """(d, t, start, n, kg, sh): windows that repeat among contexts of a group, and (kg, sh) alone of classes whose twins are equal.
 
-    A task streams its groups; it holds a few at a time.
+    Twins are equal if their first and their last window are, as these cover all of them. A task streams its groups and
+    holds a few at a time.
     """
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         g = table.column("g").to_numpy()
         group = np.concatenate(([0], np.cumsum(g[1:] != g[:-1])))
         start, count, place = _unpack(table.column("at").to_numpy())
-        many, sh = table.column("many").to_numpy(), table.column("sh").to_numpy()
-        found = plan.compare(group, place, count, table.column("ctx").to_pylist())
-        d, t = table.column("d").to_pylist(), table.column("t").to_pylist()
-        rows = []
-        for i, spans in enumerate(found):
-            if many[i] and spans == [(0, int(count[i]))]:
-                rows.append((None, None, None, None, int(g[i]), int(sh[i])))
-            else:
-                rows += [(d[i], t[i], int(start[i]) + a, n, None, None) for a, n in spans]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["d", "t", "start", "n", "g", "sh"])
+        twin = table.column("twin").to_numpy(zero_copy_only=False)
+        n = np.where(twin, 2, count)
+        which = np.repeat(np.arange(len(g)), n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        step = np.where(twin[which], step * (count[which] - 1), step)
+        repeated = plan.compare(group, place, table.column("ctx").to_pylist(), which, step)
+        both = np.bincount(which[repeated], minlength=len(g)) == 2
+        equal = np.flatnonzero(twin & both & np.append(True, group[1:] != group[:-1]))
+        i, a, k = runs_of_steps(repeated & ~twin[which], which, step)
+        none = pa.nulls(len(equal), pa.int64())
+        columns = [table.column(c).combine_chunks().take(pa.array(i)) for c in ("d", "t")] + [pa.array(start[i] + a), pa.array(k)]
+        keys = [table.column(c).combine_chunks().take(pa.array(equal)) for c in ("kg", "sh")]
+        columns = [pa.concat_arrays([c, none]) for c in columns] + [pa.concat_arrays([pa.nulls(len(i), pa.int64()), c]) for c in keys]
+        return pa.RecordBatch.from_arrays(columns, names=["d", "t", "start", "n", "kg", "sh"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -268,30 +274,29 @@ def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
         if rows:
             yield flush(pa.Table.from_batches(held))
 
-    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "d long, t long, start long, n long, g long, sh long")
-
-
-def _lent(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(d, t, start, n): all windows of the members of classes that were found equal."""
-    equal = found.filter("g is not null").select("g", "sh").distinct()
-    return members.join(equal, ["g", "sh"]).select("d", "t", F.shiftright("at", 24).alias("start"), F.shiftright("at", 12).bitwiseAND(F.lit(4095).cast("long")).alias("n"))
+    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "d long, t long, start long, n long, kg long, sh long")
 
 
 def _classes(rows: DataFrame, *more: str) -> DataFrame:
-    """(g, sh, c, first, last): runs or halves with equal content, their number and two of them."""
+    """(kg, sh, c, first, last): runs or halves with equal content, their number and two of them."""
     member = F.struct("d", "t", "at", *more)
-    return rows.groupBy("g", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("first"), F.max(member).alias("last"))
+    return rows.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("first"), F.max(member).alias("last"))
+
 
+def _twins(classes: DataFrame) -> DataFrame:
+    """Both members of each class of several, in a group of their own."""
+    return classes.filter("c > 1").select(F.xxhash64("kg", "sh").alias("g"), "kg", "sh", F.lit(True).alias("twin"), F.explode(F.array("first", "last")).alias("m")).select("g", "kg", "sh", "twin", "m.*")
 
-def _sized(classes: DataFrame) -> DataFrame:
-    """(g, k): how many contexts of each group would be compared."""
-    return classes.groupBy("g").agg(F.sum(F.least("c", F.lit(2))).alias("k"))
 
+def _firsts(classes: DataFrame) -> DataFrame:
+    """One member of each class, to meet by anchor."""
+    return classes.select(F.col("kg").alias("g"), "kg", "sh", F.lit(False).alias("twin"), "first.*")
 
-def _members(classes: DataFrame) -> DataFrame:
-    """One or two rows for each class."""
-    both = F.when(F.col("c") > 1, F.array("first", "last")).otherwise(F.array("first"))
-    return classes.select("g", "sh", (F.col("c") > 1).alias("many"), F.explode(both).alias("m")).select("g", "sh", "many", "m.*")
+
+def _lent(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(d, t, start, n): all windows of the members of classes whose twins are equal. The keys are written, so that AQE can split a class of very many members."""
+    equal = scratch.put(found.filter("kg is not null").select("kg", "sh"), name)
+    return members.join(equal, ["kg", "sh"]).select("d", "t", F.shiftright("at", 24).alias("start"), F.shiftright("at", 12).bitwiseAND(F.lit(4095).cast("long")).alias("n"))
 
 
 def _halved(rows: DataFrame, plan: Plan, level: int) -> DataFrame:
@@ -300,7 +305,7 @@ def _halved(rows: DataFrame, plan: Plan, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.to_pydict()
-            out = [(g, sh, False, d, t, at, own) for d, t, a, ctx in zip(columns["d"], columns["t"], columns["at"], columns["ctx"], strict=True) for g, sh, at, own in _halves(plan, level, a, ctx)]
+            out = [(g, g, sh, False, d, t, at, own) for d, t, a, ctx in zip(columns["d"], columns["t"], columns["at"], columns["ctx"], strict=True) for g, sh, at, own in _halves(plan, level, a, ctx)]
             if out:
                 yield _batch(out)
 
@@ -313,53 +318,38 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
         raise ValueError("group_limit must be at least 2")
     texts = docs.select(*identity(docs, id_col, text_col), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") >= plan.window)
     repeated = scratch.put(_anchors(texts, plan, True).groupBy("kg").agg(F.sum("n").alias("n")).filter("n > 1").select("kg"), "anchors")
-    runs = scratch.put(_anchors(texts, plan, False).join(repeated, "kg").withColumnRenamed("kg", "g"), "runs")
+    rows = scratch.put(_anchors(texts, plan, False).join(repeated, "kg"), "rows0")
     scratch.drop("anchors")
-
-    classes = scratch.put(_classes(runs), "classes")
-    hot = scratch.put(_sized(classes).filter(F.col("k") > plan.group_limit).select("g"), "hot")  # at most a row for each group_limit contexts
-    is_hot = not hot.isEmpty()
-    marks = classes
-    if is_hot:
-        # equal members of a hot group still meet, alone; one of them goes on to be split
-        alone = classes.join(hot, "g", "left_semi").filter("c > 1")
-        marks = classes.join(hot, "g", "left_anti").unionByName(alone.withColumn("g", F.xxhash64("g", "sh")))
-    found = scratch.put(_compared(_contexts(texts, _members(marks), plan, False), plan), "found0")
-    members = runs if not is_hot else runs.join(hot, "g", "left_anti").unionByName(runs.join(hot, "g", "left_semi").withColumn("g", F.xxhash64("g", "sh")))
-    spans = found.filter("d is not null").select("d", "t", "start", "n").unionByName(_lent(members, found))
-    if is_hot:
-        one = classes.join(hot, "g", "left_semi").select("g", "sh", F.lit(False).alias("many"), "first.*")
-        rows, level = scratch.put(_contexts(texts, one, plan, True), "halves1"), 1
-        while True:
-            own = scratch.put(_classes(rows, "ctx"), f"classes{level}")
-            sized = _sized(own)
-            # a group of one class of one member repeats nothing
-            several = own.join(sized.filter((F.col("k") > 1) & (F.col("k") <= plan.group_limit)).select("g"), "g", "left_semi")
-            large = own.join(sized.filter(F.col("k") > plan.group_limit).select("g"), "g", "left_semi")
-            pairs = large.filter("c > 1").withColumn("g", F.xxhash64("g", "sh"))
-            found = scratch.put(_compared(_members(several.unionByName(pairs)), plan), f"found{level}")
-            both = rows.unionByName(rows.withColumn("g", F.xxhash64("g", "sh")))
-            spans = spans.unionByName(found.filter("d is not null").select("d", "t", "start", "n")).unionByName(_lent(both, found))
-            rows = scratch.put(_halved(large.select("first.*"), plan, level + 1), f"halves{level + 1}")
-            if rows.isEmpty():
-                break
-            level += 1
+    level, spans = 0, None
+    while True:
+        # a group's number of classes decides: one has nothing to share, and many are split
+        classes = _classes(rows, "ctx") if level else _classes(rows)
+        classes = scratch.put(classes, f"classes{level}")
+        sized = scratch.put(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), f"sized{level}")
+        several = classes.join(sized.filter(F.col("k") <= plan.group_limit).select("kg"), "kg")
+        meeting = _twins(classes).unionByName(_firsts(several))
+        found = scratch.put(_compared(meeting if level else _contexts(texts, meeting, plan, False), plan), f"found{level}")
+        new = found.filter("d is not null").select("d", "t", "start", "n").unionByName(_lent(rows, found, scratch, f"equal{level}"))
+        spans = new if spans is None else spans.unionByName(new)
+        hot = sized.filter(F.col("k") > plan.group_limit).select("kg")
+        if hot.isEmpty():
+            break
+        large = _firsts(classes.join(hot, "kg"))
+        level += 1
+        rows = scratch.put(_halved(large, plan, level) if level > 1 else _contexts(texts, large, plan, True), f"rows{level}")
     gathered = scratch.put(spans.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("start").alias("start"), F.col("n").alias("n"))).alias("spans")), "spans")
-    scratch.drop("runs", "classes", "hot", "found0", *[f"{n}{k}" for k in range(1, 12) for n in ("halves", "classes", "found")])
+    scratch.drop(*[f"{n}{k}" for k in range(level + 1) for n in ("rows", "classes", "sized", "found", "equal")])
     return gathered
 
 
-def runs_of_steps(repeated: np.ndarray, which: np.ndarray, step: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
-    """For each of n contexts the runs (first window, windows) of its repeated windows, listed in order."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+def runs_of_steps(repeated: np.ndarray, which: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, windows) of each run of repeated windows; a context's windows are listed in order."""
     at = np.flatnonzero(repeated)
-    if len(at):
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]])
-        begin = np.flatnonzero(new)
-        for b, m in zip(begin.tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
-            out[int(which[at[b]])].append((int(step[at[b]]), m))
-    return out
+    if not len(at):
+        return at, at, at
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]]))
+    begin = np.flatnonzero(new)
+    return which[at[begin]], step[at[begin]], np.diff(np.append(begin, len(at)))
 
 
 def covered(spans: np.ndarray, window: int) -> list[tuple[int, int]]:

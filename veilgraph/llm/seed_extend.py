@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgraph.llm._repeats import Plan, covered, repeated_windows, runs_of_steps, span_array, with_spans
+from veilgraph.llm._repeats import Plan, covered, repeated_windows, span_array, with_spans
 from veilgraph.store import Scratch
 from veilgraph.llm._text import buffer_of, byte_table, pieces, word_hashes, word_spans
 
@@ -41,7 +41,7 @@ def _step(reached: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
 
 
 def _extend(window: int):
-    def compare(group: np.ndarray, place: np.ndarray, count: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
+    def compare(group: np.ndarray, place: np.ndarray, contexts: list[bytes], which: np.ndarray, step: np.ndarray) -> np.ndarray:
         """Grows all contexts of a group from their common anchor, both ways at once; matches of at least ``window`` words count.
 
         Word by word, before the anchors and from them on, contexts that match so far and have the same next word go on
@@ -61,8 +61,6 @@ def _extend(window: int):
         for x in range(window):
             back[:, x + 1] = _step(back[:, x], table[:, window - 1 - x], len(number) + 1)
             ahead[:, x + 1] = _step(ahead[:, x], table[:, window + x], len(number) + 1)
-        which = np.repeat(np.arange(n), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         before = place[which] - step
         keys = (ahead[which, window - before], back[which, before], group[which] * 4096 + before)
         order = np.lexsort(keys)
@@ -72,7 +70,7 @@ def _extend(window: int):
         repeated = np.zeros(len(order), bool)
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
-        return runs_of_steps(repeated, which, step, n)
+        return repeated
 
     return compare
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilgraph.llm._repeats import Plan, covered, repeated_windows, runs_of_steps, span_array, with_spans
+from veilgraph.llm._repeats import Plan, covered, repeated_windows, span_array, with_spans
 from veilgraph.store import Scratch
 from veilgraph.llm._text import buffer_of, pieces
 
@@ -115,16 +115,11 @@ def repeated_suffixes(raw: bytes, starts: np.ndarray, bucket: np.ndarray, length
 
 
 def _compare(window: int):
-    def compare(group: np.ndarray, place: np.ndarray, count: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
+    def compare(group: np.ndarray, place: np.ndarray, contexts: list[bytes], which: np.ndarray, step: np.ndarray) -> np.ndarray:
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
         base = np.cumsum(sizes) - sizes
-        first = np.cumsum(count) - count
-        which = np.repeat(np.arange(len(contexts)), count)
-        step = np.arange(len(which)) - first[which]
         # equal windows have the anchor at the same place
-        bucket = group[which] * 4096 + place[which] - step
-        repeated = repeated_suffixes(b"".join(contexts), base[which] + step, bucket, window)
-        return runs_of_steps(repeated, which, step, len(contexts))
+        return repeated_suffixes(b"".join(contexts), base[which] + step, group[which] * 4096 + place[which] - step, window)
 
     return compare
 
