@@ -83,32 +83,50 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The k places with the largest scores, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))][:k]
+def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed component by component: the same digits whatever block a pair is met in."""
+    total = np.zeros(len(x))
+    for i in range(x.shape[1]):
+        total += x[:, i] * y[:, i]
+    return total
+
+
+def _best(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, product) of each query's k largest products, ties to the smaller ``least``.
+
+    A matrix product finds what may be among them: its last digits depend on the block, so whatever comes near the k-th is
+    worked out anew before the cut.
+    """
+    rough = queries @ vectors.T
+    slack = 1e-12 * (1.0 + np.linalg.norm(queries, axis=1) * np.sqrt((vectors * vectors).sum(1).max(initial=0.0))) * vectors.shape[1]
+    cut = np.partition(rough, rough.shape[1] - k, 1)[:, rough.shape[1] - k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+    q, v = np.nonzero(rough >= (cut - slack)[:, None])
+    score = np.empty(len(q))
+    for at in range(0, len(q), 1 << 16):  # very many ties are worked off in parts
+        some = slice(at, at + (1 << 16))
+        score[some] = exact_products(queries[q[some]], vectors[v[some]])
+    order = np.lexsort((least[v], -score, q))
+    q, v, score = q[order], v[order], score[order]
+    first = np.searchsorted(q, np.arange(len(queries)))
+    keep = np.arange(len(q)) - first[q] < k
+    return q[keep], v[keep], score[keep]
 
 
 def _exact_nearest(classes: DataFrame, queries: list, k: int) -> DataFrame:
-    """(q, cid): the k largest products over all classes for a bounded list of queries, brute force."""
+    """(q, cid): the k largest products over all other classes for a bounded list of queries, brute force."""
     shared = classes.sparkSession.sparkContext.broadcast((np.array([r.cid for r in queries]), np.array([r.vector for r in queries], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, x = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            products = x @ _matrix(batch.column(1)).T
-            for q, row in zip(own, products, strict=True):
-                row[ids == q] = -np.inf
-                top = _best(row, ids, k)
-                top = top[row[top] > -np.inf]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(ids[top]), pa.array(row[top])], names=["q", "cid", "score"])
-
-    found = classes.select("cid", "vector").mapInArrow(run, "q long, cid long, score double")
+            if not batch.num_rows:
+                continue
+            cid = batch.column(0).to_numpy()
+            q, v, score = _best(x, _matrix(batch.column(2)), batch.column(1).to_numpy(), k + 1)
+            other = own[q] != cid[v]
+            yield pa.RecordBatch.from_arrays([pa.array(own[q][other]), pa.array(cid[v][other]), pa.array(score[other])], names=["q", "cid", "score"])
+
+    found = classes.select("cid", "least", "vector").mapInArrow(run, "q long, cid long, score double")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     return found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).select("q", "cid")
 
@@ -125,34 +143,47 @@ def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, orderings: int = 16, dims: int = 6, bits: int = 10, target: float = 0.97, sample: int = 2048, probes: int = 64, seed: int = 11
+    vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, orderings: int = 16, dims: int = 6, bits: int = 10, target: float = 0.97, sample: int = 2048, probes: int = 64, seed: int = 11, most_lengths: int = 16
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest others by inner product, ties to the smaller id.
 
-    Equal vectors form one class, of which the k + 1 smallest ids go on, so copies cost nothing. Each class has a place in
+    A query's own row takes no part in its answer; any other row may, with whatever id, the query's included. Equal vectors
+    form one class, of which the k + 1 smallest ids (as often as they come) go on, so copies cost nothing. Each class has a place in
     each of ``orderings`` Hilbert orderings. The window is fitted on at most ``probes`` query vectors, whose exact nearest
     are found by brute force: it is so wide that a ``target`` share of them lies within it in some ordering. Every
     query then meets the blocks of neighbouring keys that its window touches, in every ordering, and exact double
-    products rank what it met. Projections are centred on a sample of ``sample`` vectors; every vector is indexed.
+    products, summed in component order, rank what it met. Projections are centred on a sample of ``sample`` vectors; every vector is indexed.
 
-    Vectors that are null, zero, hold null or non-finite components, or have another length than most (ties: the longer)
-    take no part; neither do rows with a null id. Repeated ids are separate rows that may return each other's id once.
+    Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows with a null id.
+    Vectors of different lengths have no product: each length is searched apart (at most ``most_lengths`` of them, more
+    are an error). Repeated rows are rows: each asks, and may be found, as often as it comes.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("query")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     scratch = Scratch(spark)
-    named = scratch.put(rows.withColumn("e", F.unhex(F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").cast("binary")))), "named")
-    length = named.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if length is None:
-        return empty
-    named = named.filter(F.size("vector") == length.d)
-    first = Window.partitionBy("e").orderBy("id")
-    ids = named.select("e", "id").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    whole = named.groupBy("e").agg(F.min("id").alias("cid"), F.any_value("vector").alias("vector"), F.max("query").alias("asks"))
-    classes = scratch.put(whole.join(ids, "e"), "classes")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("query")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    digest = F.unhex(F.md5(F.array_join(F.transform("vector", lambda x: x.cast("double").cast("string")), ",").cast("binary")))
+    named = scratch.put(rows.withColumn("e", digest), "named")
+    lengths = named.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(most_lengths + 1).collect()
+    if len(lengths) > most_lengths:
+        raise ValueError(f"the vectors have more than {most_lengths} lengths")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in lengths:
+        same = named if len(lengths) == 1 else named.filter(F.size("vector") == r.d)
+        out = out.unionByName(_nearest(same, Scratch(spark), k, orderings, dims, bits, target, sample, probes, seed))
+    return out
+
+
+def _nearest(named: DataFrame, scratch: Scratch, k: int, orderings: int, dims: int, bits: int, target: float, sample: int, probes: int, seed: int) -> DataFrame:
+    """The search among vectors of one length; ``named``: id, vector, query, e (the vector's digest)."""
+    spark = named.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    first = Window.partitionBy("e").orderBy("id", "n")
+    # copies of one row are numbered before the shuffle by class, so a very common vector brings k + 1 ids a partition at most
+    ids = named.select("e", "id", F.monotonically_increasing_id().alias("n")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).groupBy("e").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    whole = named.groupBy("e").agg(F.min("id").alias("least"), F.any_value("vector").alias("vector"), F.max("query").alias("asks"))
+    classes = scratch.put(whole.join(ids, "e").withColumn("cid", F.monotonically_increasing_id()), "classes")
     largest = classes.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()[0]
-    some = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vector").collect()
+    some = classes.orderBy(F.xxhash64("e"), "e").limit(sample).select("vector").collect()
     curves = Curves(np.array([r.vector for r in some], np.float64), largest, orderings, dims, bits, seed)
     shared = spark.sparkContext.broadcast(curves)
 
@@ -170,7 +201,7 @@ def nearest(
 
     places = scratch.put(_placed(classes.select("cid", "vector", "asks").mapInArrow(keyed, "o int, key long, side int, cid long"), scratch), "places")
     scratch.drop("sorted")
-    probing = classes.filter("asks").orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(probes).select("cid", "vector").collect()
+    probing = classes.filter("asks").orderBy(F.xxhash64("e", F.lit(1)), "e").limit(probes).select("cid", "vector").collect()
     if not probing:
         return empty
     pairs = F.broadcast(_exact_nearest(classes, probing, k))  # probes * k rows
@@ -179,39 +210,39 @@ def nearest(
     window = int(gaps.agg(F.percentile("gap", F.lit(target))).first()[0] or 0) + 1
     block = min(max(window, LEAST_BLOCK), MOST_BLOCK)
 
-    held = classes.select("cid", "vector")
+    held = classes.select("cid", "least", "vector")
     stored = places.filter("side = 0").select("cid", "o", F.expr(f"rank div {block}").alias("b"), F.lit(0).alias("side"))
     asked = places.filter("side = 1").select("cid", "o", F.explode(F.sequence(F.greatest(F.expr(f"(rank - {window}) div {block}"), F.lit(0).cast("long")), F.expr(f"(rank + {window}) div {block}"))).alias("b"), F.lit(1).alias("side"))
-    met = stored.union(asked).join(held, "cid").select("o", "b", "side", "cid", "vector").repartition("o", "b").sortWithinPartitions("o", "b", "side")
+    met = stored.union(asked).join(held, "cid").select("o", "b", "side", "cid", "least", "vector").repartition("o", "b").sortWithinPartitions("o", "b", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, x = None, [], []
+        now, ids, least, x = None, [], [], []
         for batch in batches:
-            o, b, side, cid = (batch.column(i).to_numpy() for i in range(4))
-            vectors_ = _matrix(batch.column(4))
+            o, b, side, cid, low = (batch.column(i).to_numpy() for i in range(5))
+            vectors_ = _matrix(batch.column(5))
             new = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])))
             for start, end in zip(new, [*new[1:], len(o)], strict=True):
                 if now != (o[start], b[start]):
-                    now, ids, x = (o[start], b[start]), [], []
+                    now, ids, least, x = (o[start], b[start]), [], [], []
                 if not side[start]:
                     ids.append(cid[start:end])
+                    least.append(low[start:end])
                     x.append(vectors_[start:end])
                 elif ids:
-                    ids, x = [np.concatenate(ids)], [np.concatenate(x)]
+                    ids, least, x = [np.concatenate(ids)], [np.concatenate(least)], [np.concatenate(x)]
                     for at_ in range(start, end, 512):
                         own = cid[at_ : min(end, at_ + 512)]
-                        products = vectors_[at_ : at_ + len(own)] @ x[0].T
-                        tops = [_best(row, ids[0], k + 1) for row in products]
-                        sizes = [len(t) for t in tops]
-                        flat = np.concatenate(tops)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(ids[0][flat]), pa.array(products[np.repeat(np.arange(len(own)), sizes), flat])], names=["q", "cid", "score"])
-
-    merged = met.mapInArrow(compare, "q long, cid long, score double").groupBy("q", "cid").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
+                        q, v, score = _best(vectors_[at_ : at_ + len(own)], x[0], least[0], k + 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[0][v]), pa.array(least[0][v]), pa.array(score)], names=["q", "cid", "least", "score"])
+
+    merged = met.mapInArrow(compare, "q long, cid long, least long, score double").groupBy("q", "cid").agg(F.first("least").alias("least"), F.first("score").alias("score"))
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "least", "cid")
     merged = merged.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1)
-    each = merged.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
-    nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    each = scratch.put(each.withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "found")
+    each = merged.join(classes.select("cid", "ids"), "cid").select("q", "score", "cid", F.posexplode("ids").alias("copy", "vec_id"))
+    nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "cid", "copy")
+    each = scratch.put(each.withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "cid"))).alias("found")), "found")
     asking = named.filter("query").select(F.col("id").alias("query_id"), "e").join(classes.select("e", F.col("cid").alias("q")), "e")
-    others = asking.join(each, "q").select("query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    # of the class's rows with the query's id one, whichever, is the query's own
+    rows_ = asking.join(each, "q").withColumn("own", F.get(F.filter("found", lambda f: (f["vec_id"] == F.col("query_id")) & (f["cid"] == F.col("q"))), 0)["r"])
+    others = rows_.select("query_id", F.slice(F.filter("found", lambda f: ~f["r"].eqNullSafe(F.col("own"))), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")
