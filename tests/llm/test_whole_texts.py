@@ -40,7 +40,9 @@ def test_languages_behind_a_shared_opening_and_of_short_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     samples = learn(docs)
     assert [lang for lang, _ in samples] == ["aa", "bb", "cc"]
-    assert all(len(s) <= 64 * 501 for _, s in samples)
+    assert all(len(s) <= 32_000 + 512 for _, s in samples)
+    whole = {t for _, t, _ in rows}
+    assert all(t in whole for _, s in samples for t in s.split("\n"))
     asked = [(i, own(lang, 4), lang) for i, lang in enumerate(["aa", "bb"] * 10)] + [(50, "ююж эээ", "cc")]
     got = {r["id"]: r["lang_pred"] for r in identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), samples).collect()}
     assert got == {i: lang for i, _, lang in asked}
@@ -63,3 +65,75 @@ def test_labels_of_absent_documents_take_no_place(spark):
     absent = spark.range(1000, 6000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     one, two = train(docs, own, max_rows=100), train(docs, own.union(absent), max_rows=100)
     assert one.bias != 0 and (one.weights == two.weights).all() and one.bias == two.bias
+
+
+def test_long_texts_short_ones_and_too_many_languages(spark):
+    rows = [(1, "kana " * 20_000, "long"), (2, "zz", "short"), (3, "xy", "short"), (4, "mo" * 30, "both"), (5, "mu " * 20_000, "both")]
+    docs = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+    from veilgraph.llm.cross_parse import held_out
+
+    left = {r.doc_id for r in docs.filter(~held_out()).select("doc_id").collect()}
+    got = dict(learn(docs))
+    want = {lang for i, _, lang in rows if i in left}
+    assert set(got) == want and all(len(s) <= 32_000 + 512 for s in got.values())
+    assert "long" not in got or len(got["long"]) == 32_000  # nothing else: a piece of the bound's length
+    assert "both" not in got or 4 not in left or "mu" not in got["both"]
+    many = spark.range(400).selectExpr("id as doc_id", "'text' as text", "concat('l', id) as lang")
+    import pytest
+
+    with pytest.raises(ValueError):
+        learn(many, most_languages=20)
+
+
+def test_fit_and_score_match_plain_loops():
+    """Logistic regression by follow-the-regularised-leader, one text at a time, over plain dicts."""
+    import math
+
+    import pyarrow as pa
+
+    from veilgraph.llm._text import buffer_of
+    from veilgraph.llm.quality import _ngrams, fit, score
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["bado", "kiul", "***", "12", "domi", "!"]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    labels = [int("***" not in t) for t in texts]
+    bits, gain, alpha, beta, l1, l2, epochs = 10, 24.0, 0.3, 1.0, 0.002, 0.05, 3
+    model = fit(texts, labels, bits=bits, gain=gain, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+    grams = lambda t: _ngrams(*buffer_of(pa.array([t], pa.string())), bits)[0].tolist()
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    def features(t):
+        own, x = grams(t), {}
+        for g in own:
+            x[g] = x.get(g, 0.0) + gain / len(own)
+        return x | {"bias": 1.0}
+
+    for _ in range(epochs):
+        for t, y in zip(texts, labels, strict=True):
+            x = features(t)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                new = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(new) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = new
+    assert abs(model.bias - weight("bias")) < 1e-9
+    assert all(abs(model.weights[i] - weight(i)) < 1e-6 for i in range(1 << bits))
+    asked = [*texts, "", None, "bado *** neu"]
+    want = [1 / (1 + math.exp(-sum(weight(i) * v for i, v in features(t or "").items()))) for t in asked]
+    assert all(abs(a - b) < 1e-5 for a, b in zip(score(model, pa.array(asked, pa.string())), want, strict=True))
+
+
+def test_the_sample_of_labels_is_bounded_in_rows_and_characters(spark):
+    docs = spark.createDataFrame([(i, "bado kiul " * 50) for i in range(200)], "doc_id long, text string")
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    from veilgraph.llm.quality import sample
+
+    assert len(sample(docs, labels, max_rows=30, max_chars=10**9)) == 30
+    assert len(sample(docs, labels, max_rows=1000, max_chars=5000)) == 10
+    assert len(sample(docs, labels, max_rows=1000, max_chars=10)) == 1

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgraph.llm._text import pieces
 
@@ -108,6 +109,8 @@ class Parser:
             # a letter out of the alphabet is the least that a phrase tells: a tiny sample makes no phrase cheaper
             self.cost.append(math.log2(max(len(sequence) + 2, self.symbols)))
             base += len(automaton.following) * self.dense
+            if base >= 1 << 30:
+                raise ValueError("the samples are too large for one table; take fewer languages or characters")
         self.table = np.concatenate(tables) if tables else np.empty(0, np.int64)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.targets = np.array([*keys, -1], np.int64)[[*order, -1]], np.array([*targets, -1], np.int64)[[*order, -1]]
@@ -196,21 +199,37 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, *, texts_each: int = 64, chars_each: int = 500) -> tuple[tuple[str, str], ...]:
-    """For each language a sample of its labelled texts: at most ``texts_each`` texts (those with the smallest hashes of the id), of a longer text a piece of ``chars_each`` characters at a place hashed from its id. Texts under 20 characters are used only where a language has no longer one. That bounds what the driver gets by the number of languages; equal sizes keep the languages' phrase counts comparable, and the cost of a phrase is the logarithm of the sample's size."""
+def learn(docs: DataFrame, *, texts_each: int = 512, chars_each: int = 32_000, most_languages: int = 128) -> tuple[tuple[str, str], ...]:
+    """For each language a sample of its labelled texts, whole: in the order of their ids' hashes, as many of at most ``texts_each`` texts
+    as hold no more than ``chars_each`` characters together.
+
+    A text above ``chars_each`` characters is taken only where a language has no other, and then that many of its characters from a
+    place hashed from its id. That bounds what the driver gets by the number of languages, of which more than
+    ``most_languages`` are an error (each costs a worker some 15 MB); equal sizes keep the languages' phrase counts
+    comparable, and the cost of a phrase is the logarithm of the sample's size. Rows are chosen by their lengths alone, so
+    texts are read again for the chosen rows only.
+    """
     text = F.col("text").cast("string")
-    start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("place")), F.greatest(F.length(text) - chars_each, F.lit(0)) + 1) + 1
-    rows = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(
-        F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), text.substr(start.cast("int"), F.lit(chars_each)).alias("t"), (F.length(text) >= 20).alias("long")
-    )
-    # one pass keeps enough of both kinds for each language; a language with a long text uses no short one
-    first = Window.partitionBy("lang").orderBy(F.desc("long"), F.xxhash64("id"), "id", "t")
-    best = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= texts_each)
-    rows = best.withColumn("any_long", F.max("long").over(Window.partitionBy("lang"))).filter("long = any_long")
+    own = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), F.length(text).alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.col("n") > chars_each, F.xxhash64("id"), "id", "x")
+    # one pass keeps a bounded number of rows of each language before the shuffle
+    best = own.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts_each)
+    used = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = best.withColumn("used", used).filter((F.col("used") <= chars_each) | (F.col("r") == 1)).select("lang", "id", "x", "r").limit(texts_each * most_languages + 1).collect()
+    if len({r.lang for r in chosen}) > most_languages:
+        raise ValueError(f"the texts are labelled with more than {most_languages} languages")
+    if not chosen:
+        return ()
+    kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType()), T.StructField("r", T.IntegerType())])
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], kinds)
+    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("t") - chars_each, F.lit(0)) + 1) + 1
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), text.alias("t"), F.xxhash64(text).alias("x"))
+    same = (F.col("lang") == F.col("own_lang")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("x") == F.col("own_x"))
+    rows = texts.join(F.broadcast(wanted), same).select("lang", "r", F.col("t").substr(place.cast("int"), F.lit(chars_each)).alias("t")).dropDuplicates(["lang", "r"])
     found: dict[str, list[str]] = {}
-    for r in rows.orderBy("lang", "n").collect():
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.r)):
         found.setdefault(r.lang, []).append(r.t.replace("\n", " "))
-    return tuple((lang, "\n".join(texts)) for lang, texts in sorted(found.items()))
+    return tuple((lang, "\n".join(texts)) for lang, texts in found.items())
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,22 +97,29 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000) -> Model:
-    """A model from at most ``max_rows`` labelled texts that aren't held out.
-
-    The sample: of the labelled ids that ``docs`` has, those with the smallest hashes, each with its whole text; the bound
-    holds whatever the input's size. Null labels are ignored; labels above 0 count as 1. With no labelled text every score is 0.5.
-    """
+def sample(docs: DataFrame, labels: DataFrame, *, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
+    """(text, label) of labelled rows that aren't held out: whole texts in the order of their ids' hashes, as many of at most ``max_rows`` as hold no more than ``max_chars`` characters together (one at least)."""
     chosen = labels.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull()).filter(~held_out("id"))
-    chosen = chosen.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    rows = (
-        docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-        .join(F.broadcast(chosen), "id")  # at most max_rows rows of two numbers
-        .orderBy(F.xxhash64("id"), "id", F.xxhash64("t"), "y")
-        .limit(max_rows)
-        .collect()
-    )
-    return fit([r.t for r in rows], [r.y for r in rows])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # rows are chosen by their lengths alone; texts are read again for the chosen rows only
+    lengths = docs.select(F.col("doc_id").alias("id"), F.length(text).alias("n"), F.xxhash64(text).alias("x")).join(chosen, "id")
+    order = [F.xxhash64("id"), F.col("id"), F.col("x"), F.col("y")]
+    some = lengths.orderBy(*order).limit(max_rows)
+    used = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # at most max_rows rows
+    wanted = some.select("id", "x", "y", F.row_number().over(Window.orderBy(*order)).alias("r"), used.alias("used")).filter((F.col("used") <= max_chars) | (F.col("r") == 1))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), text.alias("t")).join(F.broadcast(wanted), ["id", "x"]).dropDuplicates(["r"])
+    return [(r.t, r.y) for r in sorted(texts.select("r", "t", "y").collect(), key=lambda r: r.r)]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 40_000_000) -> Model:
+    """A model from labelled texts that aren't held out.
+
+    The sample: of the labelled ids that ``docs`` has, those with the smallest hashes, each with its whole text; ``max_rows`` and
+    ``max_chars`` bound it, and what the driver holds, whatever the input's size. Null labels are ignored; labels above 0
+    count as 1. With no labelled text every score is 0.5.
+    """
+    rows = sample(docs, labels, max_rows=max_rows, max_chars=max_chars)
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
