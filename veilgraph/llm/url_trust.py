@@ -44,56 +44,52 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return with_host_and_path(target).filter("src != '' and host != '' and src != host").groupBy("src", F.col("host").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, *, damping: float = 0.85, steps: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, *, damping: float = 0.85, steps: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank of trust along links, and of distrust against them.
 
     ``seeds`` has host, trust0 and distrust0 (each sums to 1 or 0). Rank that reaches a host without further links
     goes back to the seeds. Each step joins ranks with edges and sums by host, with sums combined before the shuffle,
-    and writes its table, so the plan doesn't grow and lost executors cost one step. Stops when no rank moves by more
-    than ``tolerance`` in sum.
+    and writes its table, so the plan doesn't grow and lost executors cost one step. Stops when the ranks move by no more
+    than ``tolerance`` in sum, which takes about log(tolerance) / log(damping) steps (85); not to get there within
+    ``steps`` is an error.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("leaving"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("entering"))
     shares = scratch.put(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("leaving")).alias("forth"), (F.col("weight") / F.col("entering")).alias("back")), "shares")
+    none, no = F.lit(0.0), F.lit(False)
     nodes = scratch.put(
-        seeds.select("host", "trust0", "distrust0")
-        .union(shares.select("src", F.lit(0.0), F.lit(0.0)))
-        .union(shares.select("dst", F.lit(0.0), F.lit(0.0)))
+        seeds.select("host", "trust0", "distrust0", no.alias("sends"), no.alias("takes"))
+        .union(shares.select("src", none, none, F.lit(True), no))
+        .union(shares.select("dst", none, none, no, F.lit(True)))
         .groupBy("host")
-        .agg(F.sum("trust0").alias("trust0"), F.sum("distrust0").alias("distrust0")),
+        .agg(F.sum("trust0").alias("trust0"), F.sum("distrust0").alias("distrust0"), F.max("sends").alias("sends"), F.max("takes").alias("takes")),
         "nodes",
     )
-    ranks = nodes.select("host", "trust0", "distrust0", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    ranks = nodes.withColumns({"trust": F.col("trust0"), "distrust": F.col("distrust0"), "change": none})
     if shares.isEmpty():
-        return ranks
+        return ranks.drop("sends", "takes", "change")
     for step in range(steps):
+        # what hosts with links pass on; the rest goes back to the seeds
+        change, forth, back = ranks.agg(F.sum("change"), F.sum(F.when(F.col("sends"), F.col("trust"))), F.sum(F.when(F.col("takes"), F.col("distrust")))).first()
+        if step and change <= tolerance:
+            scratch.drop("shares")
+            return ranks.drop("sends", "takes", "change")
         moved = (
             ranks.join(shares, ranks.host == shares.src)
-            .select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-            .union(ranks.join(shares, ranks.host == shares.dst).select(F.col("src"), F.lit(0.0), F.col("distrust") * F.col("back")))
+            .select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), none.alias("d"))
+            .union(ranks.join(shares, ranks.host == shares.dst).select(F.col("src"), none, F.col("distrust") * F.col("back")))
             .groupBy("host")
             .agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         )
-        total = moved.agg(F.sum("t"), F.sum("d"), F.count(F.lit(1))).first()
-        lost_t, lost_d = (1 - damping * (total[0] or 0.0)), (1 - damping * (total[1] or 0.0))
-        new = ranks.join(moved, "host", "left").select(
-            "host",
-            "trust0",
-            "distrust0",
-            (damping * F.coalesce("t", F.lit(0.0)) + lost_t * F.col("trust0")).alias("trust"),
-            (damping * F.coalesce("d", F.lit(0.0)) + lost_d * F.col("distrust0")).alias("distrust"),
-            (F.abs(damping * F.coalesce("t", F.lit(0.0)) + lost_t * F.col("trust0") - F.col("trust")) + F.abs(damping * F.coalesce("d", F.lit(0.0)) + lost_d * F.col("distrust0") - F.col("distrust"))).alias("change"),
-        )
-        written = scratch.put(new, f"ranks{step}")
-        ranks = written.drop("change")
-        if step:
-            scratch.drop(f"ranks{step - 1}")
-        if (written.agg(F.sum("change")).first()[0] or 0.0) <= tolerance:
-            break
-    return ranks
+        trust = damping * F.coalesce("t", none) + (1 - damping * (forth or 0.0)) * F.col("trust0")
+        distrust = damping * F.coalesce("d", none) + (1 - damping * (back or 0.0)) * F.col("distrust0")
+        new = ranks.join(moved, "host", "left").select("host", "trust0", "distrust0", "sends", "takes", trust.alias("trust"), distrust.alias("distrust"), (F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))).alias("change"))
+        ranks = scratch.put(new, f"ranks{step}")
+        scratch.drop(f"ranks{step - 1}")
+    raise RuntimeError(f"after {steps} steps the ranks still move by more than {tolerance}")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, margin: float = 0.5, damping: float = 0.85, steps: int = 30) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, margin: float = 0.5, damping: float = 0.85, steps: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """A verdict for every page: that of the longest fitting rule, else that of its host's trust and distrust.
 
     Seeds are hosts of which rules allow (trusted) or block (distrusted) at least half of the pages. A host is blocked if its distrust exceeds its trust by more than ``margin`` times the mean seed
@@ -114,9 +110,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, margin: float = 0.5
     good, bad = hosts.agg(F.sum("good"), F.sum("bad")).first()
     seeds = hosts.select("host", (F.col("good") / max(good or 0.0, 1.0)).alias("trust0"), (F.col("bad") / max(bad or 0.0, 1.0)).alias("distrust0"))
     edges = scratch.put(host_edges(pages), "edges")
-    ranks = propagate(seeds, edges, scratch, damping=damping, steps=steps)
+    ranks = propagate(seeds, edges, scratch, damping=damping, steps=steps, tolerance=tolerance)
     limit = margin / max(bad or 0.0, 1.0)
     scores = scratch.put(ranks.select("host", "trust", "distrust"), "scores")
+    scratch.drop("hosts", "edges", "nodes")
     found = judged.join(scores, "host", "left")
     by_method = F.when(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > limit, F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
