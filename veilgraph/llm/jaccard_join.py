@@ -216,14 +216,17 @@ def _verified(dealt: DataFrame, size: int, threshold: float) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key, "c").mapInArrow(run, "c binary, root binary, links long")
 
 
-def components(edges: DataFrame, scratch: Scratch, *, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, label): the least node that each node of ``edges`` (c, root) reaches.
 
-    Each round takes the least label among neighbours and then that label's own label, and writes its table.
+    Each round takes the least label among neighbours and then that label's own label, and writes its table, until
+    no label moves; labels only fall, so the rounds end.
     """
     both = scratch.put(edges.select("c", "root").union(edges.select("root", "c")).distinct(), "edges")
     labels = scratch.put(both.groupBy("c").agg(F.min("root").alias("r")).select("c", F.least("c", "r").alias("label")), "labels0")
-    for step in range(1, most_rounds + 1):
+    step = 0
+    while True:
+        step += 1
         near = both.join(labels.withColumnsRenamed({"c": "root", "label": "seen"}), "root").groupBy("c").agg(F.min("seen").alias("seen"))
         low = scratch.put(labels.join(near, "c").select("c", F.least("label", "seen").alias("label"), F.col("label").alias("was")), f"low{step}")
         jump = low.select(F.col("c").alias("label"), F.col("label").alias("next"))
@@ -232,7 +235,6 @@ def components(edges: DataFrame, scratch: Scratch, *, most_rounds: int = 60) ->
         labels = new.select("c", "label")
         if new.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("labels still move; raise most_rounds")
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket_limit: int = 1024, bucket_shingles: int = 1 << 23) -> DataFrame:
