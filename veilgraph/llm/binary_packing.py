@@ -49,6 +49,11 @@ def _encoders(path: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    # the faster encoder merges by id, so ids must follow the order of the file's merges, and every single byte have one
+    merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    order = [model["vocab"].get(token, -1) for token in merged]
+    if order != sorted(set(order)) or (order and order[0] < 0) or any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != len(order) + 256:
+        return exact, None, None
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("of_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return exact, fast, re.compile("|".join(map(re.escape, special))) if special else None
