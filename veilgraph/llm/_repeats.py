@@ -3,8 +3,8 @@
 Units are bytes or words. A window of W units belongs to its anchor: the leftmost G-gram in it with the least hash.
 Equal windows have equal anchors at the same place, and the windows of one anchor form a run of neighbours. So:
 
-1. One row for each run: the anchor's hash, and a hash of all that its windows cover. Only anchors whose hash occurs
-   twice go on (``groupBy`` with partial sums, then a join whose hot keys AQE can split).
+1. One row for each distinct run of a document: the anchor's hash, a hash of all that its windows cover, and its places, so
+   that a line repeated a thousand times in a text moves as one row. Only anchors whose hash occurs twice go on (``groupBy`` with partial sums, then a join whose hot keys AQE can split).
 2. Runs with equal hashes form a class. Two members of each class meet and are compared unit by unit by the caller's
    method; if it finds them equal, all windows of the class's members are repeats. A thousand copies cost as much as two.
 3. Classes with the same anchor can share some of their windows. A context (the text around the anchor) of each meets the
@@ -158,13 +158,18 @@ def _anchors(texts: DataFrame, plan: Plan, only_hash: bool) -> DataFrame:
                 ends = start + count - 1 + plan.window
                 digest = xxhash.xxh3_64_intdigest
                 cover = np.fromiter((digest(raw[a * size : b * size], s) for a, b, s in zip(start.tolist(), ends.tolist(), place.tolist(), strict=True)), np.uint64, len(start))
-                row = pa.array(text, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(anchor)), pa.array(_signed(cover)), part.column(0).take(row), part.column(1).take(row), pa.array(_pack(start - offsets[text], count, place))],
-                    names=["kg", "sh", "d", "t", "at"],
-                )
+                # runs of one text that agree make one row
+                order = np.argsort(mix(anchor ^ mix(cover + text.astype(np.uint64))), kind="stable")
+                same = np.ones(max(0, len(order) - 1), bool)
+                for key in (text, anchor, cover):
+                    same &= key[order[1:]] == key[order[:-1]]
+                first = np.flatnonzero(np.append(np.ones(min(1, len(order)), bool), ~same))
+                lead = order[first]
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(_pack(start - offsets[text], count, place)[order]))
+                row = pa.array(text[lead], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(anchor[lead])), pa.array(_signed(cover[lead])), part.column(0).take(row), part.column(1).take(row), places], names=["kg", "sh", "d", "t", "at"])
 
-    return texts.mapInArrow(run, "kg long, n long" if only_hash else "kg long, sh long, d long, t long, at long")
+    return texts.mapInArrow(run, "kg long, n long" if only_hash else "kg long, sh long, d long, t long, at array<long>")
 
 
 #: g: whom to meet; twin: two members of the class (kg, sh), else a context that looks for others' windows.
@@ -277,10 +282,16 @@ def _compared(contexts: DataFrame, plan: Plan) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "d long, t long, start long, n long, kg long, sh long")
 
 
-def _classes(rows: DataFrame, *more: str) -> DataFrame:
-    """(kg, sh, c, first, last): runs or halves with equal content, their number and two of them."""
-    member = F.struct("d", "t", "at", *more)
-    return rows.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("first"), F.max(member).alias("last"))
+def _classes(runs: DataFrame) -> DataFrame:
+    """(kg, sh, c, first, last): runs with equal content, their number and two of them, not the same if there are two."""
+    low, high = (F.struct("d", "t", F.element_at("at", k).alias("at")) for k in (1, -1))
+    return runs.groupBy("kg", "sh").agg(F.sum(F.size("at")).alias("c"), F.min(low).alias("first"), F.max(high).alias("last"))
+
+
+def _half_classes(halves: DataFrame) -> DataFrame:
+    """The same of halves, with their content."""
+    member = F.struct("d", "t", "at", "ctx")
+    return halves.groupBy("kg", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("first"), F.max(member).alias("last"))
 
 
 def _twins(classes: DataFrame) -> DataFrame:
@@ -294,9 +305,10 @@ def _firsts(classes: DataFrame) -> DataFrame:
 
 
 def _lent(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(d, t, start, n): all windows of the members of classes whose twins are equal. The keys are written, so that AQE can split a class of very many members."""
+    """(d, t, spans): all windows of the members (their places in the array at) of classes whose twins are equal. The keys are written, so that AQE can split a class of very many members."""
     equal = scratch.put(found.filter("kg is not null").select("kg", "sh"), name)
-    return members.join(equal, ["kg", "sh"]).select("d", "t", F.shiftright("at", 24).alias("start"), F.shiftright("at", 12).bitwiseAND(F.lit(4095).cast("long")).alias("n"))
+    whole = F.transform("at", lambda a: F.struct(F.shiftright(a, 24).alias("start"), F.shiftright(a, 12).bitwiseAND(F.lit(4095).cast("long")).alias("n")))
+    return members.join(equal, ["kg", "sh"]).select("d", "t", whole.alias("spans"))
 
 
 def _halved(rows: DataFrame, plan: Plan, level: int) -> DataFrame:
@@ -323,13 +335,13 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
     level, spans = 0, None
     while True:
         # a group's number of classes decides: one has nothing to share, and many are split
-        classes = _classes(rows, "ctx") if level else _classes(rows)
-        classes = scratch.put(classes, f"classes{level}")
+        classes = scratch.put(_half_classes(rows) if level else _classes(rows), f"classes{level}")
         sized = scratch.put(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), f"sized{level}")
         several = classes.join(sized.filter(F.col("k") <= plan.group_limit).select("kg"), "kg")
         meeting = _twins(classes).unionByName(_firsts(several))
         found = scratch.put(_compared(meeting if level else _contexts(texts, meeting, plan, False), plan), f"found{level}")
-        new = found.filter("d is not null").select("d", "t", "start", "n").unionByName(_lent(rows, found, scratch, f"equal{level}"))
+        members = rows.withColumn("at", F.array("at")) if level else rows
+        new = found.filter("d is not null").select("d", "t", F.array(F.struct("start", "n")).alias("spans")).unionByName(_lent(members, found, scratch, f"equal{level}"))
         spans = new if spans is None else spans.unionByName(new)
         hot = sized.filter(F.col("k") > plan.group_limit).select("kg")
         if hot.isEmpty():
@@ -337,7 +349,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
         large = _firsts(classes.join(hot, "kg"))
         level += 1
         rows = scratch.put(_halved(large, plan, level) if level > 1 else _contexts(texts, large, plan, True), f"rows{level}")
-    gathered = scratch.put(spans.groupBy("d", "t").agg(F.collect_set(F.struct(F.col("start").alias("start"), F.col("n").alias("n"))).alias("spans")), "spans")
+    gathered = scratch.put(spans.groupBy("d", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # as many as the document has runs
     scratch.drop(*[f"{n}{k}" for k in range(level + 1) for n in ("rows", "classes", "sized", "found", "equal")])
     return gathered
 
