@@ -120,3 +120,26 @@ def differential_support(pairs: DataFrame, lhs: list[str], rhs: list[str], theta
     out = pairs.agg(F.count_if(close).alias("n_close"), F.count_if(both).alias("n_both"))
     support = F.coalesce(F.try_divide(F.col("n_both").cast("double"), F.col("n_close")), F.lit(0.0))
     return out.withColumn("support", support).withColumn("valid", F.col("support") >= least)
+
+
+def random_distances(rows: DataFrame, key: str, columns: list[str], pairs: int = 2000, seed: int = 7) -> DataFrame:
+    """At most ``pairs`` random ordered pairs of different rows (no more than there are pairs), with d over the columns."""
+    n = rows.count()
+    sample = sample_pairs(rows.select(*dict.fromkeys([key, *columns])), key, min(pairs, n * (n - 1) // 2), seed)
+    return sample.withColumn("d", distance(sample, columns))
+
+
+def differential_weight(rows: DataFrame, key: str, lhs: list[str], rhs: str, *, theta_l: float | None = None, theta_r: float | None = None, pairs: int = 2000, most: int = 1000, least: float = 0.9, seed: int = 7) -> DataFrame:
+    """(lhs, rhs, theta_l, theta_r, n_pairs, n_close, n_both, support, weight, valid) of a differential dependency over random pairs.
+
+    A threshold that isn't given is the mean first quartile of its columns' distances (``threshold``). Weight is the support;
+    no close pair gives 0.
+    """
+    given = lambda theta, columns: rows.sparkSession.createDataFrame([(float(theta),)], "theta double") if theta is not None else threshold(rows, key, columns, most)
+    thetas = given(theta_l, lhs).withColumnRenamed("theta", "theta_l").join(given(theta_r, [rhs]).withColumnRenamed("theta", "theta_r"))
+    sample = random_distances(rows, key, [*lhs, rhs], pairs, seed).join(F.broadcast(thetas))  # one row
+    close = distance(sample, lhs) <= F.col("theta_l")
+    both = close & (distance(sample, [rhs]) <= F.col("theta_r"))
+    out = sample.agg(F.first("theta_l").alias("theta_l"), F.first("theta_r").alias("theta_r"), F.count(F.lit(1)).alias("n_pairs"), F.count_if(close).alias("n_close"), F.count_if(both).alias("n_both"))
+    support = F.coalesce(F.try_divide(F.col("n_both").cast("double"), F.col("n_close")), F.lit(0.0))
+    return out.select(F.lit(",".join(lhs)).alias("lhs"), F.lit(rhs).alias("rhs"), "*", support.alias("support"), support.alias("weight"), (support >= least).alias("valid"))

@@ -52,17 +52,21 @@ def runtime_breakdown(runs: DataFrame, methods: tuple[str, ...] = ("min", "exp",
     return listed.join(means, "method", "left").select("position", "method", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in phases])
 
 
-def main_metrics(runs: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
-    """By method and dataset: mask, leakage with half width, deletion ratio, efficiency mean((1 - L) / (mask + 1)), improvement over the smallest mask."""
+def main_metrics(runs: DataFrame, sizes: dict[str, int] | None = None, *, density: DataFrame | None = None) -> DataFrame:
+    """By method and dataset: mask, leakage with half width, deletion ratio, efficiency mean((1 - L) / (mask + 1)), improvement over the smallest mask;
+    mean time in ms and mean bytes where the runs have them, and rho where ``density`` (dataset, rho1) is given."""
+    more = [(F.avg(c) * scale).alias(name) for c, scale, name in (("total_time", 1000, "avg_time_ms"), ("memory_overhead_bytes", 1, "avg_memory_bytes")) if c in runs.columns]
     out = runs.groupBy("method", "dataset").agg(
         F.avg("mask_size").alias("avg_mask_size"),
         F.avg("leakage").alias("avg_leakage"),
         _ci("leakage").alias("leakage_ci_margin_95"),
         F.avg(F.col("mask_size") / F.col("num_instantiated_cells")).alias("avg_deletion_ratio"),
         F.avg((1 - F.col("leakage")) / (F.col("mask_size") + 1)).alias("avg_efficiency"),
+        *more,
     )
     least = min_mask_of(F.col("dataset"), sizes)
-    return out.withColumn("mask_improvement_percent", F.when(F.col("method") == "min", 0.0).otherwise(100 * F.abs(least - F.col("avg_mask_size")) / least))
+    out = out.withColumn("mask_improvement_percent", F.when(F.col("method") == "min", 0.0).otherwise(100 * F.abs(least - F.col("avg_mask_size")) / least))
+    return out if density is None else out.join(F.broadcast(density.select("dataset", F.col("rho1").alias("rho"))), "dataset", "left")  # a row for each dataset
 
 
 def leakage_by_size(masks: DataFrame) -> DataFrame:
@@ -120,17 +124,38 @@ def axis_limit(values: DataFrame, column: str, step: float = 0.2) -> DataFrame:
     return values.agg(ceil_to(F.max(column), step).cast("double").alias("upper"))
 
 
+#: The datasets of the short charts.
+SHORT = ("airport", "hospital", "adult")
+
+
 def figures(runs: DataFrame, masks: DataFrame) -> dict[str, DataFrame]:
-    """The tables that charts are drawn from, by name."""
-    curve, signed = curves(runs), signed_improvement(runs.filter("epsilon_m is not null"))
-    return {
-        "improvement_by_cap": curve.select("method", "dataset", "epsilon_m", "L0", "improvement", "ci_improvement"),
-        "leakage_by_cap": curve.select("method", "dataset", "epsilon_m", "L0", "mean_leakage", "ci_leakage"),
-        "trade_off": pareto(runs),
-        "runtime": runtime_breakdown(runs) if "init_time" in runs.columns else main_metrics(runs),
-        "main": main_metrics(runs),
-        "ablation": curves(runs.filter(F.col("method").startswith("gum"))),
-        "estimators_by_size": leakage_by_size(masks),
-        "heatmap": heatmap(signed.filter("method = 'exp'"), [round(0.1 * i, 1) for i in range(1, 11)]),
-        "tau": tau_extremes(signed),
-    }
+    """The tables that the sixteen charts are drawn from, by the charts' numbers. Runs without times have no runtime chart (10)."""
+    private = runs.filter("epsilon_m is not null")
+    curve, signed = curves(private), signed_improvement(private)
+    epsilons = [round(0.1 * i, 1) for i in range(1, 11)]
+    of = lambda df, method: df.filter(F.col("method") == method)
+    short = lambda df: df.filter(F.col("dataset").isin(*SHORT))
+    leaks = lambda method: of(curve, method).select("dataset", "epsilon_m", "L0", "mean_leakage", "ci_leakage")
+    reduced = lambda method: of(curve, method).select("dataset", "epsilon_m", "L0", "improvement", "ci_improvement")
+
+    def grids(df: DataFrame) -> DataFrame:
+        """Caps down and budgets across for each method and dataset; the last cap is dropped."""
+        out = df.groupBy("method", "dataset", "L0").pivot("epsilon_m", epsilons).agg(F.avg("improvement"))
+        out = out.toDF("method", "dataset", "L0", *[f"eps_{str(e).replace('.', '_')}" for e in epsilons])
+        return out.join(F.broadcast(df.agg(F.max("L0").alias("__last"))), F.col("L0") < F.col("__last")).drop("__last")  # one row
+
+    two = signed.filter(F.col("method").isin("exp", "gum"))
+    out = {
+        "8": short(curve.filter(F.col("method").isin("exp", "gum"))),
+        "9": short(pareto(private.filter(F.col("method").isin("exp", "gum")))),
+        "11": grids(short(two)),
+        "12": of(curve, "exp"),
+        "13": of(curve, "gum"),
+        "14": pareto(private.filter(F.col("method").isin("exp", "gum"))),
+        "16": leakage_by_size(masks),
+        "17a": leaks("gum"), "17b": leaks("gum_random"), "17c": leaks("gum_zero"),
+        "18a": reduced("gum"), "18b": reduced("gum_random"), "18c": reduced("gum_zero"),
+        "19": grids(two),
+        "20": tau_extremes(two),
+    }
+    return out | ({"10": runtime_breakdown(runs)} if "total_time" in runs.columns else {})

@@ -715,7 +715,7 @@ def runtime_breakdown(spark, sf_dir):
 
 
 @query(f"""WITH {RUNS_SQL} SELECT method, dataset, round(avg(mask_size), 6) AS avg_mask_size, round(avg(leakage), 6) AS avg_leakage, round(1.96 * coalesce(stddev_samp(leakage), 0) / sqrt(count(*)), 6) AS leakage_ci_margin_95, round(avg(mask_size / 12.0::DOUBLE), 6) AS avg_deletion_ratio,
- round(avg((1 - leakage) / (mask_size + 1)), 6) AS avg_efficiency, round(100 * abs(any_value(least) - avg(mask_size)) / any_value(least), 6) AS mask_improvement_percent FROM r JOIN mn USING (dataset) GROUP BY ALL""")
+ round(avg((1 - leakage) / (mask_size + 1)), 6) AS avg_efficiency, round(100 * abs(any_value(least) - avg(mask_size)) / any_value(least), 6) AS mask_improvement_percent, round(avg(total_time) * 1000, 6) AS avg_time_ms FROM r JOIN mn USING (dataset) GROUP BY ALL""")
 def main_metrics(spark, sf_dir):
     """The main statistics by method and dataset."""
     return _rounded(report.main_metrics(_runs(spark, sf_dir)))

@@ -11,7 +11,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.functions.expressions import operator_of, plain_name
+from veilgraph.functions.expressions import OPERATORS, operator_of, plain_name
 
 DATASETS = ("airport", "hospital", "adult", "flight", "tax")
 PREDICATES = "array<struct<i1:int,c1:string,op:string,i2:int,c2:string>>"
@@ -49,6 +49,32 @@ def parse_text(lines: DataFrame, column: str = "value") -> DataFrame:
     return _numbered(marked.select("at", predicates_of_text(F.col("line")).alias("preds")).filter("preds is not null"))
 
 
+def parse_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(source, dataset, dc_id, preds) of all constraint files of a folder; ``dc_id`` counts from 0 within a file, in its order.
+
+    The dataset is the file's name without ``top`` and ``DCs`` (the whole name if nothing is left). A file is a catalog and
+    is read as one text, so that its lines keep their order; files without a constraint give no row.
+    """
+    from pyspark.sql import Window
+
+    files_ = spark.read.option("wholetext", True).text(path).select(F.substring_index(F.input_file_name(), "/", -1).alias("source"), "value")
+    lines = files_.select("source", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter(F.col("line").startswith("not"))
+    preds = lines.select("source", "at", predicates_of_text(F.col("line")).alias("preds")).filter("preds is not null")
+    short = F.regexp_replace("source", "top|DCs", "")
+    order = Window.partitionBy("source").orderBy("at")
+    return preds.select("source", F.when(short == "", F.col("source")).otherwise(short).alias("dataset"), (F.row_number().over(order) - 1).alias("dc_id"), "preds")
+
+
+def write_catalog(catalog_: DataFrame, path: str) -> None:
+    """Constraints, with their weights where they have some, as JSON lines that ``read_catalog`` reads back."""
+    catalog_.write.mode("overwrite").json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_catalog`` wrote: dataset, target, dc_id, preds, weight."""
+    return spark.read.schema(f"dataset string, target string, dc_id int, preds {PREDICATES}, weight double").json(path)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """dc_id from the order of ``at``. Catalogs are short lists, so one task numbers them."""
     from pyspark.sql import Window
@@ -92,17 +118,20 @@ def weighted_columns(names: list[str]) -> tuple[str, str]:
 def parse_weighted(rows: DataFrame) -> DataFrame:
     """(dc_id, preds, weight) of a weight file's rows with a positive weight, numbered anew from 0.
 
-    A predicate has three words (``t0.a EQUAL t1.a``) or five, with a type after each name; names become plain.
+    A predicate has three words (``t0.a EQUAL t1.a``) or five, with a type after each name; names become plain. Any other number
+    of words, a side that isn't a row and a column, or an unknown operator fails when the rows are read.
     """
     dc, weight = weighted_columns(rows.columns)
-    side = lambda x: F.struct(F.regexp_extract(x, r"t(\d)\.", 1).cast("int").alias("i"), plain_name(F.substring_index(x, ".", -1)).alias("c"))
+    side = lambda x: F.struct(F.regexp_extract(x, r"^t(\d)\.", 1).try_cast("int").alias("i"), plain_name(F.substring_index(x, ".", -1)).alias("c"))
 
     def predicate(text: Column) -> Column:
         words = F.split(F.trim(text), r"\s+")
         five = F.size(words) == 5
         left, op, right = F.get(words, F.lit(0)), F.when(five, F.get(words, F.lit(2))).otherwise(F.get(words, F.lit(1))), F.when(five, F.get(words, F.lit(3))).otherwise(F.get(words, F.lit(2)))
         a, b = side(left), side(right)
-        return F.struct(a["i"].alias("i1"), a["c"].alias("c1"), operator_of(op).alias("op"), b["i"].alias("i2"), b["c"].alias("c2"))
+        sound = F.size(words).isin(3, 5) & a["i"].isNotNull() & b["i"].isNotNull() & operator_of(op).isin(*set(OPERATORS.values()))
+        found = F.struct(a["i"].alias("i1"), a["c"].alias("c1"), operator_of(op).alias("op"), b["i"].alias("i2"), b["c"].alias("c2"))
+        return F.when(F.coalesce(sound, F.lit(False)), found).otherwise(F.raise_error(F.concat(F.lit("not a predicate: "), text)))
 
     kept = rows.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{dc}`").alias("dc"), F.col(f"`{weight}`").cast("double").alias("weight")).filter("weight > 0")
     from pyspark.sql import Window

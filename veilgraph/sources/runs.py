@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgraph.store import file_system
+
 #: The run record's columns.
 RUN = "method string, dataset string, target_attribute string, epsilon_m double, lambda double, L0 double, total_time double, init_time double, model_time double, del_time double, leakage double, baseline_leakage_empty_mask double, utility double, total_paths long, mask_size int, memory_overhead_bytes long, num_instantiated_cells int"
 REQUIRED = ("method", "dataset", "L0", "leakage", "mask_size")
@@ -39,6 +41,29 @@ def titled(masks: DataFrame) -> DataFrame:
     return masks.withColumn("dataset", F.initcap("dataset"))
 
 
+def standard_runs(records: DataFrame) -> DataFrame:
+    """The run record's columns in order: the total time is that of the phases (a missing phase takes none, three missing ones make no total); columns that are missing are null, others go."""
+    phases = [F.col(c).cast("double") if c in records.columns else F.lit(None).cast("double") for c in ("init_time", "model_time", "del_time")]
+    some = F.coalesce(*phases).isNotNull()
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in phases), F.lit(0.0))
+    own = records.withColumn("total_time", F.when(some, total))
+    names = [f.strip().split(" ") for f in RUN.split(",")]
+    return own.select(*[(F.col(n).cast(k) if n in own.columns else F.lit(None).cast(k)).alias(n) for n, k in names])
+
+
+def write_statistics(statistics: DataFrame, path: str) -> None:
+    """One CSV file with a header; statistics are a row for each method and dataset."""
+    statistics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether a table, or a Parquet folder, of this name is there."""
+    if "/" not in name:
+        return spark.catalog.tableExists(name)
+    where, system = file_system(spark, name)
+    return system.exists(where)
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     """Adds run records to a Parquet table."""
     runs.write.mode("append").parquet(path)

@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """(path, its file system), both of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """Parquet tables that cut lineage. ``drop`` removes one early; the rest go when Python ends."""
 
@@ -46,6 +52,5 @@ class Scratch:
             pass
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, system = file_system(self.spark, path)
+        system.delete(where, True)
