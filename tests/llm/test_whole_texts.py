@@ -137,3 +137,10 @@ def test_the_sample_of_labels_is_bounded_in_rows_and_characters(spark):
     assert len(sample(docs, labels, max_rows=30, max_chars=10**9)) == 30
     assert len(sample(docs, labels, max_rows=1000, max_chars=5000)) == 10
     assert len(sample(docs, labels, max_rows=1000, max_chars=10)) == 1
+
+
+def test_a_language_of_one_text_many_times_is_learned(spark):
+    alike = spark.range(30_000).selectExpr("0L as doc_id", "'kana moku' as text", "'aa' as lang")
+    other = spark.range(9000).selectExpr("id as doc_id", "concat('schr', id % 7, 'ung ', id) as text", "'bb' as lang")
+    got = dict(learn(alike.union(other)))
+    assert set(got) == {"aa", "bb"} and got["aa"].split("\n") == ["kana moku"] * 512 and len(got["bb"]) > 5000

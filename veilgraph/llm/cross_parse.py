@@ -200,7 +200,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, *, texts_each: int = 512, chars_each: int = 32_000, most_languages: int = 128) -> tuple[tuple[str, str], ...]:
-    """For each language a sample of its labelled texts, whole: in the order of their ids' hashes, as many of at most ``texts_each`` texts
+    """For each language a sample of its labelled texts, whole: in the order of their hashes, as many of at most ``texts_each`` texts
     as hold no more than ``chars_each`` characters together.
 
     A text above ``chars_each`` characters is taken only where a language has no other, and then that many of its characters from a
@@ -210,16 +210,30 @@ def learn(docs: DataFrame, *, texts_each: int = 512, chars_each: int = 32_000, m
     texts are read again for the chosen rows only.
     """
     text = F.col("text").cast("string")
-    own = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), F.length(text).alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.col("n") > chars_each, F.xxhash64("id"), "id", "x")
-    # one pass keeps a bounded number of rows of each language before the shuffle
-    best = own.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts_each)
-    used = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = best.withColumn("used", used).filter((F.col("used") <= chars_each) | (F.col("r") == 1)).select("lang", "id", "x", "r").limit(texts_each * most_languages + 1).collect()
-    if len({r.lang for r in chosen}) > most_languages:
+    own = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), F.length(text).alias("n"), F.xxhash64(F.col("doc_id"), text).alias("h"))
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") <= chars_each).alias("fit")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
         raise ValueError(f"the texts are labelled with more than {most_languages} languages")
-    if not chosen:
+    if not counts:
         return ()
+    # the smallest hashes lie below a bound that about eight times as many texts as wanted pass, so few rows meet in a language's task
+    bounds = []
+    for r in counts:
+        share = 8 * texts_each / (r.fit or r.all)
+        bounds.append((r.lang, r.fit == 0, -(1 << 63) + int(share * (1 << 64)) if share < 1 else (1 << 63) - 1))
+
+    def pick(bounds: list[tuple[str, bool, int]]) -> list:
+        limits = docs.sparkSession.createDataFrame(bounds, "own_lang string, only_long boolean, most long")
+        some = own.join(F.broadcast(limits), F.col("lang") == F.col("own_lang")).filter((F.col("only_long") | (F.col("n") <= chars_each)) & (F.col("h") <= F.col("most")))
+        first = Window.partitionBy("lang").orderBy("h", "id", "x")
+        best = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts_each)
+        used = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))
+        return best.withColumn("used", used).filter((F.col("used") <= chars_each) | (F.col("r") == 1)).select("lang", "id", "x", "r").collect()  # at most texts_each * most_languages rows
+
+    chosen = pick(bounds)
+    # rows that are all alike have one hash, which may lie beyond the bound
+    if missing := {lang for lang, *_ in bounds} - {r.lang for r in chosen}:
+        chosen += pick([(lang, only_long, (1 << 63) - 1) for lang, only_long, _ in bounds if lang in missing])
     kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType()), T.StructField("r", T.IntegerType())])
     wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], kinds)
     place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("t") - chars_each, F.lit(0)) + 1) + 1
