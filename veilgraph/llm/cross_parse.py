@@ -234,15 +234,17 @@ def learn(docs: DataFrame, *, texts_each: int = 512, chars_each: int = 32_000, m
     # rows that are all alike have one hash, which may lie beyond the bound
     if missing := {lang for lang, *_ in bounds} - {r.lang for r in chosen}:
         chosen += pick([(lang, only_long, (1 << 63) - 1) for lang, only_long, _ in bounds if lang in missing])
-    kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType()), T.StructField("r", T.IntegerType())])
-    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], kinds)
+    # each different row is fetched once, however often it was chosen
+    kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType())])
+    wanted = docs.sparkSession.createDataFrame(list({(r.lang, r.id, r.x) for r in chosen}), kinds)
     place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("t") - chars_each, F.lit(0)) + 1) + 1
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), text.alias("t"), F.xxhash64(text).alias("x"))
     same = (F.col("lang") == F.col("own_lang")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("x") == F.col("own_x"))
-    rows = texts.join(F.broadcast(wanted), same).select("lang", "r", F.col("t").substr(place.cast("int"), F.lit(chars_each)).alias("t")).dropDuplicates(["lang", "r"])
+    rows = texts.join(F.broadcast(wanted), same).select("lang", "id", "x", F.col("t").substr(place.cast("int"), F.lit(chars_each)).alias("t")).dropDuplicates(["lang", "id", "x"])
+    text_of = {(r.lang, r.id, r.x): r.t.replace("\n", " ") for r in rows.collect()}
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.r)):
-        found.setdefault(r.lang, []).append(r.t.replace("\n", " "))
+    for r in sorted(chosen, key=lambda r: (r.lang, r.r)):
+        found.setdefault(r.lang, []).append(text_of[r.lang, r.id, r.x])
     return tuple((lang, "\n".join(texts)) for lang, texts in found.items())
 
 

@@ -106,9 +106,12 @@ def sample(docs: DataFrame, labels: DataFrame, *, max_rows: int, max_chars: int)
     order = [F.xxhash64("id"), F.col("id"), F.col("x"), F.col("y")]
     some = lengths.orderBy(*order).limit(max_rows)
     used = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # at most max_rows rows
-    wanted = some.select("id", "x", "y", F.row_number().over(Window.orderBy(*order)).alias("r"), used.alias("used")).filter((F.col("used") <= max_chars) | (F.col("r") == 1))
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), text.alias("t")).join(F.broadcast(wanted), ["id", "x"]).dropDuplicates(["r"])
-    return [(r.t, r.y) for r in sorted(texts.select("r", "t", "y").collect(), key=lambda r: r.r)]
+    rows = some.select("id", "x", "y", F.row_number().over(Window.orderBy(*order)).alias("r"), used.alias("used")).filter((F.col("used") <= max_chars) | (F.col("r") == 1)).collect()  # at most max_rows rows of numbers
+    # each different row is fetched once, however often it was chosen
+    wanted = docs.sparkSession.createDataFrame(list({(r.id, r.x) for r in rows}), T.StructType([docs.select(F.col("doc_id").alias("id")).schema["id"], T.StructField("x", T.LongType())]))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), text.alias("t")).join(F.broadcast(wanted), ["id", "x"]).dropDuplicates(["id", "x"])
+    text_of = {(r.id, r.x): r.t for r in texts.collect()}
+    return [(text_of[r.id, r.x], r.y) for r in sorted(rows, key=lambda r: r.r)]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 40_000_000) -> Model:
