@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from veilgraph.store import Scratch
 from veilgraph.llm._text import mix, pieces
 
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 _SEEDS = np.random.Generator(np.random.Philox(77)).integers(1, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE_VALUES = np.random.Generator(np.random.Philox(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
@@ -86,7 +86,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        if size > 4 * PIECE_BYTES:
+        if size > 4 * PIECE_BYTES + 2:
             return both[0], both[1]  # one huge text; its tables aren't kept
         _powers[:] = both
     return _powers[0], _powers[1]
