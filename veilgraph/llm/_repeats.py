@@ -304,9 +304,10 @@ def _firsts(classes: DataFrame) -> DataFrame:
     return classes.select(F.col("kg").alias("g"), "kg", "sh", F.lit(False).alias("twin"), "first.*")
 
 
-def _lent(members: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _lent(members: DataFrame, found: DataFrame, scratch: Scratch, name: str | None) -> DataFrame:
     """(d, t, spans): all windows of the members (their places in the array at) of classes whose twins are equal. The keys are written, so that AQE can split a class of very many members."""
-    equal = scratch.put(found.filter("kg is not null").select("kg", "sh"), name)
+    equal = found.filter("kg is not null").select("kg", "sh")
+    equal = scratch.put(equal, name) if name else equal
     whole = F.transform("at", lambda a: F.struct(F.shiftright(a, 24).alias("start"), F.shiftright(a, 12).bitwiseAND(F.lit(4095).cast("long")).alias("n")))
     return members.join(equal, ["kg", "sh"]).select("d", "t", whole.alias("spans"))
 
@@ -335,13 +336,15 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
     level, spans = 0, None
     while True:
         # a group's number of classes decides: one has nothing to share, and many are split
-        classes = scratch.put(_half_classes(rows) if level else _classes(rows), f"classes{level}")
-        sized = scratch.put(classes.groupBy("kg").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), f"sized{level}")
+        # halves are few (hot groups' alone), so their classes are worked out where they are needed and not written
+        classes = _half_classes(rows) if level else scratch.put(_classes(rows), "classes0")
+        sized = classes.groupBy("kg").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        sized = sized if level else scratch.put(sized, "sized0")
         several = classes.join(sized.filter(F.col("k") <= plan.group_limit).select("kg"), "kg")
         meeting = _twins(classes).unionByName(_firsts(several))
         found = scratch.put(_compared(meeting if level else _contexts(texts, meeting, plan, False), plan), f"found{level}")
         members = rows.withColumn("at", F.array("at")) if level else rows
-        new = found.filter("d is not null").select("d", "t", F.array(F.struct("start", "n")).alias("spans")).unionByName(_lent(members, found, scratch, f"equal{level}"))
+        new = found.filter("d is not null").select("d", "t", F.array(F.struct("start", "n")).alias("spans")).unionByName(_lent(members, found, scratch, None if level else "equal0"))
         spans = new if spans is None else spans.unionByName(new)
         hot = sized.filter(F.col("k") > plan.group_limit).select("kg")
         if hot.isEmpty():
@@ -350,7 +353,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
         level += 1
         rows = scratch.put(_halved(large, plan, level) if level > 1 else _contexts(texts, large, plan, True), f"rows{level}")
     gathered = scratch.put(spans.groupBy("d", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # as many as the document has runs
-    scratch.drop(*[f"{n}{k}" for k in range(level + 1) for n in ("rows", "classes", "sized", "found", "equal")])
+    scratch.drop("classes0", "sized0", "equal0", *[f"{n}{k}" for k in range(level + 1) for n in ("rows", "found")])
     return gathered
 
 
