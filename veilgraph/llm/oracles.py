@@ -52,3 +52,46 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
  o AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.at) AS kept FROM x ANTI JOIN c ON c.r = x.r AND c.at = x.at GROUP BY x.r),
  n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (r) LEFT JOIN n USING (r)"""
+
+EXACT_DEDUP = f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignment k of all parts to the books of round k, and the books that follow from it."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT vec_id, part, min(d * 256 + e) AS best FROM (SELECT p.vec_id, p.part, c.e, list_sum(list_transform(list_zip(p.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN c{k} c USING (part)) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, e, list(f ORDER BY pos) AS q FROM (SELECT part, best % 256 AS e, pos, floor(sum(q[pos]) / count(*))::BIGINT AS f FROM p JOIN a{k} USING (vec_id, part), (SELECT unnest(range(1, 17)) AS pos) GROUP BY ALL) GROUP BY ALL),
+ c{k + 1} AS (SELECT c.part, c.e, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.e = c.e)""")
+    return ",\n ".join(steps)
+
+
+#: For vectors of 64 components, with distinct ids.
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT vec_id, part, v[part * 16 + 1:part * 16 + 16] AS q FROM k, (SELECT unnest(range(0, 4)) AS part)),
+ c0 AS (SELECT part, e, q FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, q FROM p) WHERE e < 256),
+ {_code_rounds(4)},
+ f AS (SELECT vec_id, string_agg(lower(right('0' || hex((best % 256)::BIGINT), 2)), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, e)) FROM c4) AS codebooks_sha256 FROM k JOIN f USING (vec_id)"""
+
+#: The table of CRC-32 by its rule, then a fold over bytes; words meet by what is left after one letter is taken out or masked.
+_CRC_STEP = "(CASE WHEN {0} % 2 = 1 THEN xor(3988292384, {0} // 2) ELSE {0} // 2 END)"
+SPELLING = f"""
+WITH RECURSIVE s0 AS (SELECT i, i::BIGINT AS x FROM (SELECT unnest(range(0, 256)) AS i)), {", ".join(f"s{k + 1} AS (SELECT i, {_CRC_STEP.format('x')} AS x FROM s{k})" for k in range(8))},
+ tab AS (SELECT list(x ORDER BY i) AS l FROM s8),
+ runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY ALL),
+ hx AS (SELECT doc_id, w, n, hex(encode(doc_id::VARCHAR || ':' || w)) AS h FROM runs),
+ crc AS (SELECT doc_id, w, n, xor(4294967295, list_reduce(list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(l[(xor(c, b) & 255) + 1], c // 256), 4294967295)) AS c FROM hx, tab),
+ made AS (SELECT CASE WHEN c % 199 = 0 THEN left(w, (c % length(w))::INT) || substr(w, (c % length(w))::INT + 2) ELSE w END AS word, n FROM crc),
+ v AS (SELECT word, sum(n)::BIGINT AS n FROM made GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+ cut AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ pairs AS (SELECT x.word, y.word AS near, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word != y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN v y ON y.word = x.a || x.b UNION SELECT y.word, x.word, x.n FROM cut x JOIN v y ON y.word = x.a || x.b),
+ best AS (SELECT word, count(*) AS n_near, max(n) AS most, arg_min(near, (-n, near)) AS form FROM pairs GROUP BY 1),
+ f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN form END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+ up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, f.n, n_near, form_n FROM f JOIN up ON up.word = f.word WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.word = up.root AND g.form IS NOT NULL)"""

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm import oracles
+from veilgraph.llm.annular_codes import compress
 from veilgraph.llm.binary_packing import pack
 from veilgraph.llm.chat_snapshots import collapse
 from veilgraph.llm.cross_parse import held_out as language_held_out
 from veilgraph.llm.cross_parse import identify, learn
 from veilgraph.llm.curve_ann import nearest
 from veilgraph.llm.decontaminate import decontaminate
+from veilgraph.llm.digest_index import exact_dedup
 from veilgraph.llm.jaccard_join import jaccard_join
 from veilgraph.llm.quality import held_out as quality_held_out
 from veilgraph.llm.quality import score_quality, train
 from veilgraph.llm.seed_extend import seed_extend_dedup
+from veilgraph.llm.spelling import spelling_variants, word_counts
 from veilgraph.llm.suffix_dedup import suffix_dedup
 from veilgraph.llm.url_trust import judge
 
@@ -101,6 +104,22 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector, with integer codebooks of 4 parts and 256 entries."""
+    return compress(_table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of documents with its form, its root and how many words are one edit away."""
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the one of its group of equal texts that stays."""
+    found = exact_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -113,6 +132,9 @@ def queries() -> dict:
         "op8_seed_extend": op8_seed_extend,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_url_filters": op10_url_filters,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -123,4 +145,7 @@ def oracle_sql() -> dict:
         "op6_decontamination": oracles.DECONTAMINATION,
         "op7_chat_snapshots": oracles.CHATS,
         "op8_seed_extend": oracles.SEED_EXTEND,
+        "op11_vector_codes": oracles.VECTOR_CODES,
+        "op12_spelling_variants": oracles.SPELLING,
+        "op13_exact_dedup": oracles.EXACT_DEDUP,
     }
