@@ -59,6 +59,18 @@ def test_matches_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_hundreds_of_equal_rows(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split())
+    hot = [word() for _ in range(60)]
+    near = [*hot[:59], "other"]
+    rows = [(7, " ".join(hot))] * 300 + [(None, " ".join(hot))] * 40 + [(8, " ".join(near)), (9, " ".join(word() for _ in range(50)))]
+    found = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), bucket_limit=16).collect()
+    assert len(found) == len(rows)
+    links = {(r.id, r.n_links) for r in found}
+    assert links == {(7, 340), (None, 340), (8, 340), (9, 0)}
+
+
 def test_empty_table(spark):
     assert jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 

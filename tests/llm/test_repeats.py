@@ -68,6 +68,43 @@ def test_words_match_brute_force(spark, limit):
     assert got == want
 
 
+def many_equal_rows(copies=300):
+    """A text of many rows with one id, one with no id, and others that share parts of them."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    hot, bare, short = text(120), text(90), "tiny"
+    rows = [(5, hot)] * copies + [(None, bare)] * copies + [(6, short)] * copies + [(9, hot.upper())] * 2
+    rows += [(1, text(20) + " " + hot[100:500] + " " + text(30)), (2, bare[:150]), (3, hot + bare), (4, text(100)), (5, text(80)), (None, None), (None, text(70))]
+    return rows
+
+
+def test_hundreds_of_equal_rows_match_brute_force(spark):
+    rows = many_equal_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    distinct = Counter(rows)
+    order = list(distinct)
+    # two of each are as good as all
+    twice = [r for r in order for _ in range(min(2, distinct[r]))]
+    texts = [(t or "").encode() for _, t in twice]
+    bytes_left = {r: bytes(b for b, x in zip(s, hit, strict=True) if not x) for r, s, hit in zip(twice, texts, cover(texts, 200), strict=True)}
+    got = Counter((r.id, bytes(r.kept)) for r in suffix_dedup(docs).collect())
+    assert got == sum((Counter({(r[0], bytes_left[r]): n}) for r, n in distinct.items()), Counter())
+    words = [re.findall("[^\x20\x09-\x0D]+", t or "") for _, t in twice]
+    words_left = {r: " ".join(w for w, x in zip(s, hit, strict=True) if not x) for r, s, hit in zip(twice, words, cover(words, 35), strict=True)}
+    got = Counter((r.id, r.kept) for r in seed_extend_dedup(docs).collect())
+    assert got == sum((Counter({(r[0], words_left[r]): n}) for r, n in distinct.items()), Counter())
+
+
+def test_a_text_of_many_rows_moves_twice(spark):
+    from veilgraph.llm._repeats import at_most, repeated_rows
+
+    rows = spark.createDataFrame([(1, 1, "x")] * 500 + [(2, 2, "y"), (1, 2, "z"), (3, 3, "w"), (3, 3, "w")], "d long, t long, text string").repartition(5)
+    again = repeated_rows(rows)
+    assert sorted(again.collect()) == [(1, 1), (3, 3)]
+    assert sorted(at_most(2, rows, again).collect()) == [(1, 1, "x")] * 2 + [(1, 2, "z"), (2, 2, "y")] + [(3, 3, "w")] * 2
+    assert sorted(at_most(1, rows, again).collect()) == [(1, 1, "x"), (1, 2, "z"), (2, 2, "y"), (3, 3, "w")]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup(empty).count() == 0

@@ -14,7 +14,8 @@ Equal windows have equal anchors at the same place, and the windows of one ancho
    classes again, lone ones go, and what is still too large is halved anew, until a half is a single window.
 5. The repeated windows of each document come back to its text.
 
-Rows are told apart by (id, hash of the text). Rows that agree in both repeat each other, as they should.
+Rows are told apart by (id, hash of the text). Rows that agree in both repeat each other, as they should: however many there are, two
+of them go through these steps, so a text that is a third of all rows under one id costs what one text costs.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from veilgraph.store import Scratch
 from veilgraph.llm._text import mix, pieces
 
 _PIECE = 1 << 20
+#: Keys of repeated rows (16 bytes each) that are sent to every task at most; more are joined by key.
+_MOST_SENT = 1_000_000
 _SEEDS = np.random.Generator(np.random.Philox(77)).integers(1, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -144,6 +147,24 @@ def identity(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [number.alias("d"), F.xxhash64(text_col).alias("t")]
 
 
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """(d, t) that more than one row has; only these two numbers are counted and moved."""
+    return rows.groupBy("d", "t").count().filter("count > 1").select("d", "t")
+
+
+def at_most(copies: int, rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` (d, t, ...), of which those whose (d, t) is in ``again`` (written, distinct) come ``copies`` times each."""
+    n = again.count()
+    if not n:
+        return rows
+    sent = F.broadcast(again) if n <= _MOST_SENT else again
+    alone = rows.join(sent, ["d", "t"], "left_anti")
+    firsts = rows.join(sent, ["d", "t"]).groupBy("d", "t").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("d", "t")])
+    for _ in range(copies):
+        alone = alone.unionByName(firsts)
+    return alone
+
+
 def _anchors(texts: DataFrame, plan: Plan, only_hash: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,6 +351,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
     if plan.group_limit < 2:
         raise ValueError("group_limit must be at least 2")
     texts = docs.select(*identity(docs, id_col, text_col), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") >= plan.window)
+    texts = at_most(2, texts, scratch.put(repeated_rows(texts), "again"))
     repeated = scratch.put(_anchors(texts, plan, True).groupBy("kg").agg(F.sum("n").alias("n")).filter("n > 1").select("kg"), "anchors")
     rows = scratch.put(_anchors(texts, plan, False).join(repeated, "kg"), "rows0")
     scratch.drop("anchors")
@@ -353,7 +375,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, scratch: Scratch, *, id_col: s
         level += 1
         rows = scratch.put(_halved(large, plan, level) if level > 1 else _contexts(texts, large, plan, True), f"rows{level}")
     gathered = scratch.put(spans.groupBy("d", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # as many as the document has runs
-    scratch.drop("classes0", "sized0", "equal0", *[f"{n}{k}" for k in range(level + 1) for n in ("rows", "found")])
+    scratch.drop("again", "classes0", "sized0", "equal0", *[f"{n}{k}" for k in range(level + 1) for n in ("rows", "found")])
     return gathered
 
 

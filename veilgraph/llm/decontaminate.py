@@ -212,7 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         schema = T.StructType().add("d", "long").add("t", "long").add("items", T.ArrayType(T.StringType())).add("spans", _SPAN_TYPE)
         own = scratch.put(texts.mapInArrow(past, schema), f"block{block}")
         hits = own if hits is None else hits.union(own)
-    once = hits.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # as many as the document has
+    once = hits.distinct().groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # as many as the document has
     rows = docs.select(*lead, *carried, *identity(docs, id_col, text_col)).join(once, ["d", "t"], "left").drop("d", "t")
     n = 2 + len(carried)
 

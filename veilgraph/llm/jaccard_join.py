@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm._repeats import identity
+from veilgraph.llm._repeats import at_most, identity, repeated_rows
 from veilgraph.store import Scratch
 from veilgraph.llm._text import PIECE_BYTES, buffer_of, byte_table, mix, pieces, word_hashes, word_spans
 
@@ -130,7 +130,7 @@ def _dealt(texts: DataFrame, members: DataFrame) -> DataFrame:
         if out:
             yield done()
 
-    joined = texts.select("d", "t", "text").join(members, ["d", "t"]).select("c", "copies", "kept", "blocks", "text")
+    joined = texts.join(members, ["d", "t"]).select("c", "copies", "kept", "blocks", "text")
     return joined.mapInArrow(run, "bucket long, low int, high int, own int, band int, c binary, copies long, kept array<long>, body binary")
 
 
@@ -160,7 +160,6 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _group_links(rows: list[dict], size: int, threshold: float) -> list[tuple]:
     """(c, root, links) of the members with links that this group is the first to see."""
-    rows = list({r["c"]: r for r in rows}.values())  # repeated rows bring a class twice
     n = len(rows)
     if n < 2:
         return []
@@ -278,8 +277,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         "members",
     )
     scratch.drop("buckets")
-    links = scratch.put(_verified(_dealt(texts, members), size, threshold), "links")
-    scratch.drop("members")
+    once = at_most(1, texts.select("d", "t", "text"), scratch.put(repeated_rows(signed), "again"))
+    links = scratch.put(_verified(_dealt(once, members), size, threshold), "links")
+    scratch.drop("members", "again")
     labels = components(links.filter("c != root"), scratch)
     counted = links.groupBy("c").agg(F.sum("links").alias("links"))
     found = scratch.put(classes.select("c", "copies").join(labels, "c", "left").join(counted, "c", "left").select("c", F.coalesce("label", "c").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "found")
