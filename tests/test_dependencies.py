@@ -143,3 +143,34 @@ def test_differential_dependencies(spark):
     assert (got.n_close, got.n_both) == (13, 7)
     none = D.differential_support(some, ["x"], ["y"], -1.0, 3.0).first()
     assert (none.support, none.valid) == (0.0, False)
+
+
+def test_all_dependencies_match_counting(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from veilgraph.operators import partitions
+
+    rng = random.Random(1)
+    rows = [(i // 2, rng.choice("ab"), rng.choice([None, 1, 2]), rng.choice([0.0, -0.0, 1.5, None]), i) for i in range(200)]
+    rows += [rows[0]] * 5
+    names = ["key", "s", "v", "x", "row"]
+
+    def errors(lhs, rhs):
+        of = lambda r, c: "null" if r[names.index(c)] is None else r[names.index(c)]
+        groups = {}
+        for r in rows:
+            groups.setdefault(tuple(of(r, c) for c in lhs), Counter())[of(r, rhs)] += 1
+        return sum(sum(c.values()) - max(c.values()) for c in groups.values())
+
+    want = {(",".join(x), a): errors(x, a) for k in (1, 2, 3) for x in combinations(sorted(names), k) for a in names if a not in x}
+    df = spark.createDataFrame(rows, "key long, s string, v int, x double, row long").repartition(5)
+    for sent, block in ((1_000_000, 200_000), (0, 10), (40, 50)):
+        monkeypatch.setattr(partitions, "_MOST_SENT", sent)
+        monkeypatch.setattr(partitions, "_BLOCK", block)
+        found = partitions.discover_all(df, names).collect()
+        assert {(r.lhs, r.rhs): r.errors for r in found} == want and {r.n for r in found} == {len(rows)}
+    assert {r.errors for r in partitions.discover_all(df.limit(0), names, 1).collect()} == {0}
+    with pytest.raises(ValueError, match="columns"):
+        partitions.discover_all(df, ["s"])

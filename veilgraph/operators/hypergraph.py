@@ -22,16 +22,20 @@ def hyperedges(constraints: DataFrame) -> DataFrame:
 def zones(edges: DataFrame, target: Column | None = None, *, lightest: float | None = None) -> DataFrame:
     """(dataset, target, names, edges) with attributes by name: what is reached from the target over shared edges.
 
-    Each round of the closure passes all edges, and as many rounds as there are edges suffice. ``lightest`` (tau) drops
-    edges that weigh more.
+    A round of the closure passes all edges; rounds end with the first that reaches nothing new. ``lightest`` (tau) drops edges that
+    weigh more.
     """
     edges = edges if target is None else edges.withColumn("target", target)
     kept = edges if lightest is None else edges.filter(F.col("weight") <= lightest)
     rows = kept.groupBy("dataset", "target").agg(F.array_sort(F.collect_list(F.struct("dc_id", "attrs", "weight"))).alias("all"))
+    passed = lambda z: F.aggregate("all", z, lambda s, e: F.when(F.arrays_overlap(s, e["attrs"]), F.array_union(s, e["attrs"])).otherwise(s))
+    # a round that changes nothing is the last that is worked out
+    state = lambda z, before: F.struct(z.alias("z"), (F.size(z) == before).alias("done"))
     reached = F.aggregate(
         F.sequence(F.lit(1), F.size("all")),
-        F.array("target"),
-        lambda z, _: F.aggregate("all", z, lambda s, e: F.when(F.arrays_overlap(s, e["attrs"]), F.array_union(s, e["attrs"])).otherwise(s)),
+        state(F.array("target"), F.lit(0)),
+        lambda now, _: F.when(now["done"], now).otherwise(F.get(F.transform(F.array(passed(now["z"])), lambda z: state(z, F.size(now["z"]))), 0)),
+        lambda now: now["z"],
     )
     rows = rows.withColumn("reached", reached)
     return rows.select("dataset", "target", F.array_sort(F.array_except("reached", F.array("target"))).alias("names"), F.filter("all", lambda e: F.arrays_overlap(e["attrs"], F.col("reached"))).alias("edges"))

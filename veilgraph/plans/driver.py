@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions import expressions as X
 from veilgraph.operators import deletion, dependencies, hypergraph, leakage, mechanisms, pairs, report, weights
+from veilgraph.plans import mined
 from veilgraph.sources import constraints
 from veilgraph.store import Scratch
 
@@ -27,24 +28,14 @@ ORDER_DCS = [
     [(0, "o_orderpriority", "!=", 1, "o_orderpriority"), (0, "o_custkey", "<=", 1, "o_custkey")],
     [(0, "o_orderstatus", "==", 1, "o_orderstatus"), (0, "o_orderpriority", "==", 1, "o_orderpriority"), (0, "o_totalprice", ">=", 1, "o_totalprice")],
 ]
-TEXT_DCS = [
-    "not (t1.city<>t2.city and t1.zip==t2.zip)",
-    "# a comment",
-    "not(t1.area-code==t2.area-code and t1.state!=t2.state and t1.rate>=t2.rate)",
-    "  not (t1.salary<t2.salary and t1.tax_due>t2.tax_due)  ",
-]
+#: Constraints written from columns, as SQL for both engines: text from orders, JSON from parts, rows of a weight file from customers.
+TEXT_LINE = """CASE WHEN o_orderkey % 5 = 0 THEN '# ' || o_orderpriority ELSE '  not(t1.' || lower(replace(substr(o_orderpriority, 3), ' ', '-')) || CASE o_orderstatus WHEN 'F' THEN '<>' WHEN 'O' THEN '==' ELSE '<=' END || 't2.city'
+ || CASE WHEN o_custkey % 2 = 0 THEN ' and t1.rate >= t2.rate' ELSE '' END || ') ' END"""
 _SIDE = '{{"tableIdentifier":"x.csv","columnIdentifier":"{}"}}'
 _PRED = '{{"type":"Predicate","column1":{},"index1":{},"op":"{}","column2":{},"index2":{}}}'
-JSON_DCS = [
-    '{"type":"DenialConstraint","predicates":[' + ",".join(_PRED.format(_SIDE.format(a), i, op, _SIDE.format(a), j) for a, i, op, j in dc) + "]}"
-    for dc in (
-        [("iso_country str", 0, "EQUAL", 1), ("type str", 0, "UNEQUAL", 1)],
-        [("elevation_ft int", 0, "LESS_EQUAL", 1)],
-        [("a str", 0, "EQUAL", 2)],
-        [(c, 0, "EQUAL", 1) for c in "abcd"],
-        [("lat float", 1, "GREATER", 0), ("lon float", 0, "LESS", 1), ("type str", 0, "GREATER_EQUAL", 1)],
-    )
-]
+_ONE, _TWO = (_PRED.format(_SIDE.format(f"' || {c} || ' str"), i, f"' || {op} || '", _SIDE.format(f"' || {c} || ' str"), j) for c, i, op, j in (("p_type", 0, "CASE WHEN p_size % 2 = 0 THEN 'EQUAL' ELSE 'UNEQUAL' END", "' || (p_size % 3) || '"), ("p_brand", 0, "CASE WHEN p_size % 3 = 0 THEN 'LESS_EQUAL' ELSE 'GREATER' END", 1)))
+JSON_LINE = f"""'{{"type":"DenialConstraint","predicates":[' || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '{_ONE}' WHEN 2 THEN '{_ONE},{_TWO}' WHEN 3 THEN '{_TWO},{_ONE},{_TWO}' ELSE '{_TWO},{_TWO},{_TWO},{_TWO}' END || ']}}'"""
+WEIGHTED_LINE = """'t0.' || c_mktsegment || ' str EQUAL t1.' || c_mktsegment || ' str' || CASE WHEN c_custkey % 2 = 0 THEN ' AND t0.Area-Code UNEQUAL t1.Area-Code' ELSE '' END"""
 
 
 def query(sql: str | None = None):
@@ -63,10 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text_list(values: list[str]) -> str:
-    return ", ".join(f"({i}, '{v.replace(chr(39), chr(39) * 2)}')" for i, v in enumerate(values))
-
-
 @lru_cache(maxsize=8)
 def plain_model(dataset: str) -> tuple[list[str], list[tuple[int, int, float]]]:
     """A catalog's zone and coded edges in plain Python, for the oracles: an independent way to the same model."""
@@ -85,21 +72,30 @@ def plain_model(dataset: str) -> tuple[list[str], list[tuple[int, int, float]]]:
     return names, [(i, m, w) for i, (m, w) in enumerate(inside)]
 
 
-def edges_sql(datasets: tuple[str, ...]) -> str:
-    """CTEs e(ds, eid, em, w) and m(ds, n, t) of some catalogs."""
-    e = ", ".join(f"('{d}', {i}, {m}::BIGINT, {w!r}::DOUBLE)" for d in datasets for i, m, w in plain_model(d)[1])
-    m = ", ".join(f"('{d}', '{constraints.TARGETS[d]}', {len(plain_model(d)[0])}, {1 << len(plain_model(d)[0])}::BIGINT)" for d in datasets)
-    return f"e(ds, eid, em, w) AS (VALUES {e}), m(ds, tg, n, t) AS (VALUES {m})"
+def _catalog_values(kind: str) -> str:
+    """The five catalogs' edges (e), models (m) or attributes (n) as rows of VALUES."""
+    if kind == "e":
+        return ", ".join(f"('{d}', {i}, {m}::BIGINT, {w!r}::DOUBLE)" for d in constraints.DATASETS for i, m, w in plain_model(d)[1])
+    if kind == "m":
+        return ", ".join(f"('{d}', '{constraints.TARGETS[d]}', {len(plain_model(d)[0])}, {1 << len(plain_model(d)[0])}::BIGINT)" for d in constraints.DATASETS)
+    return ", ".join(f"('{d}', {i}, '{a}', {1 << i}::BIGINT)" for d in constraints.DATASETS for i, a in enumerate(plain_model(d)[0]))
 
 
+#: CTEs e(ds, eid, em, w), m(ds, tg, n, t) and nm(ds, pos, name, bit) of the five catalogs and of what is mined from the tables. Recursive.
+MODEL_SQL = f"""{mined.ZONES_SQL},
+ e(ds, eid, em, w) AS MATERIALIZED (SELECT * FROM (VALUES {_catalog_values("e")}) UNION ALL SELECT ds, eid, em, w FROM z_e),
+ m(ds, tg, n, t) AS MATERIALIZED (SELECT * FROM (VALUES {_catalog_values("m")}) UNION ALL SELECT ds, tg, n, t FROM z_m),
+ nm(ds, pos, name, bit) AS MATERIALIZED (SELECT * FROM (VALUES {_catalog_values("n")}) UNION ALL SELECT ds, pos, name, bit FROM z_n)"""
 CATALOG_SQL = ", ".join(f"('{d}', {i}, {w!r}::DOUBLE, '{line}')" for d in constraints.DATASETS for i, (w, line) in enumerate(constraints.catalog_lines(d)))
-LINES_SQL = f"c(dataset, dc_id, weight, line) AS (VALUES {CATALOG_SQL})"
+#: c: the constraints of the five catalogs and those mined from the tables.
+LINES_SQL = f"{mined.KEPT_SQL}, c(dataset, dc_id, weight, line) AS (SELECT * FROM (VALUES {CATALOG_SQL}) UNION ALL SELECT ds, dc_id, w, line FROM z_k)"
+ALL_TARGETS = constraints.TARGETS | mined.TARGETS
 MASKS_SQL = "mk AS (SELECT ds, n, t, unnest(range(0, t))::BIGINT AS mask FROM m)"
 
 
-def _chains_sql(datasets: tuple[str, ...]) -> str:
+def _chains_sql() -> str:
     """CTE ch(ds, mask, lvl, rank, eid, w, inf): all chains, by one recursive query over all masks."""
-    return f"""RECURSIVE {edges_sql(datasets)}, {MASKS_SQL},
+    return f"""RECURSIVE {MODEL_SQL}, {MASKS_SQL},
     st(ds, mask, t, obs, lvl, rank, eid, w, inf, done) AS (
       SELECT ds, mask, t, obs, 0, CASE WHEN fin THEN 0 ELSE row_number() OVER (PARTITION BY ds, mask, fin ORDER BY eid, got) - 1 END, eid, w, got, fin FROM (
         SELECT k.ds, mask, t, ~(mask | t) AS obs, eid, w, CASE WHEN em & t != 0 THEN 0 ELSE em & (mask | t) END AS got, em & t != 0 AS fin
@@ -115,9 +111,33 @@ def _chains_sql(datasets: tuple[str, ...]) -> str:
     ch AS (SELECT * FROM st WHERE done)"""
 
 
-def _model(spark: SparkSession, datasets: tuple[str, ...]) -> tuple[DataFrame, Scratch]:
-    scratch = Scratch(spark)
-    return scratch.put(hypergraph.models(constraints.catalog(spark, datasets)), "model"), scratch
+_BUILT: dict[tuple, tuple] = {}
+
+
+def _once(spark: SparkSession, kind: str, source, make):
+    """What ``make`` gives, made once in a session."""
+    key = (spark.sparkContext.applicationId, kind, source)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def _constraints(spark: SparkSession, source: str | tuple[str, ...]) -> DataFrame:
+    """The constraints of some catalogs (their names), or of all five and of the tables in a folder."""
+    if not isinstance(source, str):
+        return constraints.catalog(spark, source)
+    both = lambda: Scratch(spark).put(constraints.catalog(spark).unionByName(weights.kept_weights(mined.weighted(spark, source))), "constraints")
+    return _once(spark, "constraints", source, both)
+
+
+def _model(spark: SparkSession, source: str | tuple[str, ...]) -> tuple[DataFrame, Scratch]:
+    """The models of those constraints."""
+
+    def make():
+        scratch = Scratch(spark)
+        return scratch.put(hypergraph.models(_constraints(spark, source)), "model"), scratch
+
+    return _once(spark, "model", source, make)
 
 
 # ---- constraints and their graphs ----
@@ -134,56 +154,55 @@ def ingest_clean(spark, sf_dir):
     return c.select("c_custkey", F.nullif(F.trim("c_name"), F.lit("")).alias("name"), segment.alias("segment"), F.col("c_acctbal").cast("string").try_cast("double").cast("int").alias("whole_balance"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000.0)).alias("share"))
 
 
-def _preds_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("dc_id", F.posexplode("preds").alias("pos", "p")).select("dc_id", "pos", "p.*")
+def _preds_rows(parsed: DataFrame, key: str) -> DataFrame:
+    """A row for each predicate of (key, preds)."""
+    return parsed.select(key, F.posexplode("preds").alias("pos", "p")).select(key, "pos", "p.*")
+
 
+_PRED_SQL = "t\\d\\.[\\w\\-]+\\s*(==|!=|<>|<=|>=|<|>)\\s*t\\d\\.[\\w\\-]+"
 
-@query(f"""WITH l(i, line) AS (VALUES {_text_list(TEXT_DCS)}), d AS (SELECT row_number() OVER (ORDER BY i) - 1 AS dc_id, trim(line) AS line FROM l WHERE trim(line) LIKE 'not%'),
- p AS (SELECT dc_id, unnest(regexp_extract_all(line, 't\\d\\.[\\w\\-]+\\s*(==|!=|<>|<=|>=|<|>)\\s*t\\d\\.[\\w\\-]+')) AS s, generate_subscripts(regexp_extract_all(line, 't\\d\\.[\\w\\-]+\\s*(==|!=|<>|<=|>=|<|>)\\s*t\\d\\.[\\w\\-]+'), 1) - 1 AS pos FROM d)
- SELECT dc_id::INTEGER AS dc_id, pos::INTEGER AS pos, (regexp_extract(s, 't(\\d)', 1)::INTEGER - 1) AS i1, regexp_extract(s, 't\\d\\.([\\w\\-]+)', 1) AS c1, replace(regexp_extract(s, '(==|!=|<>|<=|>=|<|>)', 1), '<>', '!=') AS op,
+
+@query(f"""WITH d AS (SELECT o_orderkey, trim({TEXT_LINE}) AS line FROM orders),
+ p AS (SELECT o_orderkey, unnest(regexp_extract_all(line, '{_PRED_SQL}')) AS s, generate_subscripts(regexp_extract_all(line, '{_PRED_SQL}'), 1) - 1 AS pos FROM d WHERE line LIKE 'not%')
+ SELECT o_orderkey, pos::INTEGER AS pos, (regexp_extract(s, 't(\\d)', 1)::INTEGER - 1) AS i1, regexp_extract(s, 't\\d\\.([\\w\\-]+)', 1) AS c1, replace(regexp_extract(s, '(==|!=|<>|<=|>=|<|>)', 1), '<>', '!=') AS op,
  (regexp_extract(s, '[=<>]\\s*t(\\d)', 1)::INTEGER - 1) AS i2, regexp_extract(s, '[=<>]\\s*t\\d\\.([\\w\\-]+)', 1) AS c2 FROM p""")
 def dc_parse_text(spark, sf_dir):
-    """Predicates of constraints written as text."""
-    lines = spark.createDataFrame([(s,) for s in TEXT_DCS], "value string").coalesce(1)
-    return _preds_rows(constraints.parse_text(lines))
+    """Predicates of constraints written as text, a line from each order."""
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.trim(F.expr(TEXT_LINE)).alias("line")).filter(F.col("line").startswith("not"))
+    return _preds_rows(lines.select("o_orderkey", constraints.predicates_of_text(F.col("line")).alias("preds")), "o_orderkey")
 
 
-@query(f"""WITH l(i, j) AS (VALUES {_text_list(JSON_DCS)}), p AS (SELECT i, j::JSON->'$.predicates[*]' AS a FROM l),
- k AS (SELECT i, a, row_number() OVER (ORDER BY i) AS dc_id FROM p WHERE len(a) BETWEEN 1 AND 3 AND len(list_filter(a, lambda x: (x->>'$.index1')::INT NOT IN (0, 1) OR (x->>'$.index2')::INT NOT IN (0, 1))) = 0),
- u AS (SELECT dc_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS pos FROM k)
- SELECT dc_id::INTEGER AS dc_id, pos::INTEGER AS pos, (x->>'$.index1')::INTEGER AS i1, split_part(x->>'$.column1.columnIdentifier', ' ', 1) AS c1,
+@query(f"""WITH l AS (SELECT p_partkey, {JSON_LINE} AS j FROM part), p AS (SELECT p_partkey, j::JSON->'$.predicates[*]' AS a FROM l),
+ k AS (SELECT * FROM p WHERE len(a) BETWEEN 1 AND 3 AND len(list_filter(a, lambda x: (x->>'$.index1')::INT NOT IN (0, 1) OR (x->>'$.index2')::INT NOT IN (0, 1))) = 0),
+ u AS (SELECT p_partkey, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS pos FROM k)
+ SELECT p_partkey, pos::INTEGER AS pos, (x->>'$.index1')::INTEGER AS i1, split_part(x->>'$.column1.columnIdentifier', ' ', 1) AS c1,
  CASE x->>'$.op' WHEN 'EQUAL' THEN '==' WHEN 'UNEQUAL' THEN '!=' WHEN 'LESS' THEN '<' WHEN 'LESS_EQUAL' THEN '<=' WHEN 'GREATER' THEN '>' ELSE '>=' END AS op,
  (x->>'$.index2')::INTEGER AS i2, split_part(x->>'$.column2.columnIdentifier', ' ', 1) AS c2 FROM u""")
 def dc_parse_json(spark, sf_dir):
-    """Predicates of constraints written as JSON lines, of 1 to 3 predicates."""
-    lines = spark.createDataFrame([(s,) for s in JSON_DCS], "value string").coalesce(1)
-    return _preds_rows(constraints.parse_json_lines(lines))
+    """Predicates of constraints written as JSON lines, of 1 to 3 predicates, a line from each part."""
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.expr(JSON_LINE).alias("line"))
+    return _preds_rows(lines.select("p_partkey", constraints.predicates_of_json(F.col("line")).alias("preds")).filter("preds is not null"), "p_partkey")
 
 
-@query("""SELECT i::INTEGER AS dc_id, dc, w AS weight FROM (VALUES (0, 't0.iso_country == t1.iso_country AND t0.scheduled_service != t1.scheduled_service', 0.38::DOUBLE), (1, 't0.area_code == t1.area_code AND t0.state != t1.state', 0.21::DOUBLE)) v(i, dc, w)""")
+@query("""SELECT c_custkey, 't0.' || lower(c_mktsegment) || ' == t1.' || lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN ' AND t0.area_code != t1.area_code' ELSE '' END AS dc, c_acctbal / 1000.0::DOUBLE AS weight FROM customer WHERE c_acctbal > 0""")
 def dc_parse_weighted(spark, sf_dir):
-    """Rows of a weight file with a positive weight, and their constraints as text."""
-    rows = [
-        (1, "t0.iso_country str EQUAL t1.iso_country str AND t0.scheduled_service str UNEQUAL t1.scheduled_service str", 0.38),
-        (2, "t0.type str EQUAL t1.type str", 0.0),
-        (3, "t0.Area-Code EQUAL t1.Area-Code AND t0.State UNEQUAL t1.State", 0.21),
-    ]
-    parsed = constraints.parse_weighted(spark.createDataFrame(rows, "id int, dc_str string, weight double").coalesce(1))
-    return parsed.select("dc_id", constraints.to_text(F.col("preds")).alias("dc"), "weight")
+    """Rows of a weight file with a positive weight, and their constraints as text: a row from each customer."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(WEIGHTED_LINE).alias("dc_str"), (F.col("c_acctbal") / 1000.0).alias("weight")).filter("weight > 0")
+    return rows.select("c_custkey", constraints.to_text(constraints.predicates_of_weighted(F.col("dc_str"))).alias("dc"), "weight")
 
 
 @query(f"""WITH {LINES_SQL}, a AS (SELECT *, list_sort(list_distinct(regexp_extract_all(line, 't\\d\\.([\\w\\-]+)', 1))) AS l FROM c)
  SELECT dataset, dc_id, array_to_string(l, ',') AS attrs, weight FROM a WHERE len(l) >= 2""")
 def dc_to_edges(spark, sf_dir):
     """The hyperedge of every constraint of all five catalogs."""
-    return hypergraph.hyperedges(constraints.catalog(spark)).select("dataset", "dc_id", F.array_join("attrs", ",").alias("attrs"), "weight")
+    return hypergraph.hyperedges(_constraints(spark, sf_dir)).select("dataset", "dc_id", F.array_join("attrs", ",").alias("attrs"), "weight")
 
 
 @query(f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT dataset, dc_id, unnest(regexp_extract_all(line, 't1\\.([\\w\\-]+)', 1)) AS attr FROM c)
  SELECT dataset, attr, string_agg('phi' || (dc_id + 1), ',' ORDER BY dc_id) AS labels FROM a GROUP BY ALL""")
 def attr_dc_lookup(spark, sf_dir):
     """The constraints that use each attribute."""
-    return hypergraph.attribute_constraints(constraints.catalog(spark)).select("dataset", "attr", F.array_join("labels", ",").alias("labels"))
+    return hypergraph.attribute_constraints(_constraints(spark, sf_dir)).select("dataset", "attr", F.array_join("labels", ",").alias("labels"))
 
 
 @query(f"""WITH {LINES_SQL}, a AS (SELECT DISTINCT dataset, dc_id, unnest(regexp_extract_all(line, 't1\\.([\\w\\-]+)', 1)) AS attr FROM c),
@@ -191,23 +210,23 @@ def attr_dc_lookup(spark, sf_dir):
  SELECT dataset, n_attrs, n_pairs, round(n_pairs / n_attrs::DOUBLE, 9) AS rho1 FROM v JOIN p USING (dataset)""")
 def rho1(spark, sf_dir):
     """Attribute pairs that share a constraint, over attributes."""
-    return hypergraph.density(constraints.catalog(spark)).withColumn("rho1", F.round("rho1", 9))
+    return hypergraph.density(_constraints(spark, sf_dir)).withColumn("rho1", F.round("rho1", 9))
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, t(dataset, target) AS (VALUES {", ".join(f"('{d}', '{a}')" for d, a in constraints.TARGETS.items())}),
+@query(f"""WITH RECURSIVE {LINES_SQL}, t(dataset, target) AS (VALUES {", ".join(f"('{d}', '{a}')" for d, a in ALL_TARGETS.items())}),
  a AS (SELECT DISTINCT dataset, dc_id, unnest(regexp_extract_all(line, 't\\d\\.([\\w\\-]+)', 1)) AS attr FROM c),
  z AS (SELECT dataset, target AS attr FROM t UNION SELECT y.dataset, y.attr FROM z JOIN a x ON x.dataset = z.dataset AND x.attr = z.attr JOIN a y ON y.dataset = x.dataset AND y.dc_id = x.dc_id)
  SELECT dataset, target, string_agg(attr, ',' ORDER BY attr) AS names, count(*) AS n, (SELECT count(DISTINCT dc_id) FROM a JOIN z USING (dataset, attr) WHERE a.dataset = t.dataset) AS n_edges FROM z JOIN t USING (dataset) WHERE attr != target GROUP BY ALL""")
 def zone_closure(spark, sf_dir):
     """The inference zone of each catalog's target, and its edges."""
-    z = hypergraph.zones(hypergraph.hyperedges(constraints.catalog(spark)))
+    z = hypergraph.zones(hypergraph.hyperedges(_constraints(spark, sf_dir)))
     return z.select("dataset", "target", F.array_join("names", ",").alias("names"), F.size("names").cast("long").alias("n"), F.size("edges").cast("long").alias("n_edges"))
 
 
-@query(f"""WITH {edges_sql(constraints.DATASETS)}, {MASKS_SQL} SELECT ds AS dataset, mask, eid, bit_count(em & (mask | t)) < 2 AS unblocked, (em & t != 0 AND em & mask = 0) AS infers_target FROM mk JOIN e USING (ds)""")
+@query(f"""WITH RECURSIVE {MODEL_SQL}, {MASKS_SQL} SELECT ds AS dataset, mask, eid, bit_count(em & (mask | t)) < 2 AS unblocked, (em & t != 0 AND em & mask = 0) AS infers_target FROM mk JOIN e USING (ds)""")
 def edge_active(spark, sf_dir):
-    """Which edges deletion blocks, and which infer the target from what is left, for all masks of the five catalogs."""
-    model, _ = _model(spark, constraints.DATASETS)
+    """Which edges deletion blocks, and which infer the target from what is left, for all masks of the five catalogs and the tables."""
+    model, _ = _model(spark, sf_dir)
     rows = leakage.powerset(model).select("dataset", "mask", "tbit", F.explode("edges").alias("e"))
     known = F.bitwise_not(F.col("mask").bitwiseOR(F.col("tbit")))
     return rows.select("dataset", "mask", "e.eid", hypergraph.unblocked(F.col("e.mask"), F.col("mask"), F.col("tbit")).alias("unblocked"), hypergraph.active(F.col("e.mask"), F.col("tbit"), known).alias("infers_target"))
@@ -216,7 +235,7 @@ def edge_active(spark, sf_dir):
 @query(f"""WITH {LINES_SQL} SELECT dataset, dc_id, weight FROM c WHERE weight <= 0.25::DOUBLE""")
 def tau_filter(spark, sf_dir):
     """Edges that weigh at most tau."""
-    return hypergraph.hyperedges(constraints.catalog(spark)).filter(F.col("weight") <= 0.25).select("dataset", "dc_id", "weight")
+    return hypergraph.hyperedges(_constraints(spark, sf_dir)).filter(F.col("weight") <= 0.25).select("dataset", "dc_id", "weight")
 
 
 # ---- pairs and weights ----
@@ -318,7 +337,7 @@ def gamma_sweep(spark, sf_dir):
 @query(f"WITH {LINES_SQL} SELECT dataset, count(*) AS n_dcs, count(*) FILTER (weight > 0.25) AS n_heavy, round(avg(weight), 9) AS mean_weight FROM c WHERE weight > 0 GROUP BY dataset")
 def dc_kept_summary(spark, sf_dir):
     """Kept constraints of each catalog."""
-    return weights.kept_weights(constraints.catalog(spark)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_dcs"), F.count_if(F.col("weight") > 0.25).alias("n_heavy"), F.round(F.avg("weight"), 9).alias("mean_weight"))
+    return weights.kept_weights(_constraints(spark, sf_dir)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_dcs"), F.count_if(F.col("weight") > 0.25).alias("n_heavy"), F.round(F.avg("weight"), 9).alias("mean_weight"))
 
 
 # ---- other dependency weights ----
@@ -401,80 +420,77 @@ def dd_support(spark, sf_dir):
 # ---- leakage and masks ----
 
 
-@query(f"WITH {edges_sql(constraints.DATASETS)}, {MASKS_SQL} SELECT ds AS dataset, mask, bit_count(mask)::INTEGER AS mask_size FROM mk")
+@query(f"WITH RECURSIVE {MODEL_SQL}, {MASKS_SQL} SELECT ds AS dataset, mask, bit_count(mask)::INTEGER AS mask_size FROM mk")
 def powerset(spark, sf_dir):
     """All 13384 masks of the five catalogs."""
-    return leakage.powerset(_model(spark, constraints.DATASETS)[0]).select("dataset", "mask", "mask_size")
+    return leakage.powerset(_model(spark, sf_dir)[0]).select("dataset", "mask", "mask_size")
 
 
-@query(f"""WITH {edges_sql(constraints.DATASETS)}, {MASKS_SQL}, d AS (SELECT k.ds, mask, w FROM mk k JOIN e ON e.ds = k.ds AND em & t != 0 AND em & mask = 0)
+@query(f"""WITH RECURSIVE {MODEL_SQL}, {MASKS_SQL}, d AS (SELECT k.ds, mask, w FROM mk k JOIN e ON e.ds = k.ds AND em & t != 0 AND em & mask = 0)
  SELECT k.ds AS dataset, k.mask, count(d.w)::INTEGER AS direct_chains, round(coalesce(1 - product(1 - d.w), 0.0::DOUBLE), 9) AS leakage_direct, round(coalesce(max(d.w), 0.0::DOUBLE), 9) AS leakage_max FROM mk k LEFT JOIN d ON d.ds = k.ds AND d.mask = k.mask GROUP BY k.ds, k.mask""")
 def leak_direct(spark, sf_dir):
     """Leakage over single edges, and its maximum, for all masks."""
-    out = leakage.direct_leakage(leakage.powerset(_model(spark, constraints.DATASETS)[0]))
+    out = leakage.direct_leakage(leakage.powerset(_model(spark, sf_dir)[0]))
     return out.select("dataset", "mask", "direct_chains", F.round("leakage_direct", 9).alias("leakage_direct"), F.round("leakage_max", 9).alias("leakage_max"))
 
 
-_TEMPLATES: dict[tuple[str, tuple[str, ...]], tuple[DataFrame, Scratch, DataFrame]] = {}
+def _leakage(spark: SparkSession, source: str | tuple[str, ...]):
+    """A model with its leakage table, built once in a session: it depends on no budget, cap or penalty."""
 
+    def make():
+        model, scratch = _model(spark, source)
+        return model, scratch, leakage.leakage_table(model, scratch)
 
-def _leakage(spark, datasets=constraints.DATASETS):
-    """A model with its leakage table, built once in a session: it depends on no budget, cap or penalty."""
-    key = (spark.sparkContext.applicationId, datasets)
-    if key not in _TEMPLATES:
-        model, scratch = _model(spark, datasets)
-        _TEMPLATES[key] = model, scratch, leakage.leakage_table(model, scratch)
-    return _TEMPLATES[key]
+    return _once(spark, "leakage", source, make)
 
 
 GREEDY_SQL = """gr AS (SELECT ds, mask, count(*) AS num, count(*) FILTER (lvl = 0) AS act, max(w) FILTER (lvl = 0) AS mx, 1 - product(1 - w) AS nor,
   1 - list_reduce(list(struct_pack(used := inf::BIGINT, lft := w) ORDER BY -w, bit_count(inf), lvl, rank, eid, inf), lambda s, c: CASE WHEN s.used & c.used = 0 THEN struct_pack(used := s.used | c.used, lft := s.lft * (1 - c.lft)) ELSE s END, struct_pack(used := 0::BIGINT, lft := 1.0::DOUBLE)).lft AS gre
   FROM ch GROUP BY ds, mask),
  lk AS (SELECT k.ds, k.n, k.t, k.mask, bit_count(k.mask)::INTEGER AS sz, coalesce(num, 0) AS num, coalesce(act, 0) AS act, coalesce(mx, 0.0::DOUBLE) AS mx, coalesce(nor, 0.0::DOUBLE) AS nor, coalesce(gre, 0.0::DOUBLE) AS gre FROM mk k LEFT JOIN gr ON gr.ds = k.ds AND gr.mask = k.mask)"""
-LEAK_SQL = f"WITH {_chains_sql(constraints.DATASETS)}, {GREEDY_SQL}"
+LEAK_SQL = f"WITH {_chains_sql()}, {GREEDY_SQL}"
 
 
 @query(f"{LEAK_SQL} SELECT ds AS dataset, mask, num AS num_chains, act AS active_chains, num - act AS blocked_chains FROM lk")
 def chain_counts(spark, sf_dir):
     """Chains of every mask of the five catalogs."""
-    return _leakage(spark)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
+    return _leakage(spark, sf_dir)[2].select("dataset", "mask", "num_chains", "active_chains", "blocked_chains")
 
 
 @query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(gre, 9) AS leakage FROM lk")
 def leak_greedy(spark, sf_dir):
     """Leakage over a greedy set of chains that infer different cells."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
+    return _leakage(spark, sf_dir)[2].select("dataset", "mask", F.round("leakage_greedy", 9).alias("leakage"))
 
 
 @query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(nor, 9) AS leakage FROM lk")
 def leak_noisy_or(spark, sf_dir):
     """Leakage over all chains."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
+    return _leakage(spark, sf_dir)[2].select("dataset", "mask", F.round("leakage_noisy_or", 9).alias("leakage"))
 
 
 @query(f"{LEAK_SQL} SELECT ds AS dataset, mask, round(mx, 9) AS leakage FROM lk")
 def leak_max(spark, sf_dir):
     """The weight of the best unblocked chain."""
-    return _leakage(spark)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
+    return _leakage(spark, sf_dir)[2].select("dataset", "mask", F.round("leakage_max", 9).alias("leakage"))
 
 
 @query()
 def leak_ie2(spark, sf_dir):
     """The second-order bound of every mask of the five catalogs."""
-    model, scratch = _model(spark, constraints.DATASETS)
+    model, scratch = _model(spark, sf_dir)
     return leakage.leakage_table(model, scratch, method="nor_with_ie").select("dataset", "mask", F.round("leakage_ie", 9).alias("leakage"))
 
 
 def _names_sql(mask: str, ds: str) -> str:
-    cases = " ".join(f"WHEN '{d}' THEN concat_ws('|', {', '.join(f'CASE WHEN {mask} & {1 << i} != 0 THEN {chr(39)}{a}{chr(39)} END' for i, a in enumerate(plain_model(d)[0]))})" for d in constraints.DATASETS)
-    return f"CASE {ds} {cases} END"
+    return f"coalesce((SELECT string_agg(nm.name, '|' ORDER BY nm.pos) FROM nm WHERE nm.ds = {ds} AND {mask} & nm.bit != 0), '')"
 
 
-@query(f"""{LEAK_SQL} SELECT ds AS dataset, {_names_sql("mask", "ds")} AS mask_names, sz AS mask_size, round(nor, 9) AS leakage_noisy_or, round(gre, 9) AS leakage_greedy, round(mx, 9) AS leakage_max,
+@query(f"""{LEAK_SQL} SELECT ds AS dataset, {_names_sql("lk.mask", "lk.ds")} AS mask_names, sz AS mask_size, round(nor, 9) AS leakage_noisy_or, round(gre, 9) AS leakage_greedy, round(mx, 9) AS leakage_max,
  -sz::DOUBLE - CASE WHEN round(gre, 9) > 0.2 THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS utility_greedy, mx <= gre + 1e-9 AND gre <= nor + 1e-9 AS bounds_ok FROM lk""")
 def all_masks(spark, sf_dir):
     """Every mask by name with three estimators, and whether they are in order."""
-    model, _, t = _leakage(spark)
+    model, _, t = _leakage(spark, sf_dir)
     out = leakage.all_masks(t, model)
     return out.select("dataset", "mask_names", "mask_size", *[F.round(c, 9).alias(c) for c in ("leakage_noisy_or", "leakage_greedy", "leakage_max")], "utility_greedy", "bounds_ok")
 
@@ -482,7 +498,7 @@ def all_masks(spark, sf_dir):
 @query()
 def all_masks_five(spark, sf_dir):
     """The same for all five catalogs."""
-    model, _, t = _leakage(spark, constraints.DATASETS)
+    model, _, t = _leakage(spark, sf_dir)
     return leakage.all_masks(t, model)
 
 
@@ -498,24 +514,24 @@ def _at(spark):
     return spark.createDataFrame(list(POINTS), "epsilon double, cap double")
 
 
-def _em(spark):
-    model, _, t = _leakage(spark)
+def _em(spark, sf_dir):
+    model, _, t = _leakage(spark, sf_dir)
     return mechanisms.probabilities(mechanisms.all_mask_candidates(t, model), _at(spark))
 
 
 @query(f"{EM_SQL} SELECT ds AS dataset, mask, eps AS epsilon, cap, u AS utility, round(p, 9) AS p FROM em")
 def em_probabilities(spark, sf_dir):
     """The exponential mechanism over all masks at three points."""
-    return _em(spark).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
+    return _em(spark, sf_dir).select("dataset", "mask", "epsilon", "cap", "utility", F.round("p", 9).alias("p"))
 
 
 @query(f"{EM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM em GROUP BY ALL")
 def em_expected(spark, sf_dir):
     """Expected mask size and leakage."""
-    return mechanisms.expected(_em(spark)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
+    return mechanisms.expected(_em(spark, sf_dir)).select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
-TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constraints.TARGETS.items()) + " END"
+TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in ALL_TARGETS.items()) + " END"
 
 
 @query(f"""{EM_SQL}, cd AS (SELECT *, sum(p) OVER (PARTITION BY ds, eps, cap ORDER BY sz, mask ROWS UNBOUNDED PRECEDING) AS hi FROM em),
@@ -523,12 +539,11 @@ TARGET_SQL = "CASE ds " + " ".join(f"WHEN '{d}' THEN '{t}'" for d, t in constrai
  SELECT dw.ds AS dataset, dw.eps AS epsilon, dw.cap, it::INTEGER AS iteration, arg_min(cd.mask, (cd.hi, cd.sz, cd.mask)) AS mask FROM dw JOIN cd ON cd.ds = dw.ds AND cd.eps = dw.eps AND cd.cap = dw.cap AND cd.p > 1e-15 AND cd.hi >= dw.u GROUP BY ALL""")
 def em_sample(spark, sf_dir):
     """50 repeatable draws at each point."""
-    return mechanisms.draw(_em(spark), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
+    return mechanisms.draw(_em(spark, sf_dir), 50, seed=7).select("dataset", "epsilon", "cap", "iteration", "mask")
 
 
 def _bits_sql(order: str) -> str:
-    names = ", ".join(f"('{d}', {i}, '{a}', {1 << i}::BIGINT)" for d in constraints.DATASETS for i, a in enumerate(plain_model(d)[0]))
-    return f"""nm(ds, pos, name, bit) AS (VALUES {names}), od AS (SELECT nm.ds, nm.name, nm.bit, a.gre - b.gre AS gain, row_number() OVER (PARTITION BY nm.ds ORDER BY {order}) AS step FROM nm JOIN lk a ON a.ds = nm.ds AND a.mask = 0 JOIN lk b ON b.ds = nm.ds AND b.mask = nm.bit),
+    return f"""od AS (SELECT nm.ds, nm.name, nm.bit, a.gre - b.gre AS gain, row_number() OVER (PARTITION BY nm.ds ORDER BY {order}) AS step FROM nm JOIN lk a ON a.ds = nm.ds AND a.mask = 0 JOIN lk b ON b.ds = nm.ds AND b.mask = nm.bit),
  pf AS (SELECT ds, step, sum(bit) OVER (PARTITION BY ds ORDER BY step)::BIGINT AS mask FROM od UNION ALL SELECT ds, 0, 0 FROM m)"""
 
 
@@ -538,7 +553,7 @@ GREEDY_ORDER = "round(a.gre - b.gre, 12) DESC, nm.name"
 @query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT ds AS dataset, name, step::INTEGER AS step, round(gain, 9) AS gain FROM od")
 def gum_order(spark, sf_dir):
     """Cells by how much deleting each alone lowers leakage."""
-    model, _, t = _leakage(spark)
+    model, _, t = _leakage(spark, sf_dir)
     rows = t.select("dataset", "target", "mask", F.round("leakage_greedy", 15).alias("leakage"))
     prefixes = mechanisms.prefix_masks(model, rows.filter(F.bit_count("mask") <= 1))
     from pyspark.sql import Window
@@ -551,15 +566,15 @@ def gum_order(spark, sf_dir):
     return bits.join(base, "dataset").join(single, ["dataset", "bit"]).join(names, ["dataset", "bit"]).select("dataset", "name", "step", F.round(F.col("l0") - F.col("l1"), 9).alias("gain"))
 
 
-def _gum(spark, ordering="greedy"):
-    model, scratch, t = _leakage(spark)
+def _gum(spark, sf_dir, ordering="greedy"):
+    model, scratch, t = _leakage(spark, sf_dir)
     return mechanisms.prefix_candidates(model, scratch, t, ordering)
 
 
 @query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)} SELECT pf.ds AS dataset, step::INTEGER AS step, mask, round(gre, 9) AS leakage FROM pf JOIN lk USING (ds, mask)")
 def gum_prefixes(spark, sf_dir):
     """The prefixes of that order, with their leakage."""
-    return _gum(spark).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
+    return _gum(spark, sf_dir).select("dataset", "step", "mask", F.round("leakage", 9).alias("leakage"))
 
 
 GUM_SQL = f"""gp AS (SELECT pf.ds, lk.n, step, mask, sz, gre, eps, cap, -sz::DOUBLE - CASE WHEN gre > cap THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS u FROM pf JOIN lk USING (ds, mask), pt),
@@ -569,13 +584,13 @@ GUM_SQL = f"""gp AS (SELECT pf.ds, lk.n, step, mask, sz, gre, eps, cap, -sz::DOU
 @query(f"{LEAK_SQL}, {_bits_sql(GREEDY_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, mask, round(p, 9) AS p FROM gq")
 def gum_probabilities(spark, sf_dir):
     """The exponential mechanism over the prefixes."""
-    return mechanisms.probabilities(_gum(spark), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
+    return mechanisms.probabilities(_gum(spark, sf_dir), _at(spark)).select("dataset", "epsilon", "cap", "mask", F.round("p", 9).alias("p"))
 
 
 @query(f"{LEAK_SQL}, {_bits_sql('nm.pos')}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
 def gum_ablation_zero(spark, sf_dir):
     """What the order by name gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "zero"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, sf_dir, "zero"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
@@ -585,11 +600,11 @@ _RANDOM_ORDER = f"{_hash_sql(chr(39) + '7' + chr(39), 'nm.name')}, nm.name"
 @query(f"{LEAK_SQL}, {_bits_sql(_RANDOM_ORDER)}, {POINTS_SQL}, {GUM_SQL} SELECT ds AS dataset, eps AS epsilon, cap, round(sum(p * sz), 6) AS e_mask, round(sum(p * gre), 6) AS e_leakage FROM gq GROUP BY ALL")
 def gum_ablation_random(spark, sf_dir):
     """What a random order gives on average."""
-    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, "random"), _at(spark)))
+    out = mechanisms.expected(mechanisms.probabilities(_gum(spark, sf_dir, "random"), _at(spark)))
     return out.select("dataset", "epsilon", "cap", F.round("e_mask", 6).alias("e_mask"), F.round("e_leakage", 6).alias("e_leakage"))
 
 
-CLOSE_SQL = f"""{edges_sql(constraints.DATASETS)}, {MASKS_SQL}, cl(ds, mask, n, t, k, i) AS (SELECT ds, mask, n, t, ~mask & (t - 1), 0 FROM mk
+CLOSE_SQL = f"""{MODEL_SQL}, {MASKS_SQL}, cl(ds, mask, n, t, k, i) AS (SELECT ds, mask, n, t, ~mask & (t - 1), 0 FROM mk
   UNION ALL SELECT ds, mask, n, t, k | coalesce((SELECT bit_or(em) FROM e WHERE e.ds = cl.ds AND bit_count(em & ~cl.k) = 1), 0), i + 1 FROM cl WHERE i <= n),
  sf AS (SELECT ds, n, mask, bit_count(mask)::INTEGER AS sz FROM cl WHERE i = n + 1 AND k & t = 0)"""
 
@@ -597,13 +612,13 @@ CLOSE_SQL = f"""{edges_sql(constraints.DATASETS)}, {MASKS_SQL}, cl(ds, mask, n,
 @query(f"WITH RECURSIVE {CLOSE_SQL} SELECT ds AS dataset, n AS zone_size, min(sz) AS mask_size, count(*) FILTER (sz = (SELECT min(sz) FROM sf y WHERE y.ds = sf.ds)) AS n_optima FROM sf GROUP BY ds, n")
 def min_deletion(spark, sf_dir):
     """The smallest safe mask of each catalog, and how many there are."""
-    return mechanisms.minimal_masks(_model(spark, constraints.DATASETS)[0]).select("dataset", F.col("n").alias("zone_size"), "mask_size", "n_optima")
+    return mechanisms.minimal_masks(_model(spark, sf_dir)[0]).select("dataset", F.col("n").alias("zone_size"), "mask_size", "n_optima")
 
 
-@query(f"""WITH {edges_sql(constraints.DATASETS)} SELECT m.ds AS dataset, (10 + n + sum(bit_count(u.em)))::BIGINT AS n_lines, sum(bit_count(u.em))::BIGINT AS n_closure FROM m JOIN (SELECT DISTINCT ds, em FROM e) u ON u.ds = m.ds GROUP BY m.ds, n""")
+@query(f"""WITH RECURSIVE {MODEL_SQL} SELECT m.ds AS dataset, (10 + n + sum(bit_count(u.em)))::BIGINT AS n_lines, sum(bit_count(u.em))::BIGINT AS n_closure FROM m JOIN (SELECT DISTINCT ds, em FROM e) u ON u.ds = m.ds GROUP BY m.ds, n""")
 def lp_program(spark, sf_dir):
     """Lines of the integer program of each catalog."""
-    lines = mechanisms.program_lines(_model(spark, constraints.DATASETS)[0])
+    lines = mechanisms.program_lines(_model(spark, sf_dir)[0])
     return lines.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line").startswith(" closure_")).alias("n_closure"))
 
 
@@ -619,16 +634,8 @@ def mask_to_null(spark, sf_dir):
     return deletion.mask_to_null(c, ask.union(more), "c_custkey")
 
 
-def _late_sql() -> str:
-    """The bits of each catalog's cells that are at least as new as the target, for the times of ``_times``."""
-    cases = []
-    for d in constraints.DATASETS:
-        bits = " | ".join(f"(CASE WHEN key % {i + 2} >= tt THEN {1 << i} ELSE 0 END)" for i, _ in enumerate(plain_model(d)[0]))
-        cases.append(f"WHEN '{d}' THEN {bits} | {1 << len(plain_model(d)[0])}")
-    return "CASE ds " + " ".join(cases) + " END"
-
-
-LATE_SQL = f"""{edges_sql(constraints.DATASETS)}, k AS (SELECT c_custkey AS key, c_custkey % 5 AS tt, ds, n FROM customer, m), b AS (SELECT key, ds, n, {_late_sql()} AS late FROM k),
+#: b.late: the bits of the cells that are at least as new as the target, for the times of ``_times``.
+LATE_SQL = f"""{MODEL_SQL}, k AS (SELECT c_custkey AS key, c_custkey % 5 AS tt, ds, n, t FROM customer, m), b AS (SELECT key, k.ds, n, t + coalesce(sum(nm.bit) FILTER (key % (pos + 2) >= tt), 0)::BIGINT AS late FROM k LEFT JOIN nm ON nm.ds = k.ds GROUP BY key, k.ds, n, t),
  lt AS (SELECT b.key, b.ds, b.n, e.eid, em & late AS em FROM b JOIN e ON e.ds = b.ds WHERE bit_count(em & late) > 1)"""
 
 
@@ -642,7 +649,7 @@ def _times(spark, sf_dir, model):
 @query(f"""WITH {LATE_SQL} SELECT b.ds AS dataset, b.key, count(lt.eid) AS n_edges, coalesce(sum(bit_count(lt.em)), 0)::BIGINT AS n_members FROM b LEFT JOIN lt ON lt.key = b.key AND lt.ds = b.ds GROUP BY ALL""")
 def insertion_time_filter(spark, sf_dir):
     """Edges left when members older than the target don't count, for every customer and catalog."""
-    model, _ = _model(spark, constraints.DATASETS)
+    model, _ = _model(spark, sf_dir)
     out = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
     return out.select("dataset", "key", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e["mask"])).alias("n_members"))
 
@@ -656,7 +663,7 @@ def insertion_time_filter(spark, sf_dir):
  SELECT b.ds AS dataset, b.key, coalesce(mask_size, 0)::INTEGER AS mask_size, coalesce(n_optima, 1) AS n_optima FROM b LEFT JOIN st ON st.ds = b.ds AND st.late = b.late LEFT JOIN md ON md.ds = st.ds AND md.ed = st.ed LEFT JOIN bs USING (g)""")
 def min_deletion_by_time(spark, sf_dir):
     """The smallest safe mask of each customer's row, given its cells' insertion times, for the five catalogs."""
-    model, _ = _model(spark, constraints.DATASETS)
+    model, _ = _model(spark, sf_dir)
     timed = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
     return mechanisms.minimal_masks(timed).select("dataset", "key", "mask_size", "n_optima")
 
@@ -725,7 +732,7 @@ def main_metrics(spark, sf_dir):
  round(100 * coalesce(stddev_samp(nor), 0), 6) AS std_leakage_noisy_or, round(100 * coalesce(stddev_samp(gre), 0), 6) AS std_leakage_greedy, round(100 * coalesce(stddev_samp(mx), 0), 6) AS std_leakage_max FROM lk GROUP BY ALL""")
 def leak_by_size(spark, sf_dir):
     """Three estimators by mask size."""
-    return _rounded(report.leakage_by_size(_leakage(spark)[2]))
+    return _rounded(report.leakage_by_size(_leakage(spark, sf_dir)[2]))
 
 
 @query(f"""WITH {RUNS_SQL}, g AS (SELECT dataset, L0, epsilon_m, avg(100 * (least - mask_size)::DOUBLE / least) AS i FROM r JOIN mn USING (dataset) WHERE method = 'exp' GROUP BY ALL)
@@ -744,36 +751,38 @@ def tau_contour(spark, sf_dir):
     return _rounded(report.tau_extremes(report.signed_improvement(_runs(spark, sf_dir))))
 
 
-@query("""WITH p AS (SELECT unnest(range(1, 11)) / 10.0::DOUBLE AS epsilon), q AS (SELECT unnest(range(0, 11)) / 10.0::DOUBLE AS cap)
- SELECT epsilon, cap, round(exp(epsilon) * cap / ((1 - cap) + exp(epsilon) * cap), 9) AS tau, round(0.5 / (exp(epsilon) * 0.5 + 0.5), 9) AS cap_at_half FROM p, q""")
+@query(f"""WITH {RUNS_SQL} SELECT epsilon_m AS epsilon, L0 AS cap, round(exp(epsilon_m) * L0 / ((1 - L0) + exp(epsilon_m) * L0), 9) AS tau, round(0.5 / (exp(epsilon_m) * 0.5 + 0.5), 9) AS cap_at_half, count(*) AS n FROM r GROUP BY epsilon_m, L0""")
 def budget_split(spark, sf_dir):
-    """Certainty by budget and cap, and the cap at which certainty is one half."""
-    from veilgraph.operators.sweep import CAPS, EPSILONS
+    """Certainty by the runs' budgets and caps, and the cap at which certainty is one half."""
+    at = _runs(spark, sf_dir).groupBy(F.col("epsilon_m").alias("epsilon"), F.col("L0").alias("cap")).agg(F.count(F.lit(1)).alias("n"))
+    return at.select("epsilon", "cap", F.round(X.budget_share(F.col("epsilon"), F.col("cap")), 9).alias("tau"), F.round(X.cap_of_share(F.lit(0.5), F.col("epsilon")), 9).alias("cap_at_half"), "n")
+
 
-    at = mechanisms.points(spark, EPSILONS, CAPS)
-    return at.select("epsilon", "cap", F.round(X.budget_share(F.col("epsilon"), F.col("cap")), 9).alias("tau"), F.round(X.cap_of_share(F.lit(0.5), F.col("epsilon")), 9).alias("cap_at_half"))
+CURVE_SQL = "kn AS (SELECT o_orderpriority AS curve, (o_custkey % 40)::DOUBLE AS x, min(o_totalprice) AS y FROM orders WHERE o_custkey % 3 != 0 GROUP BY ALL), wt AS (SELECT DISTINCT o_orderpriority AS curve, (o_custkey % 50)::DOUBLE - 4.5::DOUBLE AS x FROM orders)"
 
 
-@query("""WITH p(x, y) AS (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (0.4::DOUBLE, 3.0::DOUBLE), (1.0::DOUBLE, 0.0::DOUBLE)), w AS (SELECT unnest(range(0, 13)) / 10.0::DOUBLE - 0.1::DOUBLE AS x)
- SELECT round(w.x, 6) AS x, round(CASE WHEN w.x <= 0 THEN 1.0 WHEN w.x >= 1 THEN 0.0 WHEN w.x <= 0.4 THEN 1 + w.x / 0.4 * 2 ELSE 3 - (w.x - 0.4) / 0.6 * 3 END, 6)::DOUBLE AS y FROM w""")
+@query(f"""WITH {CURVE_SQL}, n AS (SELECT w.curve, w.x, max(k.x) FILTER (k.x <= w.x) AS a, min(k.x) FILTER (k.x >= w.x) AS b FROM wt w JOIN kn k ON k.curve = w.curve GROUP BY w.curve, w.x)
+ SELECT n.curve, n.x, round(CASE WHEN a IS NULL THEN q.y WHEN b IS NULL OR a = b THEN p.y ELSE p.y + (n.x - a) / (b - a) * (q.y - p.y) END, 6) AS y FROM n LEFT JOIN kn p ON p.curve = n.curve AND p.x = a LEFT JOIN kn q ON q.curve = n.curve AND q.x = b""")
 def interpolation(spark, sf_dir):
-    """A piecewise linear curve read at 13 places."""
-    known = spark.createDataFrame([("c", 0.0, 1.0), ("c", 0.4, 3.0), ("c", 1.0, 0.0)], "curve string, x double, y double")
-    wanted = spark.range(13).select(F.lit("c").alias("curve"), (F.col("id") / 10.0 - 0.1).alias("x"))
-    return report.interpolated(known, wanted, "x", "y", "curve").select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Each priority's least price by customer group as a piecewise linear curve, read between and beyond its points."""
+    o = table(spark, sf_dir, "orders")
+    curve = F.col("o_orderpriority").alias("curve")
+    known = o.filter(F.col("o_custkey") % 3 != 0).groupBy(curve, (F.col("o_custkey") % 40).cast("double").alias("x")).agg(F.min("o_totalprice").alias("y"))
+    wanted = o.select(curve, ((F.col("o_custkey") % 50).cast("double") - 4.5).alias("x")).distinct()
+    return report.interpolated(known, wanted, "x", "y", "curve").select("curve", "x", F.round("y", 6).alias("y"))
 
 
-def _sweep(spark):
+def _sweep(spark, sf_dir):
     from veilgraph.operators.sweep import run_sweep
 
-    model, scratch, t = _leakage(spark)
+    model, scratch, t = _leakage(spark, sf_dir)
     return run_sweep(model, t, scratch, orderings=mechanisms.ORDERINGS)
 
 
 @query()
 def sweep(spark, sf_dir):
     """Run records of all methods at all 110 points, 100 draws each, for all five catalogs."""
-    return _sweep(spark)
+    return _sweep(spark, sf_dir)
 
 
 def _sweep_sql() -> str:
@@ -785,7 +794,7 @@ def _sweep_sql() -> str:
             ctes.append(f"c{k} AS (SELECT ds, n, mask, sz, gre FROM lk)")
         else:
             own = _bits_sql(order)
-            for name in ("nm", "od", "pf"):
+            for name in ("od", "pf"):
                 own = re.sub(rf"\b{name}\b", f"{name}{k}", own)
             ctes += [own, f"c{k} AS (SELECT pf{k}.ds, n, mask, sz, gre FROM pf{k} JOIN lk USING (ds, mask))"]
         ctes.append(f"""u{k} AS (SELECT ds, n, mask, sz, gre, epsilon, cap, epsilon * (-sz::DOUBLE - CASE WHEN gre > cap THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END) * n / 2 AS s FROM c{k}, gd),
@@ -802,7 +811,7 @@ def _sweep_sql() -> str:
 @query(_sweep_sql())
 def sweep_points(spark, sf_dir):
     """The private methods' records of the sweep by method, catalog and point."""
-    return _sweep(spark).filter("method != 'min'").groupBy("method", "dataset", "epsilon_m", "L0").agg(F.count(F.lit(1)).alias("n"), F.sum("mask_size").alias("total_mask"), F.round(F.avg("leakage"), 6).alias("mean_leakage"))
+    return _sweep(spark, sf_dir).filter("method != 'min'").groupBy("method", "dataset", "epsilon_m", "L0").agg(F.count(F.lit(1)).alias("n"), F.sum("mask_size").alias("total_mask"), F.round(F.avg("leakage"), 6).alias("mean_leakage"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

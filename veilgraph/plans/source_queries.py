@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions import expressions as X
 from veilgraph.operators import answers, deletion, dependencies, templates
-from veilgraph.plans.driver import CATALOG_SQL, CLOSE_SQL, LEAK_SQL, MASKS_SQL, RUNS_SQL, TEXT_DCS, _hash_sql, _leakage, _parts, _rounded, _runs, edges_sql, plain_model, query, table
+from veilgraph.plans import mined
+from veilgraph.plans.driver import CLOSE_SQL, LEAK_SQL, LINES_SQL, MASKS_SQL, MODEL_SQL, RUNS_SQL, _constraints, _hash_sql, _leakage, _parts, _rounded, _runs, plain_model, query, table
 from veilgraph.sources import constraints, datasets, runs
 from veilgraph.store import Scratch
 
@@ -38,8 +39,8 @@ def _cell(name: str, column: str) -> str:
 
 
 def _file(spark, sf_dir, name: str) -> str:
-    """A dataset's CSV file, its rows in key order, with the raw cells of RAW."""
-    rows = table(spark, sf_dir, "customer").repartition(1).sortWithinPartitions("c_custkey")
+    """A dataset's CSV files, their rows in key order over the files in the order of their names, with the raw cells of RAW."""
+    rows = table(spark, sf_dir, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
     cells = rows.select(*[F.expr(_cell(name, n)).alias(f"{n} str" if name == "airport" else n) for n in _fields(name)])
     path = f"{Scratch(spark).root}/{name}.csv"
     cells.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
@@ -108,45 +109,68 @@ def populate_tables(spark, sf_dir):
     return out
 
 
-LITERALS = ["denial_constraints = [", "[('t1.area_code', '==', 't2.area_code'), ('t1.state', '!=', 't2.state')],", "[('t1.zip', '==', 't2.zip'), ('t1.rate', '<=', 't2.rate'), ('t1.phone', '!=', 't2.phone')],", "]"]
+def _name_sql(column: str) -> str:
+    """A value as an attribute's name, as SQL for both engines."""
+    return f"lower(replace(substr({column}, 3), ' ', '-'))"
 
 
-@query("SELECT dc_id::INTEGER AS dc_id, dc FROM (VALUES (0, 't0.AreaCode == t1.AreaCode AND t0.State != t1.State'), (1, 't0.Zip == t1.Zip AND t0.Rate <= t1.Rate AND t0.Phone != t1.Phone')) v(dc_id, dc)")
+def _literal_sql() -> str:
+    """A constraint as a literal, or a comment, from the columns of an order."""
+    quoted = lambda text: f"chr(39) || {text} || chr(39)"
+    first = f"'t1.' || CASE WHEN o_custkey % 3 = 0 THEN 'area_code' ELSE {_name_sql('o_orderpriority')} END"
+    op = "CASE o_orderstatus WHEN 'F' THEN '!=' WHEN 'O' THEN '<=' ELSE '>' END"
+    q = lambda word: quoted(f"'{word}'")
+    tuples = f"'[(' || {quoted(first)} || ', ' || {q('==')} || ', ' || {q('t2.zip')} || '), (' || {q('t1.state')} || ', ' || {quoted(op)} || ', ' || {q('t2.state')} || ')],'"
+    return f"CASE WHEN o_orderkey % 7 = 0 THEN '# ' || o_orderpriority ELSE {tuples} END"
+
+
+@query(f"""WITH l AS (SELECT o_orderkey, {_name_sql("o_orderpriority")} AS a, o_custkey % 3 = 0 AS tax, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 != 0)
+ SELECT o_orderkey, 't0.' || CASE WHEN tax THEN 'AreaCode' ELSE a END || ' == t1.Zip AND t0.State ' || CASE s WHEN 'F' THEN '!=' WHEN 'O' THEN '<=' ELSE '>' END || ' t1.State' AS dc FROM l""")
 def dc_parse_literals(spark, sf_dir):
-    """Constraints written as a literal list, with the files' column names."""
-    lines = spark.createDataFrame([(s,) for s in LITERALS], "value string").coalesce(1)
-    return constraints.parse_literals(lines, columns=constraints.TAX_COLUMNS).select("dc_id", constraints.to_text(F.col("preds")).alias("dc"))
+    """Constraints written as literals, with the files' column names: one from each order."""
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_literal_sql()).alias("value"))
+    preds = constraints.predicates_of_literal(F.col("value"), constraints.TAX_COLUMNS)
+    return lines.select("o_orderkey", preds.alias("preds")).filter("preds is not null").select("o_orderkey", constraints.to_text(F.col("preds")).alias("dc"))
 
 
-@query("""SELECT source, dataset, dc_id::INTEGER AS dc_id, dc FROM (VALUES ('topTaxDCs', 'Tax', 0, 't0.city != t1.city AND t0.zip == t1.zip'), ('topTaxDCs', 'Tax', 1, 't0.area-code == t1.area-code AND t0.state != t1.state AND t0.rate >= t1.rate'), ('topTaxDCs', 'Tax', 2, 't0.salary < t1.salary AND t0.tax_due > t1.tax_due'),
- ('topDCs', 'topDCs', 0, 't0.a == t1.b')) v(source, dataset, dc_id, dc)""")
+@query("""WITH l AS (SELECT c_mktsegment AS source, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS dc_id, c_nationkey AS n, c_custkey % 2 = 0 AS two FROM customer WHERE c_custkey % 5 != 0)
+ SELECT 'top' || source || 'DCs' AS source, source AS dataset, dc_id::INTEGER AS dc_id, 't0.n' || n || ' != t1.n' || n || CASE WHEN two THEN ' AND t0.zip == t1.zip' ELSE '' END AS dc FROM l""")
 def dc_parse_directory(spark, sf_dir):
-    """All constraint files of a folder."""
+    """All constraint files of a folder: one for each market segment, a line for each of its customers."""
     from veilgraph.store import file_system
 
     root = Scratch(spark).root
-    for name, lines in {"topTaxDCs": TEXT_DCS, "topDCs": ["# none", "not(t1.a==t2.b)"], "empty": [""]}.items():
-        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{root}/raw_{name}")
-        where, system = file_system(spark, f"{root}/files/{name}")
-        system.mkdirs(where.getParent())
-        part = next(s.getPath() for s in system.listStatus(file_system(spark, f"{root}/raw_{name}")[0]) if s.getPath().getName().startswith("part-"))
-        system.rename(part, where)
+    line = F.expr("CASE WHEN c_custkey % 5 = 0 THEN '# none' ELSE 'not (t1.n' || c_nationkey || '<>t2.n' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN ' and t1.zip==t2.zip' ELSE '' END || ')' END")
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", line.alias("value"))
+    # a catalog is a file, so its lines are one task's work
+    rows.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(f"{root}/raw")
+    where, system = file_system(spark, f"{root}/files")
+    system.mkdirs(where)
+    for part in system.globStatus(file_system(spark, f"{root}/raw/*/part-*")[0]):
+        name = part.getPath().getParent().getName().split("=")[1]
+        system.rename(part.getPath(), file_system(spark, f"{root}/files/top{name}DCs")[0])
     return constraints.parse_directory(spark, f"{root}/files").select("source", "dataset", "dc_id", constraints.to_text(F.col("preds")).alias("dc"))
 
 
-@query(f"WITH c(dataset, dc_id, weight, line) AS (VALUES {CATALOG_SQL}) SELECT dataset, dc_id, weight, len(regexp_extract_all(line, 't\\d\\.[\\w\\-]+')) // 2 AS n_preds FROM c")
+@query(f"WITH {LINES_SQL} SELECT dataset, dc_id, weight, len(regexp_extract_all(line, 't\\d\\.[\\w\\-]+')) // 2 AS n_preds FROM c")
 def catalog_round_trip(spark, sf_dir):
     """The five catalogs, written and read back."""
     path = f"{Scratch(spark).root}/catalog"
-    constraints.write_catalog(constraints.catalog(spark), path)
+    constraints.write_catalog(_constraints(spark, sf_dir), path)
     return constraints.read_catalog(spark, path).select("dataset", "dc_id", "weight", F.size("preds").cast("long").alias("n_preds"))
 
 
-@query("SELECT dc_id::INTEGER AS dc_id, w AS weight FROM (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE), (2, 0.125::DOUBLE)) v(dc_id, w)")
+@query(f"WITH {mined.WEIGHTS_SQL} SELECT ds AS dataset, dc_id::INTEGER AS dc_id, w AS weight FROM z_w")
 def weights_by_position(spark, sf_dir):
-    """Constraints with the weight at their position, a surplus weight ignored."""
-    parsed = constraints.parse_text(spark.createDataFrame([(s,) for s in TEXT_DCS], "value string").coalesce(1))
-    return constraints.with_weights(parsed, [0.5, 0.25, 0.125, 9.0]).select("dc_id", "weight")
+    """The tables' constraints, each table's read as text, with the mined weight at their position, a surplus weight ignored."""
+    weighted = mined.weighted(spark, sf_dir).select("dataset", "dc_id", "weight").collect()  # a row for each constraint
+    out = None
+    for name, source in mined.SOURCES.items():
+        parsed = constraints.parse_text(spark.createDataFrame([(line,) for line in source.lines()], "value string").coalesce(1))
+        own = [r.weight for r in sorted((r for r in weighted if r.dataset == name), key=lambda r: r.dc_id)]
+        part = constraints.with_weights(parsed, [*own, 9.0]).select(F.lit(name).alias("dataset"), "dc_id", "weight")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"""WITH {RUNS_SQL} SELECT 'mine' AS method, upper(dataset[1]) || dataset[2:] AS dataset, count(*) AS n, round(avg(total_time * 1000), 6) AS mean_ms, round(avg(leakage), 6) AS mean_leakage, round(avg((mask_size * 10) / 1024.0::DOUBLE), 6) AS mean_kb FROM r WHERE epsilon_m = 0.1 AND L0 = 0.2 GROUP BY ALL""")
@@ -210,18 +234,18 @@ def dd_weight(spark, sf_dir):
 @query(f"{LEAK_SQL} SELECT ds AS dataset, count(*) AS masks, round(sum(gre), 6) AS total_leakage, 1 AS builds FROM lk GROUP BY ds")
 def template_store(spark, sf_dir):
     """Leakage tables kept in a folder: asked for twice, each is built and logged once."""
-    model, _, _ = _leakage(spark)
+    model, _, _ = _leakage(spark, sf_dir)
     store = templates.TemplateStore(spark, Scratch(spark).root)
     store.table(model)
     kept = store.table(model).groupBy("dataset").agg(F.count(F.lit(1)).alias("masks"), F.round(F.sum("leakage_greedy"), 6).alias("total_leakage"))
     return kept.join(store.build_times().groupBy("dataset").agg(F.count(F.lit(1)).cast("int").alias("builds")), "dataset")
 
 
-@query(f"""WITH {edges_sql(constraints.DATASETS)}, u AS (SELECT DISTINCT ds, em FROM e), {MASKS_SQL.replace("mk AS", "mk AS")}
+@query(f"""WITH RECURSIVE {MODEL_SQL}, {MASKS_SQL}
  SELECT ds AS dataset, 'exp' AS method, count(*) * 16 AS memory_overhead_bytes FROM mk GROUP BY ds""")
 def overhead_bytes(spark, sf_dir):
     """Bytes that the mechanism over all masks holds for each catalog."""
-    model, _, t = _leakage(spark)
+    model, _, t = _leakage(spark, sf_dir)
     return templates.overheads(model, t).filter("method = 'exp'").drop("target")
 
 
@@ -230,14 +254,14 @@ def overhead_bytes(spark, sf_dir):
  SELECT bs.ds AS dataset, bs.mask, bs.sz AS mask_size, round(gre, 9) AS leakage, (-bs.sz)::DOUBLE - CASE WHEN gre > 0.2 THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS utility, num AS num_chains, bs.n AS zone_size FROM bs JOIN lk ON lk.ds = bs.ds AND lk.mask = bs.mask""")
 def min_choice(spark, sf_dir):
     """The smallest mask of each catalog with its leakage and utility."""
-    model, scratch, t = _leakage(spark)
+    model, scratch, t = _leakage(spark, sf_dir)
     return answers.choose(model, scratch, "min", table=t).select("dataset", "mask", "mask_size", F.round("leakage", 9).alias("leakage"), "utility", "num_chains", F.col("n").alias("zone_size"))
 
 
 @query()
 def request_records(spark, sf_dir):
     """One deletion request by each method for each catalog, with measured times: the run records."""
-    model, _, t = _leakage(spark)
+    model, _, t = _leakage(spark, sf_dir)
     rows = table(spark, sf_dir, "customer").withColumns({a: F.col("c_name") for a in {x.lower(): x for d in constraints.DATASETS for x in (*plain_model(d)[0], constraints.TARGETS[d])}.values()})
     out, root = None, Scratch(spark).root
     for name in constraints.DATASETS:

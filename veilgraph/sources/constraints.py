@@ -87,25 +87,34 @@ def parse_json_lines(lines: DataFrame, column: str = "value", most: int | None =
 
     Column names lose a type that follows a space; operators become symbols. ``dc_id`` counts the accepted lines from 1.
     """
+    rows = lines.select(F.monotonically_increasing_id().alias("at"), predicates_of_json(F.col(column), most).alias("preds"))
+    return _numbered(rows.filter("preds is not null")).withColumn("dc_id", F.col("dc_id") + 1)
+
+
+def predicates_of_json(text: Column, most: int | None = 3) -> Column:
+    """The predicates of one such line; null where they are too many, none, or about other rows than 0 and 1."""
     side = "struct<tableIdentifier:string,columnIdentifier:string>"
-    schema = f"type string, predicates array<struct<type:string,column1:{side},index1:int,op:string,column2:{side},index2:int>>"
-    rows = lines.select(F.monotonically_increasing_id().alias("at"), F.from_json(F.trim(column), schema).alias("j")).select("at", "j.predicates")
-    fits = (F.size("predicates") >= 1) & F.forall("predicates", lambda p: p["index1"].isin(0, 1) & p["index2"].isin(0, 1))
+    found = F.from_json(F.trim(text), f"type string, predicates array<struct<type:string,column1:{side},index1:int,op:string,column2:{side},index2:int>>")["predicates"]
+    fits = (F.size(found) >= 1) & F.forall(found, lambda p: p["index1"].isin(0, 1) & p["index2"].isin(0, 1))
     if most is not None:
-        fits &= F.size("predicates") <= most
+        fits &= F.size(found) <= most
     name = lambda c: F.substring_index(F.trim(c["columnIdentifier"]), " ", 1)
-    preds = F.transform("predicates", lambda p: F.struct(p["index1"].alias("i1"), name(p["column1"]).alias("c1"), operator_of(p["op"]).alias("op"), p["index2"].alias("i2"), name(p["column2"]).alias("c2")))
-    return _numbered(rows.filter(fits).select("at", preds.alias("preds"))).withColumn("dc_id", F.col("dc_id") + 1)
+    return F.when(fits, F.transform(found, lambda p: F.struct(p["index1"].alias("i1"), name(p["column1"]).alias("c1"), operator_of(p["op"]).alias("op"), p["index2"].alias("i2"), name(p["column2"]).alias("c2"))))
 
 
 def parse_literals(lines: DataFrame, column: str = "value", columns: dict[str, str] | None = None, most: int | None = 3) -> DataFrame:
     """(dc_id, preds) of a literal list, a constraint a line; attribute names go through ``columns``, and sides count as rows 0 and 1."""
+    rows = lines.select(F.monotonically_increasing_id().alias("at"), predicates_of_literal(F.col(column), columns, most).alias("preds"))
+    return _numbered(rows.filter("preds is not null"))
+
+
+def predicates_of_literal(text: Column, columns: dict[str, str] | None = None, most: int | None = 3) -> Column:
+    """The predicates of one such line; null where there are none or too many."""
     mapped = F.create_map(*[F.lit(x) for pair in (columns or {"": ""}).items() for x in pair])
     rename = lambda c: F.coalesce(F.try_element_at(mapped, c), c)
-    rows = lines.select(F.monotonically_increasing_id().alias("at"), predicates_of_text(F.col(column)).alias("preds")).filter("preds is not null")
-    if most is not None:
-        rows = rows.filter(F.size("preds") <= most)
-    return _numbered(rows.select("at", F.transform("preds", lambda p: F.struct(F.lit(0).alias("i1"), rename(p["c1"]).alias("c1"), p["op"].alias("op"), F.lit(1).alias("i2"), rename(p["c2"]).alias("c2"))).alias("preds")))
+    found = predicates_of_text(text)
+    plain = F.transform(found, lambda p: F.struct(F.lit(0).alias("i1"), rename(p["c1"]).alias("c1"), p["op"].alias("op"), F.lit(1).alias("i2"), rename(p["c2"]).alias("c2")))
+    return plain if most is None else F.when(F.size(found) <= most, plain)
 
 
 def weighted_columns(names: list[str]) -> tuple[str, str]:
@@ -121,22 +130,27 @@ def parse_weighted(rows: DataFrame) -> DataFrame:
     A predicate has three words (``t0.a EQUAL t1.a``) or five, with a type after each name; names become plain. Any other number
     of words, a side that isn't a row and a column, or an unknown operator fails when the rows are read.
     """
+    from pyspark.sql import Window
+
     dc, weight = weighted_columns(rows.columns)
+    kept = rows.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{dc}`").alias("dc"), F.col(f"`{weight}`").cast("double").alias("weight")).filter("weight > 0")
+    return kept.select((F.row_number().over(Window.orderBy("at")) - 1).alias("dc_id"), predicates_of_weighted(F.col("dc")).alias("preds"), "weight")
+
+
+def predicates_of_weighted(text: Column) -> Column:
+    """The predicates of a weight file's constraint."""
     side = lambda x: F.struct(F.regexp_extract(x, r"^t(\d)\.", 1).try_cast("int").alias("i"), plain_name(F.substring_index(x, ".", -1)).alias("c"))
 
-    def predicate(text: Column) -> Column:
-        words = F.split(F.trim(text), r"\s+")
+    def predicate(part: Column) -> Column:
+        words = F.split(F.trim(part), r"\s+")
         five = F.size(words) == 5
         left, op, right = F.get(words, F.lit(0)), F.when(five, F.get(words, F.lit(2))).otherwise(F.get(words, F.lit(1))), F.when(five, F.get(words, F.lit(3))).otherwise(F.get(words, F.lit(2)))
         a, b = side(left), side(right)
         sound = F.size(words).isin(3, 5) & a["i"].isNotNull() & b["i"].isNotNull() & operator_of(op).isin(*set(OPERATORS.values()))
         found = F.struct(a["i"].alias("i1"), a["c"].alias("c1"), operator_of(op).alias("op"), b["i"].alias("i2"), b["c"].alias("c2"))
-        return F.when(F.coalesce(sound, F.lit(False)), found).otherwise(F.raise_error(F.concat(F.lit("not a predicate: "), text)))
-
-    kept = rows.select(F.monotonically_increasing_id().alias("at"), F.col(f"`{dc}`").alias("dc"), F.col(f"`{weight}`").cast("double").alias("weight")).filter("weight > 0")
-    from pyspark.sql import Window
+        return F.when(F.coalesce(sound, F.lit(False)), found).otherwise(F.raise_error(F.concat(F.lit("not a predicate: "), part)))
 
-    return kept.select((F.row_number().over(Window.orderBy("at")) - 1).alias("dc_id"), F.transform(F.split("dc", " AND "), predicate).alias("preds"), "weight")
+    return F.transform(F.split(text, " AND "), predicate)
 
 
 def to_text(preds: Column) -> Column:

@@ -63,14 +63,18 @@ def _column(df: DataFrame, name: str) -> str:
 
 
 def with_ids(df: DataFrame, schema: str) -> DataFrame:
-    """A dense id from 1 in input order. The rows are written with their places first, so what is counted is what is numbered, and no task numbers all rows."""
+    """A dense id from 1 in input order: files by name, rows as they stand in them.
+
+    The rows are written with their places first, so what is counted is what is numbered, and no task numbers all rows: a file's split is
+    read by one task in order, and only the splits' sizes (a row for each) are added up.
+    """
     names = [n for n, _ in _fields(schema)]
-    place = F.monotonically_increasing_id()
-    marked = Scratch(df.sparkSession).put(df.select(*names, F.shiftright(place, 33).alias("__p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")), "rows")
-    sizes = marked.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = marked.join(F.broadcast(sizes.select("__p", before.alias("__base"))), "__p")  # a row for each input partition
-    return placed.select((F.col("__i") + F.col("__base") + 1).cast("int").alias("id"), *names)
+    split = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")]
+    marked = Scratch(df.sparkSession).put(df.select(*names, *split, F.monotonically_increasing_id().alias("__i")), "rows")
+    sizes = marked.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marked.join(F.broadcast(sizes.select("__f", "__b", "__first", before.alias("__base"))), ["__f", "__b"])  # a row for each split
+    return placed.select((F.col("__i") - F.col("__first") + F.col("__base") + 1).cast("int").alias("id"), *names)
 
 
 def load_adult(spark: SparkSession, path: str) -> DataFrame:
