@@ -5,11 +5,13 @@ import random
 import re
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilgraph.functions import expressions as X
 from veilgraph.operators import deletion, hypergraph, leakage, mechanisms, report
+from veilgraph.operators.chain_search import smallest_masks
 from veilgraph.operators.sweep import run_sweep
 from veilgraph.plans.driver import plain_model
 from veilgraph.sources import constraints
@@ -281,3 +283,73 @@ def test_stream_of_requests(spark, small, table, scratch, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.id for r in got) == [1, 3] and all(r.city is None and r.zip is None for r in got)
+
+
+def plain_smallest(n, edges):
+    """The smallest safe masks of a zone, all of them tried."""
+    t = 1 << n
+
+    def reached(known):
+        while True:
+            before = known
+            for e in edges:
+                lack = e & ~known
+                if lack and lack & (lack - 1) == 0:
+                    known |= lack
+            if known == before:
+                return known & t
+
+    for size in range(n + 1):
+        safe = [m for m in range(t) if m.bit_count() == size and not reached(~m & (t - 1))]
+        if safe:
+            return size, safe
+
+
+def test_smallest_masks_from_conflicts_match_all_masks():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        n = int(rng.integers(1, 9))
+        edges = [int(sum(1 << int(i) for i in rng.choice(n + 1, rng.integers(2, min(4, n + 1) + 1), replace=False))) for _ in range(rng.integers(0, 12))]
+        size, masks, safe = smallest_masks(1 << n, np.array(edges, np.int64), 10**9)
+        assert safe and (size, sorted(masks.tolist())) == plain_smallest(n, edges)
+
+
+def grouped_zone(groups, others):
+    """Groups of two cells that infer a middle cell, which infers the target; a path of other cells that leads to cell 0."""
+    n = 3 * groups + others
+    edges = [e for g in range(groups) for e in (1 << g | 1 << (groups + g) | 1 << (2 * groups + g), 1 << (2 * groups + g) | 1 << n)]
+    path = [0, *range(3 * groups, n)]
+    return n, edges + [1 << a | 1 << b for a, b in zip(path, path[1:])]
+
+
+def test_a_zone_of_forty_attributes(spark, monkeypatch):
+    cases = {"wide": (6, 22), "narrow": (3, 2), "sixty": (2, 54)}
+    rows = []
+    for name, (groups, others) in cases.items():
+        n, edges = grouped_zone(groups, others)
+        rows.append((name, "t", [f"a{i:02}" for i in range(n)], n, 1 << n, [(i, m, 0.5) for i, m in enumerate(edges)]))
+    model = spark.createDataFrame(rows, "dataset string, target string, names array<string>, n int, tbit long, edges array<struct<eid: int, mask: long, w: double>>")
+    for frontier in (20_000, 3):
+        monkeypatch.setattr(mechanisms, "FRONTIER", frontier)
+        found = {r.dataset: (r["mask"], r.mask_size, r.n_optima) for r in mechanisms.minimal_masks(model).collect()}
+        size, masks = plain_smallest(*grouped_zone(3, 2))
+        assert found["narrow"] == (min(masks), size, len(masks))
+        for name, (groups, _) in cases.items():
+            # every middle cell goes and one of its group with it; not cell 0, which its path infers anew
+            assert found[name][1:] == (2 * groups, 2 ** (groups - 1))
+            assert all(found[name][0] >> (2 * groups + g) & 1 for g in range(groups)) and not found[name][0] & 1
+
+
+def test_gumbel_draws_follow_the_same_law(spark, small, table):
+    at = mechanisms.points(spark, [0.5], [0.3])
+    chosen = mechanisms.probabilities(mechanisms.all_mask_candidates(table, small), at).filter("dataset = 'airport'").cache()
+    p = {r["mask"]: r.p for r in chosen.collect()}
+    drawn = [r["mask"] for r in mechanisms.gumbel_draw(chosen, 4000, seed=5).collect()]
+    assert len(drawn) == 4000 and set(drawn) <= set(p)
+    seen = {m: drawn.count(m) for m in p}
+    likely = [m for m in p if 4000 * p[m] >= 5]
+    statistic = sum((seen[m] - 4000 * p[m]) ** 2 / (4000 * p[m]) for m in likely)
+    assert statistic < len(likely) + 6 * (2 * len(likely)) ** 0.5
+    again = [r["mask"] for r in mechanisms.gumbel_draw(chosen.repartition(7), 4000, seed=5).orderBy("iteration").collect()]
+    assert sorted(again) == sorted(drawn)
+    chosen.unpersist()

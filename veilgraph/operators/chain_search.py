@@ -151,30 +151,47 @@ def estimate(model: Model, masks: np.ndarray, *, bound: bool = False) -> dict[st
     return out
 
 
-def smallest_masks(zone: int, tbit: int, edges: np.ndarray) -> tuple[int, int, int]:
-    """(mask, size, optima): the masks of the least size from which closure can't reach the target, the least by number for all.
+def conflicts(tbit: int, edges: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """For each mask visible cells that infer the target together (as bits, without the target); 0 if the visible cells don't infer it.
 
-    Sizes are tried from 0 up, so nothing beyond the answer's size is looked at; parallel edges count once, and closure
-    stops when no mask learns more.
+    Every inferred cell keeps the visible cells that it was inferred from, for all masks at once.
     """
-    edges = np.unique(edges)
-    every = np.arange(1 << zone, dtype=np.int64)
-    sizes = np.bitwise_count(every)
-    for size in range(zone + 1):
-        masks = every[sizes == size]
-        safe = masks[(_closed(~masks & (tbit - 1), edges) & tbit) == 0]
-        if len(safe):
-            return int(safe[0]), size, len(safe)
-    raise AssertionError("with all cells gone no edge of two or more cells infers any")
-
-
-def _closed(known: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """All that edges infer from known cells."""
+    cells = tbit.bit_length()
+    known = ~masks & (tbit - 1)
+    leaves = np.where((known[:, None] >> np.arange(cells)) & 1 == 1, np.int64(1) << np.arange(cells, dtype=np.int64), 0)
+    members = [(int(e), [c for c in range(cells) if int(e) >> c & 1]) for e in np.unique(edges)]
     while True:
-        more = known.copy()
-        for edge in edges:
-            lack = edge & ~more
-            more = np.where(_single(lack), more | lack, more)
-        if (more == known).all():
-            return more
-        known = more
+        before = known.copy()
+        for edge, own in members:
+            lack = edge & ~known
+            at = np.flatnonzero(_single(lack))
+            if not len(at):
+                continue
+            cause = np.bitwise_or.reduce(np.where(((lack[at][:, None] >> np.array(own)) & 1) == 1, 0, leaves[at][:, own]), axis=1)
+            leaves[at, np.bitwise_count(lack[at] - 1).astype(np.int64)] = cause
+            known[at] |= lack[at]
+        if (known == before).all() or (known & tbit != 0).all():
+            return np.where(known & tbit != 0, leaves[:, cells - 1], 0)
+
+
+def wider_masks(tbit: int, edges: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(safe masks, those to be looked at next): a mask that isn't safe grows by each cell of its conflict.
+
+    Every safe mask that holds an unsafe one holds a cell of its conflict as well, so sizes tried in order miss no smallest mask.
+    """
+    found = conflicts(tbit, edges, masks)
+    open_, causes = masks[found != 0], found[found != 0]
+    bits = np.int64(1) << np.arange(tbit.bit_length(), dtype=np.int64)
+    row, bit = np.nonzero(causes[:, None] & bits)
+    return masks[found == 0], np.unique(open_[row] | bits[bit])
+
+
+def smallest_masks(tbit: int, edges: np.ndarray, most: int) -> tuple[int, np.ndarray, bool]:
+    """(size, masks, whether they are safe): all smallest safe masks, or the masks of the first size of which there are more than ``most`` to be looked at."""
+    size, masks = 0, np.zeros(1, np.int64)
+    while len(masks) <= most:
+        safe, more = wider_masks(tbit, edges, masks)
+        if len(safe):
+            return size, safe, True
+        size, masks = size + 1, more
+    return size, masks, False

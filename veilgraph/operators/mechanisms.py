@@ -4,24 +4,21 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilgraph.functions.expressions import bits_to_names, mechanism_score, softmax, uniform, utility
-from veilgraph.operators.chain_search import smallest_masks
-from veilgraph.operators.hypergraph import MOST_ZONE
-from veilgraph.operators.leakage import KEY, LeakageError, leakage_table, method_column, with_method
+from veilgraph.operators.chain_search import smallest_masks, wider_masks
+from veilgraph.operators.leakage import KEY, LeakageError, _parts, leakage_table, method_column, with_method
 from veilgraph.store import Scratch
 
 ORDERINGS = ("greedy", "random", "zero")
 POINT = ["dataset", "target", "epsilon", "cap"]
-#: Draws that one row, and so one task, answers at most.
-DRAWS_EACH = 1 << 16
+#: Draws of a point that one task answers at most; masks of one size that a task follows alone.
+DRAWS_EACH, FRONTIER = 1 << 16, 20_000
 
 
 def points(spark, epsilons, caps) -> DataFrame:
@@ -92,34 +89,24 @@ def expected(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy(*POINT).agg(F.sum(F.col("p") * F.col("mask_size")).alias("e_mask"), F.sum(F.col("p") * F.col("leakage")).alias("e_leakage"))
 
 
-def _distributions(chosen: DataFrame) -> DataFrame:
-    """(..., c): each point's masks in order of size and number, one row; zones bound them to 2 to the 20th."""
-    record = F.struct("mask_size", "mask", "leakage", "utility", "p", "num_chains", "n")
-    return chosen.groupBy(*POINT).agg(F.array_sort(F.collect_list(record)).alias("c"))
+_CHOICE = ["mask", "mask_size", "leakage", "utility", "p", "num_chains", "n"]
 
 
-def _looked_up(asked: DataFrame, chosen: DataFrame, payload: str) -> DataFrame:
+def _looked_up(asked: DataFrame, chosen: DataFrame, payload: str, parts: int) -> DataFrame:
     """(..., payload, mask, mask_size, leakage, utility, p, num_chains, n): the mask at each asked place of its point's distribution function.
 
-    ``asked``: point columns and ``spots``, an array of (u, payload), bounded by whoever makes it.
+    ``asked``: point columns, part, u, payload. The function's steps, in the order of size and number, and the asked places are sorted
+    together; a place takes the first step that isn't below it. Steps are repeated for every part, so a point's draws are dealt out.
     """
-    joined = asked.join(_distributions(chosen), POINT)
-    record = joined.schema["c"].dataType.elementType
-    names = ["mask", "mask_size", "leakage", "utility", "p", "num_chains", "n"]
-    spot = joined.schema["spots"].dataType.elementType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                spots, masks = batch.column(len(POINT))[i].values, batch.column(len(POINT) + 1)[i].values
-                cdf = np.cumsum(masks.field("p").to_numpy(zero_copy_only=False))
-                # rounding can't leave a draw without a mask
-                at = pa.array(np.minimum(np.searchsorted(cdf, spots.field("u").to_numpy(zero_copy_only=False), "left"), len(cdf) - 1))
-                lead = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for k in range(len(POINT))]
-                yield pa.RecordBatch.from_arrays([*lead, spots.field(payload), *[masks.field(n).take(at) for n in names]], names=[*POINT, payload, *names])
-
-    schema = T.StructType([*[joined.schema[c] for c in POINT], T.StructField(payload, spot[payload].dataType), *[T.StructField(n, record[n].dataType) for n in names]])
-    return joined.select(*POINT, "spots", "c").mapInArrow(run, schema)
+    order = Window.partitionBy(*POINT).orderBy("mask_size", "mask")
+    step = F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead("mask").over(order).isNull()  # rounding can't leave a draw without a mask
+    steps = chosen.select(*POINT, F.struct(*_CHOICE).alias("choice"), F.when(last, 2.0).otherwise(step).alias("at"))
+    steps = steps.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0))
+    both = steps.unionByName(asked.select(*POINT, F.col("part").cast("int").alias("part"), F.col("u").alias("at"), payload), allowMissingColumns=True)
+    downward = Window.partitionBy(*POINT, "part").orderBy(F.desc("at"), F.col("choice").isNull(), F.desc("choice.mask_size"), F.desc("choice.mask")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select(*POINT, payload, F.col("choice").isNull().alias("asked"), F.last("choice", ignorenulls=True).over(downward).alias("choice"))
+    return found.filter("asked").select(*POINT, payload, "choice.*")
 
 
 def _seed(seed: int | None) -> Column:
@@ -129,17 +116,14 @@ def _seed(seed: int | None) -> Column:
 def draw(chosen: DataFrame, times: int, seed: int | None = None) -> DataFrame:
     """(..., iteration, mask, ...): ``times`` independent draws at each point, by inverse distribution functions.
 
-    The uniforms are md5 of (seed, point, iteration), which any engine repeats; without a seed a random one is taken. A point's
-    distribution is one row; draws meet it in rows of at most DRAWS_EACH, so no task holds all draws of a point.
+    The uniforms are md5 of (seed, point, iteration), which any engine repeats; without a seed a random one is taken. A task sorts at most
+    DRAWS_EACH draws of a point with its masks.
     """
-    seeded = _seed(seed)
     text = [F.col("dataset"), F.col("target"), F.col("epsilon").cast("string"), F.col("cap").cast("string")]
-    parts = chosen.select(*POINT).distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // DRAWS_EACH))))
-    if times > DRAWS_EACH:
-        parts = parts.repartition(*POINT, "part")
-    own = F.sequence(F.col("part") * DRAWS_EACH, F.least((F.col("part") + 1) * DRAWS_EACH, F.lit(times)) - 1)
-    spots = F.transform(own, lambda i: F.struct(uniform(seeded, *text, i.cast("string")).alias("u"), i.cast("int").alias("iteration")))
-    return _looked_up(parts.select(*POINT, spots.alias("spots")), chosen, "iteration")
+    each = chosen.sparkSession.range(times).select(F.col("id").cast("int").alias("iteration"))
+    asked = chosen.select(*POINT).distinct().crossJoin(each)  # the rows of the result
+    asked = asked.select("*", F.floor(F.col("iteration") / DRAWS_EACH).alias("part"), uniform(_seed(seed), *text, F.col("iteration").cast("string")).alias("u"))
+    return _looked_up(asked, chosen, "iteration", -(-times // DRAWS_EACH))
 
 
 def draw_for(requests: DataFrame, chosen: DataFrame, key: str, seed: int | None = None) -> DataFrame:
@@ -151,40 +135,76 @@ def draw_for(requests: DataFrame, chosen: DataFrame, key: str, seed: int | None
     deal = max(1, -(-requests.count() // DRAWS_EACH))
     u = uniform(_seed(seed), F.col("dataset"), F.col("target"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     points_ = chosen.select(*POINT).distinct()
-    rows = requests.select(key, "dataset", "target", u.alias("u")).join(F.broadcast(points_), ["dataset", "target"])  # a row for each model
-    asked = rows.groupBy(*POINT, F.pmod(F.xxhash64(key), F.lit(deal)).alias("part")).agg(F.collect_list(F.struct("u", key)).alias("spots"))
-    return _looked_up(asked, chosen, key)
+    rows = requests.select(key, "dataset", "target", u.alias("u"), F.pmod(F.xxhash64(key), F.lit(deal)).alias("part"))
+    return _looked_up(rows.join(F.broadcast(points_), ["dataset", "target"]), chosen, key, deal)  # a row for each model
+
 
+def gumbel_draw(chosen: DataFrame, times: int = 1, seed: int | None = None) -> DataFrame:
+    """(..., iteration, mask, ...): the same law as ``draw``, without sorting or gathering a point's masks.
 
-@lru_cache(maxsize=4096)
-def _smallest(zone: int, tbit: int, edges: tuple[int, ...]) -> tuple[int, int, int]:
-    return smallest_masks(zone, tbit, np.array(edges, np.int64))
+    Every mask adds Gumbel noise to its score, and the largest sum is drawn: one aggregation, combined before its shuffle. It costs a
+    hash for each mask and draw, so it suits few draws over many masks. The uniforms are md5 of (seed, point, mask, iteration).
+    """
+    text = [F.col("dataset"), F.col("target"), F.col("epsilon").cast("string"), F.col("cap").cast("string"), F.col("mask").cast("string"), F.col("iteration").cast("string")]
+    rows = chosen.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    noisy = mechanism_score(F.col("epsilon"), F.col("utility"), F.col("n")) - F.log(-F.log(uniform(_seed(seed), *text)))
+    best = rows.groupBy(*POINT, "iteration").agg(F.max_by(F.struct(*_CHOICE), F.struct(noisy, "mask")).alias("choice"))
+    return best.select(*POINT, "iteration", "choice.*")
 
 
 def minimal_masks(model: DataFrame) -> DataFrame:
     """(all columns of the model but tbit and edges, mask, mask_size, n_optima; names: the mask's): a smallest mask from which closure can't reach the target.
 
-    A row for each row of ``model``, so per-key models of ``time_filtered`` keep their keys. Masks are tried by size (zones are at
-    most 20 attributes); the least one by number stands for the optima. It solves the same problem as the integer program
-    that ``program_lines`` writes. A zone without edges needs no mask.
+    A row for each row of ``model``, so per-key models of ``time_filtered`` keep their keys; the least mask by number stands for the
+    optima. It solves the same problem as the integer program that ``program_lines`` writes. A zone without edges needs no mask.
+
+    Each different problem is solved once. Masks grow by size: one that isn't safe is followed by itself with each of the visible
+    cells that infer the target together, one of which every safe mask must hold. A task follows a problem while a size has no more than
+    ``FRONTIER`` masks; from then on they are rows, a table for each size, in which equal masks meet by a shuffle.
     """
-    large = model.filter(F.col("n") > MOST_ZONE).select("dataset", "n").first()
+    large = model.filter(F.col("n") > 62).select("dataset", "n").first()
     if large is not None:
-        raise LeakageError(f"the zone of {large.dataset} has {large.n} attributes; at most {MOST_ZONE} can be searched")
-    lead = [c for c in model.columns if c not in ("tbit", "edges", "names", "n")]
-    rows = model.select(*lead, "names", "n", "tbit", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["mask"]))).alias("unique"))
-    kept = rows.drop("tbit", "unique").schema
-    out = [*kept.names, "mask", "mask_size", "n_optima"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raise LeakageError(f"the zone of {large.dataset} has {large.n} attributes; at most 62 can be searched")
+    spark = model.sparkSession
+    scratch = Scratch(spark)
+    lead = [c for c in model.columns if c not in ("tbit", "edges")]
+    rows = model.select(*lead, "tbit", F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["mask"]))).alias("unique"))
+    problems = scratch.put(rows.select("tbit", "unique").distinct().withColumn("pid", F.monotonically_increasing_id()), "problems")
+    names = ["pid", "safe", "mask", "size"]
+    schema = "pid long, safe boolean, mask long, size int"
+
+    def batch_of(pid: int, safe: bool, masks: np.ndarray, size: int) -> pa.RecordBatch:
+        n = len(masks)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, pid)), pa.array(np.full(n, safe)), pa.array(masks), pa.array(np.full(n, size, np.int32))], names=names)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            zone, tbit, edges = (batch.column(len(lead) + k).to_pylist() for k in (1, 2, 3))
-            found = [_smallest(z, t, tuple(e)) for z, t, e in zip(zone, tbit, edges, strict=True)]
-            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(lead) + 2], *columns], names=out)
+            for pid, tbit, edges in zip(*(batch.column(c).to_pylist() for c in ("pid", "tbit", "unique")), strict=True):
+                size, masks, safe = smallest_masks(tbit, np.array(edges, np.int64), FRONTIER)
+                yield batch_of(pid, safe, masks, size)
 
-    schema = T.StructType([*kept.fields, T.StructField("mask", T.LongType()), T.StructField("mask_size", T.IntegerType()), T.StructField("n_optima", T.LongType())])
-    return rows.mapInArrow(run, schema).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pid, masks = batch.column("pid").to_numpy(), batch.column("mask").to_numpy()
+            for own in np.unique(pid):
+                at = np.flatnonzero(pid == own)
+                tbit, edges, size = (batch.column(c)[int(at[0])].as_py() for c in ("tbit", "unique", "size"))
+                safe, more = wider_masks(tbit, np.array(edges, np.int64), masks[at])
+                yield batch_of(own, True, safe, size)
+                yield batch_of(own, False, more, size + 1)
+
+    level = scratch.put(problems.repartition(_parts(model), "pid").mapInArrow(begin, schema), "size0")
+    best, step = None, 0
+    while True:
+        won = level.filter("safe").groupBy("pid").agg(F.min("mask").alias("mask"), F.first("size").alias("mask_size"), F.count(F.lit(1)).alias("n_optima"))
+        best = won if best is None else best.unionByName(won)
+        rest = level.filter("not safe").join(won.select("pid"), "pid", "left_anti")
+        if rest.isEmpty():
+            break
+        step += 1
+        level = scratch.put(rest.join(problems, "pid").repartition(_parts(model), "pid", "mask").mapInArrow(go_on, schema).distinct(), f"size{step}")
+    solved = scratch.put(problems.join(best, "pid").drop("pid"), "solved")
+    return rows.join(solved, ["tbit", "unique"]).select(*lead, "mask", "mask_size", "n_optima").withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
 
 
 def program_lines(model: DataFrame) -> DataFrame:
@@ -220,11 +240,11 @@ def program_lines(model: DataFrame) -> DataFrame:
 def exponential_mask(model: DataFrame, table: DataFrame, epsilon: float, cap: float, *, penalty: float = 1000.0, method: str = "greedy_disjoint", seed: int | None = None) -> DataFrame:
     """One private choice among all masks for each model."""
     at = points(model.sparkSession, [epsilon], [cap])
-    return draw(probabilities(all_mask_candidates(table, model, method), at, penalty=penalty), 1, seed).join(model.select("dataset", "target", "names"), ["dataset", "target"]).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
+    return gumbel_draw(probabilities(all_mask_candidates(table, model, method), at, penalty=penalty), 1, seed).join(model.select("dataset", "target", "names"), ["dataset", "target"]).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
 
 
 def prefix_mask(model: DataFrame, scratch: Scratch, epsilon: float, cap: float, *, penalty: float = 1000.0, ordering: str = "greedy", method: str = "greedy_disjoint", seed: int | None = None) -> DataFrame:
     """One private choice among the prefixes for each model."""
     at = points(model.sparkSession, [epsilon], [cap])
     found = prefix_candidates(model, scratch, None, ordering, method, 7 if seed is None else seed)
-    return draw(probabilities(found, at, penalty=penalty), 1, seed).join(model.select("dataset", "target", "names"), ["dataset", "target"]).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
+    return gumbel_draw(probabilities(found, at, penalty=penalty), 1, seed).join(model.select("dataset", "target", "names"), ["dataset", "target"]).withColumn("names", bits_to_names(F.col("mask"), F.col("names")))
