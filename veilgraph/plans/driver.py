@@ -646,7 +646,7 @@ def _times(spark, sf_dir, model):
     return keys.select("dataset", "key", own.alias("times"))
 
 
-@query(f"""WITH {LATE_SQL} SELECT b.ds AS dataset, b.key, count(lt.eid) AS n_edges, coalesce(sum(bit_count(lt.em)), 0)::BIGINT AS n_members FROM b LEFT JOIN lt ON lt.key = b.key AND lt.ds = b.ds GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {LATE_SQL} SELECT b.ds AS dataset, b.key, count(lt.eid) AS n_edges, coalesce(sum(bit_count(lt.em)), 0)::BIGINT AS n_members FROM b LEFT JOIN lt ON lt.key = b.key AND lt.ds = b.ds GROUP BY ALL""")
 def insertion_time_filter(spark, sf_dir):
     """Edges left when members older than the target don't count, for every customer and catalog."""
     model, _ = _model(spark, sf_dir)
