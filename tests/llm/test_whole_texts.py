@@ -40,8 +40,8 @@ def test_languages_behind_a_shared_opening_and_of_short_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     samples = learn(docs)
     assert [lang for lang, _ in samples] == ["aa", "bb", "cc"]
-    assert all(len(s) <= 32_000 + 512 for _, s in samples)
-    whole = {t for _, t, _ in rows}
+    assert all(len(s) <= 512 * 65 for _, s in samples)
+    whole = "\n".join(t for _, t, _ in rows)
     assert all(t in whole for _, s in samples for t in s.split("\n"))
     asked = [(i, own(lang, 4), lang) for i, lang in enumerate(["aa", "bb"] * 10)] + [(50, "ююж эээ", "cc")]
     got = {r["id"]: r["lang_pred"] for r in identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), samples).collect()}
@@ -67,22 +67,27 @@ def test_labels_of_absent_documents_take_no_place(spark):
     assert one.bias != 0 and (one.weights == two.weights).all() and one.bias == two.bias
 
 
-def test_long_texts_short_ones_and_too_many_languages(spark):
-    rows = [(1, "kana " * 20_000, "long"), (2, "zz", "short"), (3, "xy", "short"), (4, "mo" * 30, "both"), (5, "mu " * 20_000, "both")]
-    docs = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+def test_a_language_is_learned_from_long_texts_and_short_ones(spark):
+    rng = random.Random(4)
+    long_text = " ".join(rng.choice(["kana", "moku", "tiri"]) for _ in range(40_000))  # 200 000 characters
+    short = [" ".join(rng.choice(["schrung", "keit", "zungs"]) for _ in range(40)) for _ in range(400)]
     from veilgraph.llm.cross_parse import held_out
 
+    rows = [(i, t, "both") for i, t in enumerate([*short, long_text, long_text[5:]])] + [(10_000, "zz", "tiny"), (10_001, "xy", "tiny"), (10_002, "xz", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     left = {r.doc_id for r in docs.filter(~held_out()).select("doc_id").collect()}
     got = dict(learn(docs))
-    want = {lang for i, _, lang in rows if i in left}
-    assert set(got) == want and all(len(s) <= 32_000 + 512 for s in got.values())
-    assert "long" not in got or len(got["long"]) == 32_000  # nothing else: a piece of the bound's length
-    assert "both" not in got or 4 not in left or "mu" not in got["both"]
-    many = spark.range(400).selectExpr("id as doc_id", "'text' as text", "concat('l', id) as lang")
-    import pytest
-
-    with pytest.raises(ValueError):
-        learn(many, most_languages=20)
+    pieces = got["both"].split("\n")
+    assert len(pieces) == 512 and all(len(p) <= 64 for p in pieces)
+    assert left & {400, 401}
+    assert 20 < sum("kana" in p or "moku" in p for p in pieces) and 20 < sum("schrung" in p or "keit" in p for p in pieces)
+    assert sorted(got["tiny"].split("\n")) == sorted(t for i, t, lang in rows if lang == "tiny" and i in left)
+
+
+def test_any_number_of_languages_is_learned(spark):
+    many = spark.range(1500).selectExpr("id as doc_id", "repeat(concat('text', id % 300, ' '), 100) as text", "concat('l', id % 300) as lang")
+    got = dict(learn(many, most_pieces=3000))
+    assert len(got) == 300 and all(len(s.split("\n")) == 10 for s in got.values())
 
 
 def test_fit_and_score_match_plain_loops():

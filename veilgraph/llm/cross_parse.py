@@ -199,52 +199,53 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, *, texts_each: int = 512, chars_each: int = 32_000, most_languages: int = 128) -> tuple[tuple[str, str], ...]:
-    """For each language a sample of its labelled texts, whole: in the order of their hashes, as many of at most ``texts_each`` texts
-    as hold no more than ``chars_each`` characters together.
-
-    A text above ``chars_each`` characters is taken only where a language has no other, and then that many of its characters from a
-    place hashed from its id. That bounds what the driver gets by the number of languages, of which more than
-    ``most_languages`` are an error (each costs a worker some 15 MB); equal sizes keep the languages' phrase counts
-    comparable, and the cost of a phrase is the logarithm of the sample's size. Rows are chosen by their lengths alone, so
-    texts are read again for the chosen rows only.
+def learn(docs: DataFrame, *, pieces_each: int = 512, piece_chars: int = 64, most_pieces: int = 65_536) -> tuple[tuple[str, str], ...]:
+    """For each language a sample of its labelled texts: of all pieces of ``piece_chars`` characters (a text's last one is shorter) the
+    ``pieces_each`` with the least hashes.
+
+    A long text has many pieces and a short one is a piece, so each is learned from by its share, whatever its length. The rows
+    that are learned from are bounded by ``pieces_each`` for a language and by ``most_pieces`` for all (where there are many languages each gets
+    its part, but 8 pieces at least). Equal sizes keep the languages' phrase counts comparable, and the cost of a phrase is the logarithm of the
+    sample's size. Pieces are chosen by their places alone; texts are read again for the chosen ones only. A piece of
+    many equal rows counts as often as it comes.
     """
     text = F.col("text").cast("string")
-    own = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), F.length(text).alias("n"), F.xxhash64(F.col("doc_id"), text).alias("h"))
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") <= chars_each).alias("fit")).limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"the texts are labelled with more than {most_languages} languages")
+    own = docs.filter(F.col("lang").isNotNull() & (F.length(text) > 0) & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("x"), F.ceil(F.length(text) / piece_chars).alias("n"))
+    counts = own.groupBy("lang").agg(F.sum("n").alias("all")).collect()  # a row for each language
     if not counts:
         return ()
-    # the smallest hashes lie below a bound that about eight times as many texts as wanted pass, so few rows meet in a language's task
+    each = max(8, min(pieces_each, most_pieces // len(counts)))
+    # the smallest hashes lie below a bound that about eight times as many pieces as wanted pass, so few meet in a language's task
     bounds = []
     for r in counts:
-        share = 8 * texts_each / (r.fit or r.all)
-        bounds.append((r.lang, r.fit == 0, -(1 << 63) + int(share * (1 << 64)) if share < 1 else (1 << 63) - 1))
-
-    def pick(bounds: list[tuple[str, bool, int]]) -> list:
-        limits = docs.sparkSession.createDataFrame(bounds, "own_lang string, only_long boolean, most long")
-        some = own.join(F.broadcast(limits), F.col("lang") == F.col("own_lang")).filter((F.col("only_long") | (F.col("n") <= chars_each)) & (F.col("h") <= F.col("most")))
-        first = Window.partitionBy("lang").orderBy("h", "id", "x")
-        best = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= texts_each)
-        used = F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0))
-        return best.withColumn("used", used).filter((F.col("used") <= chars_each) | (F.col("r") == 1)).select("lang", "id", "x", "r").collect()  # at most texts_each * most_languages rows
+        share = 8 * each / r["all"]
+        bounds.append((r.lang, -(1 << 63) + int(share * (1 << 64)) if share < 1 else (1 << 63) - 1))
+
+    def pick(bounds: list[tuple[str, int]]) -> list:
+        limits = docs.sparkSession.createDataFrame(bounds, "own_lang string, most long")
+        cut = own.join(F.broadcast(limits), F.col("lang") == F.col("own_lang")).select("lang", "id", "x", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+        some = cut.withColumn("h", F.xxhash64("id", "x", "k")).filter("h <= most").groupBy("lang", "h", "id", "x", "k").count()
+        first = Window.partitionBy("lang").orderBy("h", "id", "x", "k")
+        before = F.coalesce(F.sum("count").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        best = some.withColumn("before", before).filter(F.col("before") < each)
+        return best.select("lang", "id", "x", "k", "before", F.least("count", each - F.col("before")).alias("times")).collect()  # most_pieces rows, or 8 for each language
 
     chosen = pick(bounds)
-    # rows that are all alike have one hash, which may lie beyond the bound
-    if missing := {lang for lang, *_ in bounds} - {r.lang for r in chosen}:
-        chosen += pick([(lang, only_long, (1 << 63) - 1) for lang, only_long, _ in bounds if lang in missing])
-    # each different row is fetched once, however often it was chosen
-    kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType())])
-    wanted = docs.sparkSession.createDataFrame(list({(r.lang, r.id, r.x) for r in chosen}), kinds)
-    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("t") - chars_each, F.lit(0)) + 1) + 1
+    # pieces that are all alike have one hash, which may lie beyond the bound
+    if missing := {lang for lang, _ in bounds} - {r.lang for r in chosen}:
+        chosen += pick([(lang, (1 << 63) - 1) for lang in sorted(missing)])
+    places: dict[tuple, set[int]] = {}
+    for r in chosen:
+        places.setdefault((r.lang, r.id, r.x), set()).add(r.k)
+    kinds = T.StructType([T.StructField("own_lang", T.StringType()), T.StructField("own_id", docs.schema["doc_id"].dataType), T.StructField("own_x", T.LongType()), T.StructField("ks", T.ArrayType(T.LongType()))])
+    wanted = docs.sparkSession.createDataFrame([(*key, sorted(ks)) for key, ks in places.items()], kinds)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), text.alias("t"), F.xxhash64(text).alias("x"))
     same = (F.col("lang") == F.col("own_lang")) & F.col("id").eqNullSafe(F.col("own_id")) & (F.col("x") == F.col("own_x"))
-    rows = texts.join(F.broadcast(wanted), same).select("lang", "id", "x", F.col("t").substr(place.cast("int"), F.lit(chars_each)).alias("t")).dropDuplicates(["lang", "id", "x"])
-    text_of = {(r.lang, r.id, r.x): r.t.replace("\n", " ") for r in rows.collect()}
+    rows = texts.join(F.broadcast(wanted), same).select("lang", "id", "x", F.transform("ks", lambda k: F.struct(k.alias("k"), F.col("t").substr((k * piece_chars + 1).cast("int"), F.lit(piece_chars)).alias("t"))).alias("pieces"))
+    text_of = {(r.lang, r.id, r.x, p.k): p.t.replace("\n", " ") for r in rows.dropDuplicates(["lang", "id", "x"]).collect() for p in r.pieces}
     found: dict[str, list[str]] = {}
-    for r in sorted(chosen, key=lambda r: (r.lang, r.r)):
-        found.setdefault(r.lang, []).append(text_of[r.lang, r.id, r.x])
+    for r in sorted(chosen, key=lambda r: (r.lang, r.before)):
+        found.setdefault(r.lang, []).extend([text_of[r.lang, r.id, r.x, r.k]] * r.times)
     return tuple((lang, "\n".join(texts)) for lang, texts in found.items())
 
 

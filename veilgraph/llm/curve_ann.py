@@ -143,7 +143,7 @@ def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, orderings: int = 16, dims: int = 6, bits: int = 10, target: float = 0.97, sample: int = 2048, probes: int = 64, seed: int = 11, most_lengths: int = 16
+    vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, orderings: int = 16, dims: int = 6, bits: int = 10, target: float = 0.97, sample: int = 2048, probes: int = 64, seed: int = 11
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest others by inner product, ties to the smaller id.
 
@@ -155,17 +155,14 @@ def nearest(
     products, summed in component order, rank what it met. Projections are centred on a sample of ``sample`` vectors; every vector is indexed.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; neither do rows with a null id.
-    Vectors of different lengths have no product: each length is searched apart (at most ``most_lengths`` of them, more
-    are an error). Repeated rows are rows: each asks, and may be found, as often as it comes.
+    Vectors of different lengths have no product: each length is searched apart, a length after another. Repeated rows are rows: each asks, and may be found, as often as it comes.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("query")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     digest = F.unhex(F.md5(F.array_join(F.transform("vector", lambda x: x.cast("double").cast("string")), ",").cast("binary")))
     named = scratch.put(rows.withColumn("e", digest), "named")
-    lengths = named.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(most_lengths + 1).collect()
-    if len(lengths) > most_lengths:
-        raise ValueError(f"the vectors have more than {most_lengths} lengths")
+    lengths = named.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).collect()  # a row for each length
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in lengths:
         same = named if len(lengths) == 1 else named.filter(F.size("vector") == r.d)
