@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from veilgraph.operators.dominance import Tree, count_violations, violation_counts
+from veilgraph.operators.dominance import Tree, close_pairs, count_violations, exact_support, violation_counts
 
 OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -73,3 +73,22 @@ def test_empty_tables_and_too_many_orders(spark):
     assert [int(r.n_pairs) for r in violation_counts(empty, DCS).collect()] == [0] * len(DCS)
     with pytest.raises(ValueError, match="three order"):
         count_violations(empty, [(0, "a", "<", 1, "a")] * 4)
+
+
+def test_close_pairs_match_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, rng.randint(-5, 5)]), rng.randint(0, 4), rng.choice(["p", "q", None])) for _ in range(120)] + [(1, 2, "p")] * 40
+    df = spark.createDataFrame(rows, "a int, b long, s string").repartition(4)
+
+    def brute(a, b, same):
+        kept = [r for r in rows if r[0] is not None and (not same or r[2] is not None)]
+        return sum((b is None or abs(x[1] - y[1]) <= b) and abs(x[0] - y[0]) <= a and (not same or x[2] == y[2]) for i, x in enumerate(kept) for y in kept[:i])
+
+    assert close_pairs(df, {"a": 2}) == brute(2, None, False)
+    assert close_pairs(df, {"a": 0, "b": 1}) == brute(0, 1, False)
+    assert close_pairs(df, {"a": 3, "b": 0}, ["s"]) == brute(3, 0, True)
+    r = exact_support(df, ("a", 2), ("b", 1)).first()
+    assert (int(r.n_close), int(r.n_both)) == (brute(2, None, False), brute(2, 1, False)) and r.support == brute(2, 1, False) / brute(2, None, False)
+    assert exact_support(df.limit(0), ("a", 2), ("b", 1)).first().support == 0
+    with pytest.raises(ValueError, match="bounds"):
+        close_pairs(df, {"a": -1})

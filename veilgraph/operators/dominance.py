@@ -247,3 +247,42 @@ def violation_counts(rows: DataFrame, constraints: list[list[Predicate]], first_
     """(dc_id, n_pairs): how many ordered pairs of different rows violate each constraint. n_pairs is a decimal, as it may exceed a BIGINT."""
     counts = [(first_id + k, count_violations(rows, dc)) for k, dc in enumerate(constraints)]
     return rows.sparkSession.createDataFrame([(k, str(n)) for k, n in counts], "dc_id int, n string").select("dc_id", F.col("n").cast("decimal(38,0)").alias("n_pairs"))
+
+
+def close_pairs(rows: DataFrame, near: dict[str, int | float], equal: list[str] | None = None) -> int:
+    """Unordered pairs of different rows whose values differ by at most the given bound in one or two columns, and agree in others.
+
+    Each bound makes an interval around a row's value, so a pair lies in a rectangle, and four counts of pairs in order give the number in it:
+    no pair is made, however many rows are alike. Rows with a null in a column take no part. Bounds are added to values in their own type, so
+    whole numbers and decimals are exact.
+    """
+    columns, agree = list(near), equal or []
+    if not 1 <= len(columns) <= 2 or any(not v >= 0 for v in near.values()):
+        raise ValueError("one or two columns with bounds of at least 0 are needed")
+    scratch = Scratch(rows.sparkSession)
+    used = rows.select(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(agree)], *[F.col(f"`{c}`").alias(n) for n, c in zip("xy", columns, strict=False)])
+    used = scratch.put(used.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in used.columns])), "used")
+    total = 0
+    # values at most v + bound, less those below v - bound, in each column
+    for ends in product((True, False), repeat=len(columns)):
+        moved = used
+        for name, column, upper in zip("xy", columns, ends, strict=False):
+            bound = F.lit(near[column] if upper else -near[column])
+            moved = moved.withColumn(name, F.col(name) + bound)
+        kinds = [(False, upper) for upper in ends]
+        events = _events(moved, used, used.columns)
+        if len(columns) == 1:
+            events, kinds = events.withColumn("y", F.lit(0)), [*kinds, (False, True)]
+        total += (-1) ** ends.count(False) * count_dominated(events.select("g", "x", "y", "query", "n"), kinds[0], kinds[1], Scratch(rows.sparkSession))
+    return (total - used.count()) // 2
+
+
+def exact_support(rows: DataFrame, left: tuple[str, float], right: tuple[str, float], *, least: float = 0.9, equal: list[str] | None = None) -> DataFrame:
+    """(n_close, n_both, support, valid) of a differential dependency over all pairs of rows: of those close in one column (and alike in ``equal``)
+    the share that is close in the other. 0 if none is."""
+    n_close = close_pairs(rows.filter(F.col(f"`{right[0]}`").isNotNull()), {left[0]: left[1]}, equal)
+    n_both = close_pairs(rows, dict([left, right]), equal)
+    support = n_both / n_close if n_close else 0.0
+    return rows.sparkSession.createDataFrame([(str(n_close), str(n_both), support, support >= least)], "c string, b string, support double, valid boolean").select(
+        F.col("c").cast("decimal(38,0)").alias("n_close"), F.col("b").cast("decimal(38,0)").alias("n_both"), "support", "valid"
+    )

@@ -57,3 +57,12 @@ def afd_discovery_all(spark, sf_dir):
 def em_gumbel(spark, sf_dir):
     """Five draws at each point by the largest noisy score."""
     return mechanisms.gumbel_draw(_em(spark, sf_dir), 5, seed=11).select("dataset", "epsilon", "cap", "iteration", "mask")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part), q AS (SELECT abs(a.s - b.s) <= 5 AS near, abs(a.c - b.c) <= 1000 AS too FROM p a JOIN p b ON a.k < b.k)
+ SELECT count(*) FILTER (near) AS n_close, count(*) FILTER (near AND too) AS n_both, round(count(*) FILTER (near AND too) / count(*) FILTER (near)::DOUBLE, 9) AS support, count(*) FILTER (near AND too) / count(*) FILTER (near)::DOUBLE >= 0.9 AS valid FROM q""")
+def dd_support_exact(spark, sf_dir):
+    """How often parts close in size are close in price, over all pairs, without making the pairs."""
+    parts = table(spark, sf_dir, "part").select("p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    found = dominance.exact_support(parts, ("p_size", 5), ("cents", 1000))
+    return found.select(F.col("n_close").cast("long").alias("n_close"), F.col("n_both").cast("long").alias("n_both"), F.round("support", 9).alias("support"), "valid")
