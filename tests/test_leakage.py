@@ -267,7 +267,7 @@ def test_interpolation_and_smoothing(spark):
     wanted = spark.createDataFrame([("a", 0.25), ("a", -1.0), ("a", 3.0), ("b", 0.5)], "c string, x double")
     got = sorted(tuple(r) for r in report.interpolated(known, wanted, "x", "y", "c").collect())
     assert got == [("a", -1.0, 0.0), ("a", 0.25, 0.5), ("a", 3.0, 2.0), ("b", 0.5, 5.0)]
-    assert report.smoothed(known, "x", "y", "c").count() == 3
+    assert report.smoothed(known, "x", "y", "c", places=7).count() == 14
     assert math.isclose(report.axis_limit(known, "y").first().upper, 5.0)
 
 
@@ -353,3 +353,47 @@ def test_gumbel_draws_follow_the_same_law(spark, small, table):
     again = [r["mask"] for r in mechanisms.gumbel_draw(chosen.repartition(7), 4000, seed=5).orderBy("iteration").collect()]
     assert sorted(again) == sorted(drawn)
     chosen.unpersist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 14])
+def test_splines_match_a_dense_solve(n):
+    """All coefficients of all pieces at once: values, two derivatives at inner points, and the third at the first and last inner ones."""
+    rng = np.random.default_rng(n)
+    x, y = np.cumsum(rng.uniform(0.2, 2, n)), rng.normal(0, 5, n)
+    at = np.linspace(x[0] - 1, x[-1] + 1, 50)
+    got = report.spline_values(x, y, at)
+    assert np.allclose(report.spline_values(x, y, x), y)
+    if n < 4:
+        want = np.linalg.solve(np.vander(x, n), y)
+        assert np.allclose(got, np.polyval(want, at))
+        return
+    m = n - 1
+    rows, right = [], []
+
+    def put(piece, values, target=0.0, other=None, others=None):
+        row = np.zeros(4 * m)
+        row[4 * piece : 4 * piece + 4] = values
+        if other is not None:
+            row[4 * other : 4 * other + 4] -= others
+        rows.append(row)
+        right.append(target)
+
+    powers = lambda t, d: [np.polyval(np.polyder(np.eye(4)[3 - k], d), t) if d else t**k for k in range(4)]
+    for i in range(m):
+        put(i, powers(0.0, 0), y[i])
+        put(i, powers(x[i + 1] - x[i], 0), y[i + 1])
+    for i in range(m - 1):
+        for d in (1, 2, 3) if i in (0, m - 2) else (1, 2):
+            put(i, powers(x[i + 1] - x[i], d), 0.0, i + 1, powers(0.0, d))
+    coefficients = np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0].reshape(m, 4)
+    piece = np.clip(np.searchsorted(x, at, "right") - 1, 0, m - 1)
+    want = [sum(c * (t - x[i]) ** k for k, c in enumerate(coefficients[i])) for i, t in zip(piece, at)]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_smoothed_curves_are_clipped(spark):
+    rows = [("a", 0, 0.0), ("a", 1, 100.0), ("a", 2, 100.0), ("a", 3, 0.0), ("a", 3, 10.0), ("a", None, 5.0), ("a", 4, None), ("b", 2, 7.0), (None, 1, 1.0), (None, 2, 3.0)]
+    found = report.smoothed(spark.createDataFrame(rows, "c string, x int, y double"), "x", "y", "c", places=31, low=0.0, high=100.0).collect()
+    of = lambda c: [(r.x, r.y) for r in found if r.c == c]
+    assert len(found) == 93 and max(y for _, y in of("a")) == 100.0 and of("a")[-1] == (3.0, pytest.approx(5.0))
+    assert {y for _, y in of("b")} == {7.0} and of(None)[0] == (0.0, 0.0)

@@ -85,7 +85,7 @@ def test_the_whole_experiment(spark, tmp_path):
     assert got["tables/tax"].count() == 1 and got["runs"].count() == 4 * 2 * 6 * 5 + 10 and got["masks"].count() == 72
     assert {r.method for r in got["main"].select("method").distinct().collect()} == {"exp", "gum", "gum_random", "gum_zero", "min"}
     charts = {n.split("/")[1] for n in got if n.startswith("charts/")}
-    assert charts == {"8", "9", "10", "11", "12", "13", "14", "16", "17a", "17b", "17c", "18a", "18b", "18c", "19", "20"}
+    assert charts == {"8", "9", "10", "11", "12", "13", "14", "16", "16_curves", "17a", "17b", "17c", "18a", "18b", "18c", "19", "20"}
     shown = spark.read.option("header", True).csv(f"{out}/statistics")
     assert shown.count() == 10 and {"rho", "avg_memory_bytes", "avg_time_ms"} <= set(shown.columns)
     assert runs.table_exists(spark, f"{out}/runs") and not runs.table_exists(spark, f"{out}/none") and not runs.table_exists(spark, "no_such_table")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,12 +113,54 @@ def interpolated(points: DataFrame, wanted: DataFrame, x: str, y: str, *by: str)
     return rows.select(*by, F.col("x").alias(x), value.alias(y))
 
 
-def smoothed(points: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """A centred mean of three neighbours, kept within the curve's range; for drawing only."""
-    order = Window.partitionBy(*by).orderBy(x)
-    around = F.avg(y).over(order.rowsBetween(-1, 1))
-    whole = Window.partitionBy(*by)
-    return points.withColumn("smooth", F.greatest(F.min(y).over(whole), F.least(F.max(y).over(whole), around)))
+def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A curve through points (x rising) at some places: cubic between them, with one cubic over the first two and over the last two pieces.
+
+    Three points make a parabola, two a line, one a constant; beyond the ends the outer pieces go on. The second derivatives solve a
+    system of three bands.
+    """
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    low, mid, high, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    # the ends' second derivatives in terms of their neighbours'
+    mid[0] += h[0] * (1 + h[0] / h[1])
+    high[0] -= h[0] * h[0] / h[1]
+    mid[-1] += h[-1] * (1 + h[-1] / h[-2])
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    for i in range(1, n - 2):
+        share = low[i] / mid[i - 1]
+        mid[i] -= share * high[i - 1]
+        right[i] -= share * right[i - 1]
+    second = np.empty(n)
+    second[n - 2] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        second[i + 1] = (right[i] - high[i] * second[i + 2]) / mid[i]
+    second[0] = second[1] - h[0] / h[1] * (second[2] - second[1])
+    second[-1] = second[-2] + h[-1] / h[-2] * (second[-2] - second[-3])
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    a, b = at - x[k], x[k + 1] - at
+    return (second[k] * b**3 + second[k + 1] * a**3) / (6 * h[k]) + (y[k] / h[k] - second[k] * h[k] / 6) * b + (y[k + 1] / h[k] - second[k + 1] * h[k] / 6) * a
+
+
+def smoothed(points: DataFrame, x: str, y: str, *by: str, places: int = 300, start: float | None = 0.0, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(by..., x, y): each curve through its points, at ``places`` places from ``start`` (null: its first point) to its last point, kept within low and high.
+
+    Points of one place are averaged; those without a place or value are left out. A curve is drawn from as many points as masks have sizes, and is
+    one task's work.
+    """
+    kept = points.select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).dropna(subset=[x, y]).groupBy(*by, x).agg(F.avg(y).alias(y))
+
+    def draw(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column(x).to_numpy())
+        own_x, own_y = rows.column(x).to_numpy()[order], rows.column(y).to_numpy()[order]
+        at = np.linspace(own_x[0] if start is None else start, own_x[-1], places)
+        found = np.clip(spline_values(own_x, own_y, at), low, high) if low is not None or high is not None else spline_values(own_x, own_y, at)
+        lead = [rows.column(c).combine_chunks().take(pa.array(np.zeros(places, np.int64))) for c in by]
+        return pa.table([*lead, at, found], names=[*by, x, y])
+
+    return kept.groupBy(*by).applyInArrow(draw, kept.schema)
 
 
 def axis_limit(values: DataFrame, column: str, step: float = 0.2) -> DataFrame:
@@ -153,6 +197,7 @@ def figures(runs: DataFrame, masks: DataFrame) -> dict[str, DataFrame]:
         "13": of(curve, "gum"),
         "14": pareto(private.filter(F.col("method").isin("exp", "gum"))),
         "16": leakage_by_size(masks),
+        "16_curves": smoothed(leakage_by_size(masks), "mask_size", "mean_leakage_greedy", "dataset", low=0.0, high=100.0),
         "17a": leaks("gum"), "17b": leaks("gum_random"), "17c": leaks("gum_zero"),
         "18a": reduced("gum"), "18b": reduced("gum_random"), "18c": reduced("gum_zero"),
         "19": grids(two),

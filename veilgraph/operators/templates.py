@@ -2,66 +2,66 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.operators.leakage import leakage_table, method_column
+from veilgraph.operators.leakage import KEY, leakage_table, method_column
 from veilgraph.operators.mechanisms import program_lines
 from veilgraph.store import Scratch, file_system
 
-LOG = "dataset string, target string, method string, masks long, build_time double"
+LOG = "dataset string, target string, method string, fingerprint string, masks long, build_time double"
+#: The parts of the kept table, and what makes a model's rows its own.
+PARTS = ["method", "dataset", "target", "fingerprint"]
 
 
-def fingerprint(row) -> str:
-    """A name for a model's edges, weights and attributes."""
-    return hashlib.md5(json.dumps([list(row.names), [(e["mask"], e["w"]) for e in row.edges]]).encode()).hexdigest()
+def fingerprint() -> Column:
+    """A name for a model's attributes, edges and weights."""
+    return F.md5(F.to_json(F.struct("names", "edges")).cast("binary"))
 
 
 class TemplateStore:
-    """One Parquet folder for each (dataset, target, estimator, model) below ``path``; a model that changes is built anew.
+    """One Parquet table below ``path`` for all models, in parts by estimator, dataset, target and model; a model that changes is built anew.
 
-    Leakage depends on no budget, cap or penalty, so these aren't part of the key.
+    Leakage depends on no budget, cap or penalty, so these aren't part of the key. What isn't there is built in one go, whatever the
+    number of models, and a question for some models reads their parts alone, in one scan.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _place(self, row, method: str) -> str:
-        return f"{self.path}/tables/{row.dataset}/{row.target}/{method}/{fingerprint(row)}"
-
     def table(self, model: DataFrame, method: str = "greedy_disjoint") -> DataFrame:
         """The leakage table of all masks of the models; what isn't there is built, written and logged."""
         method_column(method)
-        out = None
-        for row in model.collect():  # a few kilobytes for each catalog
-            place = self._place(row, method)
-            if not exists(self.spark, f"{place}/_SUCCESS"):
-                own = model.filter((F.col("dataset") == row.dataset) & (F.col("target") == row.target))
-                scratch, began = Scratch(self.spark), time.perf_counter()
-                built = leakage_table(own, scratch, method=method)
-                built.write.mode("overwrite").parquet(place)
-                self._log(row, method, built.count(), time.perf_counter() - began)
-                scratch.close()
-            part = self.spark.read.parquet(place)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def _log(self, row, method: str, masks: int, seconds: float) -> None:
-        self.spark.createDataFrame([(row.dataset, row.target, method, masks, seconds)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/build_times")
+        asked = model.select("dataset", "target", fingerprint().alias("fingerprint"))
+        there = self.build_times().filter(F.col("method") == method).select("dataset", "target", "fingerprint").distinct()
+        scratch = Scratch(self.spark)
+        missing = scratch.put(asked.join(there, ["dataset", "target", "fingerprint"], "left_anti"), "missing")
+        if not missing.isEmpty():
+            began = time.perf_counter()
+            own = model.join(missing, ["dataset", "target"], "left_semi")
+            built = leakage_table(own, scratch, method=method).join(F.broadcast(missing), ["dataset", "target"]).withColumn("method", F.lit(method))  # a row for each model
+            # parts of a build that was broken off are written over
+            built.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(f"{self.path}/tables")
+            seconds = time.perf_counter() - began
+            log = built.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("masks")).withColumn("build_time", F.lit(seconds))
+            log.select("dataset", "target", "method", "fingerprint", "masks", "build_time").coalesce(1).write.mode("append").parquet(f"{self.path}/build_times")
+        values = ["num_chains long", "active_chains long", "blocked_chains long", "leakage_max double", "leakage_greedy double", "leakage_noisy_or double"] + ["leakage_ie double"] * (method == "nor_with_ie")
+        kept = self.spark.read.schema(", ".join(["mask long", *values, "mask_size int", *[f"{p} string" for p in PARTS]])).parquet(f"{self.path}/tables")
+        found = kept.filter(F.col("method") == method).join(F.broadcast(asked), ["dataset", "target", "fingerprint"], "left_semi")  # a row for each model
+        return found.select(*KEY, *[v.split(" ")[0] for v in values], "mask_size")
 
     def build_times(self) -> DataFrame:
-        """What was built, and in how many seconds."""
+        """What was built, and how many seconds the job took that built it."""
         if not exists(self.spark, f"{self.path}/build_times"):
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(f"{self.path}/build_times")
 
     def sizes(self, model: DataFrame, method: str = "greedy_disjoint") -> dict[tuple[str, str], int]:
-        """Bytes of each stored table; 0 for one that isn't there."""
-        return {(row.dataset, row.target): size_of(self.spark, self._place(row, method)) for row in model.collect()}
+        """Bytes of each model's part of the table; 0 for one that isn't there."""
+        rows = model.select("dataset", "target", fingerprint().alias("fingerprint")).collect()  # a row for each model
+        return {(r.dataset, r.target): size_of(self.spark, f"{self.path}/tables/method={method}/dataset={r.dataset}/target={r.target}/fingerprint={r.fingerprint}") for r in rows}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

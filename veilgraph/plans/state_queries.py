@@ -124,3 +124,10 @@ def model_summary(spark, sf_dir):
     unique = F.array_distinct(F.transform("edges", lambda e: e["mask"]))
     members = F.aggregate(unique, F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e))
     return model.join(sizes, ["dataset", "target"]).select("dataset", F.col("n").alias("zone_size"), F.size("edges").cast("long").alias("n_edges"), F.size(unique).cast("long").alias("n_unique"), members.alias("n_members"))
+
+
+@query()
+def price_splines(spark, sf_dir):
+    """Each priority's mean price by month as a curve through its points."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.month("o_orderdate").alias("month"), "o_totalprice")
+    return _rounded(report.smoothed(o, "month", "o_totalprice", "o_orderpriority", places=45, start=None, low=0.0))
