@@ -12,6 +12,7 @@ import __spark_entry__ as E
 from test_leakage import plain_chains
 from veilgraph.operators import mechanisms
 from veilgraph.plans import driver
+from veilgraph.plans import mined
 from veilgraph.plans.driver import plain_model
 from veilgraph.sources import constraints
 
@@ -30,7 +31,7 @@ def test_flagship_draws_from_leakage_over_chains(spark):
 def test_sweep_covers_all_five_catalogs(spark):
     runs = E.queries()["sweep"](spark, SF)
     got = {(r.method, r.dataset): r["count"] for r in runs.groupBy("method", "dataset").count().collect()}
-    assert got == {(m, d): 100 if m == "min" else 11_000 for m in ("exp", "gum", "gum_random", "gum_zero", "min") for d in constraints.DATASETS}
+    assert got == {(m, d): 100 if m == "min" else 11_000 for m in ("exp", "gum", "gum_random", "gum_zero", "min") for d in (*constraints.DATASETS, *mined.SOURCES)}
 
 
 FIVE = ("all_masks", "chain_counts", "leak_greedy", "leak_noisy_or", "leak_max", "leak_by_size", "em_probabilities", "em_expected", "em_sample", "gum_order", "gum_prefixes", "gum_probabilities", "gum_ablation_zero", "gum_ablation_random", "sweep_points")
@@ -38,10 +39,10 @@ FIVE = ("all_masks", "chain_counts", "leak_greedy", "leak_noisy_or", "leak_max",
 
 @needs_tables
 @pytest.mark.parametrize("name", FIVE)
-def test_queries_on_five_catalogs(spark, name):
+def test_queries_on_catalogs_and_tables(spark, name):
     rows = same_as_its_sql(spark, name)
     at = sorted(E.queries()[name](spark, SF).columns).index("dataset")
-    assert {r[at] for r in rows} == set(constraints.DATASETS)
+    assert {r[at] for r in rows} == {*constraints.DATASETS, *mined.SOURCES}
 
 
 def test_large_catalogs_match_a_plain_search(spark):
@@ -83,7 +84,7 @@ def plain_bound(dataset, mask):
 
 def test_second_order_bound_of_every_mask_of_five_catalogs(spark):
     got = {(r.dataset, r["mask"]): r.leakage for r in E.queries()["leak_ie2"](spark, SF).collect()}
-    assert len(got) == 13_384 and got["tax", 7] == 0
+    assert sum(d in constraints.DATASETS for d, _ in got) == 13_384 and {d for d, _ in got} == {*constraints.DATASETS, *mined.SOURCES} and got["tax", 7] == 0
     for dataset, masks in (("airport", range(64)), ("tax", range(8)), ("hospital", range(0, 1024, 37)), ("adult", (0, 9, 100)), ("flight", (0, 3, 8000))):
         assert all(abs(got[dataset, m] - plain_bound(dataset, m)) < 2e-9 for m in masks), dataset
 

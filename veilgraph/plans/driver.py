@@ -478,8 +478,7 @@ def leak_max(spark, sf_dir):
 @query()
 def leak_ie2(spark, sf_dir):
     """The second-order bound of every mask of the five catalogs."""
-    model, scratch = _model(spark, sf_dir)
-    return leakage.leakage_table(model, scratch, method="nor_with_ie").select("dataset", "mask", F.round("leakage_ie", 9).alias("leakage"))
+    return leakage.leakage_table(_model(spark, sf_dir)[0], Scratch(spark), method="nor_with_ie").select("dataset", "mask", F.round("leakage_ie", 9).alias("leakage"))
 
 
 def _names_sql(mask: str, ds: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +64,19 @@ def _column(df: DataFrame, name: str) -> str:
 
 
 def with_ids(df: DataFrame, schema: str) -> DataFrame:
-    """A dense id from 1 in input order: files by name, rows as they stand in them.
+    """A dense id from 1 in input order: files by name, rows as they stand in them; rows that don't come from files by their partitions.
 
     The rows are written with their places first, so what is counted is what is numbered, and no task numbers all rows: a file's split is
     read by one task in order, and only the splits' sizes (a row for each) are added up.
     """
     names = [n for n, _ in _fields(schema)]
-    split = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")]
-    marked = Scratch(df.sparkSession).put(df.select(*names, *split, F.monotonically_increasing_id().alias("__i")), "rows")
+    place = F.monotonically_increasing_id()
+    try:
+        split = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b")]
+        df.select(*split)
+    except AnalysisException:
+        split = [F.lit("").alias("__f"), F.shiftright(place, 33).alias("__b")]
+    marked = Scratch(df.sparkSession).put(df.select(*names, *split, place.alias("__i")), "rows")
     sizes = marked.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = marked.join(F.broadcast(sizes.select("__f", "__b", "__first", before.alias("__base"))), ["__f", "__b"])  # a row for each split
