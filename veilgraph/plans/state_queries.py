@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilgraph.operators import dependencies, deletion, mechanisms, report, templates
+from veilgraph.operators import dependencies, deletion, leakage, mechanisms, report, templates
 from veilgraph.operators.file_table import FileTable
 from veilgraph.plans import mined
-from veilgraph.plans.driver import EM_SQL, MODEL_SQL, RUNS_SQL, _hash_sql, _leakage, _model, _rounded, _runs, query, table
+from veilgraph.plans.driver import EM_SQL, GREEDY_SQL, LEAK_SQL, MASKS_SQL, MODEL_SQL, RUNS_SQL, _chains_sql, _hash_sql, _leakage, _model, _rounded, _runs, query, table
 from veilgraph.sources import runs
 from veilgraph.store import Scratch
 from veilgraph.streaming.requests import answer_stream
@@ -131,3 +131,76 @@ def price_splines(spark, sf_dir):
     """Each priority's mean price by month as a curve through its points."""
     o = table(spark, sf_dir, "orders").select("o_orderpriority", F.month("o_orderdate").alias("month"), "o_totalprice")
     return _rounded(report.smoothed(o, "month", "o_totalprice", "o_orderpriority", places=45, start=None, low=0.0))
+
+
+#: Models whose edges fit the bits of one number, so that SQL can tell which edges two chains share.
+BOUNDED = ("airport", "hospital", "tax", *mined.SOURCES)
+
+
+def _bound_sql() -> str:
+    """Chains with the edges that they use, and the second-order bound from their pairs: two weights' product over that of the shared edges."""
+    names = ", ".join(f"'{d}'" for d in BOUNDED)
+    chains = _chains_sql().replace(MASKS_SQL, f"mk AS (SELECT ds, n, t, unnest(range(0, t))::BIGINT AS mask FROM m WHERE ds IN ({names}))")
+    for old, new in (
+        ("inf, done) AS (", "inf, done, used) AS ("),
+        ("eid, w, got, fin FROM (", "eid, w, got, fin, used FROM ("),
+        ("em & t != 0 AS fin\n        FROM mk k", "em & t != 0 AS fin, (1::BIGINT << eid) AS used\n        FROM mk k"),
+        ("AS got\n        FROM st s JOIN e", "AS got, s.used | (1::BIGINT << e.eid) AS used\n        FROM st s JOIN e"),
+    ):
+        assert old in chains
+        chains = chains.replace(old, new)
+    return f"""WITH {chains}, {GREEDY_SQL},
+ cn AS MATERIALIZED (SELECT row_number() OVER () AS c, ds, mask, w, used FROM ch),
+ pq AS (SELECT p.ds, p.mask, p.used & q.used AS common, sum(p.w * q.w) AS s FROM cn p JOIN cn q ON q.ds = p.ds AND q.mask = p.mask AND p.c < q.c GROUP BY ALL),
+ sh AS (SELECT ds, common, (SELECT coalesce(product(e.w), 1.0::DOUBLE) FROM e WHERE e.ds = d.ds AND (d.common >> e.eid) & 1 = 1) AS w FROM (SELECT DISTINCT ds, common FROM pq) d),
+ pr AS (SELECT pq.ds, pq.mask, sum(pq.s / sh.w) AS s FROM pq JOIN sh ON sh.ds = pq.ds AND sh.common = pq.common GROUP BY ALL),
+ sg AS (SELECT ds, mask, sum(w) AS s FROM cn GROUP BY ALL)
+ SELECT lk.ds AS dataset, lk.mask, round(coalesce(least(lk.nor, greatest(0.0::DOUBLE, least(1.0::DOUBLE, sg.s - coalesce(pr.s, 0.0::DOUBLE)))), 0.0::DOUBLE), 6) AS leakage FROM lk LEFT JOIN sg ON sg.ds = lk.ds AND sg.mask = lk.mask LEFT JOIN pr ON pr.ds = lk.ds AND pr.mask = lk.mask"""
+
+
+@query(_bound_sql())
+def leak_ie2_bounded(spark, sf_dir):
+    """The second-order bound of every mask of the smaller catalogs and of the tables."""
+    model = _model(spark, sf_dir)[0].filter(F.col("dataset").isin(*BOUNDED))
+    return leakage.leakage_table(model, Scratch(spark), method="nor_with_ie").select("dataset", "mask", F.round("leakage_ie", 6).alias("leakage"))
+
+
+def _charts_sql() -> str:
+    """Rows of every chart's table."""
+    short = "dataset IN (" + ", ".join(f"'{d}'" for d in report.SHORT) + ")"
+    points = lambda where: f"SELECT count(DISTINCT (method, dataset, epsilon_m, L0)) FROM r WHERE {where}"
+    grid = lambda where: f"SELECT count(DISTINCT (method, dataset, L0)) FROM r WHERE {where} AND L0 < (SELECT max(L0) FROM r WHERE {where})"
+    two = "epsilon_m IN (0.1, 1.0)"
+    tau = "exp(epsilon_m) * L0 / ((1 - L0) + exp(epsilon_m) * L0)"
+    charts = {
+        "8": points(short), "9": points(f"{short} AND {two}"), "10": "SELECT 3", "11": grid(short), "12": points("method = 'exp'"), "13": points("method = 'gum'"), "14": points(two),
+        "16": "SELECT count(DISTINCT (ds, sz)) FROM lk", "16_curves": "SELECT 300 * count(DISTINCT ds) FROM lk", "17a": points("method = 'gum'"), "17b": "SELECT 0", "17c": "SELECT 0", "18a": points("method = 'gum'"), "18b": "SELECT 0", "18c": "SELECT 0", "19": grid("true"),
+        "20": f"SELECT count(DISTINCT (dataset, method, tau0)) FROM r, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) v(tau0) WHERE abs({tau} - tau0) <= 0.04",
+    }
+    return f"{LEAK_SQL}, {RUNS_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS chart, ({v})::BIGINT AS n" for k, v in charts.items())
+
+
+@query(_charts_sql())
+def chart_tables(spark, sf_dir):
+    """The tables that all charts are drawn from, and their rows."""
+    model, _, t = _leakage(spark, sf_dir)
+    out = None
+    for name, chart in report.figures(_runs(spark, sf_dir), leakage.all_masks(t, model)).items():
+        one = chart.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("chart"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT * FROM (VALUES ('main', 50::BIGINT), ('masks', 72::BIGINT), ('runs', 250::BIGINT)) v(name, n) UNION ALL SELECT 'tables/airport', count(*) FROM customer UNION ALL SELECT 'tables/tax', count(*) FROM customer""")
+def whole_run(spark, sf_dir):
+    """The whole experiment over two datasets whose tables are loaded from files of customers: rows of the tables, runs, masks and the main point."""
+    from veilgraph.plans.source_queries import _file
+    from veilgraph.plans.whole import run_all
+
+    files = {n: _file(spark, sf_dir, n) for n in ("airport", "tax")}
+    got = run_all(spark, files, f"{Scratch(spark).root}/whole", names=("tax", "airport"), epsilons=(0.1, 0.5, 1.0), caps=(0.2, 0.3), iterations=5)
+    out = None
+    for name in ("main", "masks", "runs", "tables/airport", "tables/tax"):
+        one = got[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
