@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from veilgraph.operators import dominance, mechanisms, partitions
-from veilgraph.plans.driver import EM_SQL, ORDER_DCS, TARGET_SQL, _em, _hash_sql, query, table
+from veilgraph.plans import mined
+from veilgraph.plans.driver import EM_SQL, ORDER_DCS, TARGET_SQL, _constraints, _em, _hash_sql, query, table
 
 #: Constraints whose violating pairs are counted: those of orders, and one of three order predicates.
 COUNTED = [*ORDER_DCS, [(0, "o_totalprice", "<", 1, "o_totalprice"), (0, "o_custkey", ">=", 1, "o_custkey"), (0, "o_orderkey", "<", 1, "o_orderkey")]]
@@ -66,3 +67,9 @@ def dd_support_exact(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
     found = dominance.exact_support(parts, ("p_size", 5), ("cents", 1000))
     return found.select(F.col("n_close").cast("long").alias("n_close"), F.col("n_both").cast("long").alias("n_both"), F.round("support", 9).alias("support"), "valid")
+
+
+@query(f"WITH {mined.WEIGHTS_SQL} SELECT ds AS dataset, dc_id::INTEGER AS dc_id, w AS weight FROM z_w WHERE w > 0")
+def mined_weights(spark, sf_dir):
+    """The constraints over the tables that keep a weight, as the leakage queries use them; mined once in a session."""
+    return _constraints(spark, sf_dir).filter(F.col("dataset").isin(*mined.SOURCES)).select("dataset", "dc_id", "weight")
