@@ -73,7 +73,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained weights and hashed candidate search are beyond SQL; tests hold each stage against brute force.
+#: Trained weights and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage against all pairs, all windows and the tokenizer.
 ORACLE_SQL = None
 
 
