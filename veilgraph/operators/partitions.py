@@ -24,59 +24,74 @@ from veilgraph.store import Scratch
 
 #: Rows that a task counts together, and hashes of classes that are sent to every task at most (8 bytes each).
 _BLOCK, _MOST_SENT = 200_000, 1_000_000
-_SCHEMA = "s long, h1 long, h2 long, v1 array<long>, v2 array<long>, n long"
-_NAMES = [f.split(" ")[0] for f in _SCHEMA.split(", ")]
+
+
+def _fields(k: int) -> list[str]:
+    """s: the set; h1 and h2: the class; n: its rows; and both hashes of the class's value in each of the k columns."""
+    return ["s", "h1", "h2", "n", *[f"{half}_{i}" for half in ("v1", "v2") for i in range(k)]]
 
 
 def _members(s: int) -> list[int]:
     return [i for i in range(s.bit_length()) if s >> i & 1]
 
 
-def _counted(h1: np.ndarray, h2: np.ndarray, s: int, alive: dict[int, np.ndarray]) -> pa.RecordBatch | None:
+def _xor(columns: list[np.ndarray]) -> np.ndarray:
+    out = columns[0]
+    for c in columns[1:]:
+        out = out ^ c
+    return out
+
+
+def _counted(h1: list[np.ndarray], h2: list[np.ndarray], s: int, alive: dict[int, np.ndarray]) -> pa.RecordBatch | None:
     """The classes of one set among a block's rows, without rows known to be alone."""
     own = _members(s)
-    rows = np.arange(len(h1))
-    for i in own:
+    first, second = [h1[i] for i in own], [h2[i] for i in own]
+    for k, i in enumerate(own):
         smaller = alive.get(s & ~(1 << i))
         if smaller is not None and len(own) > 1:
-            part = np.bitwise_xor.reduce(h1[rows][:, [j for j in own if j != i]], axis=1)
-            place = np.minimum(np.searchsorted(smaller, part), len(smaller) - 1)
-            rows = rows[smaller[place] == part] if len(smaller) else rows[:0]
-    if not len(rows):
+            part = _xor(first[:k] + first[k + 1 :])
+            keep = np.isin(part, smaller, kind="sort") if len(smaller) else np.zeros(len(part), bool)
+            if not keep.all():
+                first, second = [c[keep] for c in first], [c[keep] for c in second]
+    if not len(first[0]):
         return None
-    first, second = (h[rows][:, own] for h in (h1, h2))
-    a, b = np.bitwise_xor.reduce(first, axis=1), np.bitwise_xor.reduce(second, axis=1)
-    order = np.lexsort((b, a))
-    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-    begin = np.flatnonzero(new)
+    a, b = _xor(first), _xor(second)
+    order = np.argsort(a)
+    new = a[order][1:] != a[order][:-1]
+    if (~new & (b[order][1:] != b[order][:-1])).any():  # one half of the hash agrees by chance
+        order = np.lexsort((b, a))
+        new = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    begin = np.flatnonzero(np.append(True, new))
     lead = order[begin]
-    offsets = pa.array(np.arange(0, len(lead) * len(own) + 1, len(own)), pa.int32())
-    values = [pa.ListArray.from_arrays(offsets, pa.array(v[lead].ravel())) for v in (first, second)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(lead), s)), pa.array(a[lead]), pa.array(b[lead]), *values, pa.array(np.diff(np.append(begin, len(order))))], names=_NAMES)
+    columns = [np.full(len(lead), s), a[lead], b[lead], np.diff(np.append(begin, len(order))), *[c[lead] for c in first], *[c[lead] for c in second]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_fields(len(own)))
 
 
-def _level(hashed: DataFrame, m: int, sets: list[int], alive: dict[int, np.ndarray]) -> DataFrame:
-    """(s, h1, h2, v1, v2, n): the stripped partitions of the sets."""
+def _level(hashed: DataFrame, m: int, k: int, sets: list[int], alive: dict[int, np.ndarray]) -> DataFrame:
+    """The stripped partitions of sets of k columns."""
     shared = hashed.sparkSession.sparkContext.broadcast(alive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def count(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h = np.stack([np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2 * m)], axis=1)
+            h = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2 * m)]
             for s in sets:
-                found = _counted(h[:, :m], h[:, m:], s, shared.value)
+                found = _counted(h[:m], h[m:], s, shared.value)
                 if found is not None:
                     yield found
 
         held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= _BLOCK:
+            rows += batch.num_rows
+            if rows >= _BLOCK:
                 yield from count(held)
-                held = []
+                held, rows = [], 0
         if held:
             yield from count(held)
 
-    return hashed.mapInArrow(run, _SCHEMA).groupBy("s", "h1", "h2").agg(F.first("v1").alias("v1"), F.first("v2").alias("v2"), F.sum("n").alias("n")).filter("n > 1")
+    counted = hashed.mapInArrow(run, ", ".join(f"{f} long" for f in _fields(k)))
+    return counted.groupBy("s", "h1", "h2").agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in _fields(k)[4:]]).filter("n > 1")
 
 
 def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold: float = 0.05) -> DataFrame:
@@ -92,6 +107,9 @@ def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold:
     cast = lambda c: F.col(f"`{c}`") + F.lit(0.0) if dict(rows.dtypes)[c] in ("double", "float") else F.col(f"`{c}`")  # noqa: E731  zeros have no sign
     hashed = rows.select(*[F.xxhash64(F.lit(2 * i + half), cast(c), F.isnull(cast(c))).alias(f"h{half}_{i}") for half in (0, 1) for i, c in enumerate(columns)])
     total = rows.count()
+    parts = 2 * spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < parts:  # a small table of few files: its rows are dealt to all cores once
+        hashed = scratch.put(hashed.repartition(parts), "hashed")
     stats: dict[int, tuple[int, int]] = {}
     best: dict[tuple[int, int], int] = {}
     alive: dict[int, np.ndarray] = {}
@@ -100,13 +118,13 @@ def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold:
         sets = [s for s in sets if k == 1 or all(stats.get(s & ~(1 << i), (0, 0))[0] for i in _members(s))]
         if not sets:
             break
-        level = scratch.put(_level(hashed, m, sets, alive), f"level{k}")
+        level = scratch.put(_level(hashed, m, k, sets, alive), f"level{k}")
         for r in level.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).collect():  # a row for each set
             stats[r.s] = r.n, r.c
         if k > 1:
             # each class of a set with its right side taken away: the class of the smaller set, by its hash
-            inside = level.select("s", "n", "h1", "h2", F.posexplode(F.arrays_zip("v1", "v2")).alias("i", "v"))
-            tops = inside.groupBy("s", "i", F.col("h1").bitwiseXOR(F.col("v.v1")).alias("p1"), F.col("h2").bitwiseXOR(F.col("v.v2")).alias("p2")).agg(F.max("n").alias("top"))
+            parents = F.array(*[F.struct(F.lit(i).alias("i"), F.col("h1").bitwiseXOR(F.col(f"v1_{i}")).alias("p1"), F.col("h2").bitwiseXOR(F.col(f"v2_{i}")).alias("p2")) for i in range(k)])
+            tops = level.select("s", "n", F.explode(parents).alias("p")).groupBy("s", "p.i", "p.p1", "p.p2").agg(F.max("n").alias("top"))
             for r in tops.groupBy("s", "i").agg(F.sum(F.col("top") - 1).alias("t")).collect():  # a row for each set and right side
                 right = _members(r.s)[r.i]
                 best[r.s & ~(1 << right), right] = r.t
@@ -117,11 +135,10 @@ def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold:
                 if n < 0.9 * total and c <= room:
                     room -= c
                     alive[s] = np.empty(0, np.int64)
-            found: dict[int, list[int]] = {s: [] for s in alive}
-            if found:
-                for r in level.filter(F.col("s").isin(*found)).select("s", "h1").collect():  # _MOST_SENT rows at most
-                    found[r.s].append(r.h1)
-            alive = {s: np.sort(np.array(x, np.int64)) for s, x in found.items()}
+            if alive:
+                found = level.filter(F.col("s").isin(*alive)).select("s", "h1").toArrow()  # _MOST_SENT rows at most
+                of, h1 = found.column("s").to_numpy(), found.column("h1").to_numpy()
+                alive = {s: h1[of == s] for s in alive}
     out = []
     for k in range(1, min(most, m - 1) + 1):
         for c in combinations(range(m), k):
