@@ -213,6 +213,7 @@ def program_lines(model: DataFrame) -> DataFrame:
     Cell 0 is the target, cell i + 1 attribute i. a: deleted, r: known. Visible cells are known, the target isn't, and of every edge
     (parallel ones once) the last unknown cell becomes known.
     """
+    # The names of the program's rows and variables, as its text form has them.
     cells = F.sequence(F.lit(0), F.col("n"))
     number = lambda i: F.when(i == F.col("n"), 0).otherwise(i + 1)  # noqa: E731  bit -> cell
     unique = F.array_sort(F.array_distinct(F.transform("edges", lambda e: e["mask"])))

@@ -297,12 +297,16 @@ STATS_SQL = f"""{PAIRS_SQL}, {_counts_sql()}, bd AS (SELECT *, {_wilson_sql("k0"
 @query(f"WITH {PAIRS_SQL} SELECT pair, lk AS l_key, rk AS r_key FROM pr")
 def pair_sample(spark, sf_dir):
     """A repeatable uniform sample of ordered pairs of different orders."""
-    return pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
+    return _sample(spark, sf_dir).select("pair", F.col("l_o_orderkey").alias("l_key"), F.col("r_o_orderkey").alias("r_key"))
+
+
+def _sample(spark, sf_dir):
+    """The sample of order pairs, drawn once in a session."""
+    return _once(spark, "pairs", sf_dir, lambda: Scratch(spark).put(pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS), "pairs"))
 
 
 def _stats(spark, sf_dir):
-    sample = pairs.sample_pairs(_orders(spark, sf_dir), "o_orderkey", PAIRS)
-    return weights.direction_stats(weights.direction_counts(sample, ORDER_DCS))
+    return weights.direction_stats(weights.direction_counts(_sample(spark, sf_dir), ORDER_DCS))
 
 
 def _best(spark, sf_dir):

@@ -204,3 +204,13 @@ def whole_run(spark, sf_dir):
         one = got[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""WITH RECURSIVE {MODEL_SQL}, x AS (SELECT ds, em, row_number() OVER (PARTITION BY ds ORDER BY em) - 1 AS no FROM (SELECT DISTINCT ds, em FROM e)),
+ mb AS (SELECT x.ds, no, pos + 1 AS c FROM x JOIN nm ON nm.ds = x.ds AND em & bit != 0 UNION ALL SELECT x.ds, no, 0 FROM x JOIN m ON m.ds = x.ds AND em & t != 0)
+ SELECT a.ds AS dataset, ' closure_e' || a.no || '_h' || a.c || ': r' || a.c || coalesce(string_agg(' - r' || b.c, '' ORDER BY b.c), '') || ' >= ' || (1 - count(b.c)) AS line FROM mb a LEFT JOIN mb b ON b.ds = a.ds AND b.no = a.no AND b.c != a.c GROUP BY a.ds, a.no, a.c
+ UNION ALL SELECT ds, ' visible_implies_known_' || c || ': a' || c || ' + r' || c || ' >= 1' FROM (SELECT ds, unnest(range(0, n + 1)) AS c FROM m)""")
+def lp_lines(spark, sf_dir):
+    """The constraints of the integer program of every model, line by line."""
+    lines = mechanisms.program_lines(_model(spark, sf_dir)[0])
+    return lines.filter(F.col("line").startswith(" closure_") | F.col("line").startswith(" visible_")).select("dataset", "line")
