@@ -92,3 +92,29 @@ def test_close_pairs_match_all_pairs(spark):
     assert exact_support(df.limit(0), ("a", 2), ("b", 1)).first().support == 0
     with pytest.raises(ValueError, match="bounds"):
         close_pairs(df, {"a": -1})
+
+
+def test_three_order_predicates_move_no_more_rows_than_there_are(spark, monkeypatch):
+    """Each pass writes a row for each query and point at most, in many ranges and in one, and the count is that of all pairs."""
+    from veilgraph.operators import dominance
+
+    rng = random.Random(5)
+    names = ["a", "b", "c", "s"]
+    rows = [(rng.randint(0, 40), rng.choice([-0.0, 0.0, 0.5, 7.0]), rng.randint(0, 300), rng.choice("xxxy")) for _ in range(400)]
+    kept = []
+    put = dominance.Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(dominance.Scratch, "put", counted)
+    table = spark.createDataFrame(rows, "a int, b double, c int, s string")
+    for rows_of_range in (10_000, 60):
+        monkeypatch.setattr(dominance, "_RANGE", rows_of_range, raising=False)
+        monkeypatch.setattr(dominance, "_SQUARE", 8, raising=False)
+        for dc in ([(0, "a", "<", 1, "a"), (0, "b", ">=", 1, "b"), (0, "c", "<", 1, "c")], [(0, "s", "==", 1, "s"), (0, "a", ">", 1, "a"), (0, "b", "<=", 1, "b"), (0, "c", "<=", 1, "a")]):
+            kept.clear()
+            assert count_violations(table, dc) == brute(rows, names, dc)
+            assert max(kept) <= 2 * len(rows)

@@ -10,8 +10,9 @@ their place there, so they are counted by the second: sorted into ranges by (gro
 the first ranges; and points lower in both ranges are counted by cells (range, range), of which there are as many as
 ranges squared. Rows that agree in all that a term looks at move as one, with their number.
 
-A third order predicate splits a term by the nodes of a binary tree over its attribute's distinct values: a point lies in one node
-of each level, and the points below a query's bound are those of at most one node of each level.
+With a third order predicate the rows are sorted into ranges three times, by the third attribute, the first and the second. Each pass counts
+the pairs that share its range but lie in order in the ranges of the passes before, and what is left is in order in all three ranges, of which there
+are at most ``_MOST_RANGES``: so the rows are moved three times, whatever their number.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.functions.expressions import holds
-from veilgraph.operators.pairs import Predicate, numbered
+from veilgraph.operators.pairs import Predicate
 from veilgraph.store import Scratch
 
 _EQUAL, _UNEQUAL = ("==", "=", "EQUAL"), ("!=", "<>", "UNEQUAL")
@@ -37,6 +38,8 @@ _ORDERS = {
     "<": (True, False), "LESS": (True, False), "<=": (True, True), "LESS_EQUAL": (True, True), "LESS_OR_EQUAL": (True, True),
     ">": (False, False), "GREATER": (False, False), ">=": (False, True), "GREATER_EQUAL": (False, True), "GREATER_OR_EQUAL": (False, True),
 }
+#: Rows of a range and ranges at most, where three order predicates are counted; rows whose pairs are compared one by one.
+_RANGE, _MOST_RANGES, _SQUARE = 200_000, 96, 128
 _TURNED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "LESS": ">", "GREATER": "<", "LESS_EQUAL": ">=", "LESS_OR_EQUAL": ">=", "GREATER_EQUAL": "<=", "GREATER_OR_EQUAL": "<="}
 
 
@@ -73,6 +76,8 @@ def _starts(group: np.ndarray) -> np.ndarray:
 
 def _paired(times: np.ndarray, found: np.ndarray) -> int:
     """The sum of products, as a Python integer."""
+    if len(times) and int(times.sum()) * int(found.max()) < 1 << 62:
+        return int(times @ found)
     return sum(int(t) * int(f) for t, f in zip(times.tolist(), found.tolist(), strict=True))
 
 
@@ -81,8 +86,50 @@ def _before(group: np.ndarray, number: np.ndarray, bound: np.ndarray, query: np.
     at = np.flatnonzero(query)
     if not len(at) or len(at) == len(query):
         return 0
-    tree = Tree(np.where(query, 0, number), np.where(query, 0, times), int(max(number.max(), bound.max())) + 1)
-    return _paired(times[at], tree.below(_starts(group)[at], at, bound[at]))
+    tree = Tree(number[~query], times[~query], int(max(number.max(), bound.max())) + 1)
+    points = np.append(0, np.cumsum(~query))
+    return _paired(times[at], tree.below(points[_starts(group)[at]], points[at], bound[at]))
+
+
+def _before_in_both(group: np.ndarray, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], query: np.ndarray, times: np.ndarray) -> int:
+    """Pairs of a query and a point before it in the rows' order, of its group, whose two numbers are below the query's bounds.
+
+    Rows are compared one by one within small squares; from there on the halves of ever larger stretches are: points of the left
+    half and queries of the right one, by the one number's order and a tree over the other.
+    """
+    n = len(query)
+    if not query.any() or query.all():
+        return 0
+    if first[0].max() < second[0].max():  # the tree has a level for each bit
+        first, second = second, first
+    square = lambda a: np.append(a, np.zeros(-n % _SQUARE, a.dtype)).reshape(-1, _SQUARE)
+    asked, weight = square(np.where(query, times, 0)), square(np.where(query, 0, times).astype(np.float64))
+    tests = [(square(v), square(bound)) for v, bound in (first, second)]
+    same, lower, total = square(group), np.tri(_SQUARE, k=-1, dtype=bool), 0
+    for at in range(0, len(same), 64):
+        part = slice(at, at + 64)
+        good = lower & (same[part, None, :] == same[part, :, None])
+        for v, bound in tests:
+            good &= v[part, None, :] < bound[part, :, None]
+        total += _paired(asked[part].ravel(), np.matmul(good.astype(np.float64), weight[part, :, None]).astype(np.int64).ravel())
+    sorted_ = np.argsort(2 * np.where(query, first[1] - 1, first[0]) + query, kind="stable")
+    half, groups = _SQUARE, int(group.max()) + 1
+    while half < n:
+        rows = sorted_[(sorted_ // half & 1 == 1) == query[sorted_]]
+        node = rows // (2 * half) * groups + group[rows]
+        order = np.argsort(node, kind="stable")
+        rows = rows[order]
+        if len(rows):
+            total += _before(node[order], second[0][rows], second[1][rows], query[rows], times[rows])
+        half *= 2
+    return total
+
+
+def _numbers(column: pa.ChunkedArray, kind: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """For values of an order predicate their numbers, and the bounds below which a query counts them."""
+    values, number = np.unique(column.to_numpy(), return_inverse=True)
+    number = len(values) - 1 - number if kind[0] else number
+    return number, number + kind[1]
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -123,9 +170,7 @@ def count_dominated(events: DataFrame, first: tuple[bool, bool], second: tuple[b
         if rows is None:
             return
         query, times = rows.column("query").to_numpy(), rows.column("n").to_numpy()
-        values, number = np.unique(rows.column("y").to_numpy(), return_inverse=True)
-        number = len(values) - 1 - number if second[0] else number
-        pairs = _before(_codes(rows.column("g")), number, number + second[1], query, times)
+        pairs = _before(_codes(rows.column("g")), *_numbers(rows.column("y"), second), query, times)
         part = np.full(len(query), TaskContext.get().partitionId(), np.int64)
         found = pa.array([pairs] + [None] * (len(query) - 1), _DECIMAL)
         yield from pa.table([*(rows.column(c) for c in ("g", "y", "query", "n")), part, found], names=["g", "y", "query", "n", "part", "pairs"]).to_batches(max_chunksize=10_000)
@@ -166,6 +211,73 @@ def count_dominated(events: DataFrame, first: tuple[bool, bool], second: tuple[b
     return total + _total(cells) + _total(cells.groupBy("g").applyInArrow(by_cell, _TOTAL))  # ranges squared at most in a group
 
 
+def count_dominated_in_three(events: DataFrame, kinds: list[tuple[bool, bool]], scratch: Scratch) -> int:
+    """Pairs of a query and a point of one group whose x, y and z are in order; ``events`` and ``kinds`` as for two, with z."""
+    events = scratch.put(events, "events")
+    x_type, y_type = (events.schema[c].dataType.simpleString() for c in "xy")
+    ranges = min(_MOST_RANGES, 1 + events.count() // _RANGE)
+
+    def order(c: str, kind: tuple[bool, bool], *ties: str) -> list[Column]:
+        return [F.col("g"), _ordered(c, kind[0]), F.col("query") if kind[1] else ~F.col("query"), *map(F.col, ties)]
+
+    def placed(rows: DataFrame, by: list[Column], run, names: list[str], schema: str, name: str) -> DataFrame:
+        return scratch.put(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select(*names).mapInArrow(run, schema), name)
+
+    def with_range(rows: pa.Table, names: list[str], part: str, pairs: int) -> Iterator[pa.RecordBatch]:
+        here, found = np.full(rows.num_rows, TaskContext.get().partitionId(), np.int64), pa.array([pairs] + [None] * (rows.num_rows - 1), _DECIMAL)
+        yield from pa.table([*(rows.column(c) for c in names), here, found], names=[*names, part, "pairs"]).to_batches(max_chunksize=10_000)
+
+    def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _codes(rows.column("g")), rows.column("query").to_numpy(), rows.column("n").to_numpy()
+
+    def coarse(rows: pa.Table, c: str) -> tuple[np.ndarray, np.ndarray]:
+        part = rows.column(c).to_numpy()
+        return part, part
+
+    def by_z(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches)
+        if rows is not None:
+            group, query, times = read(rows)
+            pairs = _before_in_both(group, _numbers(rows.column("x"), kinds[0]), _numbers(rows.column("y"), kinds[1]), query, times)
+            yield from with_range(rows, ["g", "x", "y", "query", "n"], "pz", pairs)
+
+    def by_x(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches)
+        if rows is not None:
+            group, query, times = read(rows)
+            pairs = _before_in_both(group, _numbers(rows.column("y"), kinds[1]), coarse(rows, "pz"), query, times)
+            yield from with_range(rows, ["g", "y", "query", "n", "pz"], "px", pairs)
+
+    def by_y(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches)
+        if rows is not None:
+            group, query, times = read(rows)
+            pairs = _before_in_both(group, coarse(rows, "pz"), coarse(rows, "px"), query, times)
+            cells = rows.group_by(["g", "query", "pz", "px"]).aggregate([("n", "sum")]).rename_columns(["g", "query", "pz", "px", "n"])
+            yield from with_range(cells, ["g", "query", "n", "pz", "px"], "py", pairs)
+
+    first = placed(events, order("z", kinds[2], "x", "y"), by_z, ["g", "x", "y", "query", "n"], f"g string, x {x_type}, y {y_type}, query boolean, n long, pz long, {_TOTAL}", "by_z")
+    total = _total(first)
+    wide = scratch.put(first.groupBy("g").agg(F.min("pz").alias("a"), F.max("pz").alias("b")).filter("a < b").select("g"), "wide")  # fewer than there are ranges
+    if wide.isEmpty():
+        return total
+    scratch.drop("events")
+    first = first.drop("pairs").join(F.broadcast(wide), "g")
+    second = placed(first, order("x", kinds[0], "pz", "y"), by_x, ["g", "y", "query", "n", "pz"], f"g string, y {y_type}, query boolean, n long, pz long, px long, {_TOTAL}", "by_x")
+    total += _total(second)
+    scratch.drop("by_z")
+    third = placed(second.drop("pairs"), order("y", kinds[1], "pz", "px"), by_y, ["g", "query", "n", "pz", "px"], f"g string, query boolean, n long, pz long, px long, py long, {_TOTAL}", "by_y")
+    scratch.drop("by_x")
+
+    def by_cell(rows: pa.Table) -> pa.Table:
+        query, part = rows.column("query").to_numpy(), rows.column("pz").to_numpy()
+        rows = rows.take(pa.array(np.lexsort((~query, part))))  # queries before points within a range, as only lower ranges count
+        zero = np.zeros(rows.num_rows, np.int64)
+        return pa.table([pa.array([_before_in_both(zero, coarse(rows, "px"), coarse(rows, "py"), *read(rows)[1:])], _DECIMAL)], names=["pairs"])
+
+    return total + _total(third) + _total(third.drop("pairs").groupBy("g").applyInArrow(by_cell, _TOTAL))  # cells of ranges: their third power at most
+
+
 def _turned(predicate: Predicate) -> Predicate:
     """The predicate with the left row first."""
     i, a, op, j, b = predicate
@@ -180,21 +292,6 @@ def _events(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return both.withColumn("g", F.to_json(F.struct(*[c.alias(f"k{k}") for k, c in enumerate(plain)])) if plain else F.lit(""))
 
 
-def _by_nodes(events: DataFrame, greater: bool, inclusive: bool, scratch: Scratch) -> DataFrame:
-    """The events with their node of a tree over the distinct values of z in their group."""
-    ranks = scratch.put(numbered(events.select("z").distinct(), "z", scratch), "ranks")
-    size = ranks.count()
-    number = F.lit(size - 1) - F.col("rn") if greater else F.col("rn")
-    levels = max(1, size.bit_length())
-    bound = F.col("v") + F.lit(int(inclusive))
-    nodes = lambda keep, node: F.filter(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.when(keep(k), F.concat_ws("/", "g", k.cast("string"), node(k).cast("string")))), lambda s: s.isNotNull())
-    shifted = lambda c, k: F.call_function("shiftright", c, k)
-    own = nodes(lambda k: F.lit(True), lambda k: shifted(F.col("v"), k))
-    asked = nodes(lambda k: shifted(bound, k).bitwiseAND(F.lit(1).cast("long")) == 1, lambda k: shifted(bound, k) - 1)
-    placed = events.join(ranks, "z").withColumn("v", number.cast("long"))
-    return placed.withColumn("g", F.explode(F.when(F.col("query"), asked).otherwise(own))).groupBy("g", "x", "y", "query").agg(F.sum("n").alias("n"))
-
-
 def _term(left: DataFrame, right: DataFrame, equal: list[Predicate], order: list[Predicate]) -> int:
     """Pairs that fulfil equalities and up to three order predicates."""
     scratch = Scratch(left.sparkSession)
@@ -210,7 +307,7 @@ def _term(left: DataFrame, right: DataFrame, equal: list[Predicate], order: list
         events = events.withColumn("y", F.lit(0))
     kinds = [_ORDERS[p[2]] for p in order]
     if len(order) == 3:
-        events = _by_nodes(events, *kinds[2], scratch)
+        return count_dominated_in_three(events.select("g", "x", "y", "z", "query", "n"), kinds, scratch)
     return count_dominated(events.select("g", "x", "y", "query", "n"), kinds[0], kinds[1] if len(order) > 1 else (False, True), scratch)
 
 
