@@ -66,19 +66,33 @@ def unblocked(edge: Column, mask: Column, target: Column) -> Column:
     return F.bit_count(edge.bitwiseAND(mask.bitwiseOR(target))) < 2
 
 
-def time_filtered(model: DataFrame, times: DataFrame) -> DataFrame:
-    """(dataset, target, key, edges): for each key the edges left of cells that are at least as new as the target.
+def late_members(model: DataFrame, times: DataFrame) -> DataFrame:
+    """(dataset, key, late): the bits of the cells that are at least as new as the target.
 
-    ``times``: (dataset, key, times), a map from attribute to insertion time; an attribute that isn't in it counts as 0. A
-    member older than the target leaves its edge; an edge with one member left, or none, goes.
+    ``times``: (dataset, key, times), a map from attribute to insertion time; an attribute that isn't in it counts as 0.
     """
-    joined = times.join(F.broadcast(model), "dataset")  # a model row for each dataset
-    order = F.concat("names", F.array("target"))
+    joined = times.join(F.broadcast(model.select("dataset", "target", "names", "tbit")), "dataset")  # a model row for each dataset
     time_of = lambda a: F.coalesce(F.try_element_at("times", a), F.lit(0))
-    late = F.aggregate(F.sequence(F.lit(0), F.col("n")), F.lit(0).cast("long"), lambda m, i: F.when(time_of(F.get(order, i)) >= time_of(F.col("target")), m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(m))
-    # bound as a lambda's variable, the bits are worked out once for a row and not once for each edge
-    left = lambda bits: F.filter(F.transform("edges", lambda e: F.struct(e["eid"].alias("eid"), e["mask"].bitwiseAND(bits).alias("mask"), e["w"].alias("w"))), lambda e: F.bit_count(e["mask"]) > 1)
-    return joined.select("dataset", "target", "key", "names", "n", "tbit", F.get(F.transform(F.array(late), left), 0).alias("edges"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    # bound as a lambda's variable, the target's time is looked up once for a row and not once for each cell
+    late = lambda at: F.aggregate(F.transform("names", lambda a, i: F.when(time_of(a) >= at, bit(i)).otherwise(F.lit(0).cast("long"))), F.col("tbit"), lambda m, x: m.bitwiseOR(x))
+    return joined.select("dataset", "key", F.get(F.transform(F.array(time_of(F.col("target"))), late), 0).alias("late"))
+
+
+def late_models(model: DataFrame, late: DataFrame) -> DataFrame:
+    """(dataset, target, late, names, n, tbit, edges): the edges left for each different set of late cells, however many keys share it.
+
+    A member older than the target leaves its edge; an edge with one member left, or none, goes.
+    """
+    left = F.transform("edges", lambda e: F.struct(e["eid"].alias("eid"), e["mask"].bitwiseAND(F.col("late")).alias("mask"), e["w"].alias("w")))
+    joined = late.select("dataset", "late").distinct().join(F.broadcast(model), "dataset")
+    return joined.select("dataset", "target", "late", "names", "n", "tbit", F.filter(left, lambda e: F.bit_count(e["mask"]) > 1).alias("edges"))
+
+
+def time_filtered(model: DataFrame, times: DataFrame) -> DataFrame:
+    """(dataset, target, key, names, n, tbit, edges): for each key the edges left of cells that are at least as new as the target."""
+    late = late_members(model, times)
+    return late.join(late_models(model, late), ["dataset", "late"]).select("dataset", "target", "key", "names", "n", "tbit", "edges")
 
 
 def attribute_constraints(constraints: DataFrame) -> DataFrame:

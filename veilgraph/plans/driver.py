@@ -13,7 +13,7 @@ from veilgraph.functions import expressions as X
 from veilgraph.operators import deletion, dependencies, hypergraph, leakage, mechanisms, pairs, report, weights
 from veilgraph.plans import mined
 from veilgraph.sources import constraints
-from veilgraph.store import Scratch
+from veilgraph.store import Scratch, dealt
 
 #: Pairs and rows of the samples that the statistics are made from.
 PAIRS = 300_000
@@ -644,7 +644,7 @@ LATE_SQL = f"""{MODEL_SQL}, k AS (SELECT c_custkey AS key, c_custkey % 5 AS tt,
 
 def _times(spark, sf_dir, model):
     """(dataset, key, times): for each customer and catalog attribute i's time, key % (i + 2), and the target's, key % 5."""
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(F.broadcast(model.select("dataset", "target", "names")))
+    keys = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))).join(F.broadcast(model.select("dataset", "target", "names")))
     own = F.map_from_arrays(F.concat("names", F.array("target")), F.concat(F.transform("names", lambda _, i: F.col("key") % (i + 2)), F.array(F.col("key") % 5)))
     return keys.select("dataset", "key", own.alias("times"))
 
@@ -667,8 +667,9 @@ def insertion_time_filter(spark, sf_dir):
 def min_deletion_by_time(spark, sf_dir):
     """The smallest safe mask of each customer's row, given its cells' insertion times, for the five catalogs."""
     model, _ = _model(spark, sf_dir)
-    timed = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
-    return mechanisms.minimal_masks(timed).select("dataset", "key", "mask_size", "n_optima")
+    late = Scratch(spark).put(hypergraph.late_members(model, _times(spark, sf_dir, model)), "late")
+    best = mechanisms.minimal_masks(hypergraph.late_models(model, late)).select("dataset", "late", "mask_size", "n_optima")
+    return late.join(best, ["dataset", "late"]).select("dataset", "key", "mask_size", "n_optima")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|' || '42'), o_orderkey LIMIT 1")

@@ -28,6 +28,12 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all cores: a table of few or small files is read by fewer tasks than there are cores."""
+    parts = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
+
+
 class Scratch:
     """Parquet tables that cut lineage. ``drop`` removes one early; the rest go when Python ends."""
 
