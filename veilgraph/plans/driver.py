@@ -653,8 +653,9 @@ def _times(spark, sf_dir, model):
 def insertion_time_filter(spark, sf_dir):
     """Edges left when members older than the target don't count, for every customer and catalog."""
     model, _ = _model(spark, sf_dir)
-    out = hypergraph.time_filtered(model, _times(spark, sf_dir, model))
-    return out.select("dataset", "key", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e["mask"])).alias("n_members"))
+    late = hypergraph.late_members(model, _times(spark, sf_dir, model))
+    out = hypergraph.late_models(model, late).select("dataset", "late", F.size("edges").cast("long").alias("n_edges"), F.aggregate("edges", F.lit(0).cast("long"), lambda s, e: s + F.bit_count(e["mask"])).alias("n_members"))
+    return late.join(out, ["dataset", "late"]).select("dataset", "key", "n_edges", "n_members")
 
 
 @query(f"""WITH RECURSIVE {LATE_SQL}, st AS (SELECT ds, late, list_sort(list_distinct(list(em & late))) AS ed FROM (SELECT DISTINCT ds, late FROM b) JOIN e USING (ds) WHERE bit_count(em & late) > 1 GROUP BY ALL),
