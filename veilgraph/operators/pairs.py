@@ -13,6 +13,8 @@ from veilgraph.store import Scratch
 Predicate = tuple[int, str, str, int, str]
 #: So many keys and numbers (about 16 bytes each) are sent to every task at most.
 MOST_SENT = 2_000_000
+#: Rows of a side that meet in a task where all pairs are compared.
+BLOCK = 50_000
 
 
 def numbered(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -68,15 +70,25 @@ def predicate_columns(dc: list[Predicate]) -> tuple[Column, list[Column]]:
 def violations(rows: DataFrame, key: str, dc: list[Predicate]) -> DataFrame:
     """(l_key, r_key) of all ordered pairs of different rows that fulfil every predicate.
 
-    Equality predicates across the rows become join keys, so Catalyst hashes or sorts on them; a constraint without any can
-    only compare all pairs, which is refused unless the rows are few.
+    Equality predicates across the rows become join keys, so Catalyst hashes or sorts on them. A constraint without any compares all pairs,
+    which takes time by the square of the rows: the left rows are dealt over tasks, and each meets the right rows, sent along if they are few,
+    else in blocks of ``BLOCK``, so that no task holds more than a block.
     """
     used = sorted({p[1] for p in dc} | {p[4] for p in dc})
     equal = [p for p in dc if p[2] in ("==", "=", "EQUAL") and p[0] != p[3]]
-    if not equal and rows.count() > 20_000:
-        raise ValueError("a constraint without an equality compares all pairs; sample pairs instead")
     side = lambda p: rows.select(F.col(key).alias(f"{p}key"), *[F.col(c).alias(f"{p}{c}") for c in used])
     tests = [holds(sides(p)[0], p[2], sides(p)[1]) for p in dc]
     condition = reduce(Column.__and__, tests) & (F.col("l_key") != F.col("r_key"))
-    return side("l_").join(side("r_"), condition).select("l_key", "r_key")
-
+    left, right = side("l_"), side("r_")
+    if not equal:
+        n = rows.count()
+        parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, n // 5_000) if n > 2_000 else 1
+        if n <= MOST_SENT // 4:
+            left, right = left.repartition(parts) if parts > 1 else left, F.broadcast(right)
+        else:
+            blocks = 1 + n // BLOCK
+            each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+            own = lambda p: F.pmod(F.xxhash64(*[f"{p}{c}" for c in ("key", *used)]), F.lit(blocks)).cast("int")
+            left, right = left.withColumn("__i", own("l_")).withColumn("__j", each), right.withColumn("__j", own("r_")).withColumn("__i", each)
+            return left.repartition(blocks * blocks, "__i", "__j").join(right.repartition(blocks * blocks, "__i", "__j"), ["__i", "__j"]).filter(condition).select("l_key", "r_key")
+    return left.join(right, condition).select("l_key", "r_key")
