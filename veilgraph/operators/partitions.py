@@ -1,13 +1,14 @@
 """Approximate functional dependencies of every right side, from stripped partitions of growing column sets.
 
-A column set parts the rows into classes of equal values; a stripped partition leaves out classes of one row, which can't err. The hash of
-a class is the exclusive or of its values' hashes, one for each column, so a class of a set knows its class in any smaller set, and a
-level's partitions are intersected with columns by one more of them. A level is one pass over the rows: every task counts the classes of its rows, and
-only these counts are shuffled, never a copy of the rows. Rows that are alone in a class of a smaller set are alone in the larger one as well: where a set's
-classes of several rows are few, they are sent along and the other rows are passed over. Supersets of keys are never looked at.
+A column set parts the rows into classes of equal values; a stripped partition leaves out classes of one row, which can't err. Columns are put in
+order, those of most values first, and a set belongs to the first of its columns: rows are dealt once for each column by its values, with that
+column and those after it, so all classes of its sets lie in one task each and are counted there, ever larger sets from the rows that
+are not yet alone. Rows are moved once for each column, however many sets there are. The last columns, whose values have few
+combinations, are counted by these.
 
 With n rows in classes of several, c such classes, and in each the largest class t of the set with the right side added, the rows to
-delete so that the set determines the right side are n - c - sum(t - 1).
+delete so that the set determines the right side are n - c - sum(t - 1). Where the right side is the column that the rows were dealt by, t is the
+largest over tasks, and only the largest of each task is shuffled.
 """
 
 from __future__ import annotations
@@ -22,76 +23,76 @@ from pyspark.sql import functions as F
 
 from veilgraph.store import Scratch
 
-#: Rows that a task counts together, and hashes of classes that are sent to every task at most (8 bytes each).
-_BLOCK, _MOST_SENT = 200_000, 1_000_000
-
-
-def _fields(k: int) -> list[str]:
-    """s: the set; h1 and h2: the class; n: its rows; and both hashes of the class's value in each of the k columns."""
-    return ["s", "h1", "h2", "n", *[f"{half}_{i}" for half in ("v1", "v2") for i in range(k)]]
+#: Rows of a task, combinations of values that are sent to one task, and rows of one value from which on they are dealt by more columns.
+_BLOCK, _MOST_SENT, _MOST_ALIKE = 200_000, 1_000_000, 2_000_000
+_FOUND = "s long, r int, p1 long, p2 long, v long, c long"
 
 
 def _members(s: int) -> list[int]:
     return [i for i in range(s.bit_length()) if s >> i & 1]
 
 
-def _xor(columns: list[np.ndarray]) -> np.ndarray:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out ^ c
-    return out
-
-
-def _counted(h1: list[np.ndarray], h2: list[np.ndarray], s: int, alive: dict[int, np.ndarray]) -> pa.RecordBatch | None:
-    """The classes of one set among a block's rows, without rows known to be alone."""
-    own = _members(s)
-    first, second = [h1[i] for i in own], [h2[i] for i in own]
-    for k, i in enumerate(own):
-        smaller = alive.get(s & ~(1 << i))
-        if smaller is not None and len(own) > 1:
-            part = _xor(first[:k] + first[k + 1 :])
-            keep = np.isin(part, smaller, kind="sort") if len(smaller) else np.zeros(len(part), bool)
-            if not keep.all():
-                first, second = [c[keep] for c in first], [c[keep] for c in second]
-    if not len(first[0]):
-        return None
-    a, b = _xor(first), _xor(second)
-    order = np.argsort(a)
-    new = a[order][1:] != a[order][:-1]
-    if (~new & (b[order][1:] != b[order][:-1])).any():  # one half of the hash agrees by chance
-        order = np.lexsort((b, a))
-        new = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    begin = np.flatnonzero(np.append(True, new))
-    lead = order[begin]
-    columns = [np.full(len(lead), s), a[lead], b[lead], np.diff(np.append(begin, len(order))), *[c[lead] for c in first], *[c[lead] for c in second]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_fields(len(own)))
-
-
-def _level(hashed: DataFrame, m: int, k: int, sets: list[int], alive: dict[int, np.ndarray]) -> DataFrame:
-    """The stripped partitions of sets of k columns."""
-    shared = hashed.sparkSession.sparkContext.broadcast(alive)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2 * m)]
-            for s in sets:
-                found = _counted(h[:m], h[m:], s, shared.value)
-                if found is not None:
-                    yield found
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= _BLOCK:
-                yield from count(held)
-                held, rows = [], 0
-        if held:
-            yield from count(held)
-
-    counted = hashed.mapInArrow(run, ", ".join(f"{f} long" for f in _fields(k)))
-    return counted.groupBy("s", "h1", "h2").agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in _fields(k)[4:]]).filter("n > 1")
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' order by their keys, where runs of equal keys begin in it, and for each place the number of its run."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _codes(*keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal numbers from 0 for rows of equal keys, and how many there are."""
+    order, begin, run = _runs(*keys)
+    code = np.empty(len(order), np.int64)
+    code[order] = run
+    return code, len(begin)
+
+
+def _classes(hashes: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, bits: list[int], lead: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """What all sets of at most ``most`` columns that hold the first ``lead`` ones give, among rows that hold whole classes of these."""
+    coded = [_codes(*h) for h in hashes]
+    none = np.zeros(1, np.int64)
+
+    def parent(own: list[int], rows: np.ndarray) -> np.ndarray:
+        key, size = np.zeros(len(rows), np.int64), 1
+        for i in own:
+            if size * coded[i][1] >= 1 << 62:
+                key, size = _codes(key)
+            key, size = key * coded[i][1] + coded[i][0][rows], size * coded[i][1]
+        return key
+
+    def visit(own: list[int], rows: np.ndarray, key: np.ndarray) -> Iterator[tuple]:
+        """``rows``: those not alone in the set without its last column; ``key``: their class in the set."""
+        order, begin, run = _runs(key)
+        n = np.add.reduceat(weight[rows[order]], begin)
+        several = n > 1
+        if not several.any():
+            return
+        s, first, n = sum(1 << bits[i] for i in own), rows[order][begin][several], n[several]
+        yield s, -1, none, none, np.array([n.sum()]), len(n)
+        for i in own if len(own) > 1 else []:
+            rest = [j for j in own if j != i]
+            if i >= lead:
+                where, starts, _ = _runs(parent(rest, first))
+                yield s & ~(1 << bits[i]), bits[i], none, none, np.array([(np.maximum.reduceat(n[where], starts) - 1).sum()]), -1
+            else:
+                p = [np.bitwise_xor.reduce([hashes[j][half][first] for j in rest]) for half in (0, 1)]
+                where, starts, _ = _runs(*p)
+                yield s & ~(1 << bits[i]), bits[i], p[0][where][starts], p[1][where][starts], np.maximum.reduceat(n[where], starts), -2
+        if len(own) < most:
+            stay = several[run]
+            rows, (key, _) = rows[order][stay], _codes(run[stay])
+            for i in range(max(own[-1] + 1, lead), len(bits)):
+                yield from visit([*own, i], rows, key * coded[i][1] + coded[i][0][rows])
+
+    every = np.arange(len(weight))
+    if lead:
+        yield from visit(list(range(lead)), every, parent(list(range(lead)), every))
+    else:
+        for i in range(len(bits)):
+            yield from visit([i], every, coded[i][0])
 
 
 def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold: float = 0.05) -> DataFrame:
@@ -103,42 +104,66 @@ def discover_all(rows: DataFrame, columns: list[str], most: int = 3, threshold:
     if len(columns) < 2 or len(columns) > 62 or most < 1:
         raise ValueError("there must be 2 to 62 columns, and sets of at least one")
     spark, m = rows.sparkSession, len(columns)
-    scratch = Scratch(spark)
+    scratch, largest = Scratch(spark), min(most + 1, m)
     cast = lambda c: F.col(f"`{c}`") + F.lit(0.0) if dict(rows.dtypes)[c] in ("double", "float") else F.col(f"`{c}`")  # noqa: E731  zeros have no sign
-    hashed = rows.select(*[F.xxhash64(F.lit(2 * i + half), cast(c), F.isnull(cast(c))).alias(f"h{half}_{i}") for half in (0, 1) for i, c in enumerate(columns)])
-    total = rows.count()
-    parts = 2 * spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < parts:  # a small table of few files: its rows are dealt to all cores once
-        hashed = scratch.put(hashed.repartition(parts), "hashed")
+    base = rows.select(*[cast(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    hashed = lambda i, half: F.xxhash64(F.lit(2 * i + half), f"c{i}", F.isnull(f"c{i}"))
+    counts = base.agg(F.count(F.lit(1)), *[F.approx_count_distinct(f"c{i}") for i in range(m)]).first()
+    total, values = counts[0], [v + 1 for v in counts[1:]]
+    order = sorted(range(m), key=lambda i: -values[i])
+    parts = max(2 * spark.sparkContext.defaultParallelism, 1 + total // _BLOCK)
+    few = m
+    while few and np.prod([float(values[i]) for i in order[few - 1 :]]) <= _MOST_SENT:
+        few -= 1
+    # where the rows are dealt by is chosen from some of them; all of them are counted
+    some = base.sample(min(1.0, 50_000 / max(total, 1)), seed=7).select(*[hashed(i, 0).alias(f"c{i}") for i in range(m)]).toArrow()
+
+    def alike(own: list[int]) -> float:
+        """About how many rows share a value of these columns at most."""
+        if total <= _MOST_ALIKE or not some.num_rows:
+            return 0
+        return total * np.bincount(_codes(*[some.column(f"c{i}").to_numpy() for i in own])[0]).max() / some.num_rows
+
     stats: dict[int, tuple[int, int]] = {}
     best: dict[tuple[int, int], int] = {}
-    alive: dict[int, np.ndarray] = {}
-    for k in range(1, min(most + 1, m) + 1):
-        sets = [sum(1 << i for i in c) for c in combinations(range(m), k)]
-        sets = [s for s in sets if k == 1 or all(stats.get(s & ~(1 << i), (0, 0))[0] for i in _members(s))]
-        if not sets:
-            break
-        level = scratch.put(_level(hashed, m, k, sets, alive), f"level{k}")
-        for r in level.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).collect():  # a row for each set
-            stats[r.s] = r.n, r.c
-        if k > 1:
-            # each class of a set with its right side taken away: the class of the smaller set, by its hash
-            parents = F.array(*[F.struct(F.lit(i).alias("i"), F.col("h1").bitwiseXOR(F.col(f"v1_{i}")).alias("p1"), F.col("h2").bitwiseXOR(F.col(f"v2_{i}")).alias("p2")) for i in range(k)])
-            tops = level.select("s", "n", F.explode(parents).alias("p")).groupBy("s", "p.i", "p.p1", "p.p2").agg(F.max("n").alias("top"))
-            for r in tops.groupBy("s", "i").agg(F.sum(F.col("top") - 1).alias("t")).collect():  # a row for each set and right side
-                right = _members(r.s)[r.i]
-                best[r.s & ~(1 << right), right] = r.t
-        if k <= most:
-            alive, room = {}, _MOST_SENT
-            for s in sorted(sets, key=lambda s: stats.get(s, (0, 0))[1]):
-                n, c = stats.get(s, (0, 0))
-                if n < 0.9 * total and c <= room:
-                    room -= c
-                    alive[s] = np.empty(0, np.int64)
-            if alive:
-                found = level.filter(F.col("s").isin(*alive)).select("s", "h1").toArrow()  # _MOST_SENT rows at most
-                of, h1 = found.column("s").to_numpy(), found.column("h1").to_numpy()
-                alive = {s: h1[of == s] for s in alive}
+
+    def count(source: DataFrame, own: list[int], lead: int, size: int) -> None:
+        hashes = source.select(*[hashed(i, half).alias(f"h{half}_{i}") for i in own for half in (0, 1)], "n")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                h = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2 * len(own) + 1)]
+                held.clear()
+                for s, r, p1, p2, v, c in _classes(list(zip(h[:-1:2], h[1:-1:2], strict=True)), h[-1], own, lead, size):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), s)), pa.array(np.full(len(v), r, np.int32)), pa.array(p1), pa.array(p2), pa.array(v), pa.array(np.full(len(v), c))], names=["s", "r", "p1", "p2", "v", "c"])
+
+        found = scratch.put(hashes.mapInArrow(run, _FOUND), "found")
+        for r in found.filter("c != -2").groupBy("s", "r").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).collect():  # a row for each set and right side
+            if r.r < 0:
+                stats[r.s] = r.v, r.c
+            else:
+                best[r.s, r.r] = r.v
+        for r in found.filter("c = -2").groupBy("s", "r", "p1", "p2").agg(F.max("v").alias("v")).groupBy("s", "r").agg(F.sum(F.col("v") - 1).alias("v")).collect():
+            best[r.s, r.r] = r.v
+        scratch.drop("found")
+
+    def deal(lead: list[int], rest: list[int]) -> None:
+        """Counts all sets of ``lead`` and any of ``rest``; a value that too many rows share is dealt on by the next columns."""
+        names = [f"c{i}" for i in (*lead, *rest)]
+        if len(lead) == largest or alike(lead) > _MOST_ALIKE:
+            own = [f"c{i}" for i in lead]
+            count(base.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), lead, len(lead), len(lead))
+            for k, i in enumerate(rest if len(lead) < largest else []):
+                deal([*lead, i], rest[k + 1 :])
+        else:
+            count(base.select(*names, F.lit(1).cast("long").alias("n")).repartition(parts, *names[: len(lead)]), [*lead, *rest], len(lead), largest)
+
+    if few < m:
+        combined = base.groupBy(*[f"c{i}" for i in order[few:]]).agg(F.count(F.lit(1)).alias("n"))
+        count(combined.repartition(1), order[few:], 0, largest)  # _MOST_SENT rows at most
+    for k in range(few):
+        deal([order[k]], order[k + 1 :])
     out = []
     for k in range(1, min(most, m - 1) + 1):
         for c in combinations(range(m), k):
