@@ -9,7 +9,7 @@ from veilgraph.operators import answers, deletion, dependencies, templates
 from veilgraph.plans import mined
 from veilgraph.plans.driver import CLOSE_SQL, LEAK_SQL, LINES_SQL, MASKS_SQL, MODEL_SQL, RUNS_SQL, _constraints, _hash_sql, _leakage, _parts, _rounded, _runs, plain_model, query, table
 from veilgraph.sources import constraints, datasets, runs
-from veilgraph.store import Scratch
+from veilgraph.store import Scratch, dealt
 
 #: Raw cells of each dataset's file as SQL over customer; columns that aren't named hold the key.
 RAW = {
@@ -128,7 +128,7 @@ def _literal_sql() -> str:
  SELECT o_orderkey, 't0.' || CASE WHEN tax THEN 'AreaCode' ELSE a END || ' == t1.Zip AND t0.State ' || CASE s WHEN 'F' THEN '!=' WHEN 'O' THEN '<=' ELSE '>' END || ' t1.State' AS dc FROM l""")
 def dc_parse_literals(spark, sf_dir):
     """Constraints written as literals, with the files' column names: one from each order."""
-    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_literal_sql()).alias("value"))
+    lines = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("o_orderkey", F.expr(_literal_sql()).alias("value"))
     preds = constraints.predicates_of_literal(F.col("value"), constraints.TAX_COLUMNS)
     return lines.select("o_orderkey", preds.alias("preds")).filter("preds is not null").select("o_orderkey", constraints.to_text(F.col("preds")).alias("dc"))
 

@@ -36,11 +36,19 @@ def predicates_of_text(text: Column) -> Column:
     ``<>`` is read as ``!=``; the first row is 0 whether files count from 0 or 1.
     """
     plain = F.regexp_replace(text, r"[',()\[\]]", " ")
-    parts = [F.regexp_extract_all(plain, F.lit(_PREDICATE), F.lit(i)) for i in range(1, 6)]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ["a", "c1", "op", "b", "c2"], strict=True)])
-    least = F.array_min(F.transform(F.concat(parts[0], parts[3]), lambda x: x.cast("int")))
-    found = F.transform(zipped, lambda z: F.struct((z["a"].cast("int") - least).alias("i1"), z["c1"].alias("c1"), operator_of(z["op"]).alias("op"), (z["b"].cast("int") - least).alias("i2"), z["c2"].alias("c2")))
-    return F.when(F.size(found) > 0, found)
+    words = F.transform(F.regexp_extract_all(plain, F.lit(_PREDICATE), F.lit(0)), lambda p: F.split(F.regexp_replace(p, _PREDICATE, "$1 $2 $3 $4 $5"), " "))
+    row = lambda w, i: F.get(w, F.lit(i)).cast("int")
+
+    def of(words: Column) -> Column:
+        found = lambda least: F.transform(words, lambda w: F.struct((row(w, 0) - least).alias("i1"), F.get(w, F.lit(1)).alias("c1"), operator_of(F.get(w, F.lit(2))).alias("op"), (row(w, 3) - least).alias("i2"), F.get(w, F.lit(4)).alias("c2")))
+        return F.when(F.size(words) > 0, _once(F.array_min(F.transform(words, lambda w: F.least(row(w, 0), row(w, 3)))), found))
+
+    return _once(words, of)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that, bound as a lambda's variable, is worked out once for a row and not at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def parse_text(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -112,9 +120,8 @@ def predicates_of_literal(text: Column, columns: dict[str, str] | None = None, m
     """The predicates of one such line; null where there are none or too many."""
     mapped = F.create_map(*[F.lit(x) for pair in (columns or {"": ""}).items() for x in pair])
     rename = lambda c: F.coalesce(F.try_element_at(mapped, c), c)
-    found = predicates_of_text(text)
-    plain = F.transform(found, lambda p: F.struct(F.lit(0).alias("i1"), rename(p["c1"]).alias("c1"), p["op"].alias("op"), F.lit(1).alias("i2"), rename(p["c2"]).alias("c2")))
-    return plain if most is None else F.when(F.size(found) <= most, plain)
+    plain = lambda found: F.transform(found, lambda p: F.struct(F.lit(0).alias("i1"), rename(p["c1"]).alias("c1"), p["op"].alias("op"), F.lit(1).alias("i2"), rename(p["c2"]).alias("c2")))
+    return _once(predicates_of_text(text), lambda found: plain(found) if most is None else F.when(F.size(found) <= most, plain(found)))
 
 
 def weighted_columns(names: list[str]) -> tuple[str, str]:
