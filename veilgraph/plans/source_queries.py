@@ -262,7 +262,7 @@ def min_choice(spark, sf_dir):
 def request_records(spark, sf_dir):
     """One deletion request by each method for each catalog, with measured times: the run records."""
     model, _, t = _leakage(spark, sf_dir)
-    rows = table(spark, sf_dir, "customer").withColumns({a: F.col("c_name") for a in {x.lower(): x for d in constraints.DATASETS for x in (*plain_model(d)[0], constraints.TARGETS[d])}.values()})
+    rows = dealt(table(spark, sf_dir, "customer")).withColumns({a: F.col("c_name") for a in {x.lower(): x for d in constraints.DATASETS for x in (*plain_model(d)[0], constraints.TARGETS[d])}.values()})
     out, root = None, Scratch(spark).root
     for name in constraints.DATASETS:
         for method in answers.METHODS:
